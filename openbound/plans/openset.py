@@ -45,12 +45,14 @@ def prepare(df: DataFrame, ratio: float, mode: str = "first", seed: int = 0,
 
 def centroid_fixture(os_: OpenSet, with_margin_vectors: bool = False) -> Prototypes:
     """Prototype fixture without learning: centroids, scalar
-    margin 0.2; optionally margin vector = the class's first training row
-    (first unknown-label training row for the out-of-domain class)."""
+    margin 0.2; optionally margin vector = midpoint of the proxy and the
+    class's first training row (first unknown-label training row for the
+    out-of-domain class).  The midpoint keeps every data row off the
+    acceptance boundary, so ``cos > radius`` never hinges on rounding."""
     train = os_.split("train")
     protos = centroid_prototypes(train, os_.n_known)
     if with_margin_vectors:
         raw_train = os_.mapped.filter(os_.mapped["split"] == "train")
         mv = first_row_vectors(raw_train, os_.n_classes)
-        protos = Prototypes(protos.proxy, protos.margin, mv)
+        protos = Prototypes(protos.proxy, protos.margin, 0.5 * (protos.proxy + mv))
     return protos

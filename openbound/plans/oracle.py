@@ -55,9 +55,9 @@ cd AS (
   SELECT (SELECT n FROM nk) AS cls, i, avg(v) AS v FROM tr GROUP BY i),
 mv AS (SELECT y AS cls, arg_min(x, row_id) AS mvec FROM m WHERE split = 'train' GROUP BY y),
 protos AS (
-  SELECT CAST(c.cls AS INTEGER) AS cls, list(c.v ORDER BY c.i) AS p, any_value(mv.mvec) AS mvec,
-         0.2 AS mrg
-  FROM cd c LEFT JOIN mv ON c.cls = mv.cls GROUP BY c.cls)"""
+  SELECT cls, p, list_transform(generate_series(1, len(p)), lambda i: (p[i] + f[i]) / 2) AS mvec, mrg FROM (
+    SELECT CAST(c.cls AS INTEGER) AS cls, list(c.v ORDER BY c.i) AS p, any_value(mv.mvec) AS f, 0.2 AS mrg
+    FROM cd c LEFT JOIN mv ON c.cls = mv.cls GROUP BY c.cls))"""
 
 
 def cos_sql(a: str, b: str, clamp: bool = True) -> str:
@@ -84,6 +84,7 @@ SC = f"""sc AS (
          {cos_sql('m.x', 'p.p', clamp=False)} AS ucos,
          list_dot_product(m.x, p.p) AS dot,
          {cos_sql('p.mvec', 'p.p')} AS r,
+         {cos_sql('m.x', 'p.mvec')} AS xm,
          p.mrg
   FROM m CROSS JOIN protos p)"""
 

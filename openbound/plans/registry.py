@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import catalog, oracle
+from . import catalog, catalog_train, oracle, oracle_train
 
 FLAGSHIP = catalog.FLAGSHIP
 
-_CATALOGS = [catalog]
-_ORACLES = [oracle.ORACLES]
+_CATALOGS = [catalog, catalog_train]
+_ORACLES = [oracle.ORACLES, oracle_train.ORACLES]
 
 
 def all_queries() -> dict:
