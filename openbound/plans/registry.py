@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import catalog, catalog_train, oracle, oracle_train
+from . import catalog, catalog_models, catalog_train, oracle, oracle_models, oracle_train
 
 FLAGSHIP = catalog.FLAGSHIP
 
-_CATALOGS = [catalog, catalog_train]
-_ORACLES = [oracle.ORACLES, oracle_train.ORACLES]
+_CATALOGS = [catalog, catalog_train, catalog_models]
+_ORACLES = [oracle.ORACLES, oracle_train.ORACLES, oracle_models.ORACLES]
 
 
 def all_queries() -> dict:
