@@ -4,10 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import embed as EM
+from ..operators import encode as EN
 from ..operators import neighbors as NB
+from ..operators import project as PR
+from . import views
 from .catalog import _eval_rows, _r, emb_setup
 
 K = 5
+VOCAB = 1000
+MAX_LEN = 50
+DIM = 16
+
+
+def _doc_tokens(spark, sf):
+    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return EN.tokenize(d, "text")
+
+
+def _encoded(spark, sf):
+    tk = _doc_tokens(spark, sf)
+    vocab = EN.build_vocab(tk, VOCAB)
+    return EN.encode(tk, vocab, VOCAB, max_len=MAX_LEN)
+
+
+def q_r1_vocab(spark, sf):
+    return EN.build_vocab(_doc_tokens(spark, sf), VOCAB)
+
+
+def q_r1_encode(spark, sf):
+    enc = _encoded(spark, sf)
+    z = F.arrays_zip(F.col("input_ids").alias("t"), F.col("attention_mask").alias("m"))
+    return enc.select("row_id", F.posexplode(z).alias("pos", "z")).select(
+        "row_id", F.col("pos").cast("int").alias("pos"), F.col("z.t").alias("token_id"),
+        F.col("z.m").alias("mask"))
+
+
+def q_r1_token_stats(spark, sf):
+    tk = _doc_tokens(spark, sf)
+    return EN.token_stats(tk, EN.build_vocab(tk, VOCAB), VOCAB)
+
+
+def _long(df, col):
+    return df.select("row_id", F.posexplode(col).alias("dim", "v")).select(
+        "row_id", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
+
+
+def q_r2_embed(spark, sf):
+    enc = _encoded(spark, sf)
+    return _long(enc.select("row_id", EM.hashed_embedding("input_ids", DIM).alias("x")), "x")
+
+
+def q_v9_mean_pool(spark, sf):
+    enc = _encoded(spark, sf)
+    toks = F.transform("input_ids", lambda t: F.transform(
+        F.sequence(F.lit(0), F.lit(DIM - 1)), lambda j: EM.sign_component(t, j, DIM, 0)))
+    return _long(enc.select("row_id", toks.alias("tv")).select("row_id", EM.mean_pool("tv").alias("x")), "x")
+
+
+def q_r4_pca(spark, sf):
+    os_, _ = emb_setup(spark, sf)
+    out = PR.pca_project(os_.split("test").select("row_id", "y", "x"), "x", 2, ["row_id", "y"])
+    return out.select("row_id", F.col("y").alias("target"), "pc0", "pc1")
 
 
 def q_t5_knn_vote(spark, sf):

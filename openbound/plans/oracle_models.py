@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
-from .oracle import emb
+from ..functions.ordering import mix_sql
+from .oracle import emb, with_
 
 K = 5
+VOCAB = 1000
+MAX_LEN = 50
+DIM = 16
+
+TOK = f"""tk AS (
+  SELECT doc_id AS row_id,
+         list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g')), ' '),
+                     lambda t: t <> '') AS tokens
+  FROM documents),
+cnt AS (SELECT token, count(*) AS count FROM (SELECT unnest(tokens) AS token FROM tk) GROUP BY token),
+vocab AS (
+  SELECT CAST(row_number() OVER (ORDER BY count DESC, token) + 1 AS INTEGER) AS token_id, token, count
+  FROM cnt ORDER BY count DESC, token LIMIT {VOCAB}),
+enc AS (
+  SELECT t.row_id, CAST(p.pos AS INTEGER) AS pos,
+         CAST(CASE WHEN p.pos < len(t.tokens) THEN coalesce(v.token_id, 1) ELSE 0 END AS INTEGER) AS token_id,
+         CAST(p.pos < len(t.tokens) AS INTEGER) AS mask
+  FROM tk t CROSS JOIN (SELECT unnest(range(0, {MAX_LEN})) AS pos) p
+  LEFT JOIN vocab v ON v.token = t.tokens[p.pos + 1])"""
+
+HASHED = with_(TOK) + f"""
+SELECT row_id, CAST(j AS INTEGER) AS dim,
+       round(avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)), 6) AS value
+FROM enc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY row_id, j"""
 
 IX = """ix AS (
   SELECT 0 AS kind, row_id AS iid, y AS label,
@@ -29,6 +54,14 @@ SELECT row_id, CAST(label AS INTEGER) AS pred FROM (
       SELECT row_id, label, row_number() OVER (PARTITION BY row_id ORDER BY dot DESC, kind, iid) AS r FROM qd)
     WHERE r <= {K} GROUP BY row_id, label))
 WHERE rk = 1""",
+    "r1_vocab": with_(TOK) + "SELECT token_id, token, count FROM vocab",
+    "r1_encode": with_(TOK) + "SELECT row_id, pos, token_id, mask FROM enc",
+    "r1_token_stats": with_(TOK) + """
+SELECT t.row_id, count(u.tok) AS n_tokens, count(v.token_id) AS n_in_vocab
+FROM tk t LEFT JOIN (SELECT row_id, unnest(tokens) AS tok FROM tk) u ON t.row_id = u.row_id
+LEFT JOIN vocab v ON v.token = u.tok GROUP BY t.row_id""",
+    "r2_embed": HASHED,
+    "v9_mean_pool": HASHED,
     "r5_centroid": emb() + """
 SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 }
