@@ -87,4 +87,14 @@ def q_r5_centroid(spark, sf):
         "cls", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
 
+def q_r3_fit(spark, sf):
+    """Fit proxies and margin vectors (variant ``new``, alpha 4, 6 steps) on
+    the training split, then score valid and test with the fitted set."""
+    from ..operators import fit as FT
+    from ..operators import score as S
+    os_, protos = emb_setup(spark, sf, margin_vectors=True)
+    res = FT.fit_prototypes(os_.split("train").select("y", "x"), protos, "new", alpha=4.0, steps=6, lr=1e-3)
+    return S.reject_vector(_eval_rows(os_).select("row_id", "x"), res.protos).select("row_id", "pred")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -166,6 +166,11 @@ def q_s2_positional_zip(spark, sf):
     return zip_by_position(roles, ["conv_id", "turn"], texts, ["c2", "t2"]).select("row_id", "role", "text")
 
 
+def q_m11_grid(spark, sf):
+    from .experiments import run_grid
+    return run_grid(spark, sf)
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 for _v in LS.VARIANTS:
     QUERIES[f"l5_class_sums_{_v}"] = _class_sums(_v)

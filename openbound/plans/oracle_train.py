@@ -13,7 +13,8 @@ VARIANTS = {"new": ("vector", True), "wo_shared": ("vector", False),
             "org": ("scalar", False), "wo_margin": ("scalar", True)}
 
 
-def _lt(variant: str, batched: bool = False) -> str:
+def _lt(variant: str, batched: bool = False,
+        rows: str = "split = 'train' AND y < (SELECT n FROM nk)") -> str:
     kind, shared = VARIANTS[variant]
     if kind == "vector":
         pos = "CASE WHEN cos > r THEN xm ELSE cos - r END"
@@ -27,7 +28,7 @@ def _lt(variant: str, batched: bool = False) -> str:
     return f"""lt AS (
   SELECT {bcol}row_id, cls, y, {inside} AS inside, {pos} AS pos_cos, {neg} AS neg_cos, {is_pos} AS is_pos,
          exp(-{ALPHA} * ({pos})) AS pos_exp, exp({ALPHA} * ({neg})) AS neg_exp
-  FROM {src} WHERE split = 'train' AND y < (SELECT n FROM nk)),
+  FROM {src} WHERE {rows}),
 cs AS (
   SELECT {bcol}cls, sum(CASE WHEN is_pos THEN pos_exp ELSE 0 END) AS s_pos,
          sum(CASE WHEN NOT is_pos THEN neg_exp ELSE 0 END) AS s_neg,
@@ -115,3 +116,26 @@ for _v in VARIANTS:
     ORACLES[f"l5_class_sums_{_v}"] = emb(SC, _lt(_v)) + \
         "SELECT cls, round(s_pos, 6) AS s_pos, round(s_neg, 6) AS s_neg, has_pos FROM cs"
     ORACLES[f"l7_loss_{_v}"] = emb(SC, _lt(_v)) + "SELECT round(loss, 6) AS loss, n_valid FROM ls"
+
+
+def grid_sql(ratios=(0.25, 0.5, 0.75)) -> str:
+    from .oracle import SC as _SC, _pred
+    cells = []
+    for r in ratios:
+        for v, (kind, _) in VARIANTS.items():
+            pred = _pred("r" if kind == "vector" else "mrg", "d.split = 'test'")
+            f1 = (emb(_SC, pred, _lt(v, rows="split = 'test'"), ratio=r) + f"""
+, cells AS (SELECT y, pred, count(*) AS n FROM pr GROUP BY y, pred),
+cc AS (
+  SELECT cls, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
+    SELECT y AS cls, n AS support, 0 AS predicted, CASE WHEN y = pred THEN n ELSE 0 END AS tp FROM cells
+    UNION ALL SELECT pred AS cls, 0, n, 0 FROM cells) GROUP BY cls)
+SELECT 'embeddings' AS dataset, {r} AS ratio, '{v}' AS variant, 'macro_f1' AS metric,
+       round(avg(2.0 * tp / (support + predicted)), 6) AS value FROM cc
+UNION ALL
+SELECT 'embeddings', {r}, '{v}', 'loss', round(loss, 6) FROM ls""")
+            cells.append(f"SELECT * FROM ({f1})")
+    return "\nUNION ALL\n".join(cells)
+
+
+ORACLES["m11_grid"] = grid_sql()
