@@ -97,4 +97,20 @@ def q_r3_fit(spark, sf):
     return S.reject_vector(_eval_rows(os_).select("row_id", "x"), res.protos).select("row_id", "pred")
 
 
+def q_s7_s8_tsv_round_trip(spark, sf):
+    """Export the test split as the reference's TSV pair (S7) into a fresh
+    folder under the shared checkpoint directory, read it back (S8: line
+    numbers, positional zip) and return it in long form."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import exports as EX
+    os_, _ = emb_setup(spark, sf)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tsv-{uuid.uuid4().hex}"
+    EX.write_tsv_pair(os_.split("test").select("row_id", "x", "y"), f"{base}/x", f"{base}/y")
+    back = EX.read_tsv_pair(spark, f"{base}/x", f"{base}/y")
+    return back.select("row_id", "target", F.posexplode("x").alias("dim", "v")).select(
+        "row_id", "target", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

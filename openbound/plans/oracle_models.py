@@ -62,6 +62,11 @@ FROM tk t LEFT JOIN (SELECT row_id, unnest(tokens) AS tok FROM tk) u ON t.row_id
 LEFT JOIN vocab v ON v.token = u.tok GROUP BY t.row_id""",
     "r2_embed": HASHED,
     "v9_mean_pool": HASHED,
+    "s7_s8_tsv_round_trip": emb() + """
+SELECT row_id, target, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM (
+  SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, y AS target, unnest(x) AS v,
+         generate_subscripts(x, 1) AS i
+  FROM d WHERE split = 'test')""",
     "r5_centroid": emb() + """
 SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 }
