@@ -99,6 +99,37 @@ def proxy_loss(df: DataFrame, protos: Prototypes, variant: str = "new", alpha: f
     return combine(class_sums(terms, by), protos.n_classes, by)
 
 
+def multi_variant_loss(df: DataFrame, protos: Prototypes, variants=tuple(VARIANTS), alpha: float = 64.0,
+                       by: Sequence[str] | str | None = None, x_col: str = "x",
+                       y_col: str = "y") -> DataFrame:
+    """All requested variants from ONE pass: the per-class terms are computed
+    once (clamped and unclamped cosine side by side), every variant's masked
+    sums go into the same ``groupBy(by, cls)``, and the result is stacked to
+    ``(variant, by..., loss, n_valid)``."""
+    keys = _keys(by)
+    t = S.class_terms(df, protos, x_col, clamp=True, with_unclamped=True)
+    a = float(alpha)
+    y, cls, cos, ucos = F.col(y_col), F.col("cls"), F.col("cos"), F.col("ucos")
+    inside = cos > F.col("r")
+    vec_pos = F.when(inside, F.col("xm")).otherwise(cos - F.col("r"))
+    vec_neg = F.when(inside, cos - F.col("r")).otherwise(F.col("xm"))
+    aggs = []
+    for v in variants:
+        kind, shared = VARIANTS[v]
+        pos_cos, neg_cos = (vec_pos, vec_neg) if kind == "vector" else (ucos - F.col("mrg"),
+                                                                        ucos + F.col("mrg"))
+        is_pos = positive_mask(y, cls, protos.n_known, shared)
+        aggs += [F.sum(F.when(is_pos, F.exp(F.lit(-a) * pos_cos)).otherwise(F.lit(0.0))).alias(f"sp_{v}"),
+                 F.sum(F.when(~is_pos, F.exp(F.lit(a) * neg_cos)).otherwise(F.lit(0.0))).alias(f"sn_{v}"),
+                 F.max(is_pos.cast("int")).alias(f"hp_{v}")]
+    sums = t.groupBy(*keys, "cls").agg(*aggs)
+    stacked = sums.select(*keys, "cls", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.col(f"sp_{v}").alias("s_pos"), F.col(f"sn_{v}").alias("s_neg"),
+                 F.col(f"hp_{v}").alias("has_pos")) for v in variants])).alias("_v")).select(
+        *keys, "cls", "_v.*")
+    return combine(stacked, protos.n_classes, ["variant", *keys])
+
+
 def epoch_loss(batch_losses: DataFrame, by: Sequence[str] | str | None = None) -> DataFrame:
     """Unweighted mean of the per-batch losses (one row per ``by`` group)."""
     return batch_losses.groupBy(*_keys(by)).agg(F.avg("loss").alias("epoch_loss"),

@@ -56,15 +56,18 @@ def attach(df: DataFrame, protos: Prototypes, x_col: str = "x",
 
 # -------------------------------------------------------- per-class terms ----
 
-def class_scores(x_col: str = "x", clamp: bool = True) -> Column:
-    """``ARRAY<STRUCT<cls, cos, xm, r, mrg>>`` over the attached prototypes."""
+def class_scores(x_col: str = "x", clamp: bool = True, with_unclamped: bool = False) -> Column:
+    """``ARRAY<STRUCT<cls, cos, xm, r, mrg[, ucos]>>`` over the attached prototypes."""
     x = F.col(x_col)
 
     def one(p):
         c = dot(x, p["p"]) / (F.col("_xn") * p["pn"])
         xm = clamp_unit(dot(x, p["m"]) / (F.col("_xn") * p["mn"]))
-        return F.struct(p["cls"].alias("cls"), (clamp_unit(c) if clamp else c).alias("cos"),
-                        xm.alias("xm"), p["r"].alias("r"), p["mrg"].alias("mrg"))
+        fields = [p["cls"].alias("cls"), (clamp_unit(c) if clamp else c).alias("cos"),
+                  xm.alias("xm"), p["r"].alias("r"), p["mrg"].alias("mrg")]
+        if with_unclamped:
+            fields.append(c.alias("ucos"))
+        return F.struct(*fields)
 
     return F.transform(F.col("protos"), one)
 
@@ -119,6 +122,16 @@ def _predict(df: DataFrame, protos: Prototypes, x_col: str, out_col: str, kind:
     return df.join(merged, key_col).withColumn(out_col, finish(F.col("_best"))).drop("_best")
 
 
+def reject_both(df: DataFrame, protos: Prototypes, x_col: str = "x",
+                vector_col: str = "pred_vector", scalar_col: str = "pred_scalar") -> DataFrame:
+    """T2 and T3 from one pass over the class scores (one broadcast, one scan)."""
+    n = int(protos.n_known)
+    out = attach(df, protos, x_col).withColumn("_sc", class_scores(x_col))
+    out = (out.withColumn(vector_col, F.coalesce(-_best_accepted(F.col("_sc"), "r")["nc"], F.lit(n)).cast("int"))
+           .withColumn(scalar_col, F.coalesce(-_best_accepted(F.col("_sc"), "mrg")["nc"], F.lit(n)).cast("int")))
+    return _drop_attached(out.drop("_sc"))
+
+
 def reject_vector(df: DataFrame, protos: Prototypes, x_col: str = "x", out_col: str = "pred",
                   key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Boundary rejection with vector margins.
@@ -155,14 +168,15 @@ def cosine_logits(df: DataFrame, protos: Prototypes, x_col: str = "x",
     return _drop_attached(out.withColumn(out_col, F.transform(class_scores(x_col), lambda s: s["cos"])))
 
 
-def class_terms(df: DataFrame, protos: Prototypes, x_col: str = "x", clamp: bool = True) -> DataFrame:
-    """Long form ``(..., cls, cos, xm, r, mrg)``: one row per (sample, class).
+def class_terms(df: DataFrame, protos: Prototypes, x_col: str = "x", clamp: bool = True,
+                with_unclamped: bool = False) -> DataFrame:
+    """Long form ``(..., cls, cos, xm, r, mrg[, ucos])``: one row per (sample, class).
 
     Produced map-side from the broadcast row; used by the loss aggregates and
     the per-class similarity queries (V2, V3, V8).
     """
     out = attach(df, protos, x_col)
-    out = out.withColumn("_s", F.explode(class_scores(x_col, clamp)))
+    out = out.withColumn("_s", F.explode(class_scores(x_col, clamp, with_unclamped)))
     return _drop_attached(out).select("*", "_s.*").drop("_s")
 
 

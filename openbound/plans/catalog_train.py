@@ -82,14 +82,11 @@ def q_l6_valid_classes(spark, sf):
 
 
 def q_l9_epoch_loss(spark, sf):
+    """Per-batch losses of all four variants in one pass, then the epoch mean."""
     protos, b = _batched(spark, sf)
-    out = None
-    for v in LS.VARIANTS:
-        per_batch = LS.proxy_loss(b, protos, v, ALPHA, by="batch")
-        e = LS.epoch_loss(per_batch).select(F.lit(v).alias("variant"), _r(F.col("epoch_loss"), "epoch_loss"),
-                                            "n_batches")
-        out = e if out is None else out.unionByName(e)
-    return out
+    per_batch = LS.multi_variant_loss(b, protos, alpha=ALPHA, by="batch")
+    e = LS.epoch_loss(per_batch, by="variant")
+    return e.select("variant", _r(F.col("epoch_loss"), "epoch_loss"), "n_batches")
 
 
 # --------------------------------------------------------------- sampling ---

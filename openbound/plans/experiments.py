@@ -28,20 +28,30 @@ def run_grid(spark: SparkSession, sf: str, ratios: Sequence[float] = RATIOS,
              split: str = "test") -> DataFrame:
     """Long result ``(dataset, ratio, variant, metric, value)``, metric in macro_f1 / loss."""
     out = None
+    by_kind = {}
+    for v in variants:
+        by_kind.setdefault(LS.VARIANTS[v][0], []).append(v)
     for ratio in ratios:
         os_ = prepare(views.embedding_splits(spark, sf), ratio)
         protos = centroid_fixture(os_, with_margin_vectors=True)
         rows = os_.split(split).select("row_id", "y", "x")
-        for v in variants:
-            kind, _ = LS.VARIANTS[v]
-            pred = (S.reject_vector if kind == "vector" else S.reject_scalar)(rows, protos)
-            f1 = M.macro_f1(pred).select(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value"))
-            loss = LS.proxy_loss(rows, protos, v, alpha).select(F.lit("loss").alias("metric"),
-                                                                F.col("loss").alias("value"))
-            cell = f1.unionByName(loss).select(
-                F.lit("embeddings").alias("dataset"), F.lit(float(ratio)).alias("ratio"),
-                F.lit(v).alias("variant"), "metric", F.round("value", 6).alias("value"))
-            out = cell if out is None else out.unionByName(cell)
+        # both predictors from one pass, stacked by margin kind
+        both = S.reject_both(rows, protos)
+        stacked = both.select("y", F.explode(F.array(
+            F.struct(F.lit("vector").alias("kind"), F.col("pred_vector").alias("pred")),
+            F.struct(F.lit("scalar").alias("kind"), F.col("pred_scalar").alias("pred")))).alias("_k")
+        ).select("y", "_k.*")
+        f1 = M.macro_f1(stacked, by="kind")
+        kind_variants = F.create_map(*[x for k, vs in by_kind.items()
+                                       for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))])
+        f1 = f1.select(F.explode(kind_variants[F.col("kind")]).alias("variant"),
+                       F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value"))
+        loss = LS.multi_variant_loss(rows, protos, tuple(variants), alpha).select(
+            "variant", F.lit("loss").alias("metric"), F.col("loss").alias("value"))
+        cell = f1.unionByName(loss).select(
+            F.lit("embeddings").alias("dataset"), F.lit(float(ratio)).alias("ratio"),
+            "variant", "metric", F.round("value", 6).alias("value"))
+        out = cell if out is None else out.unionByName(cell)
     return out
 
 

@@ -67,6 +67,18 @@ SELECT row_id, target, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM
   SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, y AS target, unnest(x) AS v,
          generate_subscripts(x, 1) AS i
   FROM d WHERE split = 'test')""",
+    "s1_s3_line_files_round_trip": """
+WITH e AS (
+  SELECT doc_id AS row_id,
+         CASE WHEN (doc_id // 20) % 10 < 7 THEN 'train' WHEN (doc_id // 20) % 10 = 7 THEN 'valid'
+              ELSE 'test' END AS split,
+         source AS label, regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g') AS text
+  FROM documents),
+vocab AS (
+  SELECT CAST(row_number() OVER (ORDER BY min(row_id), label) - 1 AS INTEGER) AS pos, label
+  FROM e GROUP BY label)
+SELECT e.split, row_number() OVER (PARTITION BY e.split ORDER BY e.row_id) - 1 AS row_id, e.label, v.pos, e.text
+FROM e JOIN vocab v ON e.label = v.label""",
     "r5_centroid": emb() + """
 SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 }

@@ -70,6 +70,21 @@ def read_tsv_pair(spark: SparkSession, x_path: str, y_path: str, target: str = "
     return xs.join(ys, "row_id")
 
 
+def write_line_files(df: DataFrame, base: str, splits=("train", "valid", "test"),
+                     label_col: str = "label", text_col: str = "text", order_col: str = "row_id",
+                     vocab: DataFrame | None = None) -> None:
+    """The reference's dataset layout: ``{base}/{split}/label`` and
+    ``{split}/seq.in`` paired by line, plus ``intent_label.txt`` (vocab order)."""
+    for sp in splits:
+        part = cut_lineage(df.filter(F.col("split") == sp).select(order_col, label_col, text_col)
+                           .orderBy(order_col))
+        part.select(F.col(label_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/label")
+        part.select(F.col(text_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/seq.in")
+    if vocab is not None:
+        v = cut_lineage(vocab.select("pos", "label").orderBy("pos"))
+        v.select(F.col("label").alias("value")).write.mode("overwrite").text(f"{base}/intent_label.txt")
+
+
 # ------------------------------------------------------------- bundles ----
 
 def save_bundle(protos: Prototypes, known: DataFrame, config: Mapping[str, object], path: str,
