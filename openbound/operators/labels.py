@@ -46,6 +46,19 @@ def vocab_first_seen(df: DataFrame, label_col: str = "label",
     return firsts.select((F.row_number().over(w) - 1).cast("int").alias("pos"), "label")
 
 
+def pin(df: DataFrame, schema: str, max_rows: int = BROADCAST_MAX_LABELS) -> DataFrame:
+    """Materialise a label-sized frame as a local relation (size checked)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"label table exceeds {max_rows} rows")
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def collect_bounded_vocab(vocab: DataFrame) -> DataFrame:
+    """Pin ``(pos, label)`` on the driver side; one job, bounded by the labels."""
+    return pin(vocab.select("pos", "label"), "pos int, label string")
+
+
 def select_known(vocab: DataFrame, n_known: int, mode: str = "first",
                  seed: int = 0) -> DataFrame:
     """P5 (``mode='first'``) / P6 (``mode='random'``): the known-class list.

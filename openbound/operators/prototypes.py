@@ -144,6 +144,33 @@ def centroid_prototypes(train: DataFrame, n_known: int, x_col: str = "x",
     return Prototypes(proxy)
 
 
+def centroid_and_first_rows(raw_train: DataFrame, n_known: int, x_col: str = "x", y_col: str = "y",
+                            order_col: str = "row_id") -> tuple[Prototypes, np.ndarray]:
+    """R5 ``centroid`` and the first-row vectors from ONE grouped aggregation
+    over the raw training rows (out-of-domain rows only feed the first-row
+    vector of the last class)."""
+    summ = Summarizer.metrics("sum", "count").summary(array_to_vector(F.col(x_col))).alias("s")
+    agg = (raw_train.groupBy(F.col(y_col).alias("cls"))
+           .agg(summ, F.min_by(x_col, order_col).alias("first"))
+           .select("cls", vector_to_array("s.sum").alias("sum"), F.col("s.count").alias("count"), "first"))
+    rows = _collect_bounded(agg, "centroid_and_first_rows")
+    C = n_known + 1
+    dim = len(rows[0]["sum"]) if rows else 0
+    sums, counts, first = np.zeros((C, dim)), np.zeros(C), np.zeros((C, dim))
+    for r in rows:
+        c = r["cls"]
+        if 0 <= c < C:
+            first[c] = r["first"]
+            if c < n_known:
+                sums[c], counts[c] = r["sum"], r["count"]
+    proxy = np.zeros_like(sums)
+    has = counts > 0
+    proxy[has] = sums[has] / counts[has, None]
+    if counts.sum() > 0:
+        proxy[n_known] = sums[:n_known].sum(axis=0) / counts[:n_known].sum()
+    return Prototypes(proxy), first
+
+
 def random_prototypes(n_classes: int, dim: int, seed: int = 0) -> Prototypes:
     """R5 ``random``: Kaiming-normal with fan-out = n_classes, std = sqrt(2/n_classes)."""
     rng = np.random.default_rng(seed)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import labels as L
-from ..operators.prototypes import Prototypes, centroid_prototypes, first_row_vectors
+from ..operators.prototypes import Prototypes, centroid_and_first_rows
 
 
 @dataclass
@@ -34,10 +34,13 @@ class OpenSet:
 
 def prepare(df: DataFrame, ratio: float, mode: str = "first", seed: int = 0,
             order_col: str = "row_id") -> OpenSet:
-    vocab = L.vocab_first_seen(df, "label", order_col)
+    # The vocabulary is bounded by the label cardinality (checked), so it is
+    # computed once and pinned as a local relation: later plans broadcast it
+    # instead of re-aggregating the label column of the data.
+    vocab = L.collect_bounded_vocab(L.vocab_first_seen(df, "label", order_col))
     vocab_size = vocab.count()
     n_known = L.known_count(vocab_size, ratio)
-    known = L.select_known(vocab, n_known, mode, seed)
+    known = L.pin(L.select_known(vocab, n_known, mode, seed), "cls int, label string")
     mapped = L.map_labels(df, known, n_known)
     data = L.drop_train_ood(mapped, n_known)
     return OpenSet(data, mapped, vocab, known, vocab_size, n_known)
@@ -49,10 +52,8 @@ def centroid_fixture(os_: OpenSet, with_margin_vectors: bool = False) -> Prototy
     class's first training row (first unknown-label training row for the
     out-of-domain class).  The midpoint keeps every data row off the
     acceptance boundary, so ``cos > radius`` never hinges on rounding."""
-    train = os_.split("train")
-    protos = centroid_prototypes(train, os_.n_known)
+    raw_train = os_.mapped.filter(os_.mapped["split"] == "train")
+    protos, first = centroid_and_first_rows(raw_train, os_.n_known)
     if with_margin_vectors:
-        raw_train = os_.mapped.filter(os_.mapped["split"] == "train")
-        mv = first_row_vectors(raw_train, os_.n_classes)
-        protos = Prototypes(protos.proxy, protos.margin, 0.5 * (protos.proxy + mv))
+        protos = Prototypes(protos.proxy, protos.margin, 0.5 * (protos.proxy + first))
     return protos
