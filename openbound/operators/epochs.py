@@ -29,6 +29,8 @@ _EMPTY = {"sum": 0.0, "count": 0, "max": None, "min": None}
 
 
 def _buckets(df: DataFrame, order_col: str, n_buckets: int | None):
+    if "_cb" in df.columns:          # already bucketed by an earlier scan: reuse
+        return df
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
@@ -41,7 +43,7 @@ def _buckets(df: DataFrame, order_col: str, n_buckets: int | None):
 
 def segmented_scan(df: DataFrame, part_cols: Sequence[str], order_col: str,
                    aggs: dict[str, tuple[str, str]], inclusive: bool = True,
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None, keep_buckets: bool = False) -> DataFrame:
     """Running aggregates per ``part_cols`` in ``order_col`` order.
 
     ``aggs`` maps output name -> (function, column), function in sum / count
@@ -68,8 +70,8 @@ def segmented_scan(df: DataFrame, part_cols: Sequence[str], order_col: str,
         else:
             merged = F.coalesce(_MERGE[fn](local, pre), local, pre)
         out = out.withColumn(name, merged)
-    drop = [c for c in out.columns if c.startswith(("_l_", "_p_"))] + ["_cb"]
-    return out.drop(*drop)
+    drop = [c for c in out.columns if c.startswith(("_l_", "_p_"))]
+    return out.drop(*drop) if keep_buckets else out.drop(*drop, "_cb")
 
 
 def segmented_lag(df: DataFrame, part_cols: Sequence[str], order_col: str, col: str,
@@ -109,9 +111,10 @@ def running_mean(df: DataFrame, run_cols: Sequence[str], order_col: str, value_c
 
 def improved_flags(df: DataFrame, run_cols: Sequence[str], epoch_col: str = "epoch",
                    score_col: str = "valid_f1", out_col: str = "improved",
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None, keep_buckets: bool = False) -> DataFrame:
     """M8: ``score >= best so far`` with the best starting at 0 (ties improve)."""
-    s = segmented_scan(df, run_cols, epoch_col, {"_best": ("max", score_col)}, False, n_buckets)
+    s = segmented_scan(df, run_cols, epoch_col, {"_best": ("max", score_col)}, False, n_buckets,
+                       keep_buckets)
     best = F.greatest(F.coalesce(F.col("_best"), F.lit(0.0)), F.lit(0.0))
     return s.withColumn(out_col, F.col(score_col) >= best).drop("_best")
 
@@ -120,7 +123,7 @@ def export_gate(df: DataFrame, run_cols: Sequence[str], epoch_col: str = "epoch"
                 score_col: str = "valid_f1", out_col: str = "export",
                 n_buckets: int | None = None) -> DataFrame:
     """M9: epoch e exports iff epoch e-1 improved; the first epoch always does."""
-    imp = improved_flags(df, run_cols, epoch_col, score_col, "_imp", n_buckets)
+    imp = improved_flags(df, run_cols, epoch_col, score_col, "_imp", n_buckets, keep_buckets=True)
     return segmented_lag(imp, run_cols, epoch_col, "_imp", out_col, True, n_buckets).drop("_imp")
 
 

@@ -97,7 +97,9 @@ def q_b1_balanced(spark, sf):
 
 
 def q_b2_batches(spark, sf):
-    _, _, tr = _train(spark, sf)
+    from .catalog import RATIO
+    from .openset import prepare
+    tr = prepare(views.embedding_splits(spark, sf), RATIO).split("train")
     return SM.shuffled_batches(tr.select("row_id"), BATCH, seed=0)
 
 
