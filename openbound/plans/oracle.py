@@ -153,7 +153,7 @@ WITH sizes AS (
   UNION ALL
   SELECT 'documents', CAST(count(DISTINCT source) AS INTEGER) FROM documents)
 SELECT source_table, ratio, vocab_size, CAST(round_even(vocab_size * ratio, 0) AS INTEGER) AS n_known
-FROM sizes, (SELECT unnest([0.25, 0.5, 0.75]) AS ratio)""",
+FROM sizes, (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS ratio)""",
     "p5_known_first": docs() + "SELECT cls, label FROM known",
     "p6_known_random": docs(mode="random") + "SELECT cls, label FROM known",
     "p7_label_map": docs() + "SELECT row_id, split, label, y FROM m",

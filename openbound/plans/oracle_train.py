@@ -130,7 +130,7 @@ cc AS (
   SELECT cls, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
     SELECT y AS cls, n AS support, 0 AS predicted, CASE WHEN y = pred THEN n ELSE 0 END AS tp FROM cells
     UNION ALL SELECT pred AS cls, 0, n, 0 FROM cells) GROUP BY cls)
-SELECT 'embeddings' AS dataset, {r} AS ratio, '{v}' AS variant, 'macro_f1' AS metric,
+SELECT 'embeddings' AS dataset, CAST({r} AS DOUBLE) AS ratio, '{v}' AS variant, 'macro_f1' AS metric,
        round(avg(2.0 * tp / (support + predicted)), 6) AS value FROM cc
 UNION ALL
 SELECT 'embeddings', {r}, '{v}', 'loss', round(loss, 6) FROM ls""")
