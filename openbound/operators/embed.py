@@ -64,3 +64,24 @@ def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[s
             yield pdf
 
     return df.mapInPandas(run, out_schema)
+
+
+def label_text_prototypes(label_texts: DataFrame, vocab: DataFrame, vocab_size: int, dim: int = 64,
+                          max_len: int = 50, seed: int = 0, max_classes: int = 100_000):
+    """R5 ``label_text``: proxy of class c = the embedding of its label text.
+
+    ``label_texts(cls, text)`` holds one row per class of the label space
+    (the out-of-domain class included); encoded with R1 and embedded with the
+    hashed encoder, then brought back as a bounded prototype set.
+    """
+    from .encode import encode, tokenize
+    from .prototypes import Prototypes
+
+    tk = tokenize(label_texts.select(F.col("cls").alias("row_id"), "text"), "text")
+    enc = encode(tk, vocab, vocab_size, key_col="row_id", max_len=max_len)
+    rows = (enc.select("row_id", hashed_embedding("input_ids", dim, seed).alias("x"))
+            .limit(max_classes + 1).collect())
+    if len(rows) > max_classes:
+        raise ValueError("too many classes for a prototype set")
+    rows = sorted(rows, key=lambda r: r["row_id"])
+    return Prototypes(np.array([r["x"] for r in rows], dtype=float))

@@ -133,4 +133,22 @@ def q_s1_s3_line_files_round_trip(spark, sf):
     return back.join(F.broadcast(vocab), "label").select("split", "row_id", "label", "pos", "text")
 
 
+def q_r5_label_text(spark, sf):
+    """Label-text prototype init on the document setting: class c's text is
+    the ``benchmark`` passage with item_id = c (stand-in label descriptions),
+    the out-of-domain class's text is its name; R1 vocabulary from documents."""
+    from ..operators import labels as L
+    from .catalog import RATIO
+    from .openset import prepare
+    os_ = prepare(views.document_splits(spark, sf), RATIO)
+    bench = views.table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("cls"), "text")
+    texts = (os_.known.join(bench, "cls").select("cls", "text")
+             .unionByName(spark.createDataFrame([(os_.n_known, L.OOS_LABEL)], "cls int, text string")))
+    vocab = EN.build_vocab(_doc_tokens(spark, sf), VOCAB)
+    protos = EM.label_text_prototypes(texts, vocab, VOCAB, DIM, MAX_LEN)
+    pf = protos.to_frame(spark)
+    return pf.select("cls", F.posexplode("proxy").alias("dim", "v")).select(
+        "cls", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

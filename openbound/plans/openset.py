@@ -37,7 +37,7 @@ def prepare(df: DataFrame, ratio: float, mode: str = "first", seed: int = 0,
     # The vocabulary is bounded by the label cardinality (checked), so it is
     # computed once and pinned as a local relation: later plans broadcast it
     # instead of re-aggregating the label column of the data.
-    vocab = L.collect_bounded_vocab(L.vocab_first_seen(df, "label", order_col))
+    vocab = L.first_seen_vocab_pinned(df, "label", order_col)
     vocab_size = vocab.count()
     n_known = L.known_count(vocab_size, ratio)
     known = L.pin(L.select_known(vocab, n_known, mode, seed), "cls int, label string")

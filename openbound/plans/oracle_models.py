@@ -41,7 +41,26 @@ qd AS (
   SELECT q.row_id, ix.kind, ix.iid, ix.label, list_dot_product(q.x, ix.v) AS dot
   FROM d q CROSS JOIN ix WHERE q.split IN ('valid', 'test'))"""
 
+LABEL_TEXT = with_(TOK, """dv AS (
+  SELECT CAST(row_number() OVER (ORDER BY min(doc_id), source) - 1 AS INTEGER) AS pos, source AS label
+  FROM documents GROUP BY source)""", """nk AS (SELECT CAST(round_even(count(*) * 0.5, 0) AS INTEGER) AS n FROM dv)""",
+  """lt AS (
+  SELECT b.item_id AS cls, b.text FROM dv JOIN benchmark b ON b.item_id = dv.pos WHERE dv.pos < (SELECT n FROM nk)
+  UNION ALL SELECT (SELECT n FROM nk), 'oos')""", f"""ltk AS (
+  SELECT cls,
+         list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g')), ' '),
+                     lambda t: t <> '') AS tokens
+  FROM lt)""", f"""lenc AS (
+  SELECT t.cls, p.pos,
+         CASE WHEN p.pos < len(t.tokens) THEN coalesce(v.token_id, 1) ELSE 0 END AS token_id
+  FROM ltk t CROSS JOIN (SELECT unnest(range(0, {MAX_LEN})) AS pos) p
+  LEFT JOIN vocab v ON v.token = t.tokens[p.pos + 1])""") + f"""
+SELECT CAST(cls AS INTEGER) AS cls, CAST(j AS INTEGER) AS dim,
+       round(avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)), 6) AS value
+FROM lenc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY cls, j"""
+
 ORACLES = {
+    "r5_label_text": LABEL_TEXT,
     "t6_class_average": emb(IX) + """
 SELECT row_id, CAST(label AS INTEGER) AS pred FROM (
   SELECT row_id, label, row_number() OVER (PARTITION BY row_id ORDER BY a DESC NULLS LAST, label) AS rk
