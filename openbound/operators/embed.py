@@ -54,7 +54,8 @@ def mean_pool(vectors_col: str, mask_col: str | None = None) -> Column:
 def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]],
                dim: int, out_col: str = "x") -> DataFrame:
     """R2 hook: run a user encoder over Arrow batches (one model load per worker)."""
-    out_schema = df.schema.add(out_col, "array<double>")
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    out_schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
 
     def run(batches):
         encode = load()

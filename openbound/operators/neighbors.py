@@ -24,6 +24,10 @@ T5 -- k-NN vote
     candidates (K per query per index block) are merged per query.  Block
     counts are chosen from the row counts so that every group holds at most
     ``block_rows`` queries and ``block_rows`` index rows.
+
+    When the index fits under ``broadcast_limit`` bytes (checked from its row
+    count and width before anything is collected), it is broadcast once and
+    the queries stream through ``mapInPandas`` -- no replication, no shuffle.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ from . import score as S
 from .prototypes import Prototypes, class_vector_sums
 
 BLOCK_ROWS = 20_000
+INDEX_BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
 def class_average_vectors(train: DataFrame, protos: Prototypes, x_col: str = "x",
@@ -78,6 +83,44 @@ def index_frame(train: DataFrame, protos: Prototypes, x_col: str = "x", y_col: s
     return rows.unionByName(prox)
 
 
+def _topk_rows(qid, qm, im, kind, iid, labels, k):
+    dots = qm @ im.T                                   # (nq, ni) block, never emitted
+    kk = min(k, im.shape[0])
+    out = []
+    for r in range(qm.shape[0]):
+        d = dots[r]
+        if kk < len(d):
+            cut = np.partition(d, len(d) - kk)[len(d) - kk]
+            cand = np.nonzero(d >= cut)[0]
+        else:
+            cand = np.arange(len(d))
+        # order: dot desc, then kind asc (rows before proxies), then id asc
+        sel = cand[np.lexsort((iid[cand], kind[cand], -d[cand]))[:kk]]
+        out.append(pd.DataFrame({"qid": qid[r], "score": d[sel], "kind": kind[sel], "iid": iid[sel],
+                                 "label": labels[sel]}))
+    return out
+
+
+def _majority(labels: np.ndarray) -> int:
+    vals, counts = np.unique(labels, return_counts=True)   # vals ascending
+    return int(vals[np.argmax(counts)])                    # first max = smallest class on ties
+
+
+def _broadcast_vote(bc, k: int):
+    """Whole index on every executor: top-K and the vote per query, map-only."""
+    def fn(batches):
+        kind, iid, labels, im = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            qm = np.stack(pdf["x"].to_numpy())
+            parts = _topk_rows(pdf["qid"].to_numpy(), qm, im, kind, iid, labels, k)
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy().astype("int64"),
+                                "pred": np.array([_majority(p["label"].to_numpy()) for p in parts],
+                                                 dtype="int32")})
+    return fn
+
+
 def _topk_pair(k: int):
     def fn(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
         if q.empty or ix.empty:
@@ -86,45 +129,44 @@ def _topk_pair(k: int):
                                  "label": pd.Series([], dtype="int32")})
         qm = np.stack(q["x"].to_numpy())
         im = np.stack(ix["v"].to_numpy())
-        dots = qm @ im.T                                   # (nq, ni) block, never emitted
-        kind = ix["kind"].to_numpy()
-        iid = ix["iid"].to_numpy()
-        # order: dot desc, then kind asc, then iid asc -> lexsort keys (last = primary)
-        kk = min(k, im.shape[0])
-        out = []
-        for r in range(qm.shape[0]):
-            d = dots[r]
-            if kk < len(d):
-                cut = np.partition(d, len(d) - kk)[len(d) - kk]
-                cand = np.nonzero(d >= cut)[0]
-            else:
-                cand = np.arange(len(d))
-            order = np.lexsort((iid[cand], kind[cand], -d[cand]))[:kk]
-            sel = cand[order]
-            out.append(pd.DataFrame({"qid": q["qid"].iloc[r], "score": d[sel], "kind": kind[sel],
-                                     "iid": iid[sel], "label": ix["label"].to_numpy()[sel]}))
+        out = _topk_rows(q["qid"].to_numpy(), qm, im, ix["kind"].to_numpy(), ix["iid"].to_numpy(),
+                         ix["label"].to_numpy(), k)
         res = pd.concat(out, ignore_index=True)
         return res.astype({"qid": "int64", "score": "float64", "kind": "int32", "iid": "int64",
                            "label": "int32"})
     return fn
 
 
+_CAND = "qid long, score double, kind int, iid long, label int"
+
+
 def knn_vote(queries: DataFrame, train: DataFrame, protos: Prototypes, k: int = 5,
              x_col: str = "x", y_col: str = "y", id_col: str = "row_id", out_col: str = "pred",
-             block_rows: int = BLOCK_ROWS) -> DataFrame:
+             block_rows: int = BLOCK_ROWS, broadcast_limit: int = INDEX_BROADCAST_LIMIT) -> DataFrame:
     """T5 prediction per query row ``(id_col, out_col)``."""
     index = index_frame(train, protos, x_col, y_col, id_col)
     q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(x_col).alias("x"))
-    nq, ni = q.count(), index.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    ib = max(1, math.ceil(ni / block_rows))
-    # replicate each query to every index block and each index row to every query block
-    qrep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
-            .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
-    irep = (index.withColumn("ib", F.pmod(F.xxhash64("kind", "iid"), F.lit(ib)))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    cand = (qrep.groupBy("qb", "ib").cogroup(irep.groupBy("qb", "ib"))
-            .applyInPandas(_topk_pair(k), "qid long, score double, kind int, iid long, label int"))
+    ni = index.count()
+    if ni * (protos.dim * 8 + 24) <= broadcast_limit:
+        rows = index.limit(ni + 1).collect()                 # bounded by the check above
+        kind = np.array([r["kind"] for r in rows], dtype=np.int32)
+        iid = np.array([r["iid"] for r in rows], dtype=np.int64)
+        labels = np.array([r["label"] for r in rows], dtype=np.int32)
+        im = np.array([r["v"] for r in rows], dtype=float)
+        bc = q.sparkSession.sparkContext.broadcast((kind, iid, labels, im))
+        votes = q.mapInPandas(_broadcast_vote(bc, k), "qid long, pred int")
+        return votes.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
+    else:
+        nq = q.count()
+        qb = max(1, math.ceil(nq / block_rows))
+        ib = max(1, math.ceil(ni / block_rows))
+        # replicate each query to every index block and each index row to every query block
+        qrep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+                .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
+        irep = (index.withColumn("ib", F.pmod(F.xxhash64("kind", "iid"), F.lit(ib)))
+                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+        cand = (qrep.groupBy("qb", "ib").cogroup(irep.groupBy("qb", "ib"))
+                .applyInPandas(_topk_pair(k), _CAND))
     # merge: K per query per index block -> global top K -> majority, smallest class on ties
     top = cand.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("ns"), "kind", "iid", "label"))), 1, k).alias("top"))
