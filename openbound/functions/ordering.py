@@ -31,3 +31,9 @@ def mix_sql(id_expr: str, seed: int) -> str:
     """SQL twin of :func:`mix_key` (DuckDB / ANSI)."""
     return (f"((({id_expr}) % {MIX_MOD}) * {MIX_A} + ((({id_expr}) // {MIX_MOD}) % {MIX_MOD}) * {MIX_B}"
             f" + {int(seed) % MIX_MOD}) % {MIX_MOD}")
+
+
+def mix_value(i: int, seed: int) -> int:
+    """Driver-side twin of :func:`mix_key` for small label-level tables."""
+    i = int(i)
+    return ((i % MIX_MOD) * MIX_A + ((i // MIX_MOD) % MIX_MOD) * MIX_B + int(seed) % MIX_MOD) % MIX_MOD

@@ -37,10 +37,13 @@ def prepare(df: DataFrame, ratio: float, mode: str = "first", seed: int = 0,
     # The vocabulary is bounded by the label cardinality (checked), so it is
     # computed once and pinned as a local relation: later plans broadcast it
     # instead of re-aggregating the label column of the data.
-    vocab = L.first_seen_vocab_pinned(df, "label", order_col)
-    vocab_size = vocab.count()
+    labels = L.first_seen_labels(df, "label", order_col)
+    spark = df.sparkSession
+    vocab = spark.createDataFrame(list(enumerate(labels)), "pos int, label string")
+    vocab_size = len(labels)
     n_known = L.known_count(vocab_size, ratio)
-    known = L.pin(L.select_known(vocab, n_known, mode, seed), "cls int, label string")
+    known = spark.createDataFrame(list(enumerate(L.known_list(labels, n_known, mode, seed))),
+                                  "cls int, label string")
     mapped = L.map_labels(df, known, n_known)
     data = L.drop_train_ood(mapped, n_known)
     return OpenSet(data, mapped, vocab, known, vocab_size, n_known)
