@@ -87,3 +87,12 @@ def test_split_tsv(spark):
     p = _write(d, "x_test.tsv", "hi there\tgreet\nbye\tleave\n")
     rows = SL.read_split_tsv(spark, p, "test").orderBy("row_id").collect()
     assert [(r["label"], r["text"]) for r in rows] == [("greet", "hi there"), ("leave", "bye")]
+
+
+def test_strip_lines_and_split_labels(spark, data_dir):
+    df, n = SL.read_lines(spark, os.path.join(data_dir, "train", "seq.in"), strip=True)
+    assert n == 4 and [r["value"] for r in df.orderBy("row_id").collect()][3] == "안녕 x"
+    labs = SL.read_split_labels(spark, data_dir, ("train", "valid"))
+    got = sorted((r["split"], r["row_id"], r["label"]) for r in labs.collect())
+    assert got == [("train", 0, "a"), ("train", 1, "b"), ("train", 2, "oos"), ("train", 3, "c"),
+                   ("valid", 0, "a"), ("valid", 1, "zz")]
