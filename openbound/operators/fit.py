@@ -199,35 +199,60 @@ class FitResult:
 
 
 def unit_training_table(train: DataFrame, x_col: str = "x", y_col: str = "y",
-                        checkpoint: bool = True) -> DataFrame:
-    t = train.select(F.col(y_col).cast("int").alias("y"), l2_normalize(x_col).alias("xh"))
+                        checkpoint: bool = True, id_col: str | None = None) -> DataFrame:
+    cols = [F.col(id_col).alias("row_id")] if id_col else []
+    t = train.select(*cols, F.col(y_col).cast("int").alias("y"), l2_normalize(x_col).alias("xh"))
     return cut_lineage(t) if checkpoint else t
 
 
+def epoch_batches(unit: DataFrame, batch_size: int, epoch: int, path: str) -> tuple[DataFrame, int]:
+    """B2 for one epoch, written once partitioned by batch (shared checkpoint
+    folder): a step then reads only its own batch (partition pruning), so an
+    epoch costs one pass over the table however many batches it has."""
+    from .sampling import shuffled_batches
+    b = shuffled_batches(unit, batch_size, seed=epoch)
+    b.write.mode("overwrite").partitionBy("batch").parquet(path)
+    n = unit.count()
+    return unit.sparkSession.read.parquet(path), -(-n // batch_size)
+
+
+class Optimiser:
+    """The reference's optimiser state: AdamW groups, joint clipping, schedule."""
+
+    def __init__(self, variant: str, total_steps: int, lr: float = LR, clip: float = CLIP):
+        self.kind, _ = VARIANTS[variant]
+        self.opt = AdamW(lr)
+        self.proxy_lr = lr * PROXY_LR_SCALE
+        self.margin_lr = lr * (PROXY_LR_SCALE if variant == "org" else MARGIN_LR_SCALE)
+        self.total, self.clip, self.step_no = total_steps, clip, 0
+
+    def apply(self, p: Prototypes, d_p: np.ndarray, d_m) -> Prototypes:
+        norm = np.sqrt((d_p ** 2).sum() + (np.asarray(d_m) ** 2).sum())
+        if norm > self.clip:
+            d_p, d_m = d_p * (self.clip / (norm + 1e-6)), d_m * (self.clip / (norm + 1e-6))
+        self.opt.t += 1
+        f = schedule(self.step_no, self.total)
+        self.step_no += 1
+        p.proxy = self.opt.step("proxy", p.proxy, d_p, self.proxy_lr * f)
+        if self.kind == "vector":
+            p.margin_vec = self.opt.step("margin", p.margin_vec, d_m, self.margin_lr * f)
+        else:
+            p.margin = self.opt.step("margin", p.margin, np.asarray(d_m), self.margin_lr * f)
+        return p
+
+
 def fit_prototypes(train: DataFrame, protos: Prototypes, variant: str = "new", alpha: float = 64.0,
                    steps: int = 20, lr: float = LR, clip: float = CLIP,
                    x_col: str = "x", y_col: str = "y", checkpoint: bool = True) -> FitResult:
     """Full-batch fit: ``steps`` optimisation steps, one Spark job each."""
-    kind, _ = VARIANTS[variant]
     unit = unit_training_table(train, x_col, y_col, checkpoint)
     p = protos.copy()
-    opt = AdamW(lr)
-    proxy_lr = lr * PROXY_LR_SCALE
-    margin_lr = lr * (PROXY_LR_SCALE if variant == "org" else MARGIN_LR_SCALE)
+    opt = Optimiser(variant, steps, lr, clip)
     res = FitResult(p)
     for step in range(steps):
         sums = aggregate_sums(unit, p, variant, alpha)
         loss, d_p, d_m = loss_and_grad(sums, p, variant, alpha)
         res.history.append((step, float(loss)))
-        norm = np.sqrt((d_p ** 2).sum() + (np.asarray(d_m) ** 2).sum())
-        if norm > clip:
-            d_p, d_m = d_p * (clip / (norm + 1e-6)), d_m * (clip / (norm + 1e-6))
-        opt.t += 1
-        f = schedule(step, steps)
-        p.proxy = opt.step("proxy", p.proxy, d_p, proxy_lr * f)
-        if kind == "vector":
-            p.margin_vec = opt.step("margin", p.margin_vec, d_m, margin_lr * f)
-        else:
-            p.margin = opt.step("margin", p.margin, np.asarray(d_m), margin_lr * f)
+        p = opt.apply(p, d_p, d_m)
     res.protos = p
     return res

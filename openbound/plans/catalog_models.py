@@ -151,4 +151,14 @@ def q_r5_label_text(spark, sf):
         "cls", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
 
+def q_r3_train_run(spark, sf):
+    """The reference's training run in small: 2 epochs of mini-batch steps
+    (batch 64, alpha 4) on the training split, valid/test evaluation per
+    epoch; returns the metrics log (run_id, epoch, split, name, value)."""
+    from .training import train_and_evaluate
+    os_, protos = emb_setup(spark, sf, margin_vectors=True)
+    res = train_and_evaluate(os_, protos, "new", alpha=4.0, epochs=2, batch_size=64, lr=1e-3, run_id="r3")
+    return res.metrics
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

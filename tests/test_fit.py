@@ -1,6 +1,7 @@
 """R3 fit: exact gradients (central differences), Spark sums = numpy sums, loss falls."""
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from openbound.operators import fit as FT
@@ -72,3 +73,26 @@ def test_fit_reduces_loss(spark):
     # same schedule on a different partitioning: same trajectory
     res2 = FT.fit_prototypes(train.repartition(5), protos, "new", alpha=ALPHA, steps=6, lr=1e-3)
     assert np.allclose([l for _, l in res2.history], losses, rtol=1e-9)
+
+
+def test_train_and_evaluate_run(spark):
+    import tempfile
+
+    from openbound.operators import epochs as EP
+    from openbound.plans.training import train_and_evaluate
+    from openbound.sources import exports as EX
+    os_, protos = catalog.emb_setup(spark, SF01, margin_vectors=True)
+    d = tempfile.mkdtemp(prefix="ob-run-")
+    res = train_and_evaluate(os_, protos, "new", alpha=ALPHA, epochs=2, batch_size=64, lr=1e-3,
+                             run_id="r1", metrics_path=f"{d}/metrics", bundle_path=f"{d}/bundle",
+                             dataset="emb", ratio=0.5)
+    m = spark.read.parquet(f"{d}/metrics")
+    assert m.count() == 2 * (1 + 2 * 5)
+    assert len({(e, b) for e, b, _ in res.step_losses}) == 2 * 3        # 175 train rows / 64 -> 3 batches
+    # the driver's best-epoch rule agrees with the Spark M7 operator over the log
+    valid = (m.filter("split = 'valid' AND name = 'macro_f1'")
+             .select("run_id", "epoch", F.col("value").alias("valid_f1")))
+    best = EP.best_epoch(valid, ["run_id"]).collect()[0]
+    assert best["best_epoch"] == res.best_epoch
+    p, _, cfg = EX.load_bundle(spark, f"{d}/bundle", "emb", 0.5, "r1")
+    assert np.allclose(p.proxy, res.best_protos.proxy) and cfg["best_epoch"] == res.best_epoch
