@@ -6,7 +6,9 @@ put a whole run in one task; a run holding a third of all rows would stall
 the job.  ``segmented_scan`` is the exact two-level prefix scan instead:
 
 1. global cells = (run, order bucket), buckets cut at approximate quantiles
-   of the order column, so every cell holds about N / n_buckets rows or fewer;
+   of the order column (bucket count from the row count, see
+   ``indexing.quantile_buckets``), so every cell holds about N / n_buckets
+   rows or fewer;
 2. in-cell running aggregates with a window over the cell;
 3. per-cell totals (partial aggregation, <= runs x n_buckets rows), prefixed
    across the cells of a run with a window over at most n_buckets rows;
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indexing import _bucket_expr
+from .indexing import quantile_buckets
 
 _MERGE = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b,
           "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
@@ -31,14 +33,7 @@ _EMPTY = {"sum": 0.0, "count": 0, "max": None, "min": None}
 def _buckets(df: DataFrame, order_col: str, n_buckets: int | None):
     if "_cb" in df.columns:          # already bucketed by an earlier scan: reuse
         return df
-    spark = df.sparkSession
-    if n_buckets is None:
-        n_buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    bounds: list[float] = []
-    if n_buckets > 1:
-        q = df.approxQuantile(order_col, [i / n_buckets for i in range(1, n_buckets)], 0.001)
-        bounds = sorted({b for b in q if b is not None})
-    return df.withColumn("_cb", _bucket_expr(F.col(order_col).cast("double"), bounds))
+    return quantile_buckets(df, F.col(order_col), "_cb", n_buckets)
 
 
 def segmented_scan(df: DataFrame, part_cols: Sequence[str], order_col: str,

@@ -15,6 +15,12 @@ The result equals ``row_number() over (order by order_cols) - 1`` exactly.
 Buckets are balanced by the quantiles, so no task holds more than about
 N / n_buckets rows unless a single value of the first order column repeats
 that often (order keys here are unique ids or hashes of them).
+
+The bucket count follows the data, not the shuffle setting: about
+``TARGET_BUCKET_ROWS`` rows per bucket (at least ``MIN_BUCKETS``), with a
+quantile sketch whose rank error is finer than one bucket.  Up to 64 buckets
+the assignment is a codegen'd comparison tree; beyond that it is Spark ML's
+``Bucketizer`` (a JVM binary search over the bounds).
 """
 
 from __future__ import annotations
@@ -25,6 +31,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+TARGET_BUCKET_ROWS = 2_000_000
+MIN_BUCKETS = 8
+TREE_MAX_BOUNDS = 64
+
+
+def bucket_count(n_rows: int, n_buckets: int | None = None) -> int:
+    if n_buckets is not None:
+        return max(1, int(n_buckets))
+    return max(MIN_BUCKETS, -(-int(n_rows) // TARGET_BUCKET_ROWS))
+
+
+def quantile_buckets(df: DataFrame, key: Column, out_col: str, n_buckets: int | None = None) -> DataFrame:
+    """Add ``out_col`` = number of quantile bounds <= key (0 .. n_buckets-1)."""
+    tmp = df.withColumn("_qk", key.cast("double"))
+    b = bucket_count(tmp.count() if n_buckets is None else 0, n_buckets)
+    bounds: list[float] = []
+    if b > 1:
+        rel = min(0.001, 0.25 / b)
+        q = tmp.approxQuantile("_qk", [i / b for i in range(1, b)], rel)
+        bounds = sorted({v for v in q if v is not None})
+    if len(bounds) <= TREE_MAX_BOUNDS:
+        return tmp.withColumn(out_col, _bucket_expr(F.col("_qk"), bounds)).drop("_qk")
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf"), *bounds, float("inf")]
+    bz = Bucketizer(splits=splits, inputCol="_qk", outputCol="_qb", handleInvalid="keep")
+    out = bz.transform(tmp.withColumn("_qk", F.coalesce(F.col("_qk"), F.lit(float("-inf")))))
+    return out.withColumn(out_col, F.col("_qb").cast("int")).drop("_qk", "_qb")
+
+
 def _bucket_expr(k: Column, bounds: list[float]) -> Column:
     """Number of bounds <= k, as a balanced tree of comparisons (log depth)."""
     def build(lo: int, hi: int) -> Column:
@@ -37,25 +72,18 @@ def _bucket_expr(k: Column, bounds: list[float]) -> Column:
 
 
 def dense_index(df: DataFrame, order_cols: Sequence[Column | str], out_col: str = "pos",
-                n_buckets: int | None = None, rel_error: float = 0.001) -> DataFrame:
+                n_buckets: int | None = None) -> DataFrame:
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    spark = df.sparkSession
-    if n_buckets is None:
-        n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    tmp = df.withColumn("_dk", cols[0].cast("double"))
-    bounds: list[float] = []
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        q = tmp.approxQuantile("_dk", probs, rel_error)
-        bounds = sorted({b for b in q if b is not None})
-    tmp = tmp.withColumn("_db", _bucket_expr(F.col("_dk"), bounds))
+    tmp = quantile_buckets(df, cols[0], "_db", n_buckets)
     counts = {r["_db"]: r["n"] for r in
-              tmp.groupBy("_db").agg(F.count(F.lit(1)).alias("n")).collect()}
+              tmp.groupBy("_db").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per bucket
     offsets, acc = [], 0
-    for b in range(len(bounds) + 1):
+    for b in range(max(counts, default=0) + 1):
         offsets.append(acc)
         acc += counts.get(b, 0)
-    off = F.element_at(F.array(*[F.lit(int(o)) for o in offsets]), F.col("_db") + 1)
+    spark = df.sparkSession
+    off = spark.createDataFrame(list(enumerate(offsets)), "_db int, _off long")
     w = Window.partitionBy("_db").orderBy(*cols)
-    return (tmp.withColumn(out_col, (off + F.row_number().over(w) - 1).cast("long"))
-            .drop("_dk", "_db"))
+    return (tmp.join(F.broadcast(off), "_db")
+            .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+            .drop("_db", "_off"))

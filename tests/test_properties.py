@@ -73,3 +73,12 @@ def test_batches_cover_every_row_once(spark):
     b = SM.shuffled_batches(df, 150, seed=3)
     sizes = sorted(r["count"] for r in b.groupBy("batch").count().collect())
     assert sum(sizes) == 1000 and sizes == [100] + [150] * 6
+
+
+def test_dense_index_bucketizer_path(spark):
+    # more than 64 bounds -> JVM Bucketizer instead of the comparison tree
+    df = spark.range(3000).withColumnRenamed("id", "row_id").withColumn("k", mix_key("row_id", 11))
+    got = dense_index(df, ["k", "row_id"], "pos", n_buckets=150)
+    ref = df.withColumn("pos", F.row_number().over(Window.orderBy("k", "row_id")) - 1)
+    assert sorted((r["row_id"], r["pos"]) for r in got.collect()) == \
+        sorted((r["row_id"], r["pos"]) for r in ref.collect())
