@@ -12,32 +12,42 @@ from pyspark.sql import functions as F
 from ..functions.ordering import mix_key
 from .indexing import dense_index
 
-SALT_BUCKETS = 64
+MIN_SALTS = 8
+TARGET_CELL_ROWS = 2_000_000
+MAX_CLASSES = 1_000_000
 
 
 def balanced_sample(df: DataFrame, class_col: str, k: int, seed: int = 42,
                     id_col: str = "row_id", strict: bool = True,
-                    salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                    salt_buckets: int | None = None) -> DataFrame:
     """B1: exactly ``k`` rows per class, seeded.
 
     The k rows with the smallest seeded key are kept per class.  Top-k is
     decomposable, so it runs in two window passes: first per (class, salt),
-    which splits a hot class over ``salt_buckets`` tasks, then per class over
-    at most ``salt_buckets * k`` survivors.  ``strict`` raises, as the
-    reference does, when a class has fewer than k rows (checked with a
-    partial aggregation; one row per class reaches the driver).
+    which splits a hot class over many tasks, then per class over at most
+    ``salts * k`` survivors.  The per-class counts (one partial aggregation,
+    one row per class to the driver) size the salts -- about
+    ``TARGET_CELL_ROWS`` rows per (class, salt) cell for the largest class --
+    and serve the ``strict`` check: like the reference, a class with fewer
+    than k rows is an error.
     """
+    counts = (df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
+              .limit(MAX_CLASSES + 1).collect())
+    if len(counts) > MAX_CLASSES:
+        raise ValueError("too many classes for a balanced sample")
+    if strict:
+        short = [r for r in counts if r["_n"] < k]
+        if short:
+            raise ValueError(f"class {short[0][class_col]!r} has {short[0]['_n']} rows < {k}")
+    if salt_buckets is None:
+        biggest = max((r["_n"] for r in counts), default=0)
+        salt_buckets = max(MIN_SALTS, -(-biggest // TARGET_CELL_ROWS))
     key = mix_key(id_col, seed)
     keyed = df.withColumn("_bk", key).withColumn("_bs", F.pmod(F.xxhash64(id_col), F.lit(salt_buckets)))
     w1 = Window.partitionBy(class_col, "_bs").orderBy("_bk", id_col)
     stage1 = keyed.withColumn("_br", F.row_number().over(w1)).filter(F.col("_br") <= k)
     w2 = Window.partitionBy(class_col).orderBy("_bk", id_col)
     out = stage1.withColumn("_br", F.row_number().over(w2)).filter(F.col("_br") <= k)
-    if strict:
-        short = (df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
-                 .filter(F.col("_n") < k).limit(1).collect())
-        if short:
-            raise ValueError(f"class {short[0][class_col]!r} has {short[0]['_n']} rows < {k}")
     return out.drop("_bk", "_bs", "_br")
 
 
