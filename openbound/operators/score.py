@@ -22,6 +22,9 @@ from ..functions.vectors import clamp_unit, dot, safe_norm
 from .prototypes import Prototypes
 
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
+# dim x classes above which scoring runs as numpy matrix products over Arrow
+# batches (mapInPandas) instead of interpreted higher-order functions
+ARROW_MIN_WORK = 16_384
 
 _PROTO_SCHEMA = ("protos array<struct<cls:int, p:array<double>, pn:double, m:array<double>, "
                  "mn:double, r:double, mrg:double>>")
@@ -91,9 +94,53 @@ def _drop_attached(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- predictors ----
 
+def decide_numpy(x, protos: Prototypes, kind: str):
+    """T1/T2/T3 for a block of rows with numpy (same formulas as the expressions)."""
+    import numpy as np
+
+    x = np.asarray(x, dtype=float)
+    if kind == "dot":
+        return np.argmax(x @ protos.proxy.T, axis=1).astype("int32")      # first max = lowest id
+    xn = np.sqrt((x * x).sum(axis=1) + 1e-12)
+    pn = np.sqrt((protos.proxy ** 2).sum(axis=1) + 1e-12)
+    cos = np.clip((x @ protos.proxy.T) / (xn[:, None] * pn[None, :]), -1.0, 1.0)
+    thr = protos.radius() if kind == "vector" else protos.margin
+    acc = cos > thr[None, :]
+    best = np.argmax(np.where(acc, cos, -np.inf), axis=1)
+    return np.where(acc.any(axis=1), best, protos.n_known).astype("int32")
+
+
+def predict_arrow(df: DataFrame, protos: Prototypes, kind: str, x_col: str = "x",
+                  out_col: str = "pred") -> DataFrame:
+    """Map-only scoring over Arrow batches: one matrix product per batch.
+
+    The prototype set (size-checked by the caller) travels in the task
+    closure; every other column passes through unchanged.
+    """
+    import numpy as np
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, IntegerType())])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                pdf[out_col] = decide_numpy(np.stack(pdf[x_col].to_numpy()), protos, kind)
+            else:
+                pdf[out_col] = np.zeros(0, dtype="int32")
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
 def _predict(df: DataFrame, protos: Prototypes, x_col: str, out_col: str, kind: str,
-             key_col: str | None, limit: int) -> DataFrame:
+             key_col: str | None, limit: int, engine: str = "auto") -> DataFrame:
     n = protos.n_known
+    if engine == "arrow" or (engine == "auto" and protos.nbytes() <= limit
+                             and protos.dim * protos.n_classes >= ARROW_MIN_WORK):
+        if protos.nbytes() > limit:
+            raise ValueError("prototype set exceeds the broadcast limit for the arrow engine")
+        return predict_arrow(df, protos, kind, x_col, out_col)
 
     def best_of(frame: DataFrame) -> Column:
         if kind == "vector":
@@ -133,7 +180,8 @@ def reject_both(df: DataFrame, protos: Prototypes, x_col: str = "x",
 
 
 def reject_vector(df: DataFrame, protos: Prototypes, x_col: str = "x", out_col: str = "pred",
-                  key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                  key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES,
+                  engine: str = "auto") -> DataFrame:
     """Boundary rejection with vector margins.
 
     Keep classes whose cos is strictly greater than their radius
@@ -141,19 +189,21 @@ def reject_vector(df: DataFrame, protos: Prototypes, x_col: str = "x", out_col:
     ties); if none is kept the row is out-of-domain (id n).  The trailing
     out-of-domain prototype competes like any other class.
     """
-    return _predict(df, protos, x_col, out_col, "vector", key_col, limit)
+    return _predict(df, protos, x_col, out_col, "vector", key_col, limit, engine)
 
 
 def reject_scalar(df: DataFrame, protos: Prototypes, x_col: str = "x", out_col: str = "pred",
-                  key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                  key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES,
+                  engine: str = "auto") -> DataFrame:
     """As T2 with the per-class scalar margin as the threshold."""
-    return _predict(df, protos, x_col, out_col, "scalar", key_col, limit)
+    return _predict(df, protos, x_col, out_col, "scalar", key_col, limit, engine)
 
 
 def nearest_dot(df: DataFrame, protos: Prototypes, x_col: str = "x", out_col: str = "pred",
-                key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                key_col: str | None = None, limit: int = BROADCAST_LIMIT_BYTES,
+                engine: str = "auto") -> DataFrame:
     """Nearest prototype by raw inner product (no normalisation); lowest id on ties."""
-    return _predict(df, protos, x_col, out_col, "dot", key_col, limit)
+    return _predict(df, protos, x_col, out_col, "dot", key_col, limit, engine)
 
 
 def argmax_logits(logits: Column) -> Column:

@@ -95,3 +95,26 @@ def test_check_known_rejects_oos(spark):
 def test_random_prototypes_std():
     p = random_prototypes(150, 768, seed=1)
     assert p.proxy.shape == (150, 768) and abs(p.proxy.std() - np.sqrt(2 / 150)) < 0.002
+
+
+@pytest.mark.parametrize("fn", ["reject_vector", "reject_scalar", "nearest_dot"])
+def test_arrow_engine_equals_expressions(spark, fn):
+    from openbound.operators import score as S
+    os_, protos = catalog.emb_setup(spark, SF01, margin_vectors=True)
+    rows = os_.mapped.select("row_id", "x")
+    a = {r["row_id"]: r["pred"] for r in getattr(S, fn)(rows, protos, engine="expr").collect()}
+    b = {r["row_id"]: r["pred"] for r in getattr(S, fn)(rows, protos, engine="arrow").collect()}
+    assert a == b and len(a) == 500
+
+
+def test_auto_engine_picks_arrow_for_wide_sets(spark):
+    from openbound.operators import score as S
+    rng = np.random.default_rng(3)
+    protos = Prototypes(rng.normal(size=(60, 300)), np.full(60, 0.05), rng.normal(size=(60, 300)))
+    df = spark.createDataFrame([(i, rng.normal(size=300).tolist()) for i in range(200)],
+                               "row_id long, x array<double>")
+    auto = S.reject_scalar(df, protos)
+    assert "MapInPandas" in auto._jdf.queryExecution().executedPlan().toString()
+    a = {r["row_id"]: r["pred"] for r in auto.collect()}
+    b = {r["row_id"]: r["pred"] for r in S.reject_scalar(df, protos, engine="expr").collect()}
+    assert a == b
