@@ -92,21 +92,79 @@ def combine(sums: DataFrame, n_classes: int, by: Sequence[str] | str | None = No
                     (F.col("_ln") / F.lit(float(n_classes))).alias("neg_term"), "n_valid")
 
 
+def class_sums_arrow(df: DataFrame, protos: Prototypes, variants, alpha: float,
+                     by: Sequence[str] | str | None = None, x_col: str = "x",
+                     y_col: str = "y") -> DataFrame:
+    """L5/L6 for wide prototype sets: numpy per partition (one matrix product
+    per batch and group key), ``(variant, by..., cls, s_pos, s_neg, has_pos)``
+    partial rows merged by a partial ``groupBy``."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField, StructType)
+
+    from .fit import partial_sums
+
+    keys = _keys(by)
+    src = df.select(*keys, F.col(y_col).cast("int").alias("_y"), F.col(x_col).alias("_x"))
+    fields = [StructField("variant", StringType())] + [src.schema[k] for k in keys] + [
+        StructField("cls", IntegerType()), StructField("s_pos", DoubleType()),
+        StructField("s_neg", DoubleType()), StructField("has_pos", IntegerType())]
+    C = protos.n_classes
+    variants = list(variants)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for gkey, g in groups:
+                gkey = gkey if isinstance(gkey, tuple) else (gkey,)
+                x = np.stack(g["_x"].to_numpy()).astype(float)
+                xh = x / np.sqrt((x * x).sum(axis=1) + 1e-12)[:, None]
+                y = g["_y"].to_numpy()
+                for v in variants:
+                    ps = partial_sums(xh, y, protos, v, alpha)
+                    out = {"variant": [v] * C}
+                    for i, k in enumerate(keys):
+                        out[k] = [gkey[i]] * C
+                    out["cls"] = np.arange(C, dtype="int32")
+                    out["s_pos"] = ps["pos_in"][0] + ps["pos_out"][0]
+                    out["s_neg"] = ps["neg_in"][0] + ps["neg_out"][0]
+                    out["has_pos"] = (ps["npos"] > 0).astype("int32")
+                    yield pd.DataFrame(out)
+
+    parts = src.mapInPandas(run, StructType(fields))
+    return parts.groupBy("variant", *keys, "cls").agg(
+        F.sum("s_pos").alias("s_pos"), F.sum("s_neg").alias("s_neg"),
+        F.max("has_pos").alias("has_pos"))
+
+
+def _use_arrow(protos: Prototypes, engine: str) -> bool:
+    return engine == "arrow" or (engine == "auto" and protos.dim * protos.n_classes >= S.ARROW_MIN_WORK)
+
+
 def proxy_loss(df: DataFrame, protos: Prototypes, variant: str = "new", alpha: float = 64.0,
-               by: Sequence[str] | str | None = None, x_col: str = "x", y_col: str = "y") -> DataFrame:
+               by: Sequence[str] | str | None = None, x_col: str = "x", y_col: str = "y",
+               engine: str = "auto") -> DataFrame:
     """One entry point for the four variants; ``by`` = batch keys."""
+    if _use_arrow(protos, engine):
+        sums = class_sums_arrow(df, protos, [variant], alpha, by, x_col, y_col).drop("variant")
+        return combine(sums, protos.n_classes, by)
     terms = loss_terms(df, protos, variant, alpha, x_col, y_col)
     return combine(class_sums(terms, by), protos.n_classes, by)
 
 
 def multi_variant_loss(df: DataFrame, protos: Prototypes, variants=tuple(VARIANTS), alpha: float = 64.0,
                        by: Sequence[str] | str | None = None, x_col: str = "x",
-                       y_col: str = "y") -> DataFrame:
+                       y_col: str = "y", engine: str = "auto") -> DataFrame:
     """All requested variants from ONE pass: the per-class terms are computed
     once (clamped and unclamped cosine side by side), every variant's masked
     sums go into the same ``groupBy(by, cls)``, and the result is stacked to
     ``(variant, by..., loss, n_valid)``."""
     keys = _keys(by)
+    if _use_arrow(protos, engine):
+        sums = class_sums_arrow(df, protos, variants, alpha, by, x_col, y_col)
+        return combine(sums, protos.n_classes, ["variant", *keys])
     t = S.class_terms(df, protos, x_col, clamp=True, with_unclamped=True)
     a = float(alpha)
     y, cls, cos, ucos = F.col(y_col), F.col("cls"), F.col("cos"), F.col("ucos")

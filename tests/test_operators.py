@@ -118,3 +118,19 @@ def test_auto_engine_picks_arrow_for_wide_sets(spark):
     a = {r["row_id"]: r["pred"] for r in auto.collect()}
     b = {r["row_id"]: r["pred"] for r in S.reject_scalar(df, protos, engine="expr").collect()}
     assert a == b
+
+
+def test_arrow_loss_equals_expressions(spark):
+    from openbound.operators import loss as LS
+    from openbound.operators import sampling as SM
+    os_, protos = catalog.emb_setup(spark, SF01, margin_vectors=True)
+    tr = SM.shuffled_batches(os_.split("train").select("row_id", "y", "x"), 32, seed=0)
+    a = {(r["variant"], r["batch"]): r["loss"] for r in
+         LS.multi_variant_loss(tr, protos, alpha=4.0, by="batch", engine="expr").collect()}
+    b = {(r["variant"], r["batch"]): r["loss"] for r in
+         LS.multi_variant_loss(tr, protos, alpha=4.0, by="batch", engine="arrow").collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    for v in LS.VARIANTS:
+        x = LS.proxy_loss(tr, protos, v, 4.0, engine="expr").collect()[0]["loss"]
+        y = LS.proxy_loss(tr, protos, v, 4.0, engine="arrow").collect()[0]["loss"]
+        assert abs(x - y) < 1e-9
