@@ -37,6 +37,40 @@ def hashed_embedding(ids_col: str = "input_ids", dim: int = 64, seed: int = 0) -
         ids, F.lit(0.0), lambda acc, t: acc + sign_component(t, j, dim, seed)) / n)
 
 
+ARROW_MIN_DIM = 128
+
+
+def _signs_numpy(ids, dim: int, seed: int):
+    """Numpy twin of :func:`sign_component` for an (n, L) id block -> (n, L, dim)."""
+    from ..functions.ordering import MIX_A, MIX_B, MIX_MOD
+
+    v = ids.astype("int64")[:, :, None] * int(dim) + np.arange(int(dim), dtype="int64")[None, None, :]
+    h = ((v % MIX_MOD) * MIX_A + ((v // MIX_MOD) % MIX_MOD) * MIX_B + int(seed) % MIX_MOD) % MIX_MOD
+    return 1.0 - 2.0 * (h % 2)
+
+
+def embed_hashed(df: DataFrame, ids_col: str = "input_ids", dim: int = 64, seed: int = 0,
+                 out_col: str = "x", engine: str = "auto", chunk_rows: int = 256) -> DataFrame:
+    """R2 on a frame: expressions for narrow vectors, numpy over Arrow batches
+    (chunked, same arithmetic) once ``dim >= ARROW_MIN_DIM``."""
+    if engine == "expr" or (engine == "auto" and dim < ARROW_MIN_DIM):
+        return df.withColumn(out_col, hashed_embedding(ids_col, dim, seed))
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            vecs = []
+            ids_all = pdf[ids_col].to_numpy()
+            for i in range(0, len(pdf), chunk_rows):
+                block = np.stack(ids_all[i:i + chunk_rows])
+                vecs.extend(_signs_numpy(block, dim, seed).mean(axis=1).tolist())
+            pdf[out_col] = vecs
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
 def mean_pool(vectors_col: str, mask_col: str | None = None) -> Column:
     """V9: element-wise mean of token vectors; with ``mask_col`` only mask = 1 rows count."""
     vecs = F.col(vectors_col)

@@ -134,3 +134,12 @@ def test_arrow_loss_equals_expressions(spark):
         x = LS.proxy_loss(tr, protos, v, 4.0, engine="expr").collect()[0]["loss"]
         y = LS.proxy_loss(tr, protos, v, 4.0, engine="arrow").collect()[0]["loss"]
         assert abs(x - y) < 1e-9
+
+
+@pytest.mark.parametrize("dim", [16, 200])
+def test_hashed_embedding_engines_agree(spark, dim):
+    df = spark.createDataFrame([(i, [int(v) for v in np.random.default_rng(i).integers(0, 5000, 50)])
+                                for i in range(40)], "row_id long, input_ids array<int>")
+    a = {r["row_id"]: r["x"] for r in EM.embed_hashed(df, "input_ids", dim, 3, engine="expr").collect()}
+    b = {r["row_id"]: r["x"] for r in EM.embed_hashed(df, "input_ids", dim, 3, engine="arrow").collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
