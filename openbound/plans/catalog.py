@@ -9,7 +9,8 @@ Shared setting (SURVEY 7.2): embeddings split by ``vec_id % 10``; vocabulary
 in first-seen order; ratio 0.5 with the first-n known list (5 of 10 labels,
 class ids 0..4, out-of-domain id 5); prototypes are training centroids with
 scalar margin 0.2 and, for the vector-margin operators, margin vector = the
-class's first training row.
+midpoint of the proxy and the class's first training row.  The setting comes
+from a single aggregation over the table (``prepare_with_prototypes``).
 """
 
 from __future__ import annotations
@@ -24,23 +25,19 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import score as S
 from . import views
-from .openset import OpenSet, centroid_fixture, prepare
+from .openset import OpenSet, prepare, prepare_with_prototypes
 
 RATIO = 0.5
 SEED = 42
 ROUND = 6
 
-_cache: dict = {}
-
-
 def _r(c, name: str):
     return F.round(c, ROUND).alias(name)
 
 
 def emb_setup(spark: SparkSession, sf: str, margin_vectors: bool = False):
-    """(OpenSet, Prototypes) of the shared embedding setting."""
-    os_ = prepare(views.embedding_splits(spark, sf), RATIO)
-    return os_, centroid_fixture(os_, with_margin_vectors=margin_vectors)
+    """(OpenSet, Prototypes) of the shared embedding setting (one aggregation)."""
+    return prepare_with_prototypes(views.embedding_splits(spark, sf), RATIO, margin_vectors=margin_vectors)
 
 
 def _eval_rows(os_: OpenSet) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import loss as LS
 from ..operators import metrics as M
 from ..operators import score as S
 from . import views
-from .openset import centroid_fixture, prepare
+from .openset import prepare_with_prototypes
 
 RATIOS = (0.25, 0.5, 0.75)
 
@@ -32,8 +32,7 @@ def run_grid(spark: SparkSession, sf: str, ratios: Sequence[float] = RATIOS,
     for v in variants:
         by_kind.setdefault(LS.VARIANTS[v][0], []).append(v)
     for ratio in ratios:
-        os_ = prepare(views.embedding_splits(spark, sf), ratio)
-        protos = centroid_fixture(os_, with_margin_vectors=True)
+        os_, protos = prepare_with_prototypes(views.embedding_splits(spark, sf), ratio, margin_vectors=True)
         rows = os_.split(split).select("row_id", "y", "x")
         # both predictors from one pass, stacked by margin kind
         both = S.reject_both(rows, protos)
