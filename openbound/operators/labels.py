@@ -46,19 +46,6 @@ def vocab_first_seen(df: DataFrame, label_col: str = "label",
     return firsts.select((F.row_number().over(w) - 1).cast("int").alias("pos"), "label")
 
 
-def pin(df: DataFrame, schema: str, max_rows: int = BROADCAST_MAX_LABELS) -> DataFrame:
-    """Materialise a label-sized frame as a local relation (size checked)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"label table exceeds {max_rows} rows")
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
-
-
-def collect_bounded_vocab(vocab: DataFrame) -> DataFrame:
-    """Pin ``(pos, label)`` on the driver side; one job, bounded by the labels."""
-    return pin(vocab.select("pos", "label"), "pos int, label string")
-
-
 def first_seen_labels(df: DataFrame, label_col: str = "label", order_col: str = "row_id",
                       max_rows: int = BROADCAST_MAX_LABELS) -> list[str]:
     """S5 on the driver: labels in first-seen order from one partial
@@ -81,20 +68,6 @@ def known_list(labels: list[str], n_known: int, mode: str = "first", seed: int =
     raise ValueError(f"unknown selection mode {mode!r}")
 
 
-def first_seen_vocab_pinned(df: DataFrame, label_col: str = "label", order_col: str = "row_id",
-                            max_rows: int = BROADCAST_MAX_LABELS) -> DataFrame:
-    """S5 pinned: the per-label first ids come back in one job (partial
-    aggregation; one row per label, size checked) and are ordered on the
-    driver -- same result as :func:`vocab_first_seen`, one stage fewer."""
-    firsts = df.groupBy(F.col(label_col).alias("label")).agg(F.min(order_col).alias("_first"))
-    rows = firsts.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"vocabulary exceeds {max_rows} labels")
-    ordered = sorted(rows, key=lambda r: (r["_first"], r["label"]))
-    return df.sparkSession.createDataFrame([(i, r["label"]) for i, r in enumerate(ordered)],
-                                           "pos int, label string")
-
-
 def select_known(vocab: DataFrame, n_known: int, mode: str = "first",
                  seed: int = 0) -> DataFrame:
     """P5 (``mode='first'``) / P6 (``mode='random'``): the known-class list.

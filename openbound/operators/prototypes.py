@@ -175,16 +175,3 @@ def random_prototypes(n_classes: int, dim: int, seed: int = 0) -> Prototypes:
     """R5 ``random``: Kaiming-normal with fan-out = n_classes, std = sqrt(2/n_classes)."""
     rng = np.random.default_rng(seed)
     return Prototypes(rng.normal(0.0, np.sqrt(2.0 / n_classes), size=(n_classes, dim)))
-
-
-def first_row_vectors(df: DataFrame, n_classes: int, x_col: str = "x", y_col: str = "y",
-                      order_col: str = "row_id") -> np.ndarray:
-    """Per-class vector of the lowest-ordered row (``min_by``: partial aggregation)."""
-    agg = df.groupBy(F.col(y_col).alias("cls")).agg(F.min_by(x_col, order_col).alias("v"))
-    rows = _collect_bounded(agg, "first_row_vectors")
-    dim = len(rows[0]["v"]) if rows else 0
-    out = np.zeros((n_classes, dim))
-    for r in rows:
-        if 0 <= r["cls"] < n_classes:
-            out[r["cls"]] = r["v"]
-    return out

@@ -82,3 +82,14 @@ def test_dense_index_bucketizer_path(spark):
     ref = df.withColumn("pos", F.row_number().over(Window.orderBy("k", "row_id")) - 1)
     assert sorted((r["row_id"], r["pos"]) for r in got.collect()) == \
         sorted((r["row_id"], r["pos"]) for r in ref.collect())
+
+
+def test_one_pass_setup_equals_two_pass(spark):
+    from openbound.plans.openset import centroid_fixture, prepare, prepare_with_prototypes
+    df = views.embedding_splits(spark, SF01)
+    for ratio, mode in ((0.5, "first"), (0.25, "random")):
+        a_os = prepare(df, ratio, mode, seed=5)
+        a = centroid_fixture(a_os, with_margin_vectors=True)
+        b_os, b = prepare_with_prototypes(df, ratio, mode, seed=5, margin_vectors=True)
+        assert a_os.known.collect() == b_os.known.collect() and a_os.n_known == b_os.n_known
+        assert np.allclose(a.proxy, b.proxy) and np.allclose(a.margin_vec, b.margin_vec)
