@@ -161,4 +161,21 @@ def q_r3_train_run(spark, sf):
     return res.metrics
 
 
+def q_e2e_text_openset(spark, sf):
+    """The text path end to end on ``documents`` (label = source): R1 vocabulary
+    and encoding, R2 hashed embedding, label space + centroid prototypes (one
+    aggregation), T3 rejection on valid and test, confusion cells per split."""
+    from ..operators import metrics as M
+    from ..operators import score as S
+    from .catalog import RATIO
+    from .openset import prepare_with_prototypes
+    tk = _doc_tokens(spark, sf)
+    enc = EN.encode(tk, EN.build_vocab(tk, VOCAB), VOCAB, max_len=MAX_LEN)
+    emb = EM.embed_hashed(enc, "input_ids", DIM).select("row_id", "x")
+    docs = views.document_splits(spark, sf).select("row_id", "split", "label").join(emb, "row_id")
+    os_, protos = prepare_with_prototypes(docs, RATIO)
+    pred = S.reject_scalar(os_.data.filter(F.col("split").isin("valid", "test")), protos)
+    return M.confusion_counts(pred, by="split")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

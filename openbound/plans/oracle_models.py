@@ -59,7 +59,25 @@ SELECT CAST(cls AS INTEGER) AS cls, CAST(j AS INTEGER) AS dim,
        round(avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)), 6) AS value
 FROM lenc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY cls, j"""
 
+def _e2e_text() -> str:
+    from .oracle import CLASS_COUNTS, PROTO_CTES, SC, SCALAR_PRED, label_ctes  # noqa: F401
+    tok = TOK.replace("vocab AS (", "tvocab AS (").replace("JOIN vocab v", "JOIN tvocab v")
+    return with_(tok, f"""hx AS (
+  SELECT row_id, j, avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)) AS v
+  FROM enc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY row_id, j)""",
+                 """xv AS (SELECT row_id, list(v ORDER BY j) AS x FROM hx GROUP BY row_id)""",
+                 """e AS (
+  SELECT d.doc_id AS row_id,
+         CASE WHEN (d.doc_id // 20) % 10 < 7 THEN 'train' WHEN (d.doc_id // 20) % 10 = 7 THEN 'valid'
+              ELSE 'test' END AS split,
+         d.source AS label, xv.x
+  FROM documents d JOIN xv ON xv.row_id = d.doc_id)""",
+                 label_ctes(), PROTO_CTES, SC, SCALAR_PRED) + \
+        "SELECT split, y, pred, count(*) AS n FROM pr GROUP BY split, y, pred"
+
+
 ORACLES = {
+    "e2e_text_openset": _e2e_text(),
     "r5_label_text": LABEL_TEXT,
     "t6_class_average": emb(IX) + """
 SELECT row_id, CAST(label AS INTEGER) AS pred FROM (
