@@ -38,7 +38,10 @@ def tokenize(df: DataFrame, text_col: str = "text", out_col: str = "tokens") ->
 
 def build_vocab(tokens: DataFrame, size: int, tokens_col: str = "tokens") -> DataFrame:
     """``(token_id INT, token STRING, count LONG)`` of the ``size`` most frequent tokens."""
-    counts = (tokens.select(F.explode(tokens_col).alias("token"))
+    # explode_outer + explicit null filter: a plain explode makes the optimizer
+    # infer size(tokens) > 0 below the normalisation and evaluate the Python
+    # unescape UDF twice
+    counts = (tokens.select(F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(int(size))
     w = Window.orderBy(F.desc("count"), F.asc("token"))
