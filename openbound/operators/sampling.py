@@ -74,7 +74,7 @@ def distributed_shards(df: DataFrame, num_replicas: int, seed: int | None = None
     """
     order = [mix_key(id_col, seed), F.col(id_col)] if seed is not None else [F.col(id_col)]
     idx = dense_index(df, order, "_pos")
-    n = idx.count()
+    n = df.count()                               # a plain scan, not the windowed plan
     w = int(num_replicas)
     pad = (-n) % w
     main = idx.withColumn(out_col, (F.col("_pos") % w).cast("int")).withColumn("padded", F.lit(False))
@@ -89,7 +89,7 @@ def worker_slices(df: DataFrame, num_workers: int, index_col: str = "row_id",
     """Contiguous slices of ``N div w`` rows by position; the remainder
     (positions >= w * (N div w)) is dropped, as in the reference."""
     idx = dense_index(df, [index_col], "_pos")
-    n = idx.count()
+    n = df.count()                               # a plain scan, not the windowed plan
     size = n // int(num_workers)
     if size == 0:
         return idx.limit(0).withColumn(out_col, F.lit(0)).drop("_pos")

@@ -21,6 +21,7 @@ their counts agree (the reference would silently misalign them).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +36,23 @@ def _with_file_pos(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_lm"))
 
 
+_PART = re.compile(r"^(.*/)?part-(\d+)(.*)$")
+
+
+def _file_order(path: str):
+    """Order of files: Spark part files by their numeric index (``part-100000``
+    after ``part-99999``), anything else by name."""
+    m = _PART.match(path)
+    if m:
+        return (m.group(1) or "", 0, int(m.group(2)), m.group(3))
+    return (path.rsplit("/", 1)[0] if "/" in path else "", 1, 0, path)
+
+
 def line_index(df_with_meta: DataFrame, out_col: str = "row_id") -> tuple[DataFrame, int]:
     """Number the rows of a freshly read file DataFrame by line; returns (df, count)."""
     blocks = (df_with_meta.groupBy("_lf", "_lb")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_lm").alias("_m0"))
-              .orderBy("_lf", "_lb").collect())
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_lm").alias("_m0")).collect())
+    blocks = sorted(blocks, key=lambda r: (_file_order(r["_lf"]), r["_lb"]))
     rows, acc = [], 0
     for r in blocks:
         rows.append((r["_lf"], int(r["_lb"]), int(r["_m0"]), acc))
@@ -142,9 +155,9 @@ def zip_by_position(left: DataFrame, left_order: Sequence[Column | str], right:
                     right_order: Sequence[Column | str]) -> DataFrame:
     """J5 for tables: number each side by its own order (``dense_index``) and
     pair rows with equal positions; unequal lengths are an error."""
+    nl, nr = left.count(), right.count()        # plain scans, not the windowed plans
     li = dense_index(left, left_order, "row_id")
     ri = dense_index(right, right_order, "row_id")
-    nl, nr = li.count(), ri.count()
     drop_l = [c if isinstance(c, str) else None for c in left_order]
     drop_r = [c if isinstance(c, str) else None for c in right_order]
     li = li.drop(*[c for c in drop_l if c])
