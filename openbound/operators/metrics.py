@@ -1,9 +1,10 @@
 """Classification metrics (M1-M5, M10, M12) as grouped aggregations.
 
-Every metric starts from the same partial aggregation of the predictions,
-``groupBy(by, y, pred).count()`` -- at most ``n_classes^2`` rows per group key
-however many rows there are and however skewed the classes are -- and then
-works only on that small table.
+Every metric starts from one partial aggregation of the predictions -- the
+confusion cells ``groupBy(by, y, pred)`` (M2) or the per-class counts
+``groupBy(by, cls)`` (M3-M5, M12) -- so at most ``n_classes^2`` rows per key
+leave a task however many rows there are and however skewed the classes are;
+everything after that works on the small table.
 
 Semantics follow the reference's scikit-learn calls:
 * per-class report restricted to classes present in the targets, precision
@@ -69,18 +70,18 @@ def confusion_matrix(df: DataFrame, n_classes: int, y_col: str = "y", pred_col:
 
 def class_counts(df: DataFrame, y_col: str = "y", pred_col: str = "pred",
                  by: Sequence[str] | str | None = None) -> DataFrame:
-    """Per class ``(by..., cls, support, predicted, tp)`` from the confusion cells."""
+    """Per class ``(by..., cls, support, predicted, tp)`` in ONE partial aggregation:
+    every row contributes its true class (support, tp) and its predicted class
+    (predicted) -- one shuffle of at most ``classes`` rows per key and task."""
     keys = _by(by)
-    cells = confusion_counts(df, y_col, pred_col, keys)
+    y, p = F.col(y_col), F.col(pred_col)
     roles = F.array(
-        F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
-                 F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).cast("long").alias("tp")),
-        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("support"),
-                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))
-    return (cells.select(*keys, F.inline(roles))
+        F.struct(y.alias("cls"), F.lit(1).alias("s"), F.lit(0).alias("p"), (y == p).cast("int").alias("t")),
+        F.struct(p.alias("cls"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("t")))
+    return (df.select(*keys, F.inline(roles))
             .groupBy(*keys, "cls")
-            .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
-                 F.sum("tp").alias("tp")))
+            .agg(F.sum("s").cast("long").alias("support"), F.sum("p").cast("long").alias("predicted"),
+                 F.sum("t").cast("long").alias("tp")))
 
 
 def _f1(tp, support, predicted):
