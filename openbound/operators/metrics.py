@@ -106,12 +106,40 @@ def class_report(df: DataFrame, y_col: str = "y", pred_col: str = "pred",
 def macro_f1(df: DataFrame, y_col: str = "y", pred_col: str = "pred",
              by: Sequence[str] | str | None = None) -> DataFrame:
     """M4: unweighted mean F1 over the union of true and predicted classes."""
+    return macro_f1_from_counts(class_counts(df, y_col, pred_col, by), by)
+
+
+def macro_f1_from_counts(cc: DataFrame, by: Sequence[str] | str | None = None) -> DataFrame:
     keys = _by(by)
-    cc = class_counts(df, y_col, pred_col, keys)
     return cc.groupBy(*keys).agg(
         F.avg(_f1(F.col("tp"), F.col("support"), F.col("predicted"))).alias("macro_f1"))
 
 
+def accuracy_from_counts(cc: DataFrame, by: Sequence[str] | str | None = None) -> DataFrame:
+    """M1 from the class counts: sum tp / sum support."""
+    keys = _by(by)
+    return cc.groupBy(*keys).agg((F.sum("tp") / F.sum("support")).alias("accuracy"))
+
+
+def report_from_counts(cc: DataFrame, by: Sequence[str] | str | None = None) -> DataFrame:
+    """M3 from the class counts."""
+    keys = _by(by)
+    tp, sup, prd = F.col("tp"), F.col("support"), F.col("predicted")
+    return cc.filter(sup > 0).select(
+        *keys, F.col("cls").cast("int").alias("cls"),
+        F.when(prd > 0, tp / prd).otherwise(F.lit(1.0)).alias("precision"),
+        (tp / sup).alias("recall"), _f1(tp, sup, prd).alias("f1"), sup.alias("support"))
+
+
+def ind_ood_from_counts(cc: DataFrame, n_known: int, by: Sequence[str] | str | None = None) -> DataFrame:
+    """M5 (by class id) from the class counts."""
+    keys = _by(by)
+    rep = report_from_counts(cc, keys)
+    return rep.groupBy(*keys).agg(
+        F.avg(F.when(F.col("cls") < int(n_known), F.col("f1"))).alias("ind_f1"),
+        F.max(F.when(F.col("cls") == int(n_known), F.col("f1"))).alias("ood_f1"))
+
+
 def ind_ood_f1(df: DataFrame, n_known: int, y_col: str = "y", pred_col: str = "pred",
                by: Sequence[str] | str | None = None, positional: bool = False) -> DataFrame:
     """M5: in-domain F1 (mean over known classes) and out-of-domain F1."""

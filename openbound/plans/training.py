@@ -3,7 +3,8 @@
 Per epoch: mini-batch prototype steps (R3; B2 batches written once per epoch,
 partitioned by batch, one Spark job per step), the epoch's training loss (L9),
 validation and test evaluation with the variant's predictor (T2 or T3;
-M1, M4, M5, L7 -- one small aggregate each, results are scalars), and the
+M1, M4, M5 from one pass of per-class counts, L7 from one pass of loss sums),
+and the
 best-epoch rule (M7/M8: valid macro F1 >= best so far, ties -> later epoch).
 At the end the metrics log (S12) and the best model bundle (S10) are written
 if paths are given.  Only prototypes and scalar metrics reach the driver.
@@ -39,14 +40,25 @@ class RunResult:
 
 
 def evaluate(rows: DataFrame, protos: Prototypes, variant: str, alpha: float) -> list[tuple]:
-    """``(split, name, value)`` for accuracy, macro F1, in-/out-of-domain F1 and loss."""
+    """``(split, name, value)`` for accuracy, macro F1, in-/out-of-domain F1 and loss.
+
+    Two passes over the evaluation rows: the per-class counts (everything but
+    the loss derives from them; at most splits x classes rows, pinned as a
+    local table) and the loss sums.
+    """
     kind, _ = LS.VARIANTS[variant]
     pred = (S.reject_vector if kind == "vector" else S.reject_scalar)(rows, protos)
-    acc = M.accuracy(pred, by="split").select("split", F.lit("accuracy").alias("name"),
-                                              F.col("accuracy").alias("value"))
-    f1 = M.macro_f1(pred, by="split").select("split", F.lit("macro_f1").alias("name"),
-                                             F.col("macro_f1").alias("value"))
-    io = M.ind_ood_f1(pred, protos.n_known, by="split")
+    counts = M.class_counts(pred, by="split")
+    bound = 8 * protos.n_classes                    # (split, class) rows: a few splits x classes
+    cc_rows = counts.limit(bound + 1).collect()
+    if len(cc_rows) > bound:
+        raise ValueError("per-class counts exceed splits x classes")
+    cc = rows.sparkSession.createDataFrame(cc_rows, counts.schema)
+    acc = M.accuracy_from_counts(cc, "split").select("split", F.lit("accuracy").alias("name"),
+                                                     F.col("accuracy").alias("value"))
+    f1 = M.macro_f1_from_counts(cc, "split").select("split", F.lit("macro_f1").alias("name"),
+                                                    F.col("macro_f1").alias("value"))
+    io = M.ind_ood_from_counts(cc, protos.n_known, "split")
     ind = io.select("split", F.lit("ind_f1").alias("name"), F.col("ind_f1").alias("value"))
     ood = io.select("split", F.lit("ood_f1").alias("name"), F.col("ood_f1").alias("value"))
     loss = LS.proxy_loss(rows, protos, variant, alpha, by="split").select(

@@ -96,3 +96,19 @@ def test_train_and_evaluate_run(spark):
     assert best["best_epoch"] == res.best_epoch
     p, _, cfg = EX.load_bundle(spark, f"{d}/bundle", "emb", 0.5, "r1")
     assert np.allclose(p.proxy, res.best_protos.proxy) and cfg["best_epoch"] == res.best_epoch
+
+
+def test_evaluate_matches_direct_metrics(spark):
+    from openbound.operators import metrics as M
+    from openbound.operators import score as S
+    from openbound.plans.training import evaluate
+    os_, protos = catalog.emb_setup(spark, SF01)
+    rows = os_.data.filter(F.col("split").isin("valid", "test")).select("row_id", "split", "y", "x")
+    got = {(sp, n): v for sp, n, v in evaluate(rows, protos, "org", ALPHA)}
+    pred = S.reject_scalar(rows, protos)
+    for r in M.accuracy(pred, by="split").collect():
+        assert abs(got[(r["split"], "accuracy")] - r["accuracy"]) < 1e-12
+    for r in M.macro_f1(pred, by="split").collect():
+        assert abs(got[(r["split"], "macro_f1")] - r["macro_f1"]) < 1e-12
+    for r in M.ind_ood_f1(pred, protos.n_known, by="split").collect():
+        assert abs(got[(r["split"], "ind_f1")] - r["ind_f1"]) < 1e-12
