@@ -44,19 +44,22 @@ def bucket_count(n_rows: int, n_buckets: int | None = None) -> int:
 
 def quantile_buckets(df: DataFrame, key: Column, out_col: str, n_buckets: int | None = None) -> DataFrame:
     """Add ``out_col`` = number of quantile bounds <= key (0 .. n_buckets-1)."""
-    tmp = df.withColumn("_qk", key.cast("double"))
+    # nulls sort first in an ascending order: bucket them with -inf (bucket 0)
+    tmp = df.withColumn("_qk", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     b = bucket_count(tmp.count() if n_buckets is None else 0, n_buckets)
     bounds: list[float] = []
     if b > 1:
         rel = min(0.001, 0.25 / b)
         q = tmp.approxQuantile("_qk", [i / b for i in range(1, b)], rel)
-        bounds = sorted({v for v in q if v is not None})
+        # finite bounds only (null keys map to -inf); dropping bounds keeps the
+        # assignment monotone, which is all exactness needs
+        bounds = sorted({v for v in q if v is not None and float("-inf") < v < float("inf")})
     if len(bounds) <= TREE_MAX_BOUNDS:
         return tmp.withColumn(out_col, _bucket_expr(F.col("_qk"), bounds)).drop("_qk")
     from pyspark.ml.feature import Bucketizer
     splits = [float("-inf"), *bounds, float("inf")]
     bz = Bucketizer(splits=splits, inputCol="_qk", outputCol="_qb", handleInvalid="keep")
-    out = bz.transform(tmp.withColumn("_qk", F.coalesce(F.col("_qk"), F.lit(float("-inf")))))
+    out = bz.transform(tmp)
     return out.withColumn(out_col, F.col("_qb").cast("int")).drop("_qk", "_qb")
 
 

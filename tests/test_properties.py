@@ -93,3 +93,13 @@ def test_one_pass_setup_equals_two_pass(spark):
         b_os, b = prepare_with_prototypes(df, ratio, mode, seed=5, margin_vectors=True)
         assert a_os.known.collect() == b_os.known.collect() and a_os.n_known == b_os.n_known
         assert np.allclose(a.proxy, b.proxy) and np.allclose(a.margin_vec, b.margin_vec)
+
+
+def test_dense_index_null_keys_first(spark):
+    rows = [(i, None if i % 7 == 0 else (i * 37) % 101) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, k long")
+    for nb in (5, 90):
+        got = dense_index(df, ["k", "row_id"], "pos", n_buckets=nb)
+        ref = df.withColumn("pos", F.row_number().over(Window.orderBy("k", "row_id")) - 1)
+        assert sorted((r["row_id"], r["pos"]) for r in got.collect()) == \
+            sorted((r["row_id"], r["pos"]) for r in ref.collect())
