@@ -178,4 +178,58 @@ def q_e2e_text_openset(spark, sf):
     return M.confusion_counts(pred, by="split")
 
 
+def _scratch(spark, what):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def q_s10_s11_bundle_round_trip(spark, sf):
+    """Save the centroid prototype set with its known labels and config (S10),
+    load it back by partition (S11), return proxies and margins long."""
+    from ..sources import exports as EX
+    os_, protos = emb_setup(spark, sf)
+    path = _scratch(spark, "bundle")
+    EX.save_bundle(protos, os_.known, {"variant": "org", "ratio": 0.5}, path, "embeddings", 0.5, "r1")
+    back, _, _ = EX.load_bundle(spark, path, "embeddings", 0.5, "r1")
+    return back.to_frame(spark).select("cls", "margin", F.posexplode("proxy").alias("dim", "v")).select(
+        "cls", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"), _r(F.col("margin"), "margin"))
+
+
+def q_s12_metrics_log_round_trip(spark, sf):
+    """Append per-split accuracy and macro F1 of the scalar-margin predictor to
+    a metrics log (S12) in two appends, read the log back."""
+    from ..operators import metrics as M
+    from ..operators import score as S
+    from ..sources import exports as EX
+    os_, protos = emb_setup(spark, sf)
+    pred = S.reject_scalar(_eval_rows(os_), protos)
+    path = _scratch(spark, "metrics")
+    acc = M.accuracy(pred, by="split").select("split", F.lit("accuracy").alias("name"),
+                                              F.col("accuracy").alias("value"))
+    f1 = M.macro_f1(pred, by="split").select("split", F.lit("macro_f1").alias("name"),
+                                             F.col("macro_f1").alias("value"))
+    for i, part in enumerate((acc, f1)):
+        EX.append_metrics(part.select(F.lit("r1").alias("run_id"), F.lit(i).alias("epoch"), "*"), path)
+    log = spark.read.parquet(path)
+    return log.select("run_id", "epoch", "split", "name", _r(F.col("value"), "value"))
+
+
+def q_s13_split_tsv_round_trip(spark, sf):
+    """Write each document split as a ``text<TAB>label`` file (text normalised
+    to one line) and load it back with the per-split TSV reader (S13)."""
+    from ..functions.text import normalize_rows
+    from ..sources import exports as EX
+    from ..sources import lines as SL
+    docs = normalize_rows(views.document_splits(spark, sf), "text")
+    base = _scratch(spark, "tsv13")
+    out = None
+    for sp in ("train", "valid", "test"):
+        EX.write_split_tsv(docs.filter(F.col("split") == sp), f"{base}/{sp}.tsv")
+        part = SL.read_split_tsv(spark, f"{base}/{sp}.tsv", sp)
+        out = part if out is None else out.unionByName(part)
+    return out.select("split", "row_id", "label", "text")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

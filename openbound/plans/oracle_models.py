@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.ordering import mix_sql
-from .oracle import emb, with_
+from .oracle import CLASS_COUNTS, SC, SCALAR_PRED, emb, with_
 
 K = 5
 VOCAB = 1000
@@ -76,7 +76,25 @@ def _e2e_text() -> str:
         "SELECT split, y, pred, count(*) AS n FROM pr GROUP BY split, y, pred"
 
 
+DOC_NORM = """WITH e AS (
+  SELECT doc_id AS row_id,
+         CASE WHEN (doc_id // 20) % 10 < 7 THEN 'train' WHEN (doc_id // 20) % 10 = 7 THEN 'valid'
+              ELSE 'test' END AS split,
+         source AS label, regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g') AS text
+  FROM documents)
+"""
+
 ORACLES = {
+    "s10_s11_bundle_round_trip": emb() + """
+SELECT CAST(cls AS INTEGER) AS cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value, 0.2::DOUBLE AS margin
+FROM cd""",
+    "s12_metrics_log_round_trip": emb(SC, SCALAR_PRED, CLASS_COUNTS) + """
+SELECT 'r1' AS run_id, 0 AS epoch, split, 'accuracy' AS name,
+       round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS value FROM pr GROUP BY split
+UNION ALL
+SELECT 'r1', 1, split, 'macro_f1', round(avg(2.0 * tp / (support + predicted))::DOUBLE, 6) FROM cc GROUP BY split""",
+    "s13_split_tsv_round_trip": DOC_NORM + """
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS row_id, label, text FROM e""",
     "e2e_text_openset": _e2e_text(),
     "r5_label_text": LABEL_TEXT,
     "t6_class_average": emb(IX) + """

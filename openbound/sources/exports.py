@@ -85,6 +85,13 @@ def write_line_files(df: DataFrame, base: str, splits=("train", "valid", "test")
         v.select(F.col("label").alias("value")).write.mode("overwrite").text(f"{base}/intent_label.txt")
 
 
+def write_split_tsv(df: DataFrame, path: str, text_col: str = "text", label_col: str = "label",
+                    order_col: str = "row_id") -> None:
+    """S13 writer: one ``text<TAB>label`` line per row, in ``order_col`` order."""
+    part = cut_lineage(df.select(order_col, text_col, label_col).orderBy(order_col))
+    part.select(F.concat_ws("\t", text_col, label_col).alias("value")).write.mode("overwrite").text(path)
+
+
 # ------------------------------------------------------------- bundles ----
 
 def save_bundle(protos: Prototypes, known: DataFrame, config: Mapping[str, object], path: str,
