@@ -232,4 +232,31 @@ def q_s13_split_tsv_round_trip(spark, sf):
     return out.select("split", "row_id", "label", "text")
 
 
+def q_s6_split_label_profile(spark, sf):
+    """Write the document splits in the reference layout, read the three label
+    files back (S6) and profile them: value counts per split (M10)."""
+    from ..functions.text import normalize_rows
+    from ..sources import exports as EX
+    from ..sources import lines as SL
+    docs = normalize_rows(views.document_splits(spark, sf), "text")
+    base = _scratch(spark, "labels6")
+    EX.write_line_files(docs, base)
+    labs = SL.read_split_labels(spark, base)
+    return labs.groupBy("split", "label").agg(F.count(F.lit(1)).alias("count"))
+
+
+def q_s9_balanced_sample_tsv(spark, sf):
+    """B1 balanced sample (30 per class) written as the reference's TSV pair
+    (S9) and read back by line (S8): positions follow row order."""
+    from ..operators import sampling as SM
+    from ..sources import exports as EX
+    e = views.embedding_splits(spark, sf).select("row_id", F.col("label").cast("int").alias("y"), "x")
+    sample = SM.balanced_sample(e, "y", 30, seed=42)
+    base = _scratch(spark, "sample9")
+    EX.write_tsv_pair(sample, f"{base}/x", f"{base}/y")
+    back = EX.read_tsv_pair(spark, f"{base}/x", f"{base}/y")
+    return back.select("row_id", "target", F.posexplode("x").alias("dim", "v")).select(
+        "row_id", "target", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -93,6 +93,18 @@ SELECT 'r1' AS run_id, 0 AS epoch, split, 'accuracy' AS name,
        round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS value FROM pr GROUP BY split
 UNION ALL
 SELECT 'r1', 1, split, 'macro_f1', round(avg(2.0 * tp / (support + predicted))::DOUBLE, 6) FROM cc GROUP BY split""",
+    "s6_split_label_profile": DOC_NORM + """
+SELECT split, label, count(*) AS count FROM e GROUP BY split, label""",
+    "s9_balanced_sample_tsv": f"""
+WITH s AS (
+  SELECT vec_id, label, embedding FROM (
+    SELECT vec_id, label, embedding,
+           row_number() OVER (PARTITION BY label ORDER BY {mix_sql('vec_id', 42)}, vec_id) AS rn
+    FROM embeddings) WHERE rn <= 30),
+p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, label AS target,
+             CAST(embedding AS DOUBLE[]) AS x FROM s)
+SELECT row_id, target, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM (
+  SELECT row_id, target, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM p)""",
     "s13_split_tsv_round_trip": DOC_NORM + """
 SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS row_id, label, text FROM e""",
     "e2e_text_openset": _e2e_text(),
