@@ -73,5 +73,6 @@ def normalize_string(c, unescape: bool = True) -> Column:
 
 
 def strip_line(c) -> Column:
-    """The dead plain-line reader's ``strip`` (surrounding whitespace)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """The dead plain-line reader's ``strip``: surrounding whitespace,
+    Unicode-aware like Python's ``str.strip`` (not only spaces, as ``trim``)."""
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")

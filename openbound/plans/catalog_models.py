@@ -259,4 +259,18 @@ def q_s9_balanced_sample_tsv(spark, sf):
         "row_id", "target", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
 
+def q_s1b_strip_lines(spark, sf):
+    """Normalised document texts written one per line, read back with the
+    plain line reader and its ``strip`` (S1b)."""
+    from ..functions.text import normalize_rows
+    from ..sources import lines as SL
+    from ..session import cut_lineage
+    docs = normalize_rows(views.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text"),
+                          "text")
+    path = _scratch(spark, "lines1b")
+    cut_lineage(docs.orderBy("row_id")).select(F.col("text").alias("value")).write.text(path)
+    back, _ = SL.read_lines(spark, path, strip=True)
+    return back
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}

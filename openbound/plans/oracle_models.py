@@ -93,6 +93,10 @@ SELECT 'r1' AS run_id, 0 AS epoch, split, 'accuracy' AS name,
        round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS value FROM pr GROUP BY split
 UNION ALL
 SELECT 'r1', 1, split, 'macro_f1', round(avg(2.0 * tp / (support + predicted))::DOUBLE, 6) FROM cc GROUP BY split""",
+    "s1b_strip_lines": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id,
+       trim(regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g')) AS value
+FROM documents""",
     "s6_split_label_profile": DOC_NORM + """
 SELECT split, label, count(*) AS count FROM e GROUP BY split, label""",
     "s9_balanced_sample_tsv": f"""

@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_line
 from ..operators.indexing import dense_index
 
 
@@ -68,7 +69,7 @@ def read_lines(spark: SparkSession, path: str, strip: bool = False) -> tuple[Dat
     """S1 ``lines`` mode / S1b: every line, blanks kept as ''; optional strip."""
     df = _with_file_pos(spark.read.text(path))
     df, n = line_index(df)
-    v = F.trim(F.col("value")) if strip else F.col("value")
+    v = strip_line("value") if strip else F.col("value")
     return df.select("row_id", v.alias("value")), n
 
 

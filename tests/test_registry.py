@@ -16,7 +16,7 @@ def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert all(PREFIX.match(k) for k in q), [k for k in q if not PREFIX.match(k)]
-    assert len(q) >= 82 and len(set(q) - set(o)) <= 4
+    assert len(q) >= 83 and len(set(q) - set(o)) <= 4
 
 
 def test_labels_outside_vocabulary_map_to_oos(spark):
