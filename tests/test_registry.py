@@ -9,7 +9,7 @@ from openbound.operators import labels as L
 from openbound.operators import metrics as M
 
 # fixed values: inventory prefixes of SURVEY §2 (plus the end-to-end plan)
-PREFIX = re.compile(r"^(s\d+|p\d+|j\d+|v\d+|t\d+|l\d+|m\d+|b\d+|u\d+|r\d+|e2e)_[a-z0-9_]+$")
+PREFIX = re.compile(r"^(s\d+b?|p\d+|j\d+|v\d+|t\d+|l\d+|m\d+|b\d+|u\d+|r\d+|e2e)_[a-z0-9_]+$")
 
 
 def test_contract_keys():
