@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, line_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,35 @@ def op6_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    return line_dedup.line_dedup(before, removed_col="n_removed")
+
+
 def op10_simhash(spark, sf_dir):
     out = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# every pair of equal lines, the later one first; equal stretches along a diagonal of 50 words or more go
+LINE_DEDUP_SQL = r"""
+    WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS s,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
+    lw AS (SELECT doc_id, text, s, ln, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words FROM l),
+    p AS (SELECT a.doc_id, a.ln, a.words, b.doc_id AS b_doc, a.ln - b.ln AS d FROM lw a JOIN lw b ON a.s = b.s
+          AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.ln < a.ln))),
+    q AS (SELECT *, ln - row_number() OVER (PARTITION BY doc_id, b_doc, d ORDER BY ln) AS island FROM p),
+    r AS (SELECT doc_id, min(ln) AS lo, max(ln) AS hi FROM q GROUP BY doc_id, b_doc, d, island HAVING sum(words) >= 50),
+    gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS ln FROM r)
+    SELECT lw.doc_id, CASE WHEN first(lw.text) IS NULL THEN NULL
+                      ELSE coalesce(string_agg(s, chr(10) ORDER BY lw.ln) FILTER (WHERE gone.ln IS NULL), '') END AS text,
+           count(*)::INTEGER AS n_lines, count(gone.ln)::INTEGER AS n_removed
+    FROM lw LEFT JOIN gone ON lw.doc_id = gone.doc_id AND lw.ln = gone.ln GROUP BY lw.doc_id"""
+
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
@@ -37,4 +59,5 @@ ORACLES = {
                    FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+    "op9_line_dedup": LINE_DEDUP_SQL,
 }
