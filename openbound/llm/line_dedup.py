@@ -62,7 +62,8 @@ def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``pairs`` whose key occurs at two positions or more, with the key's rank."""
     rank = (pairs.groupBy(*keys).agg(F.min("pos").alias("rank"), F.max("pos").alias("top"))
             .filter("rank < top").select(*keys, "rank"))
-    return pairs.join(rank, keys).select("doc", "ln", "pos", "words", "rank")
+    # written: a join of two plain exchanges is one that adaptive execution splits at a hot key
+    return pairs.join(written(rank, "names"), keys).select("doc", "ln", "pos", "words", "rank")
 
 
 def _shortest_runs(first: DataFrame, min_words: int) -> DataFrame:
@@ -119,7 +120,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tail = ranks.select("width", "doc", F.col("ln").alias("tail_ln"), F.col("rank").alias("tail"))
     found = written(keyed.join(head, ["width", "doc", "start"]).join(tail, ["width", "doc", "tail_ln"])
                     .select("doc", "start", "q", "pos", "head", "tail"), "intervals")
-    first = found.groupBy("q", "head", "tail").agg(F.min("pos").alias("least"))
+    first = written(found.groupBy("q", "head", "tail").agg(F.min("pos").alias("least")), "first")
     later = found.join(first, ["q", "head", "tail"]).filter("pos > least").select(
         "doc", "start", (F.col("start") + F.col("q")).alias("end"))
     # overlapping and touching spans of a document become one
