@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, simhash
+from . import exact_dedup, line_dedup, packing, simhash, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_wavelet(spark, sf_dir):
+    return wavelet.token_output(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     out = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -48,6 +56,8 @@ LINE_DEDUP_SQL = r"""
     FROM lw LEFT JOIN gone ON lw.doc_id = gone.doc_id AND lw.ln = gone.ln GROUP BY lw.doc_id"""
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_wavelet": op3_token_wavelet,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
