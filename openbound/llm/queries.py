@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, simhash, wavelet
+from . import exact_dedup, line_dedup, packing, quality, simhash, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op6_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs).select("doc_id", "quality_score", "kept")
+
+
 def op9_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     before = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_wavelet": op3_token_wavelet,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
