@@ -34,11 +34,20 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) >= 0.99 and np.mean(low) <= 0.1
 
 
+def _word(n):
+    out = ""
+    n = n * 2654435761 % 2**32
+    for _ in range(3 + n % 4):
+        n, r = divmod(n, 17)
+        out += "bcdfglmnprstvaeio"[r] + "aeiou"[r % 5]
+    return out
+
+
 def test_edge_cases(spark):
     cols = "doc_id long, text string, kept string, quality_score string, `a b` int"
     rows = [(1, None, "x", "y", 1), (2, "", "x", "y", 1), (None, "word " * 3000, "x", "y", 1), (3, "Fine text here.", "x", "y", 1),
             (3, "Fine text here.", "x", "y", 1)] + [
-        (10 + i, " ".join(f"some{i * j % 97} words{j} of prose{i}." for j in range(30)), "x", "y", 1) for i in range(40)] + [
+        (10 + i, " ".join(_word(31 * i + j) for j in range(60)) + ".", "x", "y", 1) for i in range(40)] + [
         (60 + i, "BUY!! NOW!! " * (20 + i), "x", "y", 1) for i in range(6)]
     df = spark.createDataFrame(rows, cols)
     out = Q.classify(df)
