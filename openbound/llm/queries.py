@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality, simhash, warc, wavelet
+from . import exact_dedup, html_extract, line_dedup, packing, quality, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html_text(spark, sf_dir):
+    out = html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     out = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_wavelet": op3_token_wavelet,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
