@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, packing, quality, simhash, warc, wavelet
+from . import exact_dedup, html_extract, line_dedup, packing, quality, simhash, sp_transducer, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_quality(spark, sf_dir):
     return quality.classify(docs).select("doc_id", "quality_score", "kept")
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return sp_transducer.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     before = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
