@@ -37,7 +37,7 @@ CAPACITY, END_ID = 1024, 2
 NODES = 3000           # fillings tried by the search before the incumbent is taken
 BRANCH = 6             # fillings tried for one largest length
 PARTS = 4              # lengths beside the largest that a branching filling may have
-CELL_ROWS = 20_000     # pieces in one rank cell, on average, at most
+CELL_ROWS = 1000       # pieces in one rank cell, on average, at most
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -268,8 +268,9 @@ def pack(items: DataFrame, order: list[str], length_col: str = "length", capacit
     found = slots(bin_completion(hist, capacity))
     table = F.broadcast(spark.createDataFrame(
         found, "slot_length long, slot_first long, slot_ranks long, slot_base long, slot_parts long, slot_offset long"))
-    salts = max(1, max(hist.values(), default=0) // CELL_ROWS)
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salts = spark.createDataFrame([(s, max(1, n // CELL_ROWS)) for s, n in hist.items()], "__size long, __salts long")
+    salted = (items.join(F.broadcast(salts), F.col(length_col) == F.col("__size"))
+              .withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__salts"))))
     cells = salted.groupBy(F.col(length_col).alias("__len"), F.col("__salt").alias("__cell")).agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__len").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("__len", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
