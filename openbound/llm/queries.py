@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, packing, quality, simhash, sp_transducer, warc, wavelet
+from . import exact_dedup, html_extract, line_dedup, nn_descent, packing, quality, simhash, sp_transducer, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return nn_descent.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ LINE_DEDUP_SQL = r"""
     FROM lw LEFT JOIN gone ON lw.doc_id = gone.doc_id AND lw.ln = gone.ln GROUP BY lw.doc_id"""
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_wavelet": op3_token_wavelet,
     "op4_warc": op4_warc,
