@@ -51,6 +51,8 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         F.posexplode(F.split("t", "\n", -1)).alias("ln", "s"))
              .select("doc_id", "doc", "ln", F.unhex(F.md5(F.encode("s", "UTF-8"))).alias("line"),
                      F.regexp_count("s", F.lit(WORD)).alias("words")))
+    # written before the range sort, whose sampling would read and split every text once more
+    lines = written(lines, "split")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # repeated rows meet in the range partition of their key, so dropping them needs no further shuffle
     placed = (lines.repartitionByRange(parts, "doc_id", "doc", "ln").dropDuplicates(["doc_id", "doc", "ln"])
