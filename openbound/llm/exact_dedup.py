@@ -124,6 +124,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     groups = (recipes.groupBy("ids").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
               .select("ids", F.col("first.d").alias("keep_id"), F.col("first.r").alias("keep_row"), "group_size"))
-    return (recipes.select("doc_id", "row", "text_sha256", "ids").join(groups, "ids")
+    # written, so that the join is one of two plain exchanges, split at a group of many copies
+    return (recipes.select("doc_id", "row", "text_sha256", "ids").join(written(groups, "groups"), "ids")
             .select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
                     "text_sha256", F.size("ids").alias("n_chunks")))
