@@ -189,19 +189,42 @@ def near_links(points: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CEL
             .mapInArrow(_join(max_bits), "a long, b long").distinct())
 
 
+def _components(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, c)``: the component of every distinct fingerprint."""
+    if not 0 <= max_bits <= 8:
+        raise ValueError("max_bits must lie in 0..8")
+    points = written(fps.select("fp").distinct(), "points")
+    if not max_bits:
+        return points.withColumn("c", F.col("fp"))
+    comp = connected_components(near_links(points, max_bits))
+    return points.join(comp, points["fp"] == comp["id"], "left").select("fp", F.coalesce("component", "fp").alias("c"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                    max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest id reachable, itself included)."""
-    if not 0 <= max_bits <= 8:
-        raise ValueError("max_bits must lie in 0..8")
     fps = written(fingerprints(docs, id_col, text_col, k), "fp")
-    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    if max_bits:
-        comp = connected_components(near_links(points.select("fp"), max_bits))
-        named = points.join(comp, points["fp"] == comp["id"], "left").select(
-            "fp", "first", F.coalesce("component", "fp").alias("c"))
-    else:
-        named = points.withColumn("c", F.col("fp"))
-    least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "c").select("fp", "component_id")
+    named = written(_components(fps, max_bits), "named")
+    least = named.join(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp").groupBy("c").agg(F.min("first").alias("component_id"))
+    by_fp = written(named.join(least, "c").select("fp", "component_id"), "by_fp")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of every group: the smallest id (null last), then the smallest text
+    digest; of rows that repeat both, one."""
+    need(docs, id_col, text_col)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.unhex(F.md5(F.concat_ws(":", F.md5(F.encode(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")), "UTF-8")),
+                                    F.col(f"row.`{id_col}`").cast("string"))))
+    keyed = row.withColumn("key", key)
+    texts = keyed.select(F.struct(F.col(f"row.`{id_col}`").cast("long").alias("id"), "key").alias("doc"), F.col(f"row.`{text_col}`").alias("text"))
+    prepare(docs.sparkSession)
+    fps = written(texts.select("doc", F.col("text").cast("string")).mapInArrow(
+        _fingerprints(k), "doc_id struct<id:bigint,key:binary>, fp long").select("doc_id.id", "doc_id.key", "fp"), "fp")
+    order = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key"))
+    first = fps.groupBy("fp").agg(order.alias("first"))
+    stay = (written(_components(fps, max_bits), "named").join(first, "fp").groupBy("c").agg(F.min("first").alias("first"))
+            .select(F.col("first.key").alias("key")).distinct())
+    kept = keyed.join(written(stay, "stay"), "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
