@@ -14,8 +14,9 @@ from array import array
 
 from pyspark.sql import SparkSession
 
-MEMO_WORDS = 1_000_000         # words kept in a worker before its memo starts anew
+MEMO_WORDS = 600_000            # words of a worker's memo (it holds two: the current and the one before)
 STRETCH = 1 << 20             # characters split into words at a time
+UNSAFE = re.compile(r" (?:\s|$)")
 _ENCODERS: dict = {}
 
 
@@ -43,17 +44,22 @@ def _byte_symbols() -> dict[int, str]:
 
 
 BYTE_SYMBOLS = _byte_symbols()
+SPACE = BYTE_SYMBOLS[32]
 
 
 class Memo(dict):
-    """Word -> ids; a new word is encoded when it is first asked for."""
+    """Word -> ids; a new word is encoded when it is first asked for.  Words come from the memo
+    before if they are there, so frequent words outlive the change to a new memo."""
 
-    def __init__(self, make):
+    def __init__(self, make, before=None):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, before or {}
 
     def __missing__(self, w):
-        ids = self[w] = self.make(w)
+        ids = self.before.get(w)
+        if ids is None:
+            ids = self.make(w)
+        self[w] = ids
         return ids
 
 
@@ -82,12 +88,12 @@ class Encoder:
         if self.by_word:
             self.split, self.model = pre.pre_tokenize_str, self.tok.model
             special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-            self.unsafe = re.compile("|".join([r" (?:\s|$)", *map(re.escape, special)]))
+            self.special = special
 
     def word(self, w: str) -> bytes:
         """Ids of a word with a space before it."""
         if SIMPLE.fullmatch(w):
-            mapped = (" " + w).encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            mapped = SPACE + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(BYTE_SYMBOLS)
             # letters are one pre-token, a full stop or comma after them is another
             parts = [mapped] if w[-1] not in ".," else [mapped[:-1], mapped[-1]]
         else:
@@ -112,7 +118,7 @@ class Encoder:
     def _stretch(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        plain = [i for i, t in enumerate(texts) if not self.unsafe.search(t)]
+        plain = [i for i, t in enumerate(texts) if not UNSAFE.search(t) and not any(x in t for x in self.special)]
         whole = sorted(set(range(len(texts))) - set(plain))
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
@@ -121,7 +127,8 @@ class Encoder:
         for i, ids in zip(plain, self._whole([w[0] for w in words])):
             out[i] = ids
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self.memo.before = {}
+            self.memo = Memo(self.word, self.memo)
         look = self.memo.__getitem__
         for i, w in zip(plain, words):
             if len(w) > 1:
