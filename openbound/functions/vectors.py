@@ -9,7 +9,8 @@ Conventions
 * vectors are ``ARRAY<DOUBLE>`` (cast float arrays once, up front);
 * norms use the reference epsilon: ``||v|| = sqrt(sum v^2 + 1e-12)``, so a
   zero vector normalises to zero and its cosine with anything is 0.0;
-* ``cos`` is the dot product of the two epsilon-normalised vectors.
+* ``cos`` is the dot product of the two epsilon-normalised vectors;
+* NULL and NaN stay NULL and NaN through every function, clamps included.
 """
 
 from __future__ import annotations
@@ -58,8 +59,21 @@ def cos_from_parts(dot_ab: Column, norm_a: Column, norm_b: Column,
     return clamp_unit(c) if clamp else c
 
 
+def _clamp(c: Column, low: float, high: float) -> Column:
+    """Clamp that keeps NULL and NaN: Spark's ``least``/``greatest`` skip NULL and rank NaN
+    highest, which would turn a missing vector into cosine 1.  The one-element array
+    evaluates ``c`` once."""
+    return F.transform(F.array(c), lambda v: F.when(v.isNull() | F.isnan(v), v).otherwise(
+        F.greatest(F.lit(low), F.least(F.lit(high), v))))[0]
+
+
 def clamp_unit(c: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    return _clamp(c, -1.0, 1.0)
+
+
+def is_usable(norm: Column) -> Column:
+    """A vector can be scored if its norm is finite: not NULL, no NULL, NaN or infinite component."""
+    return F.coalesce(~F.isnan(norm) & (norm < F.lit(float("inf"))), F.lit(False))
 
 
 def cosine(a, b, clamp: bool = True) -> Column:
@@ -69,7 +83,7 @@ def cosine(a, b, clamp: bool = True) -> Column:
 
 def acos_clamped(c) -> Column:
     """V5: acos with its input clamped to +-(1 - 1e-7)."""
-    return F.acos(F.least(F.greatest(_col(c), F.lit(-1.0 + ACOS_EPS)), F.lit(1.0 - ACOS_EPS)))
+    return F.acos(_clamp(_col(c), -1.0 + ACOS_EPS, 1.0 - ACOS_EPS))
 
 
 def angle(c) -> Column:
@@ -86,12 +100,3 @@ def sin_from_cos(c) -> Column:
 def radius(margin_vec, proxy) -> Column:
     """V8: class acceptance radius = cos(margin_c, proxy_c), a same-row diagonal."""
     return cosine(margin_vec, proxy, clamp=True)
-
-
-def vector_add(a, b) -> Column:
-    return F.zip_with(_col(a), _col(b), lambda x, y: x + y)
-
-
-def vector_scale(a, s) -> Column:
-    s = s if isinstance(s, Column) else F.lit(float(s))
-    return F.transform(_col(a), lambda x: x * s)

@@ -19,6 +19,10 @@ Plan: per-class terms are produced map-side from the broadcast prototype row
 aggregation whose shuffle carries ``batches x C`` rows, however skewed the
 classes are.  Maths in DOUBLE (the reference's float32 overflows to inf for
 large alpha; here results stay finite up to e^(2 alpha)).
+
+Rows whose vector cannot be scored (see ``score``) add nothing to sums,
+positives or the class count.  ``engine`` chooses expressions ("expr") or
+numpy over Arrow batches ("arrow"); both give the same sums.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import is_usable, safe_norm
 from . import score as S
 from .labels import positive_mask
 from .prototypes import Prototypes
@@ -48,6 +53,10 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def _usable(df: DataFrame, x_col: str) -> DataFrame:
+    return df.filter(is_usable(safe_norm(x_col)))
+
+
 def loss_terms(df: DataFrame, protos: Prototypes, variant: str, alpha: float,
                x_col: str = "x", y_col: str = "y") -> DataFrame:
     """Long form per (row, class): ``inside, pos_cos, neg_cos, pos_exp, neg_exp, is_pos``."""
@@ -98,6 +107,8 @@ def class_sums_arrow(df: DataFrame, protos: Prototypes, variants, alpha: float,
     """L5/L6 for wide prototype sets: numpy per partition (one matrix product
     per batch and group key), ``(variant, by..., cls, s_pos, s_neg, has_pos)``
     partial rows merged by a partial ``groupBy``."""
+    if protos.nbytes() > S.BROADCAST_LIMIT_BYTES:
+        raise ValueError("prototype set exceeds the broadcast limit: use engine='expr'")
     import numpy as np
     import pandas as pd
     from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField, StructType)
@@ -112,26 +123,30 @@ def class_sums_arrow(df: DataFrame, protos: Prototypes, variants, alpha: float,
     C = protos.n_classes
     variants = list(variants)
 
+    shipped = df.sparkSession.sparkContext.broadcast(protos)
+
     def run(batches):
+        # sums accumulate over the whole partition: one row per (variant, batch key, class) leaves it
+        total: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
+            p = shipped.value
             groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
             for gkey, g in groups:
                 gkey = gkey if isinstance(gkey, tuple) else (gkey,)
-                x = np.stack(g["_x"].to_numpy()).astype(float)
-                xh = x / np.sqrt((x * x).sum(axis=1) + 1e-12)[:, None]
-                y = g["_y"].to_numpy()
+                x, usable = S._stack(g["_x"].to_numpy(), p.dim)
+                xh = x[usable] / np.sqrt((x[usable] ** 2).sum(axis=1) + 1e-12)[:, None]
+                y = g["_y"].to_numpy()[usable]
                 for v in variants:
-                    ps = partial_sums(xh, y, protos, v, alpha)
-                    out = {"variant": [v] * C}
-                    for i, k in enumerate(keys):
-                        out[k] = [gkey[i]] * C
-                    out["cls"] = np.arange(C, dtype="int32")
-                    out["s_pos"] = ps["pos_in"][0] + ps["pos_out"][0]
-                    out["s_neg"] = ps["neg_in"][0] + ps["neg_out"][0]
-                    out["has_pos"] = (ps["npos"] > 0).astype("int32")
-                    yield pd.DataFrame(out)
+                    ps = partial_sums(xh, y, p, v, alpha)
+                    new = np.stack([ps["pos_in"][0] + ps["pos_out"][0], ps["neg_in"][0] + ps["neg_out"][0], ps["npos"]])
+                    old = total.get((v, *gkey))
+                    total[(v, *gkey)] = new if old is None else old + new
+        for (v, *gkey), sums in total.items():
+            out = {"variant": [v] * C} | {k: [gkey[i]] * C for i, k in enumerate(keys)}
+            yield pd.DataFrame(out | {"cls": np.arange(C, dtype="int32"), "s_pos": sums[0], "s_neg": sums[1],
+                                      "has_pos": (sums[2] > 0).astype("int32")})
 
     parts = src.mapInPandas(run, StructType(fields))
     return parts.groupBy("variant", *keys, "cls").agg(
@@ -139,33 +154,29 @@ def class_sums_arrow(df: DataFrame, protos: Prototypes, variants, alpha: float,
         F.max("has_pos").alias("has_pos"))
 
 
-def _use_arrow(protos: Prototypes, engine: str) -> bool:
-    return engine == "arrow" or (engine == "auto" and protos.dim * protos.n_classes >= S.ARROW_MIN_WORK)
-
-
 def proxy_loss(df: DataFrame, protos: Prototypes, variant: str = "new", alpha: float = 64.0,
                by: Sequence[str] | str | None = None, x_col: str = "x", y_col: str = "y",
-               engine: str = "auto") -> DataFrame:
+               engine: str = "expr") -> DataFrame:
     """One entry point for the four variants; ``by`` = batch keys."""
-    if _use_arrow(protos, engine):
+    if engine == "arrow":
         sums = class_sums_arrow(df, protos, [variant], alpha, by, x_col, y_col).drop("variant")
         return combine(sums, protos.n_classes, by)
-    terms = loss_terms(df, protos, variant, alpha, x_col, y_col)
+    terms = loss_terms(_usable(df, x_col), protos, variant, alpha, x_col, y_col)
     return combine(class_sums(terms, by), protos.n_classes, by)
 
 
 def multi_variant_loss(df: DataFrame, protos: Prototypes, variants=tuple(VARIANTS), alpha: float = 64.0,
                        by: Sequence[str] | str | None = None, x_col: str = "x",
-                       y_col: str = "y", engine: str = "auto") -> DataFrame:
+                       y_col: str = "y", engine: str = "expr") -> DataFrame:
     """All requested variants from ONE pass: the per-class terms are computed
     once (clamped and unclamped cosine side by side), every variant's masked
     sums go into the same ``groupBy(by, cls)``, and the result is stacked to
     ``(variant, by..., loss, n_valid)``."""
     keys = _keys(by)
-    if _use_arrow(protos, engine):
+    if engine == "arrow":
         sums = class_sums_arrow(df, protos, variants, alpha, by, x_col, y_col)
         return combine(sums, protos.n_classes, ["variant", *keys])
-    t = S.class_terms(df, protos, x_col, clamp=True, with_unclamped=True)
+    t = S.class_terms(_usable(df, x_col), protos, x_col, clamp=True, with_unclamped=True)
     a = float(alpha)
     y, cls, cos, ucos = F.col(y_col), F.col("cls"), F.col("cos"), F.col("ucos")
     inside = cos > F.col("r")

@@ -111,6 +111,17 @@ def q_t3_reject_scalar(spark, sf):
     return pred.select("row_id", "pred")
 
 
+def q_t2_t3_missing_vectors(spark, sf):
+    """T2 and T3 over documents joined to vectors by id: half of the documents have none, and
+    every 7th vector gets a NaN component; such rows are out-of-domain."""
+    _, protos = emb_setup(spark, sf, margin_vectors=True)
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
+    e = views.embedding_splits(spark, sf).select("row_id", "x")
+    x = F.when(F.col("row_id") % 7 == 0, F.concat(F.array(F.lit(float("nan"))), F.slice("x", 2, 1 << 20))).otherwise(F.col("x"))
+    rows = docs.join(e.withColumn("x", x), "row_id", "left")
+    return S.reject_both(rows, protos).select("row_id", "pred_vector", "pred_scalar")
+
+
 def q_t4_argmax_accuracy(spark, sf):
     os_, protos = emb_setup(spark, sf)
     lg = S.cosine_logits(os_.data.select("row_id", "split", "y", "x"), protos)

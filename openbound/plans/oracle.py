@@ -140,6 +140,14 @@ SELECT row_id, cls AS pred FROM (
 WHERE rk = 1""",
     "t2_reject_vector": emb(SC, VECTOR_PRED) + "SELECT row_id, pred FROM pr",
     "t3_reject_scalar": emb(SC, SCALAR_PRED) + "SELECT row_id, pred FROM pr",
+    # a document without a vector, or with NaN in it, has no class inside a boundary: out-of-domain
+    "t2_t3_missing_vectors": emb(SC) + """,
+ok AS (SELECT * FROM sc WHERE row_id % 7 <> 0),
+vec AS (SELECT row_id, cls, row_number() OVER (PARTITION BY row_id ORDER BY cos DESC, cls) AS rk FROM ok WHERE cos > r),
+sca AS (SELECT row_id, cls, row_number() OVER (PARTITION BY row_id ORDER BY cos DESC, cls) AS rk FROM ok WHERE cos > mrg)
+SELECT d.doc_id AS row_id, CAST(coalesce(v.cls, (SELECT n FROM nk)) AS INTEGER) AS pred_vector,
+       CAST(coalesce(s.cls, (SELECT n FROM nk)) AS INTEGER) AS pred_scalar
+FROM documents d LEFT JOIN vec v ON v.row_id = d.doc_id AND v.rk = 1 LEFT JOIN sca s ON s.row_id = d.doc_id AND s.rk = 1""",
     "t4_argmax_accuracy": emb(SC) + """
 SELECT split, round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (
   SELECT s.split, s.y, s.cls AS pred,

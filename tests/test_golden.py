@@ -58,8 +58,8 @@ def test_predictions(spark, samples):
 def test_blocked_scoring_matches_broadcast(spark, samples):
     protos = Prototypes(P, np.full(3, .2), MV)
     a = _by_id(S.reject_vector(samples, protos), "pred")
-    b = _by_id(S.reject_vector(samples, protos, key_col="row_id", limit=40), "pred")
-    c = _by_id(S.reject_scalar(samples, protos, key_col="row_id", limit=40), "pred")
+    b = _by_id(S.reject_vector(samples, protos, limit=40), "pred")
+    c = _by_id(S.reject_scalar(samples, protos, limit=40), "pred")
     assert a == b and c == [0, 2, 1, 2, 0, 2]
 
 

@@ -107,13 +107,15 @@ def test_arrow_engine_equals_expressions(spark, fn):
     assert a == b and len(a) == 500
 
 
-def test_auto_engine_picks_arrow_for_wide_sets(spark):
+def test_engine_is_the_callers_choice(spark):
     from openbound.operators import score as S
     rng = np.random.default_rng(3)
     protos = Prototypes(rng.normal(size=(60, 300)), np.full(60, 0.05), rng.normal(size=(60, 300)))
     df = spark.createDataFrame([(i, rng.normal(size=300).tolist()) for i in range(200)],
                                "row_id long, x array<double>")
-    auto = S.reject_scalar(df, protos)
+    plain = S.reject_scalar(df, protos)
+    assert "MapInPandas" not in plain._jdf.queryExecution().executedPlan().toString()
+    auto = S.reject_scalar(df, protos, engine="arrow")
     assert "MapInPandas" in auto._jdf.queryExecution().executedPlan().toString()
     a = {r["row_id"]: r["pred"] for r in auto.collect()}
     b = {r["row_id"]: r["pred"] for r in S.reject_scalar(df, protos, engine="expr").collect()}
