@@ -1,26 +1,13 @@
-"""Global dense positions without a single-partition window.
+"""Global positions and order buckets without a single-partition window.
 
 ``Window.orderBy(...)`` with no partition pulls every row into one task.
-``dense_index`` instead:
-
-1. cuts the first order column into ``n_buckets`` ranges at approximate
-   quantiles (one distributed sketch aggregation; the bounds are literals, so
-   recomputation after an executor loss gives the same buckets);
-2. counts rows per bucket (partial aggregation; the result has one row per
-   bucket) and turns the counts into offsets on the driver;
-3. numbers rows inside each bucket with a window partitioned by bucket and
-   adds the bucket's offset.
-
-The result equals ``row_number() over (order by order_cols) - 1`` exactly.
-Buckets are balanced by the quantiles, so no task holds more than about
-N / n_buckets rows unless a single value of the first order column repeats
-that often (order keys here are unique ids or hashes of them).
-
-The bucket count follows the data, not the shuffle setting: about
-``TARGET_BUCKET_ROWS`` rows per bucket (at least ``MIN_BUCKETS``), with a
-quantile sketch whose rank error is finer than one bucket.  Up to 64 buckets
-the assignment is a codegen'd comparison tree; beyond that it is Spark ML's
-``Bucketizer`` (a JVM binary search over the bounds).
+``dense_index`` range-partitions on the whole order key instead and adds
+partition offsets to places; ``quantile_buckets`` cuts a numeric key at
+approximate quantiles (one distributed sketch; the bounds are literals, so
+recomputation after an executor loss gives the same buckets).  The bucket
+count follows the data: about ``TARGET_BUCKET_ROWS`` rows per bucket.  Up to
+64 buckets the assignment is a codegen'd comparison tree; beyond that it is
+Spark ML's ``Bucketizer`` (a JVM binary search over the bounds).
 """
 
 from __future__ import annotations
@@ -30,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
 TARGET_BUCKET_ROWS = 2_000_000
 MIN_BUCKETS = 8
@@ -76,17 +64,24 @@ def _bucket_expr(k: Column, bounds: list[float]) -> Column:
 
 def dense_index(df: DataFrame, order_cols: Sequence[Column | str], out_col: str = "pos",
                 n_buckets: int | None = None) -> DataFrame:
+    """``row_number() over (order by order_cols) - 1`` of every row.
+
+    One range partition on the whole order key (any type; a value of the first
+    column that repeats is split by the others), sorted inside and
+    checkpointed; the row's place in its partition and the running sum of the
+    partition sizes (one row per partition) give the position.
+    """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tmp = quantile_buckets(df, cols[0], "_db", n_buckets)
-    counts = {r["_db"]: r["n"] for r in
-              tmp.groupBy("_db").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per bucket
-    offsets, acc = [], 0
-    for b in range(max(counts, default=0) + 1):
-        offsets.append(acc)
-        acc += counts.get(b, 0)
-    spark = df.sparkSession
-    off = spark.createDataFrame(list(enumerate(offsets)), "_db int, _off long")
-    w = Window.partitionBy("_db").orderBy(*cols)
-    return (tmp.join(F.broadcast(off), "_db")
-            .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_db", "_off"))
+    keyed = df.select("*", *[c.alias(f"_dk{i}") for i, c in enumerate(cols)])
+    keys = [f"_dk{i}" for i in range(len(cols))]
+    parts = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(*keys)
+                       .withColumn("_dm", F.monotonically_increasing_id()))
+    # the id's upper bits number the partition, its lower 33 bits the row inside
+    numbered = rows.withColumn("_db", F.shiftright("_dm", 33)).withColumn("_di", F.col("_dm").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("_db").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.groupBy("_db").agg(F.count(F.lit(1)).alias("_dn"))
+               .select("_db", F.coalesce(F.sum("_dn").over(before), F.lit(0)).alias("_off")))
+    # as many rows as partitions were asked for above
+    return (numbered.join(F.broadcast(offsets), "_db")
+            .withColumn(out_col, (F.col("_off") + F.col("_di")).cast("long")).drop("_db", "_di", "_dm", "_off"))

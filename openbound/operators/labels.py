@@ -169,6 +169,9 @@ def block_one_hot(task_cols: list[str], task_sizes: list[int]) -> Column:
                                             F.lit(0)))
 
 
-def head_slice(df: DataFrame, n: int, index_col: str = "row_id") -> DataFrame:
-    """The first n rows by position (an ordered slice, not a bare limit)."""
-    return df.filter(F.col(index_col) < int(n))
+def head_slice(df: DataFrame, n: int, order_cols: list[str], index_col: str = "pos") -> DataFrame:
+    """The first ``n`` rows in order with their position: an ordered limit (every task
+    passes on its first n), numbered afterwards, so only n rows are ever sorted in one place."""
+    head = df.orderBy(*order_cols).limit(int(n))
+    w = Window.orderBy(*order_cols)
+    return head.withColumn(index_col, (F.row_number().over(w) - 1).cast("long"))

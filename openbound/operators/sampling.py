@@ -1,4 +1,4 @@
-"""Sampling and batching.
+"""Sampling and batching (B1, B2).
 
 All orderings are seeded functions of the row id (``mix_key``), so a sample
 or a batch assignment is reproducible and survives recomputation.
@@ -14,7 +14,6 @@ from .indexing import dense_index
 
 MIN_SALTS = 8
 TARGET_CELL_ROWS = 2_000_000
-MAX_CLASSES = 1_000_000
 
 
 def balanced_sample(df: DataFrame, class_col: str, k: int, seed: int = 42,
@@ -25,23 +24,18 @@ def balanced_sample(df: DataFrame, class_col: str, k: int, seed: int = 42,
     The k rows with the smallest seeded key are kept per class.  Top-k is
     decomposable, so it runs in two window passes: first per (class, salt),
     which splits a hot class over many tasks, then per class over at most
-    ``salts * k`` survivors.  The per-class counts (one partial aggregation,
-    one row per class to the driver) size the salts -- about
-    ``TARGET_CELL_ROWS`` rows per (class, salt) cell for the largest class --
-    and serve the ``strict`` check: like the reference, a class with fewer
-    than k rows is an error.
+    ``salts * k`` survivors.  Of the per-class counts only the smallest and the
+    largest reach the driver: the largest sizes the salts (about
+    ``TARGET_CELL_ROWS`` rows per (class, salt) cell), the smallest serves the
+    ``strict`` check: like the reference, a class with fewer than k rows is an
+    error.
     """
-    counts = (df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
-              .limit(MAX_CLASSES + 1).collect())
-    if len(counts) > MAX_CLASSES:
-        raise ValueError("too many classes for a balanced sample")
-    if strict:
-        short = [r for r in counts if r["_n"] < k]
-        if short:
-            raise ValueError(f"class {short[0][class_col]!r} has {short[0]['_n']} rows < {k}")
+    sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
+    smallest, biggest = sizes.agg(F.min(F.struct("_n", class_col)), F.max("_n")).first()
+    if strict and smallest is not None and smallest["_n"] < k:
+        raise ValueError(f"class {smallest[class_col]!r} has {smallest['_n']} rows < {k}")
     if salt_buckets is None:
-        biggest = max((r["_n"] for r in counts), default=0)
-        salt_buckets = max(MIN_SALTS, -(-biggest // TARGET_CELL_ROWS))
+        salt_buckets = max(MIN_SALTS, -(-(biggest or 0) // TARGET_CELL_ROWS))
     key = mix_key(id_col, seed)
     keyed = df.withColumn("_bk", key).withColumn("_bs", F.pmod(F.xxhash64(id_col), F.lit(salt_buckets)))
     w1 = Window.partitionBy(class_col, "_bs").orderBy("_bk", id_col)
@@ -61,37 +55,3 @@ def shuffled_batches(df: DataFrame, batch_size: int, seed: int, id_col: str = "r
     idx = dense_index(df.withColumn("_bk", mix_key(id_col, seed)), ["_bk", id_col], "_pos")
     return (idx.withColumn(out_col, F.floor(F.col("_pos") / F.lit(int(batch_size))).cast("long"))
             .drop("_bk", "_pos"))
-
-
-def distributed_shards(df: DataFrame, num_replicas: int, seed: int | None = None,
-                       id_col: str = "row_id", out_col: str = "shard") -> DataFrame:
-    """The distributed sampler's disjoint shards.
-
-    Positions (seeded order if ``seed`` is given, id order otherwise) are
-    padded to a multiple of ``num_replicas`` by repeating the first ones;
-    shard = padded position mod num_replicas.  Padded copies are marked
-    ``padded = true``; fewer than ``num_replicas`` rows are repeated.
-    """
-    order = [mix_key(id_col, seed), F.col(id_col)] if seed is not None else [F.col(id_col)]
-    idx = dense_index(df, order, "_pos")
-    n = df.count()                               # a plain scan, not the windowed plan
-    w = int(num_replicas)
-    pad = (-n) % w
-    main = idx.withColumn(out_col, (F.col("_pos") % w).cast("int")).withColumn("padded", F.lit(False))
-    extra = (idx.filter(F.col("_pos") < pad)
-             .withColumn(out_col, ((F.col("_pos") + F.lit(n)) % w).cast("int"))
-             .withColumn("padded", F.lit(True)))
-    return main.unionByName(extra).drop("_pos")
-
-
-def worker_slices(df: DataFrame, num_workers: int, index_col: str = "row_id",
-                  out_col: str = "worker") -> DataFrame:
-    """Contiguous slices of ``N div w`` rows by position; the remainder
-    (positions >= w * (N div w)) is dropped, as in the reference."""
-    idx = dense_index(df, [index_col], "_pos")
-    n = df.count()                               # a plain scan, not the windowed plan
-    size = n // int(num_workers)
-    if size == 0:
-        return idx.limit(0).withColumn(out_col, F.lit(0)).drop("_pos")
-    out = idx.withColumn(out_col, F.floor(F.col("_pos") / F.lit(size)).cast("int"))
-    return out.filter(F.col(out_col) < int(num_workers)).drop("_pos")

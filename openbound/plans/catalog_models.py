@@ -114,23 +114,22 @@ def q_s7_s8_tsv_round_trip(spark, sf):
 
 
 def q_s1_s3_line_files_round_trip(spark, sf):
-    """Write documents (label = source, text normalised to one line) in the
-    reference layout, then load all three splits back through the CSV line
+    """Write documents (label = source, raw text with its commas and quotes, line breaks as
+    spaces) in the reference layout, then load all three splits back through the CSV line
     reader (S1), positional pairing (S2) and the split union (S3); the
     vocabulary file is read back with S4."""
     import uuid
 
-    from ..functions.text import normalize_rows
     from ..operators import labels as L
     from ..session import ensure_checkpoint_dir
     from ..sources import exports as EX
     from ..sources import lines as SL
-    docs = normalize_rows(views.document_splits(spark, sf), "text")
+    docs = views.document_splits(spark, sf).withColumn("text", F.regexp_replace("text", "[\r\n]+", " "))
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
     EX.write_line_files(docs, base, vocab=L.vocab_first_seen(docs))
     back = SL.load_splits(spark, base)
     vocab = SL.read_vocabulary(spark, f"{base}/intent_label.txt")
-    return back.join(F.broadcast(vocab), "label").select("split", "row_id", "label", "pos", "text")
+    return back.join(vocab, "label").select("split", "row_id", "label", "pos", "text")
 
 
 def q_r5_label_text(spark, sf):

@@ -15,7 +15,6 @@ from ..operators import epochs as EP
 from ..operators import labels as L
 from ..operators import loss as LS
 from ..operators import sampling as SM
-from ..operators.indexing import dense_index
 from ..sources.lines import zip_by_position
 from . import views
 from .catalog import _r, emb_setup
@@ -103,32 +102,20 @@ def q_b2_batches(spark, sf):
     return SM.shuffled_batches(tr.select("row_id"), BATCH, seed=0)
 
 
-def q_b3_shards(spark, sf):
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
-    return SM.distributed_shards(d, 3)
-
-
-def q_b4_worker_slices(spark, sf):
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
-    return SM.worker_slices(d, 3)
-
-
 def q_p17_head_slice(spark, sf):
     e = views.embedding_splits(spark, sf).select("row_id")
-    idx = dense_index(e, ["row_id"], "pos")
-    return L.head_slice(idx, 117, "pos")
+    return L.head_slice(e, 117, ["row_id"])
 
 
 # ----------------------------------------------------------------- epochs ---
 
 def q_m6_running_mean(spark, sf):
-    """Running sum and count (the mean is their ratio).  The mean itself is
-    not emitted for the SQL check: means of 2-decimal scores over 2^k rows
-    end exactly on a rounding tie at the 6th place, where the last bit of
-    any summation order decides the rounded digit."""
-    m = views.epoch_metrics(spark, sf)
-    r = EP.running_mean(m, ["run_id"], "epoch", "valid_f1", keep_parts=True)
-    return r.select("run_id", "epoch", _r(F.col("running_sum"), "running_sum"), "running_count")
+    """Running mean, sum and count.  Scores have two decimals: they enter as whole hundredths, so
+    sums are exact integers whatever the order, and the mean is one division."""
+    m = views.epoch_metrics(spark, sf).withColumn("hundredths", F.round(F.col("valid_f1") * 100).cast("long"))
+    r = EP.running_mean(m, ["run_id"], "epoch", "hundredths", keep_parts=True)
+    return r.select("run_id", "epoch", F.col("running_sum").cast("long").alias("running_sum"), "running_count",
+                    (F.col("running_mean") / 100).alias("running_mean"))
 
 
 def q_m7_best_epoch(spark, sf):

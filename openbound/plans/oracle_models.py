@@ -143,7 +143,7 @@ WITH e AS (
   SELECT doc_id AS row_id,
          CASE WHEN (doc_id // 20) % 10 < 7 THEN 'train' WHEN (doc_id // 20) % 10 = 7 THEN 'valid'
               ELSE 'test' END AS split,
-         source AS label, regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g') AS text
+         source AS label, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text
   FROM documents),
 vocab AS (
   SELECT CAST(row_number() OVER (ORDER BY min(row_id), label) - 1 AS INTEGER) AS pos, label

@@ -66,23 +66,14 @@ SELECT row_id, label FROM (
   SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {mix_sql('row_id', 42)}, row_id) AS rn
   FROM e) WHERE rn <= 30""",
     "b2_batches": emb(BT) + "SELECT row_id, CAST(batch AS BIGINT) AS batch FROM bt",
-    "b3_shards": """
-WITH p AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
-c AS (SELECT count(*) AS n FROM p)
-SELECT row_id, CAST(pos % 3 AS INTEGER) AS shard, false AS padded FROM p
-UNION ALL
-SELECT row_id, CAST((pos + n) % 3 AS INTEGER) AS shard, true AS padded FROM p, c WHERE pos < (3 - n % 3) % 3""",
-    "b4_worker_slices": """
-WITH p AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
-c AS (SELECT count(*) // 3 AS size FROM p)
-SELECT row_id, CAST(pos // size AS INTEGER) AS worker FROM p, c WHERE pos // size < 3""",
     "p17_head_slice": """
 SELECT row_id, pos FROM (SELECT vec_id AS row_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)
 WHERE pos < 117""",
     # ----------------------------------------------------------------- epochs
     "m6_running_mean": """
 SELECT user_id AS run_id, event_id AS epoch,
-       round(sum(value) OVER w, 6) AS running_sum, count(value) OVER w AS running_count
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS running_sum, count(value) OVER w AS running_count,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS DOUBLE) / count(value) OVER w / 100 AS running_mean
 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "m7_best_epoch": """

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prototypes import Prototypes
 from ..session import cut_lineage
-from .lines import line_index, _with_file_pos
+from .lines import _with_file_pos, csv_field, line_index
 
 
 def export_embeddings(df: DataFrame, path: str, run_id: str, epoch: int, split: str,
@@ -41,8 +41,9 @@ def export_embeddings(df: DataFrame, path: str, run_id: str, epoch: int, split:
 
 def read_embeddings(spark: SparkSession, path: str, run_id: str | None = None,
                     epoch: int | None = None, split: str | None = None) -> DataFrame:
-    """S11-style read of S7 parquet with partition pruning."""
-    df = spark.read.parquet(path)
+    """S11-style read of S7 parquet with partition pruning (partition names are text: run ``1``
+    is not run ``01``)."""
+    df = spark.read.schema("row_id long, y int, embedding array<double>, run_id string, epoch int, split string").parquet(path)
     for col, val in (("run_id", run_id), ("epoch", epoch), ("split", split)):
         if val is not None:
             df = df.filter(F.col(col) == val)
@@ -74,15 +75,18 @@ def write_line_files(df: DataFrame, base: str, splits=("train", "valid", "test")
                      label_col: str = "label", text_col: str = "text", order_col: str = "row_id",
                      vocab: DataFrame | None = None) -> None:
     """The reference's dataset layout: ``{base}/{split}/label`` and
-    ``{split}/seq.in`` paired by line, plus ``intent_label.txt`` (vocab order)."""
+    ``{split}/seq.in`` paired by line, plus ``intent_label.txt`` (vocab order);
+    fields are quoted where CSV asks for it.  All splits are prepared once:
+    one range sort by (split, order), one checkpoint."""
+    rows = cut_lineage(df.filter(F.col("split").isin(*splits)).select("split", order_col, label_col, text_col)
+                       .orderBy("split", order_col))
     for sp in splits:
-        part = cut_lineage(df.filter(F.col("split") == sp).select(order_col, label_col, text_col)
-                           .orderBy(order_col))
-        part.select(F.col(label_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/label")
-        part.select(F.col(text_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/seq.in")
+        part = rows.filter(F.col("split") == sp)
+        part.select(csv_field(label_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/label")
+        part.select(csv_field(text_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/seq.in")
     if vocab is not None:
         v = cut_lineage(vocab.select("pos", "label").orderBy("pos"))
-        v.select(F.col("label").alias("value")).write.mode("overwrite").text(f"{base}/intent_label.txt")
+        v.select(csv_field("label").alias("value")).write.mode("overwrite").text(f"{base}/intent_label.txt")
 
 
 def write_split_tsv(df: DataFrame, path: str, text_col: str = "text", label_col: str = "label",
@@ -113,13 +117,18 @@ def save_bundle(protos: Prototypes, known: DataFrame, config: Mapping[str, objec
 
 def load_bundle(spark: SparkSession, path: str, dataset: str, ratio: float, run: str):
     """``(Prototypes, known DataFrame, config dict)`` of one run (partition filters)."""
+    # schemas are given: inferred partition types would merge the runs 1 and 01
+    schemas = {"prototypes": "cls int, proxy array<double>, margin double, margin_vec array<double>, radius double",
+               "known_labels": "cls int, label string", "run_config": "key string, value string"}
+
     def get(name: str) -> DataFrame:
-        return (spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        return (spark.read.schema(schemas[name] + ", dataset string, ratio string, run string").parquet(f"{path.rstrip('/')}/{name}")
                 .filter((F.col("dataset") == dataset) & (F.col("ratio") == str(ratio)) & (F.col("run") == run))
                 .drop("dataset", "ratio", "run"))
 
     protos = Prototypes.from_frame(get("prototypes"))
-    cfg = {r["key"]: json.loads(r["value"]) for r in get("run_config").limit(10_000).collect()}
+    # one row per setting that save_bundle was given
+    cfg = {r["key"]: json.loads(r["value"]) for r in get("run_config").collect()}
     return protos, get("known_labels"), cfg
 
 

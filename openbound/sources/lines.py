@@ -4,31 +4,30 @@ The reference stores each split as two parallel files, ``label`` and
 ``seq.in``, paired purely by line number.  Spark rows have no line number, so
 ``line_index`` derives an exact one from the file metadata:
 
-* every row knows its file (``_metadata.file_path``), the start of its split
+* every row gets its file (``_metadata.file_path``), the start of its split
   (``_metadata.file_block_start``) and a per-task increasing id
-  (``monotonically_increasing_id``), which is increasing in line order inside
-  one split;
-* one partial aggregation gives, per (file, split), its row count and first
-  id -- a table with one row per split, collected to the driver and turned
-  into offsets in (file, split) order;
+  (``monotonically_increasing_id``), which increases in line order inside one
+  split; this frame is checkpointed *before* anything is counted, so a later
+  change of the split size cannot separate rows from their counts;
+* one aggregation of the frozen frame gives, per (file, split), its row count
+  and first id; a running sum over that table (one row per split) gives the
+  offsets in (file, split) order;
 * line = offset(file, split) + (id - first id of the split).
 
-Everything stays distributed; reading the same files again yields the same
-splits and ids, so the numbering is stable under recomputation.  Two files
-are then zipped with an equi-join on the line number, after checking that
-their counts agree (the reference would silently misalign them).
+Two files are zipped with an equi-join on the line number, after checking
+that their counts agree (the reference would silently misalign them).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_line
 from ..operators.indexing import dense_index
+from ..session import cut_lineage
 
 
 def _with_file_pos(df: DataFrame) -> DataFrame:
@@ -37,32 +36,29 @@ def _with_file_pos(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_lm"))
 
 
-_PART = re.compile(r"^(.*/)?part-(\d+)(.*)$")
+#: Order of files: Spark part files by their numeric index (``part-100000``
+#: after ``part-99999``), anything else by name.
+_PART = r"^(.*/)part-([0-9]+)([^/]*)$"
 
 
-def _file_order(path: str):
-    """Order of files: Spark part files by their numeric index (``part-100000``
-    after ``part-99999``), anything else by name."""
-    m = _PART.match(path)
-    if m:
-        return (m.group(1) or "", 0, int(m.group(2)), m.group(3))
-    return (path.rsplit("/", 1)[0] if "/" in path else "", 1, 0, path)
+def _file_order() -> list[Column]:
+    f = F.col("_lf")
+    number = F.regexp_extract(f, _PART, 2)
+    folder = F.regexp_extract(f, "^(.*/)[^/]*$", 1)
+    return [folder, number == "", F.when(number != "", number.cast("decimal(38,0)")), f]
 
 
 def line_index(df_with_meta: DataFrame, out_col: str = "row_id") -> tuple[DataFrame, int]:
     """Number the rows of a freshly read file DataFrame by line; returns (df, count)."""
-    blocks = (df_with_meta.groupBy("_lf", "_lb")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_lm").alias("_m0")).collect())
-    blocks = sorted(blocks, key=lambda r: (_file_order(r["_lf"]), r["_lb"]))
-    rows, acc = [], 0
-    for r in blocks:
-        rows.append((r["_lf"], int(r["_lb"]), int(r["_m0"]), acc))
-        acc += int(r["_n"])
-    spark = df_with_meta.sparkSession
-    offsets = spark.createDataFrame(rows, "_lf string, _lb long, _m0 long, _off long")
-    out = df_with_meta.join(F.broadcast(offsets), ["_lf", "_lb"])
+    rows = cut_lineage(df_with_meta)
+    blocks = rows.groupBy("_lf", "_lb").agg(F.count(F.lit(1)).alias("_n"), F.min("_lm").alias("_m0"))
+    before = Window.orderBy(*_file_order(), "_lb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(blocks.select("_lf", "_lb", "_n", "_m0",
+                                        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    out = rows.join(offsets.drop("_n"), ["_lf", "_lb"])
     out = out.withColumn(out_col, F.col("_off") + F.col("_lm") - F.col("_m0"))
-    return out.drop("_lf", "_lb", "_lm", "_m0", "_off"), acc
+    return out.drop("_lf", "_lb", "_lm", "_m0", "_off"), int(total)
 
 
 def read_lines(spark: SparkSession, path: str, strip: bool = False) -> tuple[DataFrame, int]:
@@ -73,22 +69,34 @@ def read_lines(spark: SparkSession, path: str, strip: bool = False) -> tuple[Dat
     return df.select("row_id", v.alias("value")), n
 
 
+QUOTED = r'^"((?:[^"]|"")*+)"([^,]*)\z'
+
+
+def csv_field(value: Column | str) -> Column:
+    """The text as a one-field CSV line: quoted if a comma or a quote asks for it."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(c.contains(",") | c.contains('"'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def read_first_field(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """S1 ``csv`` mode: first CSV field of every non-blank line, quotes honoured.
 
     Like the reference's CSV read, a quoted ``"a, b"`` becomes ``a, b`` and
-    blank lines are skipped.  A line with an unquoted comma has more fields
-    than the first; the reference raises there, and so does this reader
-    (instead of silently truncating at the comma).
+    blank lines are skipped.  A line with a comma outside quotes has more
+    fields than the first, empty ones included; the reference raises there,
+    and so does this reader.  A quoted field must end on its line.
     """
-    raw = (spark.read.option("quote", '"').option("escape", '"').option("header", "false")
-           .option("mode", "PERMISSIVE").schema("value string, _extra string").csv(path))
-    df = _with_file_pos(raw)
-    df, n = line_index(df)
-    bad = df.filter(F.col("_extra").isNotNull()).select("row_id").limit(1).collect()
-    if bad:
-        raise ValueError(f"{path}: line {bad[0]['row_id']} has more fields than the first line")
-    return df.select("row_id", "value"), n
+    line = F.col("value")
+    quoted = line.startswith('"')
+    field = F.when(quoted & line.rlike(QUOTED), F.concat(
+        F.replace(F.regexp_extract(line, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(line, QUOTED, 2))).when(
+        ~quoted & ~line.contains(","), line)
+    raw = _with_file_pos(spark.read.text(path).filter(F.trim(F.regexp_replace("value", "\t", " ")) != ""))
+    df, n = line_index(raw.withColumn("_field", field))
+    bad = df.filter(F.col("_field").isNull()).agg(F.min("row_id")).first()[0]
+    if bad is not None:
+        raise ValueError(f"{path}: line {bad} has more fields than the first line, or a quoted field that does not end")
+    return df.select("row_id", F.col("_field").alias("value")), n
 
 
 def read_text_column(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[DataFrame, int]:
