@@ -417,7 +417,8 @@ def _align_pages(frames):
         if len(held) > HELD_HOSTS:
             yield pd.DataFrame({"host": list(held), "wrapper": [_dump(w) for w in held.values()]})
             held = {}
-    yield pd.DataFrame({"host": list(held), "wrapper": [_dump(w) for w in held.values()]}, columns=["host", "wrapper"])
+    if held:
+        yield pd.DataFrame({"host": list(held), "wrapper": [_dump(w) for w in held.values()]})
 
 
 def _align_wrappers(frames):
@@ -431,7 +432,8 @@ def _align_wrappers(frames):
                     done.append((host, _dump(wrapper)))
                 host, wrapper = h, None
             wrapper = add_page(wrapper, json.loads(w))
-        yield pd.DataFrame(done, columns=["host", "wrapper"])
+        if done:
+            yield pd.DataFrame(done, columns=["host", "wrapper"])
     if wrapper is not None:
         yield pd.DataFrame([(host, _dump(wrapper))], columns=["host", "wrapper"])
 

@@ -70,3 +70,8 @@ def test_query_rows(spark):
     assert got == sorted(((str(i), u, "" if i in (100, 101) else want[0 if i is None else i]) for i, u, _ in rows), key=str)
     assert H.extract_pages(df.limit(0)).count() == 0
     assert H.infer_wrappers(df).count() == 4
+
+
+def test_partitions_without_rows(spark):
+    df = spark.createDataFrame([(1, "http://a", "<article>x</article>", "a", "b", 1, 2)], PAGES).repartition(5)
+    assert [r["text"] for r in H.extract_pages(df.filter("page_id > 0")).collect()] == ["x"]
