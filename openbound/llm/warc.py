@@ -1,6 +1,6 @@
 """WARC archives as a PySpark data source: ``spark.read.format("warc")``, ``df.write.format("warc")``.
 
-Reading plans one input partition per stretch of an archive file.  Archives are gzip members,
+Reading plans one input partition per stretch of an archive file (the driver lists files, no more).  Archives are gzip members,
 one per record, with a side index (``.idx``) of member offsets, record types and targets; a
 file without an index is one partition.  Predicates on ``warc_type`` and on header columns are
 pushed down: the index drops records without touching the archive, the parsed header drops the
@@ -197,9 +197,9 @@ def scan(data: memoryview, wanted: dict[str, set], payload: bool, offsets: list[
 @dataclass
 class Stretch(InputPartition):
     path: str
-    start: int
+    start: int        # records that begin in start..end, by the index
     end: int
-    offsets: list[int] | None
+    indexed: bool
 
 
 class WarcReader(DataSourceReader):
@@ -224,34 +224,31 @@ class WarcReader(DataSourceReader):
         indexes = {p for p, _ in files.listing(base, ".idx")}
         for path, size in sorted(names.items()):
             uri = base.rstrip("/") + "/" + path.rsplit("/", 1)[1]
-            if path + ".idx" not in indexes:
-                out.append(Stretch(uri, 0, size, None))
-                continue
-            entries = [json.loads(x) for x in files.get(uri + ".idx").splitlines()]
-            group: list[int] = []
-            first = 0
-            for e, nxt in zip(entries, [*(x["at"] for x in entries[1:]), size]):
-                if all(e.get(c) in v for c, v in self.wanted.items() if c in INDEXED):
-                    if not group:
-                        first = e["at"]
-                    group.append(e["at"] - first)
-                    last = nxt
-                if group and nxt - first >= split:
-                    out.append(Stretch(uri, first, last, group))
-                    group = []
-            if group:
-                out.append(Stretch(uri, first, last, group))
-        return out or [Stretch("", 0, 0, [])]
+            indexed = path + ".idx" in indexes
+            step = split if indexed else max(size, 1)
+            out += [Stretch(uri, at, min(at + step, size), indexed) for at in range(0, size, step)]
+        return out or [Stretch("", 0, 0, False)]
 
     def read(self, partition: Stretch):
         if not partition.path:
             return
+        start, end, offsets = partition.start, partition.end, None
+        if partition.indexed:
+            # the file's own index (a file is closed at a fixed size) tells what to skip unread
+            entries = [json.loads(x) for x in files.get(partition.path + ".idx").splitlines()]
+            ends = [*(x["at"] for x in entries[1:]), None]
+            mine = [(e["at"], z) for e, z in zip(entries, ends) if start <= e["at"] < end
+                    and all(e.get(c) in v for c, v in self.wanted.items() if c in INDEXED)]
+            if not mine:
+                return
+            start, end = mine[0][0], mine[-1][1]
+            offsets = [at - start for at, _ in mine]
         fs, path = files.filesystem(partition.path)
         with fs.open_input_file(path) as f:
-            data = memoryview(f.read_at(partition.end - partition.start, partition.start))
+            data = memoryview(f.read_at((f.size() if end is None else end) - start, start))
         payload = str(self.options.get("payload", "true")).lower() == "true"
         rows, held = [], 0
-        for row in scan(data, self.wanted, payload, partition.offsets):
+        for row in scan(data, self.wanted, payload, offsets):
             rows.append(row)
             held += len(row[-1] or b"")
             if len(rows) == 2000 or held > 16 << 20:

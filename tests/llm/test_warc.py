@@ -41,13 +41,13 @@ def test_round_trip(spark, tmp_path):
 def test_pushdown_and_splits(spark, tmp_path):
     folder = str(tmp_path / "w")
     W.write_archive(W.dedup_payloads(_pages(spark, ROWS)), folder, file_bytes=600)
-    r = W.WarcReader({"path": folder, "splitbytes": "1"}, None)
+    r = W.WarcReader({"path": folder, "splitbytes": "40"}, None)
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
     rest = list(r.pushFilters([EqualTo(("warc_type",), "revisit"), In(("target_uri",), ("http://a/1", "http://e")),
                                GreaterThan(("payload_length",), 3)]))
     assert len(rest) == 1
     parts = r.partitions()
-    assert sum(len(p.offsets) for p in parts) == 2
+    assert len(parts) > len(ROWS)
     rows = [x for p in parts for b in r.read(p) for x in b.to_pylist()]
     assert {x["target_uri"] for x in rows} == {"http://a/1", "http://e"}
     df = W.read_archive(spark, folder).filter("warc_type = 'response' AND target_uri = 'http://d'")
