@@ -38,9 +38,11 @@ def _col(c) -> Column:
 
 
 def html_unescape(c) -> Column:
-    """HTML entities -> characters (Python's full entity table)."""
+    """HTML entities -> characters (Python's full entity table).  A pandas UDF under ``CASE
+    WHEN`` is evaluated for every row, so text without ``&`` goes in as NULL and comes from the
+    column itself: one scan, and such text never leaves the JVM."""
     c = _col(c)
-    return F.when(c.contains("&"), _unescape_batch(c)).otherwise(c)
+    return F.coalesce(_unescape_batch(F.when(c.contains("&"), c)), c)
 
 
 def collapse_to_space(c) -> Column:
@@ -49,27 +51,13 @@ def collapse_to_space(c) -> Column:
 
 
 def unescape_rows(df, col: str, out_col: str | None = None):
-    """P1 on a frame: only rows containing ``&`` cross into Python.
-
-    (A pandas UDF under ``CASE WHEN`` is still evaluated for every row, so
-    the split is done on the frame: the two halves are unioned back.)
-    """
-    out_col = out_col or col
-    has = F.col(col).contains("&")
-    py = df.filter(has).withColumn(out_col, _unescape_batch(F.col(col)))
-    jvm = df.filter(~has | F.col(col).isNull()).withColumn(out_col, F.col(col))
-    return py.unionByName(jvm)
+    """P1 on a frame."""
+    return df.withColumn(out_col or col, html_unescape(col))
 
 
 def normalize_rows(df, col: str, out_col: str | None = None):
-    """P1-P3 on a frame (see :func:`unescape_rows`)."""
-    out_col = out_col or col
-    return unescape_rows(df, col, out_col).withColumn(out_col, collapse_to_space(out_col))
-
-
-def normalize_string(c, unescape: bool = True) -> Column:
-    c = _col(c)
-    return collapse_to_space(html_unescape(c) if unescape else c)
+    """P1-P3 on a frame."""
+    return df.withColumn(out_col or col, collapse_to_space(html_unescape(col)))
 
 
 def strip_line(c) -> Column:

@@ -3,12 +3,13 @@
 The reference runs a transformer and mean-pools its token vectors over all
 ``max_len`` positions, padding included (V9).  Here:
 
-* ``hashed_embedding``: the built-in encoder that needs no model.  Token id t
-  maps to a fixed pseudo-random sign vector ``e(t)_j = +-1`` (a pure function
-  of (t, j, seed)); the text embedding is the V9 mean of e over the
-  ``max_len`` encoded positions.  All JVM expressions, per row, no shuffle;
-* ``mean_pool``: V9 for any ``ARRAY<ARRAY<DOUBLE>>`` of token vectors, with an
-  optional mask (the reference does not mask);
+* ``embed_text``: the built-in encoder that needs no model (R2).  A token maps
+  to a fixed pseudo-random sign vector, bit j of a hash of the token itself;
+  a text's embedding is the mean over *all* its tokens.  One explode and one
+  partial aggregation, JVM expressions only;
+* ``sign_component`` / ``mean_pool``: token-id vectors and V9 for any
+  ``ARRAY<ARRAY<DOUBLE>>`` of token vectors, with an optional mask (the
+  reference does not mask);
 * ``embed_with``: the hook for a real encoder (e.g. an ONNX model): a
   ``mapInPandas`` over Arrow batches; the user's ``load`` runs once per Python
   worker and ``encode(list[str]) -> ndarray`` once per batch.
@@ -29,46 +30,30 @@ def sign_component(token: Column, j: Column, dim: int, seed: int) -> Column:
     return F.lit(1.0) - F.lit(2.0) * (mix_key(token.cast("long") * F.lit(int(dim)) + j, seed) % 2).cast("double")
 
 
-def hashed_embedding(ids_col: str = "input_ids", dim: int = 64, seed: int = 0) -> Column:
-    """V9 mean over positions of the token sign vectors -> ``ARRAY<DOUBLE>[dim]``."""
-    ids = F.col(ids_col)
-    n = F.size(ids).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(int(dim) - 1)), lambda j: F.aggregate(
-        ids, F.lit(0.0), lambda acc, t: acc + sign_component(t, j, dim, seed)) / n)
+# bits of the token hash that one block of dimensions uses (15 hexadecimal digits)
+BLOCK_BITS = 60
 
 
-ARROW_MIN_DIM = 128
+def token_bits(token: Column, block: int) -> Column:
+    """60 hash bits of a token for dimensions ``60 * block`` and on (MD5, so SQL can follow)."""
+    digest = F.md5(F.concat(token, F.lit(f":{block}")))
+    return F.conv(F.substring(digest, 1, BLOCK_BITS // 4), 16, 10).cast("long")
 
 
-def _signs_numpy(ids, dim: int, seed: int):
-    """Numpy twin of :func:`sign_component` for an (n, L) id block -> (n, L, dim)."""
-    from ..functions.ordering import MIX_A, MIX_B, MIX_MOD
+def embed_text(df: DataFrame, key_col: str, tokens_col: str = "tokens", dim: int = 64, out_col: str = "x") -> DataFrame:
+    """R2: ``(key, x ARRAY<DOUBLE>[dim])``, the mean sign vector of all tokens of a key (rows that
+    share a key are one text; no tokens: the zero vector).
 
-    v = ids.astype("int64")[:, :, None] * int(dim) + np.arange(int(dim), dtype="int64")[None, None, :]
-    h = ((v % MIX_MOD) * MIX_A + ((v // MIX_MOD) % MIX_MOD) * MIX_B + int(seed) % MIX_MOD) % MIX_MOD
-    return 1.0 - 2.0 * (h % 2)
-
-
-def embed_hashed(df: DataFrame, ids_col: str = "input_ids", dim: int = 64, seed: int = 0,
-                 out_col: str = "x", engine: str = "auto", chunk_rows: int = 256) -> DataFrame:
-    """R2 on a frame: expressions for narrow vectors, numpy over Arrow batches
-    (chunked, same arithmetic) once ``dim >= ARROW_MIN_DIM``."""
-    if engine == "expr" or (engine == "auto" and dim < ARROW_MIN_DIM):
-        return df.withColumn(out_col, hashed_embedding(ids_col, dim, seed))
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-    schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
-
-    def run(batches):
-        for pdf in batches:
-            vecs = []
-            ids_all = pdf[ids_col].to_numpy()
-            for i in range(0, len(pdf), chunk_rows):
-                block = np.stack(ids_all[i:i + chunk_rows])
-                vecs.extend(_signs_numpy(block, dim, seed).mean(axis=1).tolist())
-            pdf[out_col] = vecs
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+    The sums of a row are complete in the task that reads it; only one row per key and task is
+    shuffled, however long a text is."""
+    dim = int(dim)
+    tokens = df.select(key_col, F.explode_outer(tokens_col).alias("_t"))
+    for b in range(-(-dim // BLOCK_BITS)):
+        tokens = tokens.withColumn(f"_h{b}", token_bits(F.col("_t"), b))
+    ones = [F.sum(F.shiftright(F.col(f"_h{j // BLOCK_BITS}"), j % BLOCK_BITS).bitwiseAND(F.lit(1))).alias(f"_s{j}") for j in range(dim)]
+    g = tokens.groupBy(key_col).agg(F.count("_t").alias("_n"), *ones)
+    x = F.array(*[F.when(F.col("_n") > 0, (F.col("_n") - 2 * F.col(f"_s{j}")) / F.col("_n")).otherwise(0.0) for j in range(dim)])
+    return g.select(key_col, x.alias(out_col))
 
 
 def mean_pool(vectors_col: str, mask_col: str | None = None) -> Column:
@@ -85,6 +70,16 @@ def mean_pool(vectors_col: str, mask_col: str | None = None) -> Column:
         pairs, F.lit(0.0), lambda acc, p: acc + p["v"][j] * p["m"]) / n)
 
 
+def mean_pool_tokens(df: DataFrame, keys: list[str], ids_col: str = "input_ids", dim: int = 64, seed: int = 0,
+                     out_col: str = "x") -> DataFrame:
+    """V9 of the token-id sign vectors over *all* positions of a row, padding included:
+    ``(keys, x ARRAY<DOUBLE>[dim])``.  One explode and one partial aggregation: nested lambdas would
+    evaluate every token vector once per dimension."""
+    pos = df.select(*keys, F.explode(ids_col).alias("_t"))
+    g = pos.groupBy(*keys).agg(*[F.avg(sign_component(F.col("_t"), F.lit(j), dim, seed)).alias(f"_a{j}") for j in range(int(dim))])
+    return g.select(*keys, F.array(*[F.col(f"_a{j}") for j in range(int(dim))]).alias(out_col))
+
+
 def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]],
                dim: int, out_col: str = "x") -> DataFrame:
     """R2 hook: run a user encoder over Arrow batches (one model load per worker)."""
@@ -101,22 +96,24 @@ def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[s
     return df.mapInPandas(run, out_schema)
 
 
-def label_text_prototypes(label_texts: DataFrame, vocab: DataFrame, vocab_size: int, dim: int = 64,
-                          max_len: int = 50, seed: int = 0, max_classes: int = 100_000):
+def label_text_prototypes(label_texts: DataFrame, n_classes: int, dim: int = 64):
     """R5 ``label_text``: proxy of class c = the embedding of its label text.
 
-    ``label_texts(cls, text)`` holds one row per class of the label space
-    (the out-of-domain class included); encoded with R1 and embedded with the
-    hashed encoder, then brought back as a bounded prototype set.
+    ``label_texts(cls, text)`` holds the texts of every class of the label
+    space, the out-of-domain class included (several rows of a class are one
+    text).  A class without a text, or a class outside ``0..n_classes-1``, is
+    an error: ids never move.
     """
-    from .encode import encode, tokenize
+    from .encode import tokenize
     from .prototypes import Prototypes
 
-    tk = tokenize(label_texts.select(F.col("cls").alias("row_id"), "text"), "text")
-    enc = encode(tk, vocab, vocab_size, key_col="row_id", max_len=max_len)
-    rows = (enc.select("row_id", hashed_embedding("input_ids", dim, seed).alias("x"))
-            .limit(max_classes + 1).collect())
-    if len(rows) > max_classes:
-        raise ValueError("too many classes for a prototype set")
-    rows = sorted(rows, key=lambda r: r["row_id"])
-    return Prototypes(np.array([r["x"] for r in rows], dtype=float))
+    emb = embed_text(tokenize(label_texts.select("cls", "text"), "text"), "cls", dim=dim)
+    odd = emb.filter(~F.col("cls").between(0, n_classes - 1) | F.col("cls").isNull()).select("cls").head(1)
+    if odd:
+        raise ValueError(f"class {odd[0]['cls']} is outside 0..{n_classes - 1}")
+    # one row per class of the model
+    rows = {r["cls"]: r["x"] for r in emb.collect()}
+    missing = [c for c in range(n_classes) if c not in rows]
+    if missing:
+        raise ValueError(f"classes without a text: {missing[:5]}")
+    return Prototypes(np.array([rows[c] for c in range(n_classes)], dtype=float))

@@ -6,13 +6,9 @@ inner product ``x . v`` (J6 similarity join, U2 union).
 
 T6 -- class-average similarity
     per class, the mean of the non-zero dots between x and the class's index
-    vectors; argmax, lowest id on ties.  Since the dot is linear, the sum of
-    the dots is ``x . (sum of the class's index vectors)`` and the count is
-    the number of non-zero index vectors, so T6 is the nearest-by-dot rule
-    (T1) against per-class *average* vectors -- one aggregation over the
-    training rows instead of a query x train join.  A dot that is exactly 0
-    for a non-zero vector (exact orthogonality) would drop out of the
-    reference's count but not here; zero vectors are handled exactly.
+    vectors; argmax, lowest id on ties, a class without a non-zero dot never
+    wins (none at all: class 0).  Sums and non-zero counts per (query, class)
+    come exactly, block by block, from the same products as T5.
 
 T5 -- k-NN vote
     the labels of the K largest dots (ties: training rows before proxies,
@@ -39,36 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalize, safe_norm
-from . import score as S
-from .prototypes import Prototypes, class_vector_sums
+from ..functions.vectors import is_usable, l2_normalize, safe_norm
+from .prototypes import Prototypes
 
 BLOCK_ROWS = 20_000
+QUERY_ROWS = 1_000        # queries multiplied with the broadcast index at a time
 INDEX_BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
-def class_average_vectors(train: DataFrame, protos: Prototypes, x_col: str = "x",
-                          y_col: str = "y") -> Prototypes:
-    """Per-class average index vectors (sum of unit training rows + proxy) / count."""
-    unit = (train.filter(safe_norm(x_col) > F.lit(1e-6))   # zero rows give zero dots: excluded
-            .select(F.col(y_col), l2_normalize(x_col).alias("_u")))
-    sums, counts = class_vector_sums(unit, protos.n_classes, "_u", y_col)
-    if sums.shape[1] == 0:
-        sums = np.zeros_like(protos.proxy)
-    nz_proxy = (np.abs(protos.proxy).sum(axis=1) > 0).astype(float)
-    total = sums + protos.proxy
-    n = counts + nz_proxy
-    avg = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], 0.0)
-    return Prototypes(avg)
-
-
-def class_average_predict(queries: DataFrame, train: DataFrame, protos: Prototypes,
-                          x_col: str = "x", y_col: str = "y", out_col: str = "pred") -> DataFrame:
-    """T6 prediction per query row."""
-    avg = class_average_vectors(train, protos, x_col, y_col)
-    return S.nearest_dot(queries, avg, x_col, out_col)
-
-
 # ------------------------------------------------------------------ T5 -----
 
 def index_frame(train: DataFrame, protos: Prototypes, x_col: str = "x", y_col: str = "y",
@@ -83,95 +57,165 @@ def index_frame(train: DataFrame, protos: Prototypes, x_col: str = "x", y_col: s
     return rows.unionByName(prox)
 
 
-def _topk_rows(qid, qm, im, kind, iid, labels, k):
-    dots = qm @ im.T                                   # (nq, ni) block, never emitted
-    kk = min(k, im.shape[0])
-    out = []
-    for r in range(qm.shape[0]):
-        d = dots[r]
-        if kk < len(d):
-            cut = np.partition(d, len(d) - kk)[len(d) - kk]
-            cand = np.nonzero(d >= cut)[0]
-        else:
-            cand = np.arange(len(d))
-        # order: dot desc, then kind asc (rows before proxies), then id asc
-        sel = cand[np.lexsort((iid[cand], kind[cand], -d[cand]))[:kk]]
-        out.append(pd.DataFrame({"qid": qid[r], "score": d[sel], "kind": kind[sel], "iid": iid[sel],
-                                 "label": labels[sel]}))
+def _matrix(rows, dim: int) -> np.ndarray:
+    """Row vectors as a matrix; NULL vectors and components become NaN."""
+    out = np.full((len(rows), dim), np.nan)
+    for i, v in enumerate(rows):
+        if v is not None:
+            out[i] = np.asarray(v, dtype=float)
     return out
 
 
-def _majority(labels: np.ndarray) -> int:
-    vals, counts = np.unique(labels, return_counts=True)   # vals ascending
-    return int(vals[np.argmax(counts)])                    # first max = smallest class on ties
+def _topk(dots: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` largest dots of every row; index rows are in tie order, so of equal
+    dots the earlier position comes first."""
+    n = dots.shape[1]
+    if k >= n:
+        return np.argsort(-dots, axis=1, kind="stable")
+    part = np.argpartition(-dots, k - 1, axis=1)[:, :k]
+    cut = np.take_along_axis(dots, part, axis=1).min(axis=1)
+    for r in np.flatnonzero((dots >= cut[:, None]).sum(axis=1) > k):       # ties across the cut
+        part[r] = np.argsort(-dots[r], kind="stable")[:k]
+    part.sort(axis=1)
+    order = np.argsort(-np.take_along_axis(dots, part, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(part, order, axis=1)
+
+
+def _vote(labels: np.ndarray, n_classes: int) -> np.ndarray:
+    """Most frequent label of every row; smallest class on ties."""
+    rows = np.repeat(np.arange(len(labels)), labels.shape[1])
+    counts = np.bincount(rows * n_classes + labels.ravel(), minlength=len(labels) * n_classes)
+    return counts.reshape(len(labels), n_classes).argmax(axis=1).astype("int32")
+
 
+def _class_sums(dots: np.ndarray, labels: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the dots and number of non-zero dots per (row, class)."""
+    hot = np.zeros((len(labels), n_classes))
+    hot[np.arange(len(labels)), labels] = 1.0
+    return dots @ hot, (dots != 0) @ hot
 
-def _broadcast_vote(bc, k: int):
-    """Whole index on every executor: top-K and the vote per query, map-only."""
+
+def _average_argmax(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    avg = np.where(count > 0, total / np.maximum(count, 1), -np.inf)
+    return avg.argmax(axis=1).astype("int32")
+
+
+def _index_arrays(rows) -> tuple:
+    """``(kind, iid, label, matrix)`` of index rows in tie order (kind, then id)."""
+    rows = sorted(rows, key=lambda r: (r["kind"], r["iid"]))
+    dim = len(rows[0]["v"]) if rows else 0
+    return (np.array([r["kind"] for r in rows], np.int32), np.array([r["iid"] for r in rows], np.int64),
+            np.array([r["label"] for r in rows], np.int64), _matrix([r["v"] for r in rows], dim))
+
+
+def _broadcast_predict(bc, decide, last: int):
+    """Whole index on every executor: one product per batch, map-only."""
     def fn(batches):
-        kind, iid, labels, im = bc.value
+        _, _, labels, im = bc.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            qm = np.stack(pdf["x"].to_numpy())
-            parts = _topk_rows(pdf["qid"].to_numpy(), qm, im, kind, iid, labels, k)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy().astype("int64"),
-                                "pred": np.array([_majority(p["label"].to_numpy()) for p in parts],
-                                                 dtype="int32")})
+            if len(pdf):
+                for lo in range(0, len(pdf), QUERY_ROWS):
+                    part = pdf.iloc[lo:lo + QUERY_ROWS]
+                    x = _matrix(part["x"].to_numpy(), im.shape[1])
+                    usable = np.isfinite(x).all(axis=1)
+                    pred = decide(np.where(usable[:, None], x, 0.0) @ im.T, labels)
+                    yield pd.DataFrame({"qid": part["qid"].to_numpy().astype("int64"),
+                                        "pred": np.where(usable, pred, last).astype("int32")})
     return fn
 
 
-def _topk_pair(k: int):
+_CAND = "qid long, score double, kind int, iid long, label int"
+_SUMS = "qid long, label int, total double, n long"
+
+
+def _pair(make, columns):
+    """One (query block, index block) group: ``make(qid, dots, kind, iid, label)`` -> column arrays."""
     def fn(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
         if q.empty or ix.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64"),
-                                 "kind": pd.Series([], dtype="int32"), "iid": pd.Series([], dtype="int64"),
-                                 "label": pd.Series([], dtype="int32")})
-        qm = np.stack(q["x"].to_numpy())
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in columns.items()})
+        ix = ix.sort_values(["kind", "iid"])
         im = np.stack(ix["v"].to_numpy())
-        out = _topk_rows(q["qid"].to_numpy(), qm, im, ix["kind"].to_numpy(), ix["iid"].to_numpy(),
-                         ix["label"].to_numpy(), k)
-        res = pd.concat(out, ignore_index=True)
-        return res.astype({"qid": "int64", "score": "float64", "kind": "int32", "iid": "int64",
-                           "label": "int32"})
+        dots = _matrix(q["x"].to_numpy(), im.shape[1]) @ im.T
+        got = make(q["qid"].to_numpy(), dots, ix["kind"].to_numpy(), ix["iid"].to_numpy(), ix["label"].to_numpy())
+        return pd.DataFrame(dict(zip(columns, got))).astype(columns)
     return fn
 
 
-_CAND = "qid long, score double, kind int, iid long, label int"
+def _blocks(q: DataFrame, index: DataFrame, n_index: int, block_rows: int):
+    """Each query goes to every index block, each index row to every query block."""
+    qb = max(1, math.ceil(q.count() / block_rows))
+    ib = max(1, math.ceil(n_index / block_rows))
+    qrep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+            .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
+    irep = (index.withColumn("ib", F.pmod(F.xxhash64("kind", "iid"), F.lit(ib)))
+            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+    return qrep.groupBy("qb", "ib").cogroup(irep.groupBy("qb", "ib"))
+
+
+def _usable(q: DataFrame) -> DataFrame:
+    return q.filter(is_usable(safe_norm("x")))
+
+
+def _all_queries(q: DataFrame, pred: DataFrame, without, last: int, id_col: str, out_col: str) -> DataFrame:
+    """A row per query: ``without`` for one that no index row answered, the out-of-domain id for
+    one that cannot be scored."""
+    ok = q.select("qid", is_usable(safe_norm("x")).alias("_ok"))
+    out = F.when(F.col("_ok"), F.coalesce("pred", without)).otherwise(F.lit(last))
+    return ok.join(pred, "qid", "left").select(F.col("qid").alias(id_col), out.cast("int").alias(out_col))
+
+
+def _setup(queries, train, protos, x_col, y_col, id_col, broadcast_limit):
+    """Queries, index, its size, and the broadcast index if it is below the limit."""
+    index = index_frame(train, protos, x_col, y_col, id_col)
+    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(x_col).alias("x"))
+    n = index.count()
+    # boxed rows on the way through the driver take about four times the plain size
+    if 4 * n * (protos.dim * 8 + 24) > broadcast_limit:
+        return q, index, n, None
+    return q, index, n, q.sparkSession.sparkContext.broadcast(_index_arrays(index.collect()))
 
 
 def knn_vote(queries: DataFrame, train: DataFrame, protos: Prototypes, k: int = 5,
              x_col: str = "x", y_col: str = "y", id_col: str = "row_id", out_col: str = "pred",
              block_rows: int = BLOCK_ROWS, broadcast_limit: int = INDEX_BROADCAST_LIMIT) -> DataFrame:
     """T5 prediction per query row ``(id_col, out_col)``."""
-    index = index_frame(train, protos, x_col, y_col, id_col)
-    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(x_col).alias("x"))
-    ni = index.count()
-    if ni * (protos.dim * 8 + 24) <= broadcast_limit:
-        rows = index.limit(ni + 1).collect()                 # bounded by the check above
-        kind = np.array([r["kind"] for r in rows], dtype=np.int32)
-        iid = np.array([r["iid"] for r in rows], dtype=np.int64)
-        labels = np.array([r["label"] for r in rows], dtype=np.int32)
-        im = np.array([r["v"] for r in rows], dtype=float)
-        bc = q.sparkSession.sparkContext.broadcast((kind, iid, labels, im))
-        votes = q.mapInPandas(_broadcast_vote(bc, k), "qid long, pred int")
+    q, index, n, bc = _setup(queries, train, protos, x_col, y_col, id_col, broadcast_limit)
+    n_classes = protos.n_classes
+    if bc is not None:
+        votes = q.mapInPandas(_broadcast_predict(bc, lambda dots, labels: _vote(labels[_topk(dots, k)], n_classes), n_classes - 1), "qid long, pred int")
         return votes.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
-    else:
-        nq = q.count()
-        qb = max(1, math.ceil(nq / block_rows))
-        ib = max(1, math.ceil(ni / block_rows))
-        # replicate each query to every index block and each index row to every query block
-        qrep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
-                .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
-        irep = (index.withColumn("ib", F.pmod(F.xxhash64("kind", "iid"), F.lit(ib)))
-                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-        cand = (qrep.groupBy("qb", "ib").cogroup(irep.groupBy("qb", "ib"))
-                .applyInPandas(_topk_pair(k), _CAND))
+
+    def top(qid, dots, kind, iid, label):
+        at = _topk(dots, k)
+        return np.repeat(qid, at.shape[1]), np.take_along_axis(dots, at, axis=1).ravel(), kind[at].ravel(), iid[at].ravel(), label[at].ravel()
+    cand = _blocks(_usable(q), index, n, block_rows).applyInPandas(
+        _pair(top, {"qid": "int64", "score": "float64", "kind": "int32", "iid": "int64", "label": "int32"}), _CAND)
     # merge: K per query per index block -> global top K -> majority, smallest class on ties
-    top = cand.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(
+    best = cand.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("ns"), "kind", "iid", "label"))), 1, k).alias("top"))
     labels = F.transform("top", lambda s: s["label"])
     votes = F.transform(F.array_distinct(labels), lambda c: F.struct(
         F.size(F.filter(labels, lambda l: l == c)).alias("n"), (-c).alias("nc")))
     pred = (-F.array_max(votes)["nc"]).cast("int")
-    return top.select(F.col("qid").alias(id_col), pred.alias(out_col))
+    return _all_queries(q, best.select("qid", pred.alias("pred")), F.lit(0), n_classes - 1, id_col, out_col)
+
+
+def class_average_predict(queries: DataFrame, train: DataFrame, protos: Prototypes, x_col: str = "x", y_col: str = "y",
+                          id_col: str = "row_id", out_col: str = "pred", block_rows: int = BLOCK_ROWS,
+                          broadcast_limit: int = INDEX_BROADCAST_LIMIT) -> DataFrame:
+    """T6 prediction per query row ``(id_col, out_col)``."""
+    q, index, n, bc = _setup(queries, train, protos, x_col, y_col, id_col, broadcast_limit)
+    n_classes = protos.n_classes
+    if bc is not None:
+        out = q.mapInPandas(_broadcast_predict(
+            bc, lambda dots, labels: _average_argmax(*_class_sums(dots, labels, n_classes)), n_classes - 1), "qid long, pred int")
+        return out.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
+
+    def sums(qid, dots, kind, iid, label):
+        total, count = _class_sums(dots, label, n_classes)
+        return np.repeat(qid, n_classes), np.tile(np.arange(n_classes), len(qid)), total.ravel(), count.ravel()
+    part = _blocks(_usable(q), index, n, block_rows).applyInPandas(
+        _pair(sums, {"qid": "int64", "label": "int32", "total": "float64", "n": "int64"}), _SUMS)
+    avg = part.groupBy("qid", "label").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).filter("n > 0")
+    best = avg.groupBy("qid").agg(F.max(F.struct((F.col("t") / F.col("n")).alias("a"), (-F.col("label")).alias("nc"))).alias("b"))
+    return _all_queries(q, best.select("qid", (-F.col("b.nc")).cast("int").alias("pred")), F.lit(0), n_classes - 1, id_col, out_col)

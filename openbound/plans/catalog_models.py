@@ -51,15 +51,17 @@ def _long(df, col):
 
 
 def q_r2_embed(spark, sf):
-    enc = _encoded(spark, sf)
-    return _long(enc.select("row_id", EM.hashed_embedding("input_ids", DIM).alias("x")), "x")
+    return _long(EM.embed_text(_doc_tokens(spark, sf), "row_id", dim=DIM), "x")
 
 
 def q_v9_mean_pool(spark, sf):
-    enc = _encoded(spark, sf)
-    toks = F.transform("input_ids", lambda t: F.transform(
-        F.sequence(F.lit(0), F.lit(DIM - 1)), lambda j: EM.sign_component(t, j, DIM, 0)))
-    return _long(enc.select("row_id", toks.alias("tv")).select("row_id", EM.mean_pool("tv").alias("x")), "x")
+    """V9 over whole texts: every 50-token window encoded to fixed length and pooled over all its
+    positions, padding included."""
+    tk = _doc_tokens(spark, sf)
+    enc = EN.encode_windows(tk, EN.build_vocab(tk, VOCAB), VOCAB, max_len=MAX_LEN)
+    pooled = EM.mean_pool_tokens(enc, ["row_id", "win"], "input_ids", DIM)
+    return pooled.select("row_id", "win", F.posexplode("x").alias("dim", "v")).select(
+        "row_id", "win", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
 
 def q_r4_pca(spark, sf):
@@ -68,16 +70,29 @@ def q_r4_pca(spark, sf):
     return out.select("row_id", F.col("y").alias("target"), "pc0", "pc1")
 
 
-def q_t5_knn_vote(spark, sf):
+def _memory_based(spark, sf, predict, **how):
+    """T5 and T6 over the rows of all splits, the training rows as index."""
     os_, protos = emb_setup(spark, sf)
     train = os_.split("train").select("row_id", "y", "x")
-    return NB.knn_vote(_eval_rows(os_).select("row_id", "x"), train, protos, k=K)
+    return predict(os_.data.select("row_id", "x"), train, protos, **how).select("row_id", "pred")
+
+
+def q_t5_knn_vote(spark, sf):
+    return _memory_based(spark, sf, NB.knn_vote, k=K)
+
+
+def q_t5_knn_vote_blocked(spark, sf):
+    """T5 by block pairs, the way beyond the broadcast bound."""
+    return _memory_based(spark, sf, NB.knn_vote, k=K, broadcast_limit=0, block_rows=200)
 
 
 def q_t6_class_average(spark, sf):
-    os_, protos = emb_setup(spark, sf)
-    train = os_.split("train").select("row_id", "y", "x")
-    return NB.class_average_predict(_eval_rows(os_).select("row_id", "x"), train, protos).select("row_id", "pred")
+    return _memory_based(spark, sf, NB.class_average_predict)
+
+
+def q_t6_class_average_blocked(spark, sf):
+    """T6 by block pairs, the way beyond the broadcast bound."""
+    return _memory_based(spark, sf, NB.class_average_predict, broadcast_limit=0, block_rows=200)
 
 
 def q_r5_centroid(spark, sf):
@@ -133,19 +148,16 @@ def q_s1_s3_line_files_round_trip(spark, sf):
 
 
 def q_r5_label_text(spark, sf):
-    """Label-text prototype init on the document setting: class c's text is
-    the ``benchmark`` passage with item_id = c (stand-in label descriptions),
-    the out-of-domain class's text is its name; R1 vocabulary from documents."""
+    """Label-text prototype init on the document setting: class c's text is every ``benchmark``
+    passage with item_id mod n_known = c (stand-in label descriptions), the out-of-domain class's
+    text is its name."""
     from ..operators import labels as L
     from .catalog import RATIO
     from .openset import prepare
     os_ = prepare(views.document_splits(spark, sf), RATIO)
-    bench = views.table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("cls"), "text")
-    texts = (os_.known.join(bench, "cls").select("cls", "text")
-             .unionByName(spark.createDataFrame([(os_.n_known, L.OOS_LABEL)], "cls int, text string")))
-    vocab = EN.build_vocab(_doc_tokens(spark, sf), VOCAB)
-    protos = EM.label_text_prototypes(texts, vocab, VOCAB, DIM, MAX_LEN)
-    pf = protos.to_frame(spark)
+    bench = views.table(spark, sf, "benchmark").select((F.col("item_id") % os_.n_known).cast("int").alias("cls"), "text")
+    texts = bench.unionByName(spark.createDataFrame([(os_.n_known, L.OOS_LABEL)], "cls int, text string"))
+    pf = EM.label_text_prototypes(texts, os_.n_classes, DIM).to_frame(spark)
     return pf.select("cls", F.posexplode("proxy").alias("dim", "v")).select(
         "cls", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
@@ -161,16 +173,14 @@ def q_r3_train_run(spark, sf):
 
 
 def q_e2e_text_openset(spark, sf):
-    """The text path end to end on ``documents`` (label = source): R1 vocabulary
-    and encoding, R2 hashed embedding, label space + centroid prototypes (one
-    aggregation), T3 rejection on valid and test, confusion cells per split."""
+    """The text path end to end on ``documents`` (label = source): whole texts embedded (R2),
+    label space + centroid prototypes (one aggregation), T3 rejection on valid and test,
+    confusion cells per split."""
     from ..operators import metrics as M
     from ..operators import score as S
     from .catalog import RATIO
     from .openset import prepare_with_prototypes
-    tk = _doc_tokens(spark, sf)
-    enc = EN.encode(tk, EN.build_vocab(tk, VOCAB), VOCAB, max_len=MAX_LEN)
-    emb = EM.embed_hashed(enc, "input_ids", DIM).select("row_id", "x")
+    emb = EM.embed_text(_doc_tokens(spark, sf), "row_id", dim=DIM)
     docs = views.document_splits(spark, sf).select("row_id", "split", "label").join(emb, "row_id")
     os_, protos = prepare_with_prototypes(docs, RATIO)
     pred = S.reject_scalar(os_.data.filter(F.col("split").isin("valid", "test")), protos)

@@ -26,10 +26,26 @@ enc AS (
   FROM tk t CROSS JOIN (SELECT unnest(range(0, {MAX_LEN})) AS pos) p
   LEFT JOIN vocab v ON v.token = t.tokens[p.pos + 1])"""
 
+# the mean over all tokens of +1 or -1 by bit j of the token's MD5
+BIT = "((CAST('0x' || substr(md5(token || ':0'), 1, 15) AS BIGINT) >> j) & 1)"
 HASHED = with_(TOK) + f"""
-SELECT row_id, CAST(j AS INTEGER) AS dim,
+SELECT t.row_id, CAST(d.j AS INTEGER) AS dim, round(coalesce(v.v, 0.0), 6) AS value
+FROM tk t CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) d
+LEFT JOIN (SELECT row_id, j, avg(1.0 - 2 * {BIT}) AS v
+           FROM (SELECT row_id, unnest(tokens) AS token FROM tk) CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j)
+           GROUP BY row_id, j) v ON v.row_id = t.row_id AND v.j = d.j"""
+
+# fixed-length windows over the whole text, pooled over all positions
+POOLED = with_(TOK) + f"""
+, w AS (SELECT row_id, tokens, CAST(unnest(range(0, greatest(1, (len(tokens) + {MAX_LEN - 1}) // {MAX_LEN}))) AS INTEGER) AS win FROM tk),
+we AS (
+  SELECT w.row_id, w.win,
+         CASE WHEN w.win * {MAX_LEN} + p.pos < len(w.tokens) THEN coalesce(v.token_id, 1) ELSE 0 END AS token_id
+  FROM w CROSS JOIN (SELECT unnest(range(0, {MAX_LEN})) AS pos) p
+  LEFT JOIN vocab v ON v.token = w.tokens[w.win * {MAX_LEN} + p.pos + 1])
+SELECT row_id, win, CAST(j AS INTEGER) AS dim,
        round(avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)), 6) AS value
-FROM enc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY row_id, j"""
+FROM we CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY row_id, win, j"""
 
 IX = """ix AS (
   SELECT 0 AS kind, row_id AS iid, y AS label,
@@ -39,32 +55,25 @@ IX = """ix AS (
   SELECT 1 AS kind, cls AS iid, cls AS label, p AS v FROM protos),
 qd AS (
   SELECT q.row_id, ix.kind, ix.iid, ix.label, list_dot_product(q.x, ix.v) AS dot
-  FROM d q CROSS JOIN ix WHERE q.split IN ('valid', 'test'))"""
+  FROM d q CROSS JOIN ix)"""
+
+LABEL_TEXT = with_("""dv AS (SELECT source AS label FROM documents GROUP BY source)""",
+                   """nk AS (SELECT CAST(round_even(count(*) * 0.5, 0) AS INTEGER) AS n FROM dv)""", """lt AS (
+  SELECT b.item_id % (SELECT n FROM nk) AS cls, b.text FROM benchmark b
+  UNION ALL SELECT (SELECT n FROM nk), 'oos')""", """ltk AS (
+  SELECT cls, unnest(list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g')), ' '),
+                                 lambda t: t <> '')) AS token
+  FROM lt)""") + f"""
+SELECT CAST(cls AS INTEGER) AS cls, CAST(j AS INTEGER) AS dim, round(avg(1.0 - 2 * {BIT}), 6) AS value
+FROM ltk CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY cls, j"""
 
-LABEL_TEXT = with_(TOK, """dv AS (
-  SELECT CAST(row_number() OVER (ORDER BY min(doc_id), source) - 1 AS INTEGER) AS pos, source AS label
-  FROM documents GROUP BY source)""", """nk AS (SELECT CAST(round_even(count(*) * 0.5, 0) AS INTEGER) AS n FROM dv)""",
-  """lt AS (
-  SELECT b.item_id AS cls, b.text FROM dv JOIN benchmark b ON b.item_id = dv.pos WHERE dv.pos < (SELECT n FROM nk)
-  UNION ALL SELECT (SELECT n FROM nk), 'oos')""", f"""ltk AS (
-  SELECT cls,
-         list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g')), ' '),
-                     lambda t: t <> '') AS tokens
-  FROM lt)""", f"""lenc AS (
-  SELECT t.cls, p.pos,
-         CASE WHEN p.pos < len(t.tokens) THEN coalesce(v.token_id, 1) ELSE 0 END AS token_id
-  FROM ltk t CROSS JOIN (SELECT unnest(range(0, {MAX_LEN})) AS pos) p
-  LEFT JOIN vocab v ON v.token = t.tokens[p.pos + 1])""") + f"""
-SELECT CAST(cls AS INTEGER) AS cls, CAST(j AS INTEGER) AS dim,
-       round(avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)), 6) AS value
-FROM lenc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY cls, j"""
 
 def _e2e_text() -> str:
-    from .oracle import CLASS_COUNTS, PROTO_CTES, SC, SCALAR_PRED, label_ctes  # noqa: F401
-    tok = TOK.replace("vocab AS (", "tvocab AS (").replace("JOIN vocab v", "JOIN tvocab v")
+    from .oracle import PROTO_CTES, label_ctes
+    tok = TOK[:TOK.index("cnt AS (")].rstrip().rstrip(",")
     return with_(tok, f"""hx AS (
-  SELECT row_id, j, avg(1 - 2 * (({mix_sql(f'CAST(token_id AS BIGINT) * {DIM} + j', 0)}) % 2)) AS v
-  FROM enc CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY row_id, j)""",
+  SELECT row_id, j, avg(1.0 - 2 * {BIT}) AS v
+  FROM (SELECT row_id, unnest(tokens) AS token FROM tk) CROSS JOIN (SELECT unnest(range(0, {DIM})) AS j) GROUP BY row_id, j)""",
                  """xv AS (SELECT row_id, list(v ORDER BY j) AS x FROM hx GROUP BY row_id)""",
                  """e AS (
   SELECT d.doc_id AS row_id,
@@ -132,7 +141,7 @@ SELECT t.row_id, count(u.tok) AS n_tokens, count(v.token_id) AS n_in_vocab
 FROM tk t LEFT JOIN (SELECT row_id, unnest(tokens) AS tok FROM tk) u ON t.row_id = u.row_id
 LEFT JOIN vocab v ON v.token = u.tok GROUP BY t.row_id""",
     "r2_embed": HASHED,
-    "v9_mean_pool": HASHED,
+    "v9_mean_pool": POOLED,
     "s7_s8_tsv_round_trip": emb() + """
 SELECT row_id, target, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM (
   SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, y AS target, unnest(x) AS v,
@@ -153,3 +162,6 @@ FROM e JOIN vocab v ON e.label = v.label""",
     "r5_centroid": emb() + """
 SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 }
+# the block paths give the same rows
+ORACLES["t5_knn_vote_blocked"] = ORACLES["t5_knn_vote"]
+ORACLES["t6_class_average_blocked"] = ORACLES["t6_class_average"]

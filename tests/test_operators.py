@@ -58,14 +58,19 @@ def test_knn_blocks_equal_single_block(spark):
     assert a == b == c and len(a) == q.count()
 
 
-def test_class_average_handles_zero_rows(spark):
-    protos = Prototypes(np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]))
-    train = spark.createDataFrame([(0, 0, [0.0, 0.0]), (1, 0, [2.0, 0.0]), (2, 1, [0.0, 3.0])],
-                                  "row_id long, y int, x array<double>")
-    avg = NB.class_average_vectors(train, protos)
-    assert np.allclose(avg.proxy[0], [1.0, 0.0])           # zero row excluded from sum and count
-    q = spark.createDataFrame([(9, [0.0, 0.0])], "row_id long, x array<double>")
-    assert NB.class_average_predict(q, train, protos).collect()[0]["pred"] == 0
+def test_class_average_is_exact_on_zero_dots(spark):
+    # orthogonal rows drop out of a class's count
+    train = spark.createDataFrame([(0, 0, [1.0, 0.0, 0.0]), (1, 0, [0.0, 1.0, 0.0]), (2, 0, [0.0, 1.0, 0.0]), (3, 1, [0.6, 0.8, 0.0]),
+                                   (4, 1, [0.0, 0.0, 0.0])], "row_id int, y int, x array<double>")
+    protos = Prototypes(np.array([[0.0, 0.0, 0.0], [0.3, 0.0, 0.0], [0.0, 0.0, 0.0]]))
+    nan = float("nan")
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 0.9, 0.1]), (2, None), (3, [nan, 1.0, 0.0]), (4, [0.0, 0.0, 1.0])],
+                              "row_id int, x array<double>")
+    want = {0: 0, 1: 0, 2: 2, 3: 2, 4: 0}
+    for how in ({}, {"broadcast_limit": 0, "block_rows": 2}):
+        assert {r["row_id"]: r["pred"] for r in NB.class_average_predict(q, train, protos, **how).collect()} == want
+        got = {r["row_id"]: r["pred"] for r in NB.knn_vote(q, train, protos, k=2, **how).collect()}
+        assert got[2] == got[3] == 2 and got[0] in (0, 1)
 
 
 def test_segmented_scan_hot_run(spark):
@@ -138,10 +143,33 @@ def test_arrow_loss_equals_expressions(spark):
         assert abs(x - y) < 1e-9
 
 
-@pytest.mark.parametrize("dim", [16, 200])
-def test_hashed_embedding_engines_agree(spark, dim):
-    df = spark.createDataFrame([(i, [int(v) for v in np.random.default_rng(i).integers(0, 5000, 50)])
-                                for i in range(40)], "row_id long, input_ids array<int>")
-    a = {r["row_id"]: r["x"] for r in EM.embed_hashed(df, "input_ids", dim, 3, engine="expr").collect()}
-    b = {r["row_id"]: r["x"] for r in EM.embed_hashed(df, "input_ids", dim, 3, engine="arrow").collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+@pytest.mark.parametrize("dim", [16, 130])
+def test_text_embedding_covers_whole_texts(spark, dim):
+    import hashlib
+    texts = {0: "a b c", 1: "word " * 500 + "last", 2: "", 3: None, 4: "a a b"}
+    df = EM_tokenize(spark, texts)
+    got = {r["row_id"]: r["x"] for r in EM.embed_text(df, "row_id", dim=dim).collect()}
+
+    def signs(t):
+        return [1 - 2 * (int(hashlib.md5(f"{t}:{j // 60}".encode()).hexdigest()[:15], 16) >> j % 60 & 1) for j in range(dim)]
+    for i, t in texts.items():
+        words = (t or "").split()
+        want = np.mean([signs(w) for w in words], axis=0) if words else np.zeros(dim)
+        assert np.allclose(got[i], want, atol=1e-12)
+
+
+def EM_tokenize(spark, texts):
+    from openbound.operators import encode as EN
+    return EN.tokenize(spark.createDataFrame(list(texts.items()), "row_id long, text string"), "text")
+
+
+def test_label_text_ids_never_move(spark):
+    texts = [(0, "zero"), (2, "two"), (3, "three"), (2, "more")]
+    df = spark.createDataFrame(texts, "cls int, text string")
+    with pytest.raises(ValueError, match="without a text: .1."):
+        EM.label_text_prototypes(df, 4, 8)
+    full = df.unionByName(spark.createDataFrame([(1, "one")], "cls int, text string"))
+    p = EM.label_text_prototypes(full, 4, 8)
+    assert np.allclose(p.proxy[1], EM.label_text_prototypes(spark.createDataFrame([(0, "one")], "cls int, text string"), 1, 8).proxy[0])
+    with pytest.raises(ValueError, match="outside"):
+        EM.label_text_prototypes(full, 3, 8)
