@@ -46,17 +46,6 @@ def vocab_first_seen(df: DataFrame, label_col: str = "label",
     return firsts.select((F.row_number().over(w) - 1).cast("int").alias("pos"), "label")
 
 
-def first_seen_labels(df: DataFrame, label_col: str = "label", order_col: str = "row_id",
-                      max_rows: int = BROADCAST_MAX_LABELS) -> list[str]:
-    """S5 on the driver: labels in first-seen order from one partial
-    aggregation (one row per label, size checked)."""
-    firsts = df.groupBy(F.col(label_col).alias("label")).agg(F.min(order_col).alias("_first"))
-    rows = firsts.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"vocabulary exceeds {max_rows} labels")
-    return [r["label"] for r in sorted(rows, key=lambda r: (r["_first"], r["label"]))]
-
-
 def known_list(labels: list[str], n_known: int, mode: str = "first", seed: int = 0) -> list[str]:
     """P5 / P6 on the driver-side vocabulary (same order as :func:`select_known`)."""
     from ..functions.ordering import mix_value

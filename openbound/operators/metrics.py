@@ -61,9 +61,9 @@ def confusion_matrix(df: DataFrame, n_classes: int, y_col: str = "y", pred_col:
     spine = base.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(c * c - 1))).alias("_cell"))
     spine = spine.select(*keys, (F.col("_cell") / c).cast("int").alias("y"),
                          (F.col("_cell") % c).cast("int").alias("pred"))
-    # the non-zero cells are at most n_classes^2 per key: broadcast them when
-    # that bound is small, so neither side is shuffled
-    cells = F.broadcast(cells) if c * c <= 250_000 else cells
+    # without keys the non-zero cells are at most n_classes^2: broadcast them when that bound is
+    # small; with keys their number grows with the keys, and the join is left to the planner
+    cells = F.broadcast(cells) if not keys and c * c <= 250_000 else cells
     out = spine.join(cells, [*keys, "y", "pred"], "left")
     return out.select(*keys, "y", "pred", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 

@@ -66,7 +66,7 @@ def q_v9_mean_pool(spark, sf):
 
 def q_r4_pca(spark, sf):
     os_, _ = emb_setup(spark, sf)
-    out = PR.pca_project(os_.split("test").select("row_id", "y", "x"), "x", 2, ["row_id", "y"])
+    out = PR.pca_project(os_.data.select("row_id", "y", "x"), "x", 2, ["row_id", "y"])
     return out.select("row_id", F.col("y").alias("target"), "pc0", "pc1")
 
 
@@ -113,19 +113,36 @@ def q_r3_fit(spark, sf):
 
 
 def q_s7_s8_tsv_round_trip(spark, sf):
-    """Export the test split as the reference's TSV pair (S7) into a fresh
-    folder under the shared checkpoint directory, read it back (S8: line
-    numbers, positional zip) and return it in long form."""
+    """Export every split as the reference's TSV pair (S7) into fresh folders
+    under the shared checkpoint directory, read them back (S8: line
+    numbers, positional zip) and return them in long form."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
     from ..sources import exports as EX
     os_, _ = emb_setup(spark, sf)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tsv-{uuid.uuid4().hex}"
-    EX.write_tsv_pair(os_.split("test").select("row_id", "x", "y"), f"{base}/x", f"{base}/y")
-    back = EX.read_tsv_pair(spark, f"{base}/x", f"{base}/y")
-    return back.select("row_id", "target", F.posexplode("x").alias("dim", "v")).select(
-        "row_id", "target", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
+    out = None
+    for sp in ("train", "valid", "test"):
+        EX.write_tsv_pair(os_.split(sp).select("row_id", "x", "y"), f"{base}/{sp}/x", f"{base}/{sp}/y")
+        back = EX.read_tsv_pair(spark, f"{base}/{sp}/x", f"{base}/{sp}/y").select(F.lit(sp).alias("split"), "*")
+        out = back if out is None else out.unionByName(back)
+    return out.select("split", "row_id", "target", F.posexplode("x").alias("dim", "v")).select(
+        "split", "row_id", "target", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
+
+
+def q_s7_parquet_round_trip(spark, sf):
+    """S7 as parquet, partitioned by run, epoch and split; the test split is read back by its
+    partition, the others through the whole export."""
+    from ..sources import exports as EX
+    os_, _ = emb_setup(spark, sf)
+    path = _scratch(spark, "export")
+    for sp in ("train", "valid", "test"):
+        EX.export_embeddings(os_.split(sp), path, "01", 1, sp)
+    test = EX.read_embeddings(spark, path, "01", 1, "test")
+    rest = EX.read_embeddings(spark, path).filter(F.col("split") != "test")
+    return test.unionByName(rest).select("run_id", "epoch", "split", "row_id", "y", F.posexplode("embedding").alias("dim", "v")).select(
+        "run_id", "epoch", "split", "row_id", "y", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
 
 def q_s1_s3_line_files_round_trip(spark, sf):

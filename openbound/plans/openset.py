@@ -10,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..operators.prototypes import Prototypes, centroid_and_first_rows
+from ..session import cut_lineage
 
 
 @dataclass
@@ -33,17 +35,19 @@ class OpenSet:
 
 
 def prepare(df: DataFrame, ratio: float, mode: str = "first", seed: int = 0,
-            order_col: str = "row_id") -> OpenSet:
-    # The vocabulary is bounded by the label cardinality (checked), so it is
-    # computed once and pinned as a local relation: later plans broadcast it
-    # instead of re-aggregating the label column of the data.
-    labels = L.first_seen_labels(df, "label", order_col)
-    spark = df.sparkSession
-    vocab = spark.createDataFrame(list(enumerate(labels)), "pos int, label string")
-    vocab_size = len(labels)
+            order_col: str = "row_id", vocab: DataFrame | None = None) -> OpenSet:
+    """``vocab(pos, label)`` is the label vocabulary (S4); without one it is built from the
+    training rows (S5), so a label that only occurs elsewhere is out-of-domain.
+
+    The vocabulary (one row per label) is checkpointed once; its size is all that the driver
+    sees, whatever the number of labels."""
+    if vocab is None:
+        vocab = L.vocab_first_seen(df.filter(F.col("split") == "train"), "label", order_col)
+    vocab = cut_lineage(vocab.select("pos", "label"))
+    vocab_size = vocab.count()
     n_known = L.known_count(vocab_size, ratio)
-    known = spark.createDataFrame(list(enumerate(L.known_list(labels, n_known, mode, seed))),
-                                  "cls int, label string")
+    known = cut_lineage(L.select_known(vocab, n_known, mode, seed))
+    L.check_known(known)
     mapped = L.map_labels(df, known, n_known)
     data = L.drop_train_ood(mapped, n_known)
     return OpenSet(data, mapped, vocab, known, vocab_size, n_known)
@@ -87,13 +91,14 @@ def prepare_with_prototypes(df: DataFrame, ratio: float, mode: str = "first", se
     rows = agg.limit(2 * L.BROADCAST_MAX_LABELS + 1).collect()
     if len(rows) > 2 * L.BROADCAST_MAX_LABELS:
         raise ValueError("vocabulary exceeds the label bound")
-    first = {}
-    for r in rows:
-        first[r["label"]] = min(first.get(r["label"], r["_first"]), r["_first"])
+    # vocabulary from the training rows, as in prepare
+    first = {r["label"]: r["_first"] for r in rows if r["_tr"]}
     labels = sorted(first, key=lambda lab: (first[lab], lab))
     vocab_size = len(labels)
     n_known = L.known_count(vocab_size, ratio)
     known_labels = L.known_list(labels, n_known, mode, seed)
+    if L.OOS_LABEL in known_labels:
+        raise ValueError("'oos' cannot be a known class")
     cls_of = {lab: i for i, lab in enumerate(known_labels)}
     spark = df.sparkSession
     vocab = spark.createDataFrame(list(enumerate(labels)), "pos int, label string")

@@ -37,7 +37,7 @@ def label_ctes(ratio: float = RATIO, mode: str = "first", seed: int = SEED) -> s
     FROM vocab) WHERE cls < (SELECT n FROM nk))"""
     return f"""vocab AS (
   SELECT CAST(row_number() OVER (ORDER BY min(row_id), label) - 1 AS INTEGER) AS pos, label
-  FROM e GROUP BY label),
+  FROM e WHERE split = 'train' GROUP BY label),
 nk AS (SELECT CAST(round_even(count(*) * {ratio}, 0) AS INTEGER) AS n FROM vocab),
 {known},
 m AS (
@@ -99,8 +99,8 @@ pr AS (
   WHERE {rows})"""
 
 
-SCALAR_PRED = _pred("mrg", "d.split IN ('valid', 'test')")
-VECTOR_PRED = _pred("r", "d.split IN ('valid', 'test')")
+SCALAR_PRED = _pred("mrg", "true")
+VECTOR_PRED = _pred("r", "true")
 
 CLASS_COUNTS = """cells AS (SELECT split, y, pred, count(*) AS n FROM pr GROUP BY split, y, pred),
 cc AS (
@@ -154,7 +154,9 @@ SELECT split, round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS accurac
          row_number() OVER (PARTITION BY s.row_id ORDER BY s.cos DESC, s.cls) AS rk
   FROM sc s JOIN d ON s.row_id = d.row_id) WHERE rk = 1 GROUP BY split""",
     # ---------------------------------------------------------------- labels
-    "s5_vocab_first_seen": docs() + "SELECT pos, label FROM vocab",
+    "s5_vocab_first_seen": """
+SELECT CAST(row_number() OVER (ORDER BY min(doc_id), source) - 1 AS INTEGER) AS pos, source AS label
+FROM documents GROUP BY source""",
     "p4_known_count": """
 WITH sizes AS (
   SELECT 'embeddings' AS source_table, CAST(count(DISTINCT label) AS INTEGER) AS vocab_size FROM embeddings
@@ -183,16 +185,17 @@ SELECT d.doc_id, CAST(j AS INTEGER) AS col,
        CAST(coalesce(l.quality = j, false) OR coalesce(l.toxic + 2 = j, false) AS INTEGER) AS v
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id, (SELECT unnest(range(0, 4)) AS j)""",
     "p14_class_filter": with_(EMB_VIEW) + "SELECT row_id, label FROM e WHERE label IN ('0','1','2','3','4','5')",
-    "p15_distinct_targets": with_(EMB_VIEW, label_ctes()) + "SELECT DISTINCT y FROM d WHERE split = 'test'",
+    "p15_distinct_targets": with_(EMB_VIEW, label_ctes()) + "SELECT DISTINCT y FROM d",
     "p16_rename": 'SELECT vec_id AS row_id, label AS "class" FROM embeddings',
     # ---------------------------------------------------------------- metrics
     "m1_accuracy": emb(SC, SCALAR_PRED) + """
 SELECT split, round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pr GROUP BY split""",
-    "m2_confusion": emb(SC, _pred("mrg", "d.split = 'test'")) + """
-SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-FROM (SELECT unnest(range(0, (SELECT n FROM nk) + 1)) AS a)
+    "m2_confusion": emb(SC, SCALAR_PRED) + """
+SELECT s.split, CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT DISTINCT split FROM pr) s CROSS JOIN (SELECT unnest(range(0, (SELECT n FROM nk) + 1)) AS a)
 CROSS JOIN (SELECT unnest(range(0, (SELECT n FROM nk) + 1)) AS b)
-LEFT JOIN (SELECT y, pred, count(*) AS n FROM pr GROUP BY y, pred) c ON c.y = a AND c.pred = b""",
+LEFT JOIN (SELECT split, y, pred, count(*) AS n FROM pr GROUP BY split, y, pred) c
+  ON c.split = s.split AND c.y = a AND c.pred = b""",
     "m3_report": _metric("""
 SELECT split, cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support
 FROM rep"""),

@@ -143,10 +143,13 @@ LEFT JOIN vocab v ON v.token = u.tok GROUP BY t.row_id""",
     "r2_embed": HASHED,
     "v9_mean_pool": POOLED,
     "s7_s8_tsv_round_trip": emb() + """
-SELECT row_id, target, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM (
-  SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, y AS target, unnest(x) AS v,
+SELECT split, row_id, target, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM (
+  SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS row_id, y AS target, unnest(x) AS v,
          generate_subscripts(x, 1) AS i
-  FROM d WHERE split = 'test')""",
+  FROM d)""",
+    "s7_parquet_round_trip": emb() + """
+SELECT '01' AS run_id, 1 AS epoch, split, row_id, y, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM (
+  SELECT split, row_id, y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM d)""",
     "s1_s3_line_files_round_trip": """
 WITH e AS (
   SELECT doc_id AS row_id,

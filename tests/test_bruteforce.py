@@ -20,7 +20,7 @@ def test_r4_pca_equals_numpy(spark):
     out = E.queries()["r4_pca"](spark, SF01).orderBy("row_id").collect()
     from openbound.plans import catalog
     os_, _ = catalog.emb_setup(spark, SF01)
-    rows = os_.split("test").select("row_id", "x").orderBy("row_id").collect()
+    rows = os_.data.select("row_id", "x").orderBy("row_id").collect()
     x = np.array([r["x"] for r in rows])
     xc = x - x.mean(axis=0)
     _, _, vt = np.linalg.svd(xc, full_matrices=False)
@@ -34,4 +34,4 @@ def test_r4_pca_equals_numpy(spark):
 def test_r3_fit_predictions_in_range(spark):
     out = E.queries()["r3_fit"](spark, SF01)
     stats = out.agg({"pred": "max"}).collect()[0][0]
-    assert out.count() == 150 and 0 <= stats <= 5
+    assert out.count() == 316 and 0 <= stats <= 5

@@ -33,3 +33,19 @@ def test_empty_split_metrics(spark):
     assert M.macro_f1(df, by="split").count() == 0
     assert M.confusion_matrix(df, 3, by="split").count() == 0
     assert M.confusion_matrix(df.drop("split"), 3).filter(F.col("n") > 0).count() == 0
+
+
+def test_vocabulary_comes_from_training_rows_or_a_table(spark):
+    import pytest
+    from openbound.plans.openset import prepare
+    rows = [(0, "train", "b"), (1, "train", "a"), (2, "test", "zz"), (3, "test", "oos"), (4, "valid", "a"), (5, "train", "b")]
+    df = spark.createDataFrame(rows, "row_id long, split string, label string")
+    os_ = prepare(df, 1.0)
+    assert [(r["cls"], r["label"]) for r in os_.known.orderBy("cls").collect()] == [(0, "b"), (1, "a")]
+    assert {r["row_id"]: r["y"] for r in os_.mapped.collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 1, 5: 0}
+    vocab = spark.createDataFrame([(0, "a"), (1, "zz"), (2, "b"), (3, "never")], "pos int, label string")
+    os_ = prepare(df, 0.5, vocab=vocab)
+    assert [(r["cls"], r["label"]) for r in os_.known.orderBy("cls").collect()] == [(0, "a"), (1, "zz")] and os_.n_known == 2
+    assert {r["row_id"] for r in os_.data.collect()} == {1, 2, 3, 4}
+    with pytest.raises(ValueError, match="oos"):
+        prepare(df, 1.0, vocab=spark.createDataFrame([(0, "oos")], "pos int, label string"))
