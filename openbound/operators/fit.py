@@ -33,10 +33,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import NORM_EPS, l2_normalize
+from ..functions.vectors import NORM_EPS, is_usable, l2_normalize, safe_norm
 from ..session import cut_lineage
 from .loss import VARIANTS
-from .prototypes import MAX_CLASSES, Prototypes
+from .prototypes import Prototypes
 
 # fixed values: the reference's optimiser settings
 LR = 2e-5
@@ -48,6 +48,8 @@ WARMUP = 0.1
 BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 
+MAX_STEPS = 200           # optimisation steps (Spark jobs, folders) of one epoch, at most
+
 _KINDS = ("pos_in", "pos_out", "neg_in", "neg_out")
 
 
@@ -92,32 +94,40 @@ def partial_sums(xh: np.ndarray, y: np.ndarray, protos: Prototypes, variant: str
     return out
 
 
-def _partials_fn(protos: Prototypes, variant: str, alpha: float):
+def _partials_fn(shipped, variant: str, alpha: float):
     def fn(batches):
+        # sums accumulate over the partition: 4 rows per class leave it
+        p, total = shipped.value, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            xh = np.stack(pdf["xh"].to_numpy())
-            y = pdf["y"].to_numpy()
-            ps = partial_sums(xh, y, protos, variant, alpha)
-            rows = []
-            for q, name in enumerate(_KINDS):
-                w, ws, xs = ps[name]
-                for c in range(protos.n_classes):
-                    rows.append((c, q, float(w[c]), float(ws[c]), int(ps["npos"][c]) if q == 0 else 0,
-                                 xs[c].tolist()))
-            yield pd.DataFrame(rows, columns=["cls", "kind", "w", "ws", "npos", "xs"])
+            ps = partial_sums(np.stack(pdf["xh"].to_numpy()), pdf["y"].to_numpy(), p, variant, alpha)
+            if total is None:
+                total = ps
+            else:
+                total = {k: total[k] + v if k == "npos" else tuple(a + b for a, b in zip(total[k], v)) for k, v in ps.items()}
+        if total is None:
+            return
+        rows = [(c, q, float(total[name][0][c]), float(total[name][1][c]), int(total["npos"][c]) if q == 0 else 0,
+                 total[name][2][c].tolist()) for q, name in enumerate(_KINDS) for c in range(p.n_classes)]
+        yield pd.DataFrame(rows, columns=["cls", "kind", "w", "ws", "npos", "xs"])
     return fn
 
 
+def class_partials(train_unit: DataFrame, protos: Prototypes, variant: str, alpha: float) -> DataFrame:
+    """``(cls, kind, w, ws, npos, xs)``: the sums a gradient step needs, four rows per class of the
+    model (kinds: positive inside/outside, negative inside/outside)."""
+    shipped = train_unit.sparkSession.sparkContext.broadcast(protos)
+    parts = train_unit.mapInPandas(_partials_fn(shipped, variant, alpha),
+                                   "cls int, kind int, w double, ws double, npos long, xs array<double>")
+    return (parts.groupBy("cls", "kind")
+            .agg(F.sum("w").alias("w"), F.sum("ws").alias("ws"), F.sum("npos").alias("npos"),
+                 vector_to_array(Summarizer.sum(array_to_vector("xs"))).alias("xs")))
+
+
 def aggregate_sums(train_unit: DataFrame, protos: Prototypes, variant: str, alpha: float) -> dict:
     """One Spark job: the per-(class, kind) sums over the whole (or batch) table."""
-    parts = train_unit.mapInPandas(_partials_fn(protos, variant, alpha),
-                                   "cls int, kind int, w double, ws double, npos long, xs array<double>")
-    agg = (parts.groupBy("cls", "kind")
-           .agg(F.sum("w").alias("w"), F.sum("ws").alias("ws"), F.sum("npos").alias("npos"),
-                vector_to_array(Summarizer.sum(array_to_vector("xs"))).alias("xs")))
-    rows = agg.limit(4 * MAX_CLASSES + 1).collect()
+    rows = class_partials(train_unit, protos, variant, alpha).collect()
     C, d = protos.n_classes, protos.dim
     out = {k: (np.zeros(C), np.zeros(C), np.zeros((C, d))) for k in _KINDS}
     npos = np.zeros(C)
@@ -201,19 +211,25 @@ class FitResult:
 def unit_training_table(train: DataFrame, x_col: str = "x", y_col: str = "y",
                         checkpoint: bool = True, id_col: str | None = None) -> DataFrame:
     cols = [F.col(id_col).alias("row_id")] if id_col else []
-    t = train.select(*cols, F.col(y_col).cast("int").alias("y"), l2_normalize(x_col).alias("xh"))
+    # rows that cannot be scored add nothing to a loss
+    t = train.filter(is_usable(safe_norm(x_col))).select(*cols, F.col(y_col).cast("int").alias("y"), l2_normalize(x_col).alias("xh"))
     return cut_lineage(t) if checkpoint else t
 
 
-def epoch_batches(unit: DataFrame, batch_size: int, epoch: int, path: str) -> tuple[DataFrame, int]:
+def batch_rows(n_rows: int, batch_size: int, max_steps: int = MAX_STEPS) -> int:
+    """Rows of a batch: ``batch_size``, or more if an epoch would need over ``max_steps`` steps
+    (every row is used in any case)."""
+    return max(int(batch_size), -(-int(n_rows) // int(max_steps)))
+
+
+def epoch_batches(unit: DataFrame, batch_size: int, epoch: int, path: str) -> DataFrame:
     """B2 for one epoch, written once partitioned by batch (shared checkpoint
     folder): a step then reads only its own batch (partition pruning), so an
-    epoch costs one pass over the table however many batches it has."""
+    epoch costs one pass over the table however many batches it has.  Batches
+    are runs of positions, so a task writes few of them."""
     from .sampling import shuffled_batches
-    b = shuffled_batches(unit, batch_size, seed=epoch)
-    b.write.mode("overwrite").partitionBy("batch").parquet(path)
-    n = unit.count()
-    return unit.sparkSession.read.parquet(path), -(-n // batch_size)
+    shuffled_batches(unit, batch_size, seed=epoch).write.mode("overwrite").partitionBy("batch").parquet(path)
+    return unit.sparkSession.read.parquet(path)
 
 
 class Optimiser:

@@ -20,8 +20,3 @@ def pca_project(df: DataFrame, x_col: str = "x", k: int = 2, keep: list[str] | N
     model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vec)
     out = model.transform(vec).select(*keep, vector_to_array("_pc").alias("_a"))
     return out.select(*keep, *[F.col("_a")[i].alias(f"pc{i}") for i in range(k)])
-
-
-def class_subset(df: DataFrame, target_col: str, targets: list) -> DataFrame:
-    """Rows of the selected classes (the per-class scatter layers)."""
-    return df.filter(F.col(target_col).isin(*targets))

@@ -4,8 +4,7 @@ A prototype set holds, per class of the label space (known classes plus the
 trailing out-of-domain class), a proxy vector, a scalar margin and a margin
 vector.  It is a model: its size is ``n_classes x dim`` and does not grow with
 the data, so it lives on the driver as numpy arrays between fit steps and is
-shipped to executors as one broadcast row (see ``score.py``).  Every path that
-brings class-level results to the driver first checks the class count.
+shipped to executors as broadcast rows of checked size (see ``score.py``).
 
 Initialisers are Spark jobs over the embedding table:
 * ``centroid``: per-class mean of the known training rows (JVM Summarizer,
@@ -29,7 +28,6 @@ from ..functions.vectors import NORM_EPS
 
 # fixed values: the reference's initial scalar margin
 INITIAL_SCALAR_MARGIN = 0.2
-MAX_CLASSES = 100_000
 
 
 def _unit_rows(a: np.ndarray) -> np.ndarray:
@@ -89,61 +87,12 @@ class Prototypes:
     @staticmethod
     def from_frame(df: DataFrame) -> "Prototypes":
         """Restore from a prototype table (bounded by the class count)."""
-        rows = df.orderBy("cls").limit(MAX_CLASSES + 1).collect()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError("prototype table larger than MAX_CLASSES")
+        rows = df.orderBy("cls").collect()           # the model: one row per class
         return Prototypes(np.array([r["proxy"] for r in rows]),
                           np.array([r["margin"] for r in rows]),
                           np.array([r["margin_vec"] for r in rows]))
 
 
-def _collect_bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{what}: more than {MAX_CLASSES} classes")
-    return rows
-
-
-def class_vector_sums(df: DataFrame, n_classes: int, x_col: str = "x",
-                      y_col: str = "y", weight_col: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Per-class vector sums and row counts in one aggregation.
-
-    ``Summarizer`` keeps the dense per-class buffer in the JVM and merges
-    partial aggregates, so a class holding a third of the rows costs the same
-    as any other.  Returns ``(sums (C, d), counts (C,))``; absent classes are 0.
-    """
-    summ = Summarizer.metrics("sum", "count")
-    vec = array_to_vector(F.col(x_col))
-    stat = (summ.summary(vec, F.col(weight_col)) if weight_col else summ.summary(vec)).alias("s")
-    agg = (df.groupBy(F.col(y_col).alias("cls")).agg(stat)
-           .select("cls", vector_to_array("s.sum").alias("sum"), F.col("s.count").alias("count")))
-    rows = _collect_bounded(agg, "class_vector_sums")
-    dim = len(rows[0]["sum"]) if rows else 0
-    sums = np.zeros((n_classes, dim))
-    counts = np.zeros(n_classes)
-    for r in rows:
-        if 0 <= r["cls"] < n_classes:
-            sums[r["cls"]] = r["sum"]
-            counts[r["cls"]] = r["count"]
-    return sums, counts
-
-
-def centroid_prototypes(train: DataFrame, n_known: int, x_col: str = "x",
-                        y_col: str = "y") -> Prototypes:
-    """R5 ``centroid``: class means of known training rows; the last row is
-    the mean of all known training rows.  Scalar margin 0.2, margin vector =
-    proxy (the reference's initial state)."""
-    known = train.filter(F.col(y_col) < int(n_known))
-    sums, counts = class_vector_sums(known, n_known + 1, x_col, y_col)
-    proxy = np.zeros_like(sums)
-    has = counts > 0
-    proxy[has] = sums[has] / counts[has, None]
-    total = counts[:n_known].sum()
-    if total > 0:
-        proxy[n_known] = sums[:n_known].sum(axis=0) / total
-    return Prototypes(proxy)
-
-
 def centroid_and_first_rows(raw_train: DataFrame, n_known: int, x_col: str = "x", y_col: str = "y",
                             order_col: str = "row_id") -> tuple[Prototypes, np.ndarray]:
     """R5 ``centroid`` and the first-row vectors from ONE grouped aggregation
@@ -153,7 +102,7 @@ def centroid_and_first_rows(raw_train: DataFrame, n_known: int, x_col: str = "x"
     agg = (raw_train.groupBy(F.col(y_col).alias("cls"))
            .agg(summ, F.min_by(x_col, order_col).alias("first"))
            .select("cls", vector_to_array("s.sum").alias("sum"), F.col("s.count").alias("count"), "first"))
-    rows = _collect_bounded(agg, "centroid_and_first_rows")
+    rows = agg.collect()                             # the model: one row per class
     C = n_known + 1
     dim = len(rows[0]["sum"]) if rows else 0
     sums, counts, first = np.zeros((C, dim)), np.zeros(C), np.zeros((C, dim))

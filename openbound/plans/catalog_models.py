@@ -112,6 +112,17 @@ def q_r3_fit(spark, sf):
     return S.reject_vector(_eval_rows(os_).select("row_id", "x"), res.protos).select("row_id", "pred")
 
 
+def q_r3_partials(spark, sf):
+    """What one gradient step gathers over the training split (variant ``new``, alpha 4): the sums
+    of weights, weighted similarities and weighted unit vectors per class and kind."""
+    from ..operators import fit as FT
+    os_, protos = emb_setup(spark, sf, margin_vectors=True)
+    unit = FT.unit_training_table(os_.split("train").select("y", "x"))
+    sums = FT.class_partials(unit, protos, "new", 4.0)
+    return sums.select("cls", "kind", _r(F.col("w"), "w"), _r(F.col("ws"), "ws"), "npos", F.posexplode("xs").alias("dim", "v")).select(
+        "cls", "kind", "w", "ws", "npos", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "xs"))
+
+
 def q_s7_s8_tsv_round_trip(spark, sf):
     """Export every split as the reference's TSV pair (S7) into fresh folders
     under the shared checkpoint directory, read them back (S8: line

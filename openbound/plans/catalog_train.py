@@ -157,6 +157,12 @@ def q_m11_grid(spark, sf):
     return run_grid(spark, sf)
 
 
+def q_m11_grid_pivot(spark, sf):
+    """The grid's comparison: macro F1, one row per (dataset, ratio), one column per variant."""
+    from .experiments import pivot_grid, run_grid
+    return pivot_grid(run_grid(spark, sf))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 for _v in LS.VARIANTS:
     QUERIES[f"l5_class_sums_{_v}"] = _class_sums(_v)

@@ -88,9 +88,7 @@ def prepare_with_prototypes(df: DataFrame, ratio: float, mode: str = "first", se
            .agg(F.min(order_col).alias("_first"), summ, F.min_by(x_col, order_col).alias("_fx"))
            .select("label", "_tr", "_first", vector_to_array("s.sum").alias("_sum"),
                    F.col("s.count").alias("_n"), "_fx"))
-    rows = agg.limit(2 * L.BROADCAST_MAX_LABELS + 1).collect()
-    if len(rows) > 2 * L.BROADCAST_MAX_LABELS:
-        raise ValueError("vocabulary exceeds the label bound")
+    rows = agg.collect()                             # two rows per label: the model's raw material
     # vocabulary from the training rows, as in prepare
     first = {r["label"]: r["_first"] for r in rows if r["_tr"]}
     labels = sorted(first, key=lambda lab: (first[lab], lab))

@@ -168,3 +168,28 @@ SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 # the block paths give the same rows
 ORACLES["t5_knn_vote_blocked"] = ORACLES["t5_knn_vote"]
 ORACLES["t6_class_average_blocked"] = ORACLES["t6_class_average"]
+# one gradient step: weights w of the four kinds, times the similarity they act on, times the unit vector
+ORACLES["r3_partials"] = emb(SC) + """,
+t AS (
+  SELECT s.cls, s.row_id, s.y = s.cls OR s.cls = (SELECT n FROM nk) AS is_pos, s.cos > s.r AS inside, s.cos, s.r, s.xm,
+         list_transform(m.x, lambda v: v / sqrt(list_dot_product(m.x, m.x) + 1e-12)) AS xh
+  FROM sc s JOIN m ON m.row_id = s.row_id WHERE s.split = 'train' AND s.y < (SELECT n FROM nk)),
+k AS (
+  SELECT cls, is_pos, xh, CAST(CASE WHEN is_pos THEN CASE WHEN inside THEN 0 ELSE 1 END ELSE CASE WHEN inside THEN 2 ELSE 3 END END AS INTEGER) AS kind,
+         CASE WHEN is_pos THEN exp(-4.0 * CASE WHEN inside THEN xm ELSE cos - r END)
+              ELSE exp(4.0 * CASE WHEN inside THEN cos - r ELSE xm END) END AS w,
+         CASE WHEN is_pos = inside THEN xm ELSE cos END AS s
+  FROM t),
+a AS (
+  SELECT cls, kind, sum(w) AS w, sum(w * s) AS ws FROM k GROUP BY cls, kind),
+x AS (
+  SELECT cls, kind, i, sum(w * v) AS xs FROM (
+    SELECT cls, kind, w, unnest(xh) AS v, generate_subscripts(xh, 1) AS i FROM k) GROUP BY cls, kind, i),
+spine AS (
+  SELECT p.cls, CAST(q AS INTEGER) AS kind, i FROM protos p, (SELECT unnest(range(0, 4)) AS q), (SELECT unnest(range(1, 65)) AS i)),
+np AS (SELECT cls, count(*) FILTER (WHERE is_pos) AS npos FROM k GROUP BY cls)
+SELECT s.cls, s.kind, round(coalesce(a.w, 0), 6) AS w, round(coalesce(a.ws, 0), 6) AS ws,
+       CAST(CASE WHEN s.kind = 0 THEN np.npos ELSE 0 END AS BIGINT) AS npos, CAST(s.i - 1 AS INTEGER) AS dim,
+       round(coalesce(x.xs, 0), 6) AS xs
+FROM spine s LEFT JOIN a ON a.cls = s.cls AND a.kind = s.kind LEFT JOIN x ON x.cls = s.cls AND x.kind = s.kind AND x.i = s.i
+LEFT JOIN np ON np.cls = s.cls"""

@@ -134,3 +134,5 @@ SELECT 'embeddings', {r}, '{v}', 'loss', round(loss, 6) FROM ls""")
 
 
 ORACLES["m11_grid"] = grid_sql()
+ORACLES["m11_grid_pivot"] = f"SELECT dataset, ratio, {', '.join(f'max(value) FILTER (WHERE variant = {v!r}) AS {v}' for v in VARIANTS)} " \
+    f"FROM ({grid_sql()}) WHERE metric = 'macro_f1' GROUP BY dataset, ratio"

@@ -1,13 +1,17 @@
 """The reference's training run as a composition of operators.
 
 Per epoch: mini-batch prototype steps (R3; B2 batches written once per epoch,
-partitioned by batch, one Spark job per step), the epoch's training loss (L9),
-validation and test evaluation with the variant's predictor (T2 or T3;
-M1, M4, M5 from one pass of per-class counts, L7 from one pass of loss sums),
-and the
-best-epoch rule (M7/M8: valid macro F1 >= best so far, ties -> later epoch).
-At the end the metrics log (S12) and the best model bundle (S10) are written
-if paths are given.  Only prototypes and scalar metrics reach the driver.
+partitioned by batch, one Spark job per step and at most ``fit.MAX_STEPS``
+steps, larger tables get larger batches), the epoch's training loss (mean of
+the step losses, L9), evaluation of train, valid and test with the variant's
+predictor (T2 or T3; M1, M4, M5 from one pass of per-class counts, the mean of
+batch losses L9 for valid and test), and the best-epoch rule (M7/M8: valid
+macro F1 >= best so far, ties -> later epoch).  The metrics log (S12) holds
+every epoch's scores and learning rate and the best epoch's scores; an export
+path receives the splits' embeddings (S7) in the epochs that the gate (M9)
+opens: the first, and each one after an improvement.  Only prototypes and
+scalar metrics reach the driver.  Training scores are those of the epoch's
+last prototypes, not of each batch's own.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from ..operators import fit as FT
 from ..operators import loss as LS
 from ..operators import metrics as M
 from ..operators import score as S
+from ..operators.indexing import dense_index
 from ..operators.prototypes import Prototypes
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import exports as EX
@@ -40,65 +45,78 @@ class RunResult:
 
 
 def evaluate(rows: DataFrame, protos: Prototypes, variant: str, alpha: float) -> list[tuple]:
-    """``(split, name, value)`` for accuracy, macro F1, in-/out-of-domain F1 and loss.
+    """``(split, name, value)`` for accuracy, macro F1, in-/out-of-domain F1 and, of rows with a
+    batch, the mean of the batch losses.
 
-    Two passes over the evaluation rows: the per-class counts (everything but
-    the loss derives from them; at most splits x classes rows, pinned as a
-    local table) and the loss sums.
+    Two passes over the rows: the per-class counts (everything but the loss
+    derives from them; splits x classes rows, pinned as a local table) and
+    the loss sums.
     """
+    if "batch" not in rows.columns:
+        rows = rows.withColumn("batch", F.lit(0))        # all rows of a split are one batch
     kind, _ = LS.VARIANTS[variant]
     pred = (S.reject_vector if kind == "vector" else S.reject_scalar)(rows, protos)
     counts = M.class_counts(pred, by="split")
-    bound = 8 * protos.n_classes                    # (split, class) rows: a few splits x classes
-    cc_rows = counts.limit(bound + 1).collect()
-    if len(cc_rows) > bound:
-        raise ValueError("per-class counts exceed splits x classes")
-    cc = rows.sparkSession.createDataFrame(cc_rows, counts.schema)
-    acc = M.accuracy_from_counts(cc, "split").select("split", F.lit("accuracy").alias("name"),
-                                                     F.col("accuracy").alias("value"))
-    f1 = M.macro_f1_from_counts(cc, "split").select("split", F.lit("macro_f1").alias("name"),
-                                                    F.col("macro_f1").alias("value"))
+    cc = rows.sparkSession.createDataFrame(counts.collect(), counts.schema)      # splits x classes rows
+    named = lambda df, name: df.select("split", F.lit(name).alias("name"), F.col(name).alias("value"))
     io = M.ind_ood_from_counts(cc, protos.n_known, "split")
-    ind = io.select("split", F.lit("ind_f1").alias("name"), F.col("ind_f1").alias("value"))
-    ood = io.select("split", F.lit("ood_f1").alias("name"), F.col("ood_f1").alias("value"))
-    loss = LS.proxy_loss(rows, protos, variant, alpha, by="split").select(
-        "split", F.lit("loss").alias("name"), F.col("loss").alias("value"))
-    out = acc.unionByName(f1).unionByName(ind).unionByName(ood).unionByName(loss)
-    return [(r["split"], r["name"], r["value"]) for r in out.limit(1000).collect()]
+    batch_losses = LS.proxy_loss(rows.filter("batch IS NOT NULL"), protos, variant, alpha, by=["split", "batch"])
+    loss = LS.epoch_loss(batch_losses, by="split").withColumnRenamed("epoch_loss", "loss")
+    out = (named(M.accuracy_from_counts(cc, "split"), "accuracy").unionByName(named(M.macro_f1_from_counts(cc, "split"), "macro_f1"))
+           .unionByName(named(io, "ind_f1")).unionByName(named(io, "ood_f1")).unionByName(named(loss, "loss")))
+    return [(r["split"], r["name"], r["value"]) for r in out.collect()]          # five rows a split
+
+
+def evaluation_rows(data: OpenSet, batch_size: int) -> DataFrame:
+    """Rows of all splits, checkpointed; valid and test rows carry their batch (in row order)."""
+    cols = ["row_id", "split", "y", "x"]
+    out = data.split("train").select(*cols, F.lit(None).cast("long").alias("batch"))
+    for name in ("valid", "test"):
+        rows = dense_index(data.split(name).select(*cols), ["row_id"], "_pos")
+        out = out.unionByName(rows.withColumn("batch", F.floor(F.col("_pos") / batch_size).cast("long")).drop("_pos"))
+    return cut_lineage(out)
 
 
 def train_and_evaluate(data: OpenSet, protos: Prototypes, variant: str = "new", alpha: float = 64.0,
                        epochs: int = 50, batch_size: int = 150, lr: float = FT.LR, clip: float = FT.CLIP,
                        run_id: str = "run", metrics_path: str | None = None,
-                       bundle_path: str | None = None, dataset: str = "dataset",
-                       ratio: float = 0.0) -> RunResult:
+                       bundle_path: str | None = None, export_path: str | None = None,
+                       dataset: str = "dataset", ratio: float = 0.0) -> RunResult:
     spark = data.data.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
     unit = FT.unit_training_table(data.split("train").select("row_id", "y", "x"), id_col="row_id")
     n_train = unit.count()
-    n_batches = max(1, -(-n_train // batch_size))
-    opt = FT.Optimiser(variant, epochs * n_batches, lr, clip)
-    eval_rows = cut_lineage(data.data.filter(F.col("split").isin("valid", "test"))
-                            .select("row_id", "split", "y", "x"))
+    size = FT.batch_rows(n_train, batch_size)
+    n_batches = -(-n_train // size)
+    opt = FT.Optimiser(variant, max(1, epochs * n_batches), lr, clip)
+    eval_rows = evaluation_rows(data, batch_size)
     p = protos.copy()
-    best, best_epoch, best_score = p.copy(), None, 0.0
-    log, steps = [], []
+    best, best_epoch, best_score, best_scores = p.copy(), None, 0.0, []
+    log, steps, gate = [], [], True
     for epoch in range(epochs):
-        batches, nb = FT.epoch_batches(unit, batch_size, epoch, f"{base}/epoch={epoch}")
+        batches = FT.epoch_batches(unit, size, epoch, f"{base}/epoch={epoch}")
         losses = []
-        for b in range(nb):
-            part = batches.filter(F.col("batch") == b)
-            sums = FT.aggregate_sums(part, p, variant, alpha)
+        for b in range(n_batches):
+            sums = FT.aggregate_sums(batches.filter(F.col("batch") == b), p, variant, alpha)
             loss, d_p, d_m = FT.loss_and_grad(sums, p, variant, alpha)
             p = opt.apply(p, d_p, d_m)
             losses.append(float(loss))
             steps.append((epoch, b, float(loss)))
-        log.append((run_id, epoch, "train", "loss", float(np.mean(losses))))
+        if losses:
+            log.append((run_id, epoch, "train", "loss", float(np.mean(losses))))
+        log.append((run_id, epoch, "train", "learning_rate", float(opt.proxy_lr * FT.schedule(opt.step_no, opt.total))))
         ev = evaluate(eval_rows, p, variant, alpha)
         log += [(run_id, epoch, sp, name, None if v is None else float(v)) for sp, name, v in ev]
+        if export_path and gate:
+            for split in ("train", "valid", "test"):
+                EX.export_embeddings(eval_rows.filter(F.col("split") == split), export_path, run_id, epoch, split)
         valid_f1 = next((v for sp, name, v in ev if sp == "valid" and name == "macro_f1"), None)
-        if valid_f1 is not None and valid_f1 >= best_score:
+        gate = valid_f1 is not None and valid_f1 >= best_score
+        if gate:
             best, best_epoch, best_score = p.copy(), epoch, valid_f1
+            best_scores = [(sp, f"best_{name}", v) for sp, name, v in ev if sp != "train" and name != "loss"]
+    if best_epoch is not None:
+        log += [(run_id, best_epoch, sp, name, None if v is None else float(v)) for sp, name, v in best_scores]
     metrics = spark.createDataFrame(log, EX.METRICS_SCHEMA)
     if metrics_path:
         EX.append_metrics(metrics, metrics_path)

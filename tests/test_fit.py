@@ -87,7 +87,8 @@ def test_train_and_evaluate_run(spark):
                              run_id="r1", metrics_path=f"{d}/metrics", bundle_path=f"{d}/bundle",
                              dataset="emb", ratio=0.5)
     m = spark.read.parquet(f"{d}/metrics")
-    assert m.count() == 2 * (1 + 2 * 5)
+    # per epoch: train loss, rate and 4 scores, 5 for valid and test each; the best epoch's 8 scores
+    assert m.count() == 2 * (2 + 4 + 2 * 5) + 8
     assert len({(e, b) for e, b, _ in res.step_losses}) == 2 * 3        # 175 train rows / 64 -> 3 batches
     # the driver's best-epoch rule agrees with the Spark M7 operator over the log
     valid = (m.filter("split = 'valid' AND name = 'macro_f1'")
