@@ -31,14 +31,12 @@ _EMPTY = {"sum": 0.0, "count": 0, "max": None, "min": None}
 
 
 def _buckets(df: DataFrame, order_col: str, n_buckets: int | None):
-    if "_cb" in df.columns:          # already bucketed by an earlier scan: reuse
-        return df
     return quantile_buckets(df, F.col(order_col), "_cb", n_buckets)
 
 
 def segmented_scan(df: DataFrame, part_cols: Sequence[str], order_col: str,
                    aggs: dict[str, tuple[str, str]], inclusive: bool = True,
-                   n_buckets: int | None = None, keep_buckets: bool = False) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Running aggregates per ``part_cols`` in ``order_col`` order.
 
     ``aggs`` maps output name -> (function, column), function in sum / count
@@ -66,26 +64,7 @@ def segmented_scan(df: DataFrame, part_cols: Sequence[str], order_col: str,
             merged = F.coalesce(_MERGE[fn](local, pre), local, pre)
         out = out.withColumn(name, merged)
     drop = [c for c in out.columns if c.startswith(("_l_", "_p_"))]
-    return out.drop(*drop) if keep_buckets else out.drop(*drop, "_cb")
-
-
-def segmented_lag(df: DataFrame, part_cols: Sequence[str], order_col: str, col: str,
-                  out_col: str, default=None, n_buckets: int | None = None) -> DataFrame:
-    """``lag(col, 1, default)`` per partition in order, bucketed like the scan."""
-    parts = list(part_cols)
-    b = _buckets(df, order_col, n_buckets)
-    wl = Window.partitionBy(*parts, "_cb").orderBy(order_col)
-    b = b.withColumn("_lag", F.lag(col, 1).over(wl)).withColumn("_first", F.row_number().over(wl) == 1)
-    cells = b.groupBy(*parts, "_cb").agg(F.max_by(col, order_col).alias("_last"))
-    wp = Window.partitionBy(*parts).orderBy("_cb")
-    prev = cells.select(*parts, "_cb", F.lag("_last", 1).over(wp).alias("_prev"),
-                        (F.row_number().over(wp) == 1).alias("_first_cell"))
-    out = b.join(prev, [*parts, "_cb"], "left")
-    dflt = F.lit(default)
-    val = (F.when(~F.col("_first"), F.col("_lag"))
-           .when(F.col("_first_cell"), dflt)
-           .otherwise(F.col("_prev")))
-    return out.withColumn(out_col, val).drop("_lag", "_first", "_prev", "_first_cell", "_cb")
+    return out.drop(*drop, "_cb")
 
 
 # ------------------------------------------------------------ M6 - M9 -----
@@ -106,10 +85,9 @@ def running_mean(df: DataFrame, run_cols: Sequence[str], order_col: str, value_c
 
 def improved_flags(df: DataFrame, run_cols: Sequence[str], epoch_col: str = "epoch",
                    score_col: str = "valid_f1", out_col: str = "improved",
-                   n_buckets: int | None = None, keep_buckets: bool = False) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """M8: ``score >= best so far`` with the best starting at 0 (ties improve)."""
-    s = segmented_scan(df, run_cols, epoch_col, {"_best": ("max", score_col)}, False, n_buckets,
-                       keep_buckets)
+    s = segmented_scan(df, run_cols, epoch_col, {"_best": ("max", score_col)}, False, n_buckets)
     best = F.greatest(F.coalesce(F.col("_best"), F.lit(0.0)), F.lit(0.0))
     return s.withColumn(out_col, F.col(score_col) >= best).drop("_best")
 
@@ -117,9 +95,32 @@ def improved_flags(df: DataFrame, run_cols: Sequence[str], epoch_col: str = "epo
 def export_gate(df: DataFrame, run_cols: Sequence[str], epoch_col: str = "epoch",
                 score_col: str = "valid_f1", out_col: str = "export",
                 n_buckets: int | None = None) -> DataFrame:
-    """M9: epoch e exports iff epoch e-1 improved; the first epoch always does."""
-    imp = improved_flags(df, run_cols, epoch_col, score_col, "_imp", n_buckets, keep_buckets=True)
-    return segmented_lag(imp, run_cols, epoch_col, "_imp", out_col, True, n_buckets).drop("_imp")
+    """M9: epoch e exports iff epoch e-1 improved; the first epoch always does.
+
+    Needed are the previous score and the best up to e-2.  One window over the
+    (run, bucket) cells gives both inside a cell; for the first rows of a cell
+    they come from a summary with one row per cell (its last score, its best,
+    its best before the last)."""
+    runs = list(run_cols)
+    b = _buckets(df, epoch_col, n_buckets)
+    w = Window.partitionBy(*runs, "_cb").orderBy(epoch_col)
+    upto = lambda k: F.max(score_col).over(w.rowsBetween(Window.unboundedPreceding, k))
+    rows = (b.withColumn("_rn", F.row_number().over(w)).withColumn("_prev", F.lag(score_col, 1).over(w))
+            .withColumn("_b1", upto(-1)).withColumn("_b2", upto(-2)))
+    cells = rows.groupBy(*runs, "_cb").agg(F.max(score_col).alias("_max"), F.max_by(score_col, epoch_col).alias("_last"),
+                                           F.max_by("_b1", epoch_col).alias("_but_last"))
+    wc = Window.partitionBy(*runs).orderBy("_cb")
+    before = cells.select(
+        *runs, "_cb", F.max("_max").over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_p1"),
+        F.max("_max").over(wc.rowsBetween(Window.unboundedPreceding, -2)).alias("_p2"),
+        F.lag("_last", 1).over(wc).alias("_pl"), F.lag("_but_last", 1).over(wc).alias("_pb"),
+        (F.row_number().over(wc) == 1).alias("_first_cell"))
+    j = rows.join(before, [*runs, "_cb"], "left")
+    first = F.col("_rn") == 1
+    prev = F.when(first, F.col("_pl")).otherwise(F.col("_prev"))
+    best = F.greatest(F.when(first, F.greatest("_p2", "_pb")).otherwise(F.greatest("_p1", "_b2")), F.lit(0.0))
+    gate = F.when(first & F.col("_first_cell"), F.lit(True)).otherwise(prev >= best)
+    return j.withColumn(out_col, gate).drop("_rn", "_prev", "_b1", "_b2", "_p1", "_p2", "_pl", "_pb", "_first_cell", "_cb")
 
 
 def best_epoch(df: DataFrame, run_cols: Sequence[str], epoch_col: str = "epoch",

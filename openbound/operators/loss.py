@@ -14,10 +14,11 @@ out-of-domain):
 * S+_c, S-_c = masked column sums (L5); n_valid = classes with >= 1
   positive (L6); loss = sum ln(1+S+)/n_valid + sum ln(1+S-)/C (L7).
 
-Plan: per-class terms are produced map-side from the broadcast prototype row
-(``score.class_terms``) and reduced by ``groupBy(batch, cls)``: a partial
-aggregation whose shuffle carries ``batches x C`` rows, however skewed the
-classes are.  Maths in DOUBLE (the reference's float32 overflows to inf for
+Plan: the per-class terms of a row are one array, made map-side from the
+broadcast prototype row; the losses sum these arrays as dense vectors per batch
+(``Summarizer``, merged map-side), so N rows stay N rows and the shuffle
+carries one vector per batch and task.  L1-L5 also exist in long form, one row
+per (sample, class), which is their result.  Maths in DOUBLE (the reference's float32 overflows to inf for
 large alpha; here results stay finite up to e^(2 alpha)).
 
 Rows whose vector cannot be scored (see ``score``) add nothing to sums,
@@ -29,6 +30,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,49 +157,52 @@ def class_sums_arrow(df: DataFrame, protos: Prototypes, variants, alpha: float,
         F.max("has_pos").alias("has_pos"))
 
 
+def _row_sums(df: DataFrame, protos: Prototypes, variants: Sequence[str], alpha: float, keys: list[str],
+              x_col: str, y_col: str) -> DataFrame:
+    """L5/L6 of several variants, ``(variant, keys..., cls, s_pos, s_neg, has_pos)``: every row makes one
+    dense vector of its masked exponentials, and the vectors are summed per key.  No row is ever
+    multiplied by the number of classes."""
+    t = S.class_rows(_usable(df, x_col), protos, x_col)
+    a, y, c = float(alpha), F.col(y_col), protos.n_classes
+
+    def arrays(kind: str, shared: bool) -> list:
+        def mask(s):
+            return positive_mask(y, s["cls"], protos.n_known, shared)
+
+        def terms(s):
+            if kind == "scalar":
+                return s["ucos"] - s["mrg"], s["ucos"] + s["mrg"]
+            inside = s["cos"] > s["r"]
+            return (F.when(inside, s["xm"]).otherwise(s["cos"] - s["r"]), F.when(inside, s["cos"] - s["r"]).otherwise(s["xm"]))
+        return [F.transform("_sc", lambda s: F.when(mask(s), F.exp(F.lit(-a) * terms(s)[0])).otherwise(0.0)),
+                F.transform("_sc", lambda s: F.when(~mask(s), F.exp(F.lit(a) * terms(s)[1])).otherwise(0.0)),
+                F.transform("_sc", lambda s: mask(s).cast("double"))]
+    parts = [x for v in variants for x in arrays(*VARIANTS[v])]
+    total = (t.select(*keys, array_to_vector(F.concat(*parts)).alias("_v")).groupBy(*keys)
+             .agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("_t")))
+    cells = total.filter(F.size("_t") > 0).select(*keys, "_t", F.explode(F.sequence(F.lit(0), F.lit(len(variants) * c - 1))).alias("_i"))
+    v, cls = F.floor(F.col("_i") / c).cast("int"), (F.col("_i") % c).cast("int")
+    at = lambda k: F.element_at("_t", v * (3 * c) + k * c + cls + 1)
+    names = F.array(*[F.lit(n) for n in variants])
+    return cells.select(F.element_at(names, v + 1).alias("variant"), *keys, cls.alias("cls"), at(0).alias("s_pos"),
+                        at(1).alias("s_neg"), (at(2) > 0).cast("int").alias("has_pos"))
+
+
 def proxy_loss(df: DataFrame, protos: Prototypes, variant: str = "new", alpha: float = 64.0,
                by: Sequence[str] | str | None = None, x_col: str = "x", y_col: str = "y",
                engine: str = "expr") -> DataFrame:
     """One entry point for the four variants; ``by`` = batch keys."""
-    if engine == "arrow":
-        sums = class_sums_arrow(df, protos, [variant], alpha, by, x_col, y_col).drop("variant")
-        return combine(sums, protos.n_classes, by)
-    terms = loss_terms(_usable(df, x_col), protos, variant, alpha, x_col, y_col)
-    return combine(class_sums(terms, by), protos.n_classes, by)
+    return multi_variant_loss(df, protos, [variant], alpha, by, x_col, y_col, engine).drop("variant")
 
 
 def multi_variant_loss(df: DataFrame, protos: Prototypes, variants=tuple(VARIANTS), alpha: float = 64.0,
                        by: Sequence[str] | str | None = None, x_col: str = "x",
                        y_col: str = "y", engine: str = "expr") -> DataFrame:
-    """All requested variants from ONE pass: the per-class terms are computed
-    once (clamped and unclamped cosine side by side), every variant's masked
-    sums go into the same ``groupBy(by, cls)``, and the result is stacked to
-    ``(variant, by..., loss, n_valid)``."""
+    """All requested variants from ONE pass over the rows: ``(variant, by..., loss, n_valid)``."""
     keys = _keys(by)
-    if engine == "arrow":
-        sums = class_sums_arrow(df, protos, variants, alpha, by, x_col, y_col)
-        return combine(sums, protos.n_classes, ["variant", *keys])
-    t = S.class_terms(_usable(df, x_col), protos, x_col, clamp=True, with_unclamped=True)
-    a = float(alpha)
-    y, cls, cos, ucos = F.col(y_col), F.col("cls"), F.col("cos"), F.col("ucos")
-    inside = cos > F.col("r")
-    vec_pos = F.when(inside, F.col("xm")).otherwise(cos - F.col("r"))
-    vec_neg = F.when(inside, cos - F.col("r")).otherwise(F.col("xm"))
-    aggs = []
-    for v in variants:
-        kind, shared = VARIANTS[v]
-        pos_cos, neg_cos = (vec_pos, vec_neg) if kind == "vector" else (ucos - F.col("mrg"),
-                                                                        ucos + F.col("mrg"))
-        is_pos = positive_mask(y, cls, protos.n_known, shared)
-        aggs += [F.sum(F.when(is_pos, F.exp(F.lit(-a) * pos_cos)).otherwise(F.lit(0.0))).alias(f"sp_{v}"),
-                 F.sum(F.when(~is_pos, F.exp(F.lit(a) * neg_cos)).otherwise(F.lit(0.0))).alias(f"sn_{v}"),
-                 F.max(is_pos.cast("int")).alias(f"hp_{v}")]
-    sums = t.groupBy(*keys, "cls").agg(*aggs)
-    stacked = sums.select(*keys, "cls", F.explode(F.array(*[
-        F.struct(F.lit(v).alias("variant"), F.col(f"sp_{v}").alias("s_pos"), F.col(f"sn_{v}").alias("s_neg"),
-                 F.col(f"hp_{v}").alias("has_pos")) for v in variants])).alias("_v")).select(
-        *keys, "cls", "_v.*")
-    return combine(stacked, protos.n_classes, ["variant", *keys])
+    make = class_sums_arrow if engine == "arrow" else _row_sums
+    sums = make(df, protos, list(variants), alpha, keys, x_col, y_col)
+    return combine(sums, protos.n_classes, ["variant", *keys])
 
 
 def epoch_loss(batch_losses: DataFrame, by: Sequence[str] | str | None = None) -> DataFrame:

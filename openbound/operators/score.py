@@ -250,6 +250,11 @@ def cosine_logits(df: DataFrame, protos: Prototypes, x_col: str = "x", out_col:
     return out.withColumn(out_col, logits).drop("_sc", "_xn")
 
 
+def class_rows(df: DataFrame, protos: Prototypes, x_col: str = "x", limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Every row with its class scores as one array ``_sc`` (clamped and unclamped cosines)."""
+    return _scored(df, protos, x_col, limit, with_unclamped=True).drop("_xn")
+
+
 def class_terms(df: DataFrame, protos: Prototypes, x_col: str = "x", clamp: bool = True,
                 with_unclamped: bool = False, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Long form ``(..., cls, cos, xm, r, mrg[, ucos])``: one row per (sample, class).
