@@ -14,7 +14,7 @@ from array import array
 
 from pyspark.sql import SparkSession
 
-MEMO_WORDS = 600_000            # words of a worker's memo (it holds two: the current and the one before)
+MEMO_WORDS = 250_000            # words of a worker's memo (it holds two: the current and the one before)
 STRETCH = 1 << 20             # characters split into words at a time
 UNSAFE = re.compile(r" (?:\s|$)")
 _ENCODERS: dict = {}
