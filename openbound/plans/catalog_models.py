@@ -202,7 +202,7 @@ def q_r3_train_run(spark, sf):
 
 def q_e2e_text_openset(spark, sf):
     """The text path end to end on ``documents`` (label = source): whole texts embedded (R2),
-    label space + centroid prototypes (one aggregation), T3 rejection on valid and test,
+    label space + centroid prototypes (one aggregation), T3 rejection on all splits,
     confusion cells per split."""
     from ..operators import metrics as M
     from ..operators import score as S
@@ -211,8 +211,7 @@ def q_e2e_text_openset(spark, sf):
     emb = EM.embed_text(_doc_tokens(spark, sf), "row_id", dim=DIM)
     docs = views.document_splits(spark, sf).select("row_id", "split", "label").join(emb, "row_id")
     os_, protos = prepare_with_prototypes(docs, RATIO)
-    pred = S.reject_scalar(os_.data.filter(F.col("split").isin("valid", "test")), protos)
-    return M.confusion_counts(pred, by="split")
+    return M.confusion_counts(S.reject_scalar(os_.data, protos), by="split")
 
 
 def _scratch(spark, what):
