@@ -12,9 +12,15 @@ than its list can show.  Saturated lists are enlarged to all members of the poin
 exactly: the component is cut into blocks that meet two at a time, and a block pair gives only
 the number of links of each row (plus a spanning forest while components still grow).
 
-Recall is audited: a hash sample of points is compared with all points in blocks.  Links that
-the graph has missed are added, and while the share found is below the target another round
-with fresh tables follows.
+There are so many tables that a pair at the threshold shares a code at least once with the
+target's probability, so their number grows with the code length; beyond the first ``TABLES``
+they give links only.
+
+Recall is audited: a hash sample of points, a new one every round, is compared with all points
+in blocks.  Every sampled point counts alike, and every component counts alike, however many
+links it has; the smaller mean is the recall.  Links that the graph has missed are added, and
+while the recall is below the target another round with twice as many fresh tables follows.
+After the last round a recall below the target is an error.
 
 Cosines are computed in double precision on normalised vectors.
 
@@ -37,7 +43,7 @@ from .common import need, prepare, written
 from .components import connected_components
 
 THRESHOLD = 0.9
-TABLES = 16           # hyperplane tables of one round
+TABLES = 16           # hyperplane tables of one job, and of one round at least
 K = 8                 # neighbours that a list holds before it is enlarged
 WINDOW = 12           # following points that a point is compared with in sorted order
 ROUNDS = 3            # rounds of neighbours-of-neighbours joins, at most
@@ -79,7 +85,7 @@ def points(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Da
     return rows, written(found.mapInArrow(_unit, "p long, copies long, u binary"), "points")
 
 
-def _hash_tables(bits: int, seed: int, tables: int):
+def _hash_tables(bits: int, seed: list[int], tables: int):
     def run(batches):
         planes: dict = {}
         for b in batches:
@@ -89,7 +95,7 @@ def _hash_tables(bits: int, seed: int, tables: int):
                 part = b.take(pa.array(rows))
                 x, d = _matrix(part.column(1)), int(width) // 8
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).normal(size=(tables, d, bits + 1))
+                    planes[d] = np.random.default_rng([*seed, d]).normal(size=(tables, d, bits + 1))
                 for t in range(tables):
                     y = x @ planes[d][t]
                     code = (y[:, :bits] > 0) @ (1 << np.arange(bits))
@@ -100,9 +106,9 @@ def _hash_tables(bits: int, seed: int, tables: int):
     return run
 
 
-def _window_pairs(threshold: float, window: int):
+def _window_pairs(threshold: float, window: int, near: bool = True):
     """Rows sorted by (g, o, p): compares each with the next ``window`` rows of its group.  Gives
-    the links, and for every row the best neighbour below the threshold."""
+    the links, and with ``near`` for every row the best neighbour below the threshold."""
     def run(batches):
         held = None
         for b in batches:
@@ -129,19 +135,19 @@ def _window_pairs(threshold: float, window: int):
                 rest, s = i[~link], sim[~link]
                 up = s > best[rest]
                 best[rest[up]], who[rest[up]] = s[up], p[rest[up] + off]
-            near = np.flatnonzero(best > -2)
-            out.append((p[near], who[near], best[near]))
+            some = np.flatnonzero(best > (-2 if near else 2))
+            out.append((p[some], who[some], best[some]))
             a, c, s = (np.concatenate(z) for z in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(s)], names=["a", "b", "sim"])
             held = (g[-window:], p[-window:], x[-window:])
     return run
 
 
-def _sorted_pairs(grouped: DataFrame, threshold: float, window: int) -> DataFrame:
+def _sorted_pairs(grouped: DataFrame, threshold: float, window: int, near: bool = True) -> DataFrame:
     """Edges of rows ``(g, o, p, u)``: a range partition on the whole order splits any group."""
     parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (grouped.repartitionByRange(parts, "g", "o", "p").sortWithinPartitions("g", "o", "p")
-             .mapInArrow(_window_pairs(threshold, window), EDGES))
+             .mapInArrow(_window_pairs(threshold, window, near), EDGES))
     return pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
@@ -162,12 +168,26 @@ def refine(pts: DataFrame, edges: DataFrame, threshold: float, k: int, window: i
     return _sorted_pairs(rows, threshold, window)
 
 
+def code_bits(n: int) -> int:
+    return max(1, min(24, math.ceil(math.log2(max(n, 2) / 8))))
+
+
+def tables_needed(bits: int, threshold: float, target: float = AUDIT_TARGET) -> int:
+    """Tables after which a pair at the threshold has shared a sign code with probability ``target``."""
+    same = (1 - math.acos(max(-1.0, min(threshold, 1 - 1e-9))) / math.pi) ** bits
+    return 1 if same <= 0 else math.ceil(math.log(1 - target) / math.log1p(-same))
+
+
 def neighbour_graph(pts: DataFrame, n: int, seed: int, threshold: float = THRESHOLD, tables: int = TABLES, k: int = K,
                     window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Edges ``(a, b, sim)`` (a < b): all links found and the best neighbours below the threshold."""
-    bits = max(1, min(24, math.ceil(math.log2(max(n, 2) / 8))))
-    first = pts.select("p", "u").mapInArrow(_hash_tables(bits, seed, tables), "g long, o double, p long, u binary")
-    edges = written(_sorted_pairs(first, threshold, window), "graph")
+    bits, jobs, edges = code_bits(n), math.ceil(tables / TABLES), None
+    for job in range(jobs):
+        first = pts.select("p", "u").mapInArrow(_hash_tables(bits, [seed, job], math.ceil(tables / jobs)), "g long, o double, p long, u binary")
+        some = written(_sorted_pairs(first, threshold, window, job == 0), "graph")
+        edges = some if edges is None else edges.unionByName(some)
+    if jobs > 1:
+        edges = written(edges.groupBy("a", "b").agg(F.max("sim").alias("sim")), "graph")
     links = edges.filter(F.col("sim") >= threshold).count()
     for _ in range(rounds):
         more = refine(pts, edges, threshold, k, window)
@@ -180,12 +200,13 @@ def neighbour_graph(pts: DataFrame, n: int, seed: int, threshold: float = THRESH
 
 
 def _audit(sample, threshold: float):
-    """Compares rows ``(p, c, u)`` with the broadcast sample: links seen, links between components,
-    and one missed link for every (sample point, component) that the task meets."""
+    """Compares rows ``(p, c, u)`` with the broadcast sample: for every sample point and its component
+    the links seen and those between components, and (without counts) one missed link for every pair
+    of components that the task meets."""
     def run(batches):
         ids, comps, raw = sample.value
         lengths = np.array([len(r) for r in raw])
-        seen = missed = 0
+        seen, missed = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         found: set = set()
         for b in batches:
             p, c, own = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
@@ -203,28 +224,35 @@ def _audit(sample, threshold: float):
                     i, j = r[i], s[j]
                     other = p[i] != ids[j]
                     apart = other & (c[i] != comps[j])
-                    seen, missed = seen + int(other.sum()), missed + int(apart.sum())
+                    seen += np.bincount(j[other], minlength=len(ids))
+                    missed += np.bincount(j[apart], minlength=len(ids))
                     found |= set(zip(comps[j[apart]].tolist(), c[i[apart]].tolist()))
-        pairs = sorted(found)
+        pairs, some = sorted(found), np.flatnonzero(seen)
+        none = [None] * len(pairs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in pairs] + [None], pa.int64()), pa.array([b for _, b in pairs] + [None], pa.int64()),
-             pa.array([0] * len(pairs) + [seen], pa.int64()), pa.array([0] * len(pairs) + [missed], pa.int64())],
+            [pa.array([a for a, _ in pairs] + ids[some].tolist(), pa.int64()), pa.array([b for _, b in pairs] + comps[some].tolist(), pa.int64()),
+             pa.array(none + seen[some].tolist(), pa.int64()), pa.array(none + missed[some].tolist(), pa.int64())],
             names=["a", "b", "seen", "missed"])
     return run
 
 
-def audit(labelled: DataFrame, n: int, threshold: float = THRESHOLD, sample_points: int = AUDIT_POINTS) -> tuple[float, DataFrame]:
+def audit(labelled: DataFrame, n: int, threshold: float = THRESHOLD, sample_points: int = AUDIT_POINTS,
+          seed: int = 0) -> tuple[float, DataFrame]:
     """Recall over a hash sample of points (``sample_points`` of them, about) against all points,
-    and the pairs of components that a missed link joins."""
+    and the pairs of components that a missed link joins.  The recall is the mean of the sampled
+    points' own recalls or, if smaller, the mean of the components' means: a large component has
+    many points with many links each, which would hide what the small ones miss."""
     spark = labelled.sparkSession
     share = min(1.0, sample_points / max(n, 1))
-    picked = labelled.filter(F.pmod(F.xxhash64("p", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample_points).collect()
+    picked = labelled.filter(F.pmod(F.xxhash64("p", F.lit(5 + seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample_points).collect()
     sample = spark.sparkContext.broadcast((np.array([r["p"] for r in picked], np.int64), np.array([r["c"] for r in picked], np.int64),
                                            [bytes(r["u"]) for r in picked]))
     got = written(labelled.select("p", "c", "u").mapInArrow(_audit(sample, threshold), "a long, b long, seen long, missed long"), "audit")
-    total = got.agg(F.sum("seen"), F.sum("missed")).first()
-    recall = 1.0 if not total[0] else 1 - total[1] / total[0]
-    return recall, got.filter("a IS NOT NULL").select("a", "b").distinct()
+    own: dict[int, list[float]] = {}
+    for r in got.filter("seen IS NOT NULL").groupBy("a", "b").agg(F.sum("seen"), F.sum("missed")).collect():
+        own.setdefault(r[1], []).append(1 - r[3] / r[2])
+    recall = min(np.mean(np.concatenate(list(own.values()))), np.mean([np.mean(v) for v in own.values()])) if own else 1.0
+    return float(recall), got.filter("seen IS NULL").select("a", "b").distinct()
 
 
 def _block_counts(threshold: float):
@@ -282,19 +310,21 @@ def _label(pts: DataFrame, links: DataFrame) -> DataFrame:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD,
                  seed: int = 7, tables: int = TABLES, report: dict | None = None) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.  ``report`` receives the
-    audited recall of every round."""
+    audited recall and the number of tables of every round."""
     need(vectors, id_col, vec_col)
     prepare(vectors.sparkSession)
     rows, pts = points(vectors, id_col, vec_col)
     n = pts.count()
     links = None
     recalls: list[float] = []
+    dealt: list[int] = []
     for attempt in range(AUDIT_ROUNDS):
-        graph = neighbour_graph(pts, n, seed + attempt, threshold, tables)
+        dealt.append(max(tables, tables_needed(code_bits(n), threshold)) << attempt)
+        graph = neighbour_graph(pts, n, seed + attempt, threshold, dealt[-1])
         new = graph.filter(F.col("sim") >= threshold).select("a", "b")
         links = new if links is None else links.unionByName(new)
         labelled = _label(pts, links)
-        recall, missed = audit(labelled, n, threshold)
+        recall, missed = audit(labelled, n, threshold, seed=attempt)
         recalls.append(recall)
         if recall < 1:
             # components are named by one of their points, so a missed pair of components is a link
@@ -303,7 +333,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         if recall >= AUDIT_TARGET:
             break
     if report is not None:
-        report["recall"] = recalls
+        report["recall"], report["tables"] = recalls, dealt
+    if recalls[-1] < AUDIT_TARGET:
+        raise RuntimeError(f"audited recall {recalls} of rounds with {dealt} tables is below {AUDIT_TARGET}")
     counts = written(count_links(labelled, threshold), "counts")
     named = labelled.select("p", "c", "copies").join(counts, "p", "left")
     # every row finds its point by its vector; points are written, so a vector that many rows share splits

@@ -68,3 +68,32 @@ def test_empty(spark):
     assert N.near_vectors(_frame(spark, [])).count() == 0
     got = N.near_vectors(_frame(spark, [(1, None), (None, None)])).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in got) == [("1", 0, True), ("None", 0, True)]
+
+
+def test_audit_counts_points_and_components_alike(spark):
+    """One large group whose links are all found must not hide pairs that are all missed."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=32)
+    group = [base + .02 * np.linalg.norm(base) * rng.normal(size=32) / 32 ** .5 for _ in range(300)]
+    ends = [x + .02 * rng.normal(size=32) for x in rng.normal(size=(60, 32)) for _ in range(2)]
+    u = [(x / np.linalg.norm(x)).tobytes() for x in group + ends]
+    frame = lambda comp: spark.createDataFrame([(i, comp(i), 1, x) for i, x in enumerate(u)], "p long, c long, copies long, u binary")
+    recall, missed = N.audit(frame(lambda i: 0 if i < 300 else i), len(u))
+    assert recall < .1 and missed.count() == 120
+    recall, missed = N.audit(frame(lambda i: 0 if i < 300 else i - i % 2), len(u))
+    assert recall == 1.0 and missed.count() == 0
+
+
+def test_tables_grow_with_the_code_and_a_miss_is_an_error(spark, monkeypatch):
+    assert N.tables_needed(12, .9) > N.TABLES and N.tables_needed(24, .9) > 4 * N.tables_needed(12, .9)
+    rng = np.random.default_rng(3)
+    ends = [x + .3 * rng.normal(size=64) for x in rng.normal(size=(200, 64)) for _ in range(2)]
+    df = _frame(spark, [(i, v.tolist()) for i, v in enumerate(ends)])
+    monkeypatch.setattr(N, "tables_needed", lambda bits, threshold: 1)
+    monkeypatch.setattr(N, "AUDIT_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="below"):
+        N.near_vectors(df, tables=1)
+    monkeypatch.undo()
+    report = {}
+    N.near_vectors(df, tables=1, report=report)
+    assert report["recall"][-1] >= N.AUDIT_TARGET and report["tables"][0] == N.tables_needed(N.code_bits(400), .9)
