@@ -12,8 +12,11 @@ In the wrapper every slot is decided once: inside the main region and not below
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.  A page is
 then matched against its host's wrapper and its kept slots, one block each, are the text.
 
-Every task aligns the pages it reads, one wrapper a host; only these wrappers move.  They are
-aligned in sorted streams that hold one wrapper at a time, first per (host, salt), then per
+Pages with an article or main element of their own and pages without have separate wrappers,
+so a host that mixes both kinds decides the region of each kind by itself.
+
+Every task aligns the pages it reads, two wrappers a host at most; only these move.  They are
+aligned in sorted streams that hold one host at a time, first per (host, salt), then per
 host, so a host with a third of all pages is spread over many tasks.  Pages meet the rules of
 their host by (host, salt) too.
 
@@ -287,6 +290,16 @@ def add_page(wrapper: list | None, other: list) -> list:
     return other if wrapper is None else merge(wrapper, other)
 
 
+def add_pair(pair: list | None, other: list) -> list:
+    """Wrappers of a host's pages without and with a main element of their own, each or None."""
+    return other if pair is None else [a if b is None else add_page(a, b) for a, b in zip(pair, other)]
+
+
+def page_pair(page: str | None) -> list:
+    own = skeleton(page)
+    return [None, own] if _has_main(own) else [own, None]
+
+
 # -- what to keep ----------------------------------------------------------------------------------
 
 def _excluded(label: str, inside_main: bool) -> bool:
@@ -363,9 +376,18 @@ def _flat(items: list):
             yield it, it[1]
 
 
-def extract(page: str | None, rules: list | None = None) -> str:
-    """Kept blocks of a page in order, joined by newlines."""
+def _node_has_main(node: Node) -> bool:
+    """``_has_main`` of the page's own skeleton."""
+    if _excluded(node.label, False):
+        return False
+    return _is_main(node.label) or any(_node_has_main(c) for c in node.children if isinstance(c, Node))
+
+
+def extract(page: str | None, rules: list | None = None, pair: list | None = None) -> str:
+    """Kept blocks of a page in order, joined by newlines; of a ``pair`` of rules, those of its kind hold."""
     root = parse(page)
+    if pair is not None:
+        rules = pair[_node_has_main(root)]
     if rules is None:
         rules = decide(skeleton(page))
     out: list[str] = []
@@ -409,11 +431,11 @@ def _dump(x) -> str:
 
 
 def _align_pages(frames):
-    """(host, html) rows -> (host, wrapper) rows, one for each host of the task."""
+    """(host, html) rows -> (host, pair of wrappers) rows, one for each host of the task."""
     held: dict[str, list] = {}
     for f in frames:
         for host, page in zip(f["host"], f["html"]):
-            held[host] = add_page(held.get(host), skeleton(page))
+            held[host] = add_pair(held.get(host), page_pair(page))
         if len(held) > HELD_HOSTS:
             yield pd.DataFrame({"host": list(held), "wrapper": [_dump(w) for w in held.values()]})
             held = {}
@@ -422,7 +444,7 @@ def _align_pages(frames):
 
 
 def _align_wrappers(frames):
-    """Rows sorted by (host, wrapper) -> one row a host; holds one wrapper at a time."""
+    """Rows sorted by (host, wrapper) -> one row a host; holds one host at a time."""
     host, wrapper = None, None
     for f in frames:
         done = []
@@ -431,7 +453,7 @@ def _align_wrappers(frames):
                 if wrapper is not None:
                     done.append((host, _dump(wrapper)))
                 host, wrapper = h, None
-            wrapper = add_page(wrapper, json.loads(w))
+            wrapper = add_pair(wrapper, json.loads(w))
         if done:
             yield pd.DataFrame(done, columns=["host", "wrapper"])
     if wrapper is not None:
@@ -439,7 +461,7 @@ def _align_wrappers(frames):
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, wrapper)``: the wrapper of every host as JSON (a written table)."""
+    """``(host, wrapper)``: the pair of wrappers of every host as JSON (a written table)."""
     need(pages, url_col, html_col)
     prepare(pages.sparkSession)
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -455,11 +477,11 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 @lru_cache(maxsize=512)
 def _rules(wrapper: str) -> list:
-    return decide(json.loads(wrapper))
+    return [w and decide(w) for w in json.loads(wrapper)]
 
 
 def _texts(html: pd.Series, wrapper: pd.Series) -> pd.Series:
-    return pd.Series([extract(h, _rules(w)) for h, w in zip(html, wrapper)], dtype="object")
+    return pd.Series([extract(h, pair=_rules(w)) for h, w in zip(html, wrapper)], dtype="object")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -75,3 +75,12 @@ def test_query_rows(spark):
 def test_partitions_without_rows(spark):
     df = spark.createDataFrame([(1, "http://a", "<article>x</article>", "a", "b", 1, 2)], PAGES).repartition(5)
     assert [r["text"] for r in H.extract_pages(df.filter("page_id > 0")).collect()] == ["x"]
+
+
+def test_host_of_two_templates(spark):
+    rnd = random.Random(8)
+    made = [_page(i, rnd, article=i % 3 == 0) for i in range(30)]
+    urls = ["https://mixed.org/x", None, "::odd"]          # the last two share the host ''
+    df = spark.createDataFrame([(30 * k + i, u, h, "a", "b", 1, 2) for k, u in enumerate(urls) for i, (h, _) in enumerate(made)], PAGES)
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
+    assert got == {30 * k + i: want for k in range(3) for i, (_, want) in enumerate(made)}
