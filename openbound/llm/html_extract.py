@@ -4,7 +4,7 @@ A page is read as a tree of block elements with text slots.  Neighbours with one
 into a repeated item, repeated stretches into repeated groups, so pages of one template give
 few different skeletons.  The skeletons of a host are aligned one after the other into its
 wrapper: equal labels merge, what only one side has becomes optional, text that differs becomes
-a slot (text that never differs stays a template string).  There are no alternatives: a wrapper
+a slot (text that never differs stays a template string, if the pages differ otherwise).  There are no alternatives: a wrapper
 is a sequence of items that occur once, optionally, or repeatedly.  Items know how much text
 and link text their slots held, which tells where the main text is if no element says so.
 
@@ -171,34 +171,58 @@ def parse(page: str | None) -> Node:
 
 # -- wrappers ----------------------------------------------------------------------------------------
 # An item is a list: [label, least, most, items, slot]; most 0 stands for any number.  Elements and
-# groups ("()") have items; a text ("#") has a slot [texts, characters, linked, digest of the template string or None].
+# groups ("()") have items; a text ("#") has a slot [page bodies, characters, linked, digest of the template string or None].
+# Page bodies are digests of the different pages that have the text, the smallest TEMPLATE_PAGES of them: copies of a
+# page, and equal texts within one, count once, however the pages are dealt.
 
 GROUP, TEXT = "()", "#"
+TEMPLATE_PAGES = 3    # different pages that a text is equal on, to be a template string
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def _items(node: Node) -> list:
+def _body(node: Node) -> str:
+    """Digest of the page's texts outside menus, headers and the like."""
+    texts: list[str] = []
+
+    def take(n: Node):
+        for c in n.children:
+            if isinstance(c, Text):
+                texts.append(c.text)
+            elif not _excluded(c.label, False):
+                take(c)
+    take(node)
+    return _digest("\n".join(texts))
+
+
+def _items(node: Node, bodies: list[str]) -> list:
     out = []
     for c in node.children:
         if isinstance(c, Text):
-            out.append([TEXT, 1, 1, [], [1, len(c.text), c.linked, _digest(c.text)]])
+            out.append([TEXT, 1, 1, [], [bodies, len(c.text), c.linked, _digest(c.text)]])
         else:
-            out.append([c.label, 1, 1, _items(c), None])
+            out.append([c.label, 1, 1, _items(c, bodies), None])
     return fold(out)
 
 
 def skeleton(page: str | None) -> list:
     """The page as the wrapper of itself."""
-    return ["#root", 1, 1, _items(parse(page)), None]
+    root = parse(page)
+    return ["#root", 1, 1, _items(root, [_body(root)]), None]
 
 
 def _merge_slot(a, b):
     if a is None or b is None:
         return a or b
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None]
+    bodies = a[0] if a[0] == b[0] else sorted({*a[0], *b[0]})[:TEMPLATE_PAGES]
+    return [bodies, a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None]
+
+
+def _is_template(slot: list) -> bool:
+    """The text is equal on different pages (the bodies differ, so other texts of these pages do)."""
+    return slot[3] is not None and len(slot[0]) >= TEMPLATE_PAGES
 
 
 def merge(a: list, b: list) -> list:
@@ -317,12 +341,12 @@ def _is_main(label: str) -> bool:
 
 
 def _mass(item: list, inside: bool = False) -> int:
-    """Characters outside links in the item's slots that are not excluded (template strings of
-    three pages or more do not count)."""
+    """Characters outside links in the item's slots that are not excluded (template strings do
+    not count)."""
     label = item[0]
     if label == TEXT:
-        n, chars, linked, same = item[4]
-        return 0 if same is not None and n >= 3 else chars - linked if linked * 2 <= chars else 0
+        _, chars, linked, _ = item[4]
+        return 0 if _is_template(item[4]) else chars - linked if linked * 2 <= chars else 0
     if label != GROUP and _excluded(label, inside):
         return 0
     return sum(_mass(i, inside or _is_main(label)) for i in item[3])
@@ -342,8 +366,8 @@ def _has_main(item: list) -> bool:
 def _mark(item: list, inside: bool, out: bool, region: list | None) -> list:
     label = item[0]
     if label == TEXT:
-        n, chars, linked, same = item[4]
-        template = region is not None and same is not None and n >= 3
+        _, chars, linked, _ = item[4]
+        template = region is not None and _is_template(item[4])
         keep = inside and not out and not template and (region is None or linked * 2 <= chars)
         return [TEXT, item[2] == 0, [], keep, out]
     if label != GROUP:
@@ -408,7 +432,7 @@ def extract(page: str | None, rules: list | None = None, pair: list | None = Non
             elif isinstance(c, Text):
                 found = [TEXT, False, [], rule[3] and not rule[4], rule[4]]
             else:           # an element that the wrapper has not seen is judged by itself
-                found = _mark([c.label, 1, 1, _items(c), None], rule[3], rule[4], None)
+                found = _mark([c.label, 1, 1, _items(c, []), None], rule[3], rule[4], None)
             if not isinstance(c, Text):
                 walk(c, found)
             elif found[3]:

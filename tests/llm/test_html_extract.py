@@ -84,3 +84,23 @@ def test_host_of_two_templates(spark):
     df = spark.createDataFrame([(30 * k + i, u, h, "a", "b", 1, 2) for k, u in enumerate(urls) for i, (h, _) in enumerate(made)], PAGES)
     got = {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
     assert got == {30 * k + i: want for k in range(3) for i, (_, want) in enumerate(made)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rnd = random.Random(12)
+    page, want = _page(0, rnd, article=False)
+    same = "<body><div><p>said twice</p><p>said twice</p><p>said twice</p></div></body>"
+    single = "<body><nav><a href=a>A</a></nav><div><h1>Only</h1><p>One paragraph of text.</p></div></body>"
+    rows = [(0, "https://copies.org/", page, want)] * 5 + [(1, "https://same.org/", same, "\n".join(["said twice"] * 3))]
+    rows += [(2, "https://single.org/", single.replace("<nav>", f"<nav><a href=b>{i}</a>"), "Only\nOne paragraph of text.") for i in range(4)]
+    df = spark.createDataFrame([(i, u, h, "a", "b", 1, 2) for i, u, h, _ in rows], PAGES).repartition(4)
+    got = sorted((r["page_id"], r["text"]) for r in H.extract_pages(df).collect())
+    assert got == sorted((i, w) for i, _, _, w in rows)
+
+
+def test_text_equal_on_different_pages_is_a_template():
+    wrapper = None
+    pages = [f"<body><div><h1>T{i}</h1><p>Body {i} text</p><h5>Filed under news</h5></div></body>" for i in range(3)]
+    for h in pages:
+        wrapper = H.add_page(wrapper, H.skeleton(h))
+    assert [H.extract(h, H.decide(wrapper)) for h in pages] == [f"T{i}\nBody {i} text" for i in range(3)]
