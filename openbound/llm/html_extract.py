@@ -44,8 +44,10 @@ from .common import need, prepare, written
 MAX_DEPTH = 120
 SALTS = 32
 MAX_ITEMS = 24        # items of one element before they generalise to a repeated group of optional items
-RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "xmp", "template", "noscript", "svg", "math",
-       "select", "button", "object", "canvas", "audio", "video"}
+#: Without an end tag these run to the end of the page (as in browsers; a template swallows end tags too).
+RAW_TEXT = {"script", "style", "textarea", "iframe", "noembed", "noframes", "xmp", "template"}
+#: Skipped with what they hold; without an end tag only the start tag is.
+RAW = RAW_TEXT | {"noscript", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header html legend li main menu nav ol p pre search section summary table
@@ -103,6 +105,7 @@ def parse(page: str | None) -> Node:
     """Tree of block elements; text is decoded, its white space collapsed, one node a block."""
     root = Node("#root", "#root")
     stack, pieces, links, linked = [root], [], 0, 0
+    unclosed: set[str] = set()          # a page of many open elements is searched once for each tag
 
     def flush():
         nonlocal pieces, linked
@@ -130,9 +133,14 @@ def parse(page: str | None) -> Node:
             continue
         tag, closing, attrs = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if tag in RAW and not closing:
-            if not attrs.endswith("/"):
+            if not attrs.endswith("/") and tag not in unclosed:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(src, at)
-                at = close.end() if close else n
+                if close:
+                    at = close.end()
+                elif tag in RAW_TEXT:
+                    at = n
+                else:
+                    unclosed.add(tag)
             pieces.append(" ")
         elif tag == "a":
             links = 0 if closing else 1

@@ -104,3 +104,11 @@ def test_text_equal_on_different_pages_is_a_template():
     for h in pages:
         wrapper = H.add_page(wrapper, H.skeleton(h))
     assert [H.extract(h, H.decide(wrapper)) for h in pages] == [f"T{i}\nBody {i} text" for i in range(3)]
+
+
+def test_elements_without_end_tag():
+    for tag in ("button", "select", "object", "canvas", "audio", "video", "noscript", "svg", "math"):
+        assert H.extract(f"<article><p>a</p><{tag} class=x><p>b</p></article>") == "a\nb"
+        assert H.extract(f"<article><p>a</p><{tag}>no</{tag}><p>b</p><{tag}><p>c</p></article>") == "a\nb\nc"
+    for tag in ("script", "style", "textarea", "iframe"):
+        assert H.extract(f"<article><p>a</p><{tag}><p>b</p></article>") == "a"
