@@ -225,15 +225,17 @@ class Scorer:
         return float(1 / (1 + np.exp(-z)))
 
 
-def fit_scorer(x: np.ndarray, p: np.ndarray, dim_bits: int = DIM_BITS, steps: int = 250, rate: float = 0.5, l2: float = 1e-4) -> Scorer:
-    """Logistic regression on soft labels: full-batch gradient steps with momentum."""
+def fit_scorer(x: np.ndarray, p: np.ndarray, dim_bits: int = DIM_BITS, steps: int = 250, rate: float = 0.5, l2: float = 1e-4,
+               copies: np.ndarray | None = None) -> Scorer:
+    """Logistic regression on soft labels: full-batch gradient steps with momentum; a row counts ``copies`` times."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     if not len(x):
         return Scorer(w, 1.0, dim_bits)
     p = p.astype(np.float32)
     # both classes weigh alike, but no document more than ten times another
-    share = float(np.clip(p.mean(), 0.09, 0.91))
-    weight = p / share + (1 - p) / (1 - share)
+    copies = np.ones(len(p), np.float32) if copies is None else copies.astype(np.float32)
+    share = float(np.clip(np.average(p, weights=copies), 0.09, 0.91))
+    weight = copies * (p / share + (1 - p) / (1 - share))
     weight /= weight.sum()
     b, vw, vb, sw, sb = 0.0, np.zeros_like(w), 0.0, np.full_like(w, 1e-8), 1e-8
     for _ in range(steps):
@@ -257,7 +259,8 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Fit on a table: vote statistics cover all rows, the scorer's sample is bounded."""
+    """Fit on a table: vote statistics cover all rows, the scorer's sample is bounded
+    (a text takes its share of the table's rows in it, however many copies it has)."""
     need(docs, text_col)
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -265,12 +268,18 @@ def fit_quality(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMP
     counts = rows.select(vote_pattern(F.col("text")).alias("v")).groupBy("v").count().collect()
     codes, n = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64)
     labels = fit_label_model(codes, n)
-    # a hash of the text picks the sample: about sample_docs rows, twice that at most
+    # every different text counts in the sample as often as its rows are due, sample_docs in all; the hash of the
+    # text decides about the part of a row that is left over
     total = int(n.sum())
-    picked = rows
+    picked = rows.withColumn("h", F.lit(0)).withColumn("w", F.lit(1))
     if total > sample_docs:
         buckets = 1 << 30
-        picked = rows.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(buckets)) < int(buckets * sample_docs / total)).limit(2 * sample_docs)
+        h = F.xxhash64("text", F.lit(11))
+        due = F.col("n") * F.lit(int(buckets * sample_docs / total))
+        extra = F.pmod("h", F.lit(buckets)) < due % F.lit(buckets)
+        texts = (rows.groupBy(h.alias("h")).agg(F.count("*").alias("n"))
+                 .select("h", (F.floor(due / F.lit(buckets)) + extra.cast("long")).alias("w")).filter("w > 0"))
+        picked = rows.withColumn("h", h).join(F.broadcast(texts), "h").dropDuplicates(["h"])
     bits = DIM_BITS
 
     @F.pandas_udf("binary")
@@ -280,12 +289,15 @@ def fit_quality(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMP
             i = np.flatnonzero(f)
             return i.astype("<u2").tobytes() + f[i].astype("<f4").tobytes()
         return t.map(one)
-    got = picked.select(vote_pattern(F.col("text")).alias("v"), sparse("text").alias("x")).collect()
+    got = picked.select("h", "w", vote_pattern(F.col("text")).alias("v"), sparse("text").alias("x")).collect()
+    if total > sample_docs:
+        got.sort(key=lambda r: r["h"])
     x = np.zeros((len(got), 1 << bits), np.float32)
     for row, r in zip(x, got):
         m = len(r["x"]) // 6
         row[np.frombuffer(r["x"], "<u2", m)] = np.frombuffer(r["x"], "<f4", m, 2 * m)
-    scorer = fit_scorer(x, labels.posterior(np.array([r["v"] for r in got], np.int64)), bits)
+    scorer = fit_scorer(x, labels.posterior(np.array([r["v"] for r in got], np.int64)), bits,
+                        copies=np.array([r["w"] for r in got]))
     return QualityModel(labels, scorer, len(codes))
 
 

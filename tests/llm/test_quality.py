@@ -66,3 +66,29 @@ def test_long_text_scored_in_stretches():
     t = "abc dé" * 400_000
     want = 0.1 + float(Q.features(t).astype(np.float64) @ s.weights)
     assert abs(s.probability(t) - 1 / (1 + np.exp(-want))) < 1e-3
+
+
+def test_common_text_takes_its_share_of_the_sample(spark, monkeypatch):
+    """A third of all rows share a text; picked or not by its hash, it counts as a third of the sample."""
+    texts = [" ".join(_word(31 * i + j) for j in range(30)) + "." for i in range(2000)]
+    some = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)))
+    order = [r["text"] for r in some.orderBy("h").collect()]
+    seen = []
+
+    def fit(x, p, bits, copies=None):
+        seen.append((x, np.ones(len(x)) if copies is None else copies))
+        return Q.Scorer(np.zeros(x.shape[1], np.float32), 0.0, bits)
+    monkeypatch.setattr(Q, "fit_scorer", fit)
+    for common in (order[0], order[-1]):
+        df = spark.createDataFrame([(t,) for t in texts + [common] * 999], "text string").repartition(8)
+        Q.fit_quality(df, sample_docs=300)
+        x, copies = seen.pop()
+        own = copies[(np.abs(x - Q.features(common)) < 1e-6).all(axis=1)].sum()
+        assert abs(own / copies.sum() - 1 / 3) < .05 and abs(copies.sum() - 300) < 50 and len(x) > 150
+
+
+def test_copies_weigh_like_repeated_rows():
+    rng = np.random.default_rng(2)
+    x, p, n = rng.random((20, 16)).astype(np.float32), rng.random(20), rng.integers(1, 4, 20)
+    a, b = Q.fit_scorer(x, p, 4, copies=n), Q.fit_scorer(np.repeat(x, n, axis=0), np.repeat(p, n), 4)
+    assert np.allclose(a.weights, b.weights, atol=1e-2) and abs(a.bias - b.bias) < 1e-2
