@@ -3,13 +3,18 @@
 Documents are tokenised and those longer than a sequence are cut (the first piece takes the
 remainder).  How the lengths are combined depends only on how many pieces there are of each
 length, so the search runs on that histogram: at most ``capacity`` numbers, whatever the
-corpus holds.  Bin completion takes the largest length left, enumerates the undominated
-fillings of the space beside it (a filling is dominated if another holds each of its parts, or
-a sum of them, in one of its own), and branches on them, least waste first.  A filling is used
-for as many sequences at once as the counts allow.  Branches whose bins so far plus the waste
-bound of the rest reach the incumbent are pruned.  Best-fit decreasing gives the first
-incumbent and completes every branch that the node budget cuts off, so the result is never
-worse than best fit; the search ends early when an incumbent meets the bound.
+corpus holds.  Bin completion takes the largest length left, lists fillings of the space beside
+it, drops the dominated ones (a filling is dominated if another of the list holds each of its
+parts, or a sum of them, in one of its own), and branches on them, least waste first.  A filling
+is used for as many sequences at once as the counts allow.  Branches whose bins so far plus the
+waste bound of the rest reach the incumbent are pruned.
+
+The search is a beam, not an enumeration: a level of a filling tries ``BRANCH`` lengths, a
+filling branches on ``PARTS`` parts and best fit fills the rest, about ``20 * BRANCH`` tries give
+``BRANCH`` fillings at most, and ``NODES`` nodes are taken from the stack in all; what is left
+on it then is given up.  Best-fit decreasing gives the first incumbent and completes every 16th
+node that is taken, so the result is never worse than best fit, but it need not be the optimum;
+the search ends early when an incumbent meets the bound.
 
 Pieces get their place in parallel: the r-th piece of a length goes to the r-th slot of that
 length.  Ranks come from counts per (length, salt) cell and row numbers inside a cell, so a
