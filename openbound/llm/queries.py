@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, nn_descent, packing, quality, simhash, sp_transducer, warc, wavelet
+from . import (divergence, exact_dedup, html_extract, line_dedup, nn_descent, packing, quality, simhash, sp_transducer, stable_search, warc, wavelet,
+               whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,18 @@ def op10_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_stable_search(spark, sf_dir):
+    return stable_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 # every pair of equal lines, the later one first; equal stretches along a diagonal of 50 words or more go
 LINE_DEDUP_SQL = r"""
     WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS s,
@@ -78,6 +91,29 @@ LINE_DEDUP_SQL = r"""
            count(*)::INTEGER AS n_lines, count(gone.ln)::INTEGER AS n_removed
     FROM lw LEFT JOIN gone ON lw.doc_id = gone.doc_id AND lw.ln = gone.ln GROUP BY lw.doc_id"""
 
+# every kept term for every pair of sources, in whole numbers
+DIVERGENCE_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    grid AS (SELECT g.lang, g.source, kept.term, kept.lang_n, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+    tot AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own_n, count(*) OVER (PARTITION BY lang, source) AS v,
+                   sum(lang_n) OVER (PARTITION BY lang, source) AS all_n FROM grid),
+    x AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (own_n + 2 * v) AS p,
+                 1 + (1000000000::HUGEINT * (lang_n + 2)) // (all_n + 2 * v) AS q FROM tot),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+          FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM x WHERE n > 0 AND p > q)
+    SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+    UNION ALL
+    SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms) WHERE rank <= 10"""
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -89,6 +125,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_stable_search": op12_stable_search,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -98,4 +137,5 @@ ORACLES = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
     "op9_line_dedup": LINE_DEDUP_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL,
 }
