@@ -43,7 +43,7 @@ SAMPLE = 20_000        # rows that fit the cuts of the upper tree
 MAX_CELLS = 1024       # leaves of the upper tree
 SHARD_ROWS = 8192      # rows of a shard, on average
 QUERY_ROWS = 1024      # queries that meet a shard at a time
-LEAF_ROWS = 64         # rows of a leaf of the lower tree
+LEAF_ROWS = 256        # rows of a leaf of the lower tree
 SEED = 17
 
 
