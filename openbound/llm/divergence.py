@@ -88,7 +88,9 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     src = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a)
                         for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     found = src.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # the map has combined its rows already: dealt out first, they are not hashed once more before the shuffle
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _weight(n: str, total: str, terms: str) -> Column:
