@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embed as EM
 from ..operators import encode as EN
+from ..operators import knn_pruned as KP
 from ..operators import neighbors as NB
 from ..operators import project as PR
 from . import views
@@ -86,6 +87,19 @@ def q_t5_knn_vote_blocked(spark, sf):
     return _memory_based(spark, sf, NB.knn_vote, k=K, broadcast_limit=0, block_rows=200)
 
 
+def q_t5_knn_vote_pruned(spark, sf):
+    """T5 by cells and angle bounds."""
+    return _memory_based(spark, sf, lambda *a, **kw: KP.knn_vote_pruned(*a, **kw)[0], k=K)
+
+
+def q_j6_topk_pruned(spark, sf):
+    """J6 itself: the five nearest index rows of every row, by inner product."""
+    os_, protos = emb_setup(spark, sf)
+    index = NB.index_frame(os_.split("train").select("row_id", "y", "x"), protos)
+    top, _ = KP.similarity_topk(os_.data.select(F.col("row_id").alias("qid"), "x"), index, K)
+    return top.select(F.col("qid").alias("row_id"), "rank", "kind", "iid", "label", _r(F.col("score"), "score"))
+
+
 def q_t6_class_average(spark, sf):
     return _memory_based(spark, sf, NB.class_average_predict)
 

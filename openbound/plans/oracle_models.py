@@ -167,6 +167,11 @@ SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 }
 # the block paths give the same rows
 ORACLES["t5_knn_vote_blocked"] = ORACLES["t5_knn_vote"]
+ORACLES["t5_knn_vote_pruned"] = ORACLES["t5_knn_vote"]
+ORACLES["j6_topk_pruned"] = emb(IX) + f"""
+SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(kind AS INTEGER) AS kind, CAST(iid AS BIGINT) AS iid, CAST(label AS INTEGER) AS label,
+       round(dot, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dot DESC, kind, iid) AS r FROM qd) WHERE r <= {K}"""
 ORACLES["t6_class_average_blocked"] = ORACLES["t6_class_average"]
 # one gradient step: weights w of the four kinds, times the similarity they act on, times the unit vector
 ORACLES["r3_partials"] = emb(SC) + """,
