@@ -189,6 +189,19 @@ def q_s1_s3_line_files_round_trip(spark, sf):
     return back.join(vocab, "label").select("split", "row_id", "label", "pos", "text")
 
 
+def q_s1_quoted_line_ends_round_trip(spark, sf):
+    """Documents with their own line ends, commas and quotes written as two-column CSV (text,
+    source) in document order, then both columns read back by record."""
+    from ..session import cut_lineage
+    from ..sources import csv_records as CR
+    from ..sources import lines as SL
+    docs = views.document_splits(spark, sf).select("row_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    path = _scratch(spark, "records")
+    cut_lineage(docs.orderBy("row_id")).select(F.concat_ws(",", SL.csv_field("text"), SL.csv_field("label")).alias("value")).write.text(path)
+    back, _ = CR.read_records(spark, path)
+    return back.select("row_id", F.col("fields")[0].alias("text"), F.col("fields")[1].alias("label"), F.size("fields").alias("n_fields"))
+
+
 def q_r5_label_text(spark, sf):
     """Label-text prototype init on the document setting: class c's text is every ``benchmark``
     passage with item_id mod n_known = c (stand-in label descriptions), the out-of-domain class's

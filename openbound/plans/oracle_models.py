@@ -167,6 +167,8 @@ SELECT cls, CAST(i - 1 AS INTEGER) AS dim, round(v, 6) AS value FROM cd""",
 }
 # the block paths give the same rows
 ORACLES["t5_knn_vote_blocked"] = ORACLES["t5_knn_vote"]
+ORACLES["s1_quoted_line_ends_round_trip"] = """
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id, coalesce(text, '') AS text, source AS label, 2 AS n_fields FROM documents"""
 ORACLES["t5_knn_vote_pruned"] = ORACLES["t5_knn_vote"]
 ORACLES["j6_topk_pruned"] = emb(IX) + f"""
 SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(kind AS INTEGER) AS kind, CAST(iid AS BIGINT) AS iid, CAST(label AS INTEGER) AS label,

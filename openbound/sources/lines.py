@@ -14,6 +14,8 @@ The reference stores each split as two parallel files, ``label`` and
   offsets in (file, split) order;
 * line = offset(file, split) + (id - first id of the split).
 
+CSV records, whose quoted fields may go over line ends, are read by ``csv_records``.
+
 Two files are zipped with an equi-join on the line number, after checking
 that their counts agree (the reference would silently misalign them).
 """
@@ -69,34 +71,18 @@ def read_lines(spark: SparkSession, path: str, strip: bool = False) -> tuple[Dat
     return df.select("row_id", v.alias("value")), n
 
 
-QUOTED = r'^"((?:[^"]|"")*+)"([^,]*)\z'
-
-
 def csv_field(value: Column | str) -> Column:
-    """The text as a one-field CSV line: quoted if a comma or a quote asks for it."""
+    """The text as a CSV field: quoted if a comma, a quote or a line end asks for it."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.when(c.contains(",") | c.contains('"'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    special = c.contains(",") | c.contains('"') | c.contains("\n") | c.contains("\r")
+    return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
 def read_first_field(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """S1 ``csv`` mode: first CSV field of every non-blank line, quotes honoured.
-
-    Like the reference's CSV read, a quoted ``"a, b"`` becomes ``a, b`` and
-    blank lines are skipped.  A line with a comma outside quotes has more
-    fields than the first, empty ones included; the reference raises there,
-    and so does this reader.  A quoted field must end on its line.
-    """
-    line = F.col("value")
-    quoted = line.startswith('"')
-    field = F.when(quoted & line.rlike(QUOTED), F.concat(
-        F.replace(F.regexp_extract(line, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(line, QUOTED, 2))).when(
-        ~quoted & ~line.contains(","), line)
-    raw = _with_file_pos(spark.read.text(path).filter(F.trim(F.regexp_replace("value", "\t", " ")) != ""))
-    df, n = line_index(raw.withColumn("_field", field))
-    bad = df.filter(F.col("_field").isNull()).agg(F.min("row_id")).first()[0]
-    if bad is not None:
-        raise ValueError(f"{path}: line {bad} has more fields than the first line, or a quoted field that does not end")
-    return df.select("row_id", F.col("_field").alias("value")), n
+    """S1 ``csv`` mode: first column of every record; quoted fields may hold commas, quotes and
+    line ends, blank lines are skipped, a record with more fields than the first is an error."""
+    from .csv_records import read_column
+    return read_column(spark, path)
 
 
 def read_text_column(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[DataFrame, int]:
