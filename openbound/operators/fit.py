@@ -1,6 +1,6 @@
 """Distributed prototype fit (R3): proxies and margins on frozen embeddings.
 
-One optimisation step = one Spark job:
+One optimisation step = one Spark job (``fit_epoch`` runs the steps of an epoch in one):
 
 1. every partition of the (checkpointed, unit-normalised) training table
    computes, with numpy, per class c and per term kind q in {positive,
@@ -48,8 +48,6 @@ WARMUP = 0.1
 BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 
-MAX_STEPS = 200           # optimisation steps (Spark jobs, folders) of one epoch, at most
-
 _KINDS = ("pos_in", "pos_out", "neg_in", "neg_out")
 
 
@@ -216,12 +214,6 @@ def unit_training_table(train: DataFrame, x_col: str = "x", y_col: str = "y",
     return cut_lineage(t) if checkpoint else t
 
 
-def batch_rows(n_rows: int, batch_size: int, max_steps: int = MAX_STEPS) -> int:
-    """Rows of a batch: ``batch_size``, or more if an epoch would need over ``max_steps`` steps
-    (every row is used in any case)."""
-    return max(int(batch_size), -(-int(n_rows) // int(max_steps)))
-
-
 def epoch_batches(unit: DataFrame, batch_size: int, epoch: int, path: str) -> DataFrame:
     """B2 for one epoch, written once partitioned by batch (shared checkpoint
     folder): a step then reads only its own batch (partition pruning), so an

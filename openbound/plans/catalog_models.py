@@ -137,6 +137,19 @@ def q_r3_partials(spark, sf):
         "cls", "kind", "w", "ws", "npos", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "xs"))
 
 
+def q_r3_epoch(spark, sf):
+    """One epoch in a barrier stage with all training rows as its batch (variant ``new``, alpha 4):
+    the prototypes and margin vectors after the step, and its loss."""
+    from ..operators import fit as FT
+    from ..operators import fit_epoch as FE
+    os_, protos = emb_setup(spark, sf, margin_vectors=True)
+    unit = FT.unit_training_table(os_.split("train").select("row_id", "y", "x"), id_col="row_id")
+    p, _, losses = FE.fit_epoch(unit, protos, FT.Optimiser("new", 1, lr=1e-3), "new", 4.0, max(1, unit.count()))
+    pf = p.to_frame(spark).select("cls", F.posexplode(F.arrays_zip("proxy", "margin_vec")).alias("dim", "z"))
+    return pf.select("cls", F.col("dim").cast("int").alias("dim"), _r(F.col("z.proxy"), "proxy"), _r(F.col("z.margin_vec"), "margin"),
+                     _r(F.lit(losses[0]), "loss"))
+
+
 def q_s7_s8_tsv_round_trip(spark, sf):
     """Export every split as the reference's TSV pair (S7) into fresh folders
     under the shared checkpoint directory, read them back (S8: line

@@ -176,7 +176,7 @@ SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(kind AS INTEGER) AS kind, CAST(i
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dot DESC, kind, iid) AS r FROM qd) WHERE r <= {K}"""
 ORACLES["t6_class_average_blocked"] = ORACLES["t6_class_average"]
 # one gradient step: weights w of the four kinds, times the similarity they act on, times the unit vector
-ORACLES["r3_partials"] = emb(SC) + """,
+PARTIALS = """,
 t AS (
   SELECT s.cls, s.row_id, s.y = s.cls OR s.cls = (SELECT n FROM nk) AS is_pos, s.cos > s.r AS inside, s.cos, s.r, s.xm,
          list_transform(m.x, lambda v: v / sqrt(list_dot_product(m.x, m.x) + 1e-12)) AS xh
@@ -191,7 +191,8 @@ a AS (
   SELECT cls, kind, sum(w) AS w, sum(w * s) AS ws FROM k GROUP BY cls, kind),
 x AS (
   SELECT cls, kind, i, sum(w * v) AS xs FROM (
-    SELECT cls, kind, w, unnest(xh) AS v, generate_subscripts(xh, 1) AS i FROM k) GROUP BY cls, kind, i),
+    SELECT cls, kind, w, unnest(xh) AS v, generate_subscripts(xh, 1) AS i FROM k) GROUP BY cls, kind, i),"""
+ORACLES["r3_partials"] = emb(SC) + PARTIALS + """
 spine AS (
   SELECT p.cls, CAST(q AS INTEGER) AS kind, i FROM protos p, (SELECT unnest(range(0, 4)) AS q), (SELECT unnest(range(1, 65)) AS i)),
 np AS (SELECT cls, count(*) FILTER (WHERE is_pos) AS npos FROM k GROUP BY cls)
@@ -200,3 +201,33 @@ SELECT s.cls, s.kind, round(coalesce(a.w, 0), 6) AS w, round(coalesce(a.ws, 0),
        round(coalesce(x.xs, 0), 6) AS xs
 FROM spine s LEFT JOIN a ON a.cls = s.cls AND a.kind = s.kind LEFT JOIN x ON x.cls = s.cls AND x.kind = s.kind AND x.i = s.i
 LEFT JOIN np ON np.cls = s.cls"""
+# gradient of the loss from those sums, joint clipping, and the first step of the optimiser
+ORACLES["r3_epoch"] = emb(SC) + PARTIALS + """
+np AS (SELECT cls, count(*) FILTER (WHERE is_pos) AS npos FROM k GROUP BY cls),
+cc AS (
+  SELECT p.cls, p.p, p.mvec, sqrt(list_dot_product(p.p, p.p) + 1e-12) AS pn, sqrt(list_dot_product(p.mvec, p.mvec) + 1e-12) AS mn,
+         coalesce(sum(a.w) FILTER (WHERE kind = 0), 0) AS w0, coalesce(sum(a.w) FILTER (WHERE kind = 1), 0) AS w1,
+         coalesce(sum(a.w) FILTER (WHERE kind = 2), 0) AS w2, coalesce(sum(a.w) FILTER (WHERE kind = 3), 0) AS w3,
+         coalesce(sum(a.ws) FILTER (WHERE kind = 0), 0) AS s0, coalesce(sum(a.ws) FILTER (WHERE kind = 1), 0) AS s1,
+         coalesce(sum(a.ws) FILTER (WHERE kind = 2), 0) AS s2, coalesce(sum(a.ws) FILTER (WHERE kind = 3), 0) AS s3
+  FROM protos p LEFT JOIN a ON a.cls = p.cls GROUP BY p.cls, p.p, p.mvec),
+tt AS (SELECT (SELECT count(*) FROM np WHERE npos > 0) AS valid, count(*) AS n FROM cc),
+ff AS (
+  SELECT cc.*, -4.0 / (valid * (1 + w0 + w1)) AS kp, 4.0 / (n * (1 + w2 + w3)) AS kn,
+         greatest(-1, least(1, list_dot_product(cc.p, cc.mvec) / (pn * mn))) AS r FROM cc, tt),
+loss AS (SELECT sum(ln(1 + w0 + w1)) / max(valid) + sum(ln(1 + w2 + w3)) / max(n) AS loss FROM cc, tt),
+ee AS (
+  SELECT cls, i, kp, kn, pn, mn, r, p[i] AS p, mvec[i] AS m, p[i] / pn AS ph, mvec[i] / mn AS mh,
+         kp * s1 + kn * s2 AS a_s, kp * w1 + kn * w2 AS a_w, kp * s0 + kn * s3 AS b_s
+  FROM ff, (SELECT unnest(range(1, 65)) AS i)),
+ys AS (
+  SELECT cls, i, coalesce(sum(xs) FILTER (WHERE kind = 0), 0) AS x0, coalesce(sum(xs) FILTER (WHERE kind = 1), 0) AS x1,
+         coalesce(sum(xs) FILTER (WHERE kind = 2), 0) AS x2, coalesce(sum(xs) FILTER (WHERE kind = 3), 0) AS x3 FROM x GROUP BY cls, i),
+gr AS (
+  SELECT ee.*, (kp * x1 + kn * x2 - a_s * ph) / pn - a_w * (mh - r * ph) / pn AS dp,
+         -a_w * (ph - r * mh) / mn + (kp * x0 + kn * x3 - b_s * mh) / mn AS dm FROM ee JOIN ys USING (cls, i)),
+zz AS (SELECT CASE WHEN sqrt(sum(dp * dp + dm * dm)) > 0.6 THEN 0.6 / (sqrt(sum(dp * dp + dm * dm)) + 1e-6) ELSE 1 END AS z FROM gr)
+SELECT cls, CAST(i - 1 AS INTEGER) AS dim,
+       round(p * (1 - 0.1 * 1e-3) - 0.1 * z * dp / (abs(z * dp) + 1e-8), 6) AS proxy,
+       round(m * (1 - 0.01 * 1e-3) - 0.01 * z * dm / (abs(z * dm) + 1e-8), 6) AS margin, round(loss, 6) AS loss
+FROM gr, zz, loss"""

@@ -1,8 +1,9 @@
 """The reference's training run as a composition of operators.
 
-Per epoch: mini-batch prototype steps (R3; B2 batches written once per epoch,
-partitioned by batch, one Spark job per step and at most ``fit.MAX_STEPS``
-steps, larger tables get larger batches), the epoch's training loss (mean of
+Per epoch: mini-batch prototype steps (R3; by default B2 batches are written
+once per epoch, partitioned by batch, and a step is a Spark job; with
+``barrier=True`` all steps run in one barrier stage; the batch size is the
+caller's whatever the table's size), the epoch's training loss (mean of
 the step losses, L9), evaluation of train, valid and test with the variant's
 predictor (T2 or T3; M1, M4, M5 from one pass of per-class counts, the mean of
 batch losses L9 for valid and test), and the best-epoch rule (M7/M8: valid
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fit as FT
+from ..operators import fit_epoch as FE
 from ..operators import loss as LS
 from ..operators import metrics as M
 from ..operators import score as S
@@ -81,27 +83,27 @@ def train_and_evaluate(data: OpenSet, protos: Prototypes, variant: str = "new",
                        epochs: int = 50, batch_size: int = 150, lr: float = FT.LR, clip: float = FT.CLIP,
                        run_id: str = "run", metrics_path: str | None = None,
                        bundle_path: str | None = None, export_path: str | None = None,
-                       dataset: str = "dataset", ratio: float = 0.0) -> RunResult:
+                       dataset: str = "dataset", ratio: float = 0.0, barrier: bool = False) -> RunResult:
     spark = data.data.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
     unit = FT.unit_training_table(data.split("train").select("row_id", "y", "x"), id_col="row_id")
-    n_train = unit.count()
-    size = FT.batch_rows(n_train, batch_size)
-    n_batches = -(-n_train // size)
+    n_batches = -(-unit.count() // batch_size)
     opt = FT.Optimiser(variant, max(1, epochs * n_batches), lr, clip)
     eval_rows = evaluation_rows(data, batch_size)
     p = protos.copy()
     best, best_epoch, best_score, best_scores = p.copy(), None, 0.0, []
     log, steps, gate = [], [], True
     for epoch in range(epochs):
-        batches = FT.epoch_batches(unit, size, epoch, f"{base}/epoch={epoch}")
-        losses = []
-        for b in range(n_batches):
-            sums = FT.aggregate_sums(batches.filter(F.col("batch") == b), p, variant, alpha)
-            loss, d_p, d_m = FT.loss_and_grad(sums, p, variant, alpha)
-            p = opt.apply(p, d_p, d_m)
-            losses.append(float(loss))
-            steps.append((epoch, b, float(loss)))
+        if barrier:
+            p, opt, losses = FE.fit_epoch(unit, p, opt, variant, alpha, batch_size, epoch)
+        else:
+            batches, losses = FT.epoch_batches(unit, batch_size, epoch, f"{base}/epoch={epoch}"), []
+            for b in range(n_batches):
+                sums = FT.aggregate_sums(batches.filter(F.col("batch") == b), p, variant, alpha)
+                loss, d_p, d_m = FT.loss_and_grad(sums, p, variant, alpha)
+                p = opt.apply(p, d_p, d_m)
+                losses.append(float(loss))
+        steps += [(epoch, b, loss) for b, loss in enumerate(losses)]
         if losses:
             log.append((run_id, epoch, "train", "loss", float(np.mean(losses))))
         log.append((run_id, epoch, "train", "learning_rate", float(opt.proxy_lr * FT.schedule(opt.step_no, opt.total))))
