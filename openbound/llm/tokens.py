@@ -1,5 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with a bounded word memo per worker.
 
+A batch of texts is split into words and dictionary-encoded by Arrow, so a word is looked up once
+a batch, and the ids of all words are gathered by numpy.  The memo keeps its words in an Arrow
+array and their ids in one buffer, about 40 bytes a word.
+
 The byte-level pre-tokeniser never joins a space that stands before a non-space with what is
 before it, so a text may be cut there and equal words need one library call.  Texts with a
 space before other white space, or at their end, go to the library whole.
@@ -12,10 +16,13 @@ import re
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-MEMO_WORDS = 250_000            # words of a worker's memo (it holds two: the current and the one before)
-STRETCH = 1 << 20             # characters split into words at a time
+MEMO_WORDS = 1_000_000        # words of a worker's memo; beyond it only those of the last batch stay
+STRETCH = 1 << 22             # characters split into words at a time
 UNSAFE = re.compile(r" (?:\s|$)")
 _ENCODERS: dict = {}
 
@@ -47,20 +54,36 @@ BYTE_SYMBOLS = _byte_symbols()
 SPACE = BYTE_SYMBOLS[32]
 
 
-class Memo(dict):
-    """Word -> ids; a new word is encoded when it is first asked for.  Words come from the memo
-    before if they are there, so frequent words outlive the change to a new memo."""
-
-    def __init__(self, make, before=None):
-        super().__init__()
-        self.make, self.before = make, before or {}
-
-    def __missing__(self, w):
-        ids = self.before.get(w)
-        if ids is None:
-            ids = self.make(w)
-        self[w] = ids
-        return ids
+class Memo:
+    """Words and their ids; ``make`` encodes a new word."""
+
+    def __init__(self, make):
+        self.make = make
+        self._clear()
+
+    def _clear(self):
+        self.words = pa.array([], pa.large_string())
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``ids`` and number of ids of every one of the (different) words."""
+        if len(self.words) + len(words) > MEMO_WORDS:
+            self._clear()
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        if len(new):
+            made = [self.make(w) for w in new.to_pylist()]
+            count = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            first = len(self.words)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4").astype(np.uint32)])
+            self.words = pa.concat_arrays([self.words, new])
+            places = np.array(at.fill_null(-1))
+            places[places < 0] = first + np.arange(len(new))
+        else:
+            places = np.array(at)
+        return self.start[places], self.count[places]
 
 
 def _pack(ids) -> bytes:
@@ -84,7 +107,7 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         pre = self.tok.pre_tokenizer
         self.by_word = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tok.normalizer is None
-        self.memo = Memo(self.word)
+        self.memo, self.firsts = Memo(self.word), Memo(lambda w: self._whole([w])[0])
         if self.by_word:
             self.split, self.model = pre.pre_tokenize_str, self.tok.model
             special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -123,17 +146,31 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
-        words = [texts[i].split(" ") for i in plain]
-        for i, ids in zip(plain, self._whole([w[0] for w in words])):
-            out[i] = ids
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.before = {}
-            self.memo = Memo(self.word, self.memo)
-        look = self.memo.__getitem__
-        for i, w in zip(plain, words):
-            if len(w) > 1:
-                first = out[i]        # the first word has no space before it
-                out[i] = b"".join([first, *map(look, w[1:])])
+        if not plain:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        ends = split.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        words = split.flatten()
+        # the first word of a text has no space before it
+        first = np.zeros(len(words), bool)
+        first[ends[:-1]] = True
+        start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        base = 0
+        ids = []
+        for memo, here in ((self.memo, ~first), (self.firsts, first)):
+            coded = words.filter(pa.array(here)).dictionary_encode()
+            s, n = memo.look(coded.dictionary)
+            code = coded.indices.to_numpy()
+            start[here], count[here] = base + s[code], n[code]
+            ids.append(memo.ids)
+            base += len(memo.ids)
+        total = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(start - total[:-1], count) + np.arange(total[-1])
+        raw = memoryview(np.concatenate(ids)[at].astype("<u4").tobytes())
+        cut = 4 * total[ends]
+        for i, lo, hi in zip(plain, cut[:-1].tolist(), cut[1:].tolist()):
+            out[i] = bytes(raw[lo:hi])
         return out
 
 
