@@ -18,7 +18,9 @@ that a third of all pages have is one buffer per task.
 
 Defined results: null payload is the empty payload; null ids are kept and never named by a
 revisit unless all ids of the group are null; rows that
-repeat the largest id with one payload are all responses.  An empty table writes an archive folder without records.
+repeat the largest id with one payload are all responses.  Control characters and white space at
+the ends of a URL (or any other header value) are percent-encoded in the header, and the value as
+it was stands beside it and is what a reader gets.  An empty table writes an archive folder without records.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -57,6 +61,7 @@ SCHEMA = ("warc_type string, record_id string, target_uri string, date string, p
 HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
            "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 INDEXED = ("warc_type", "target_uri")
+EXACT = "X-Exact-"          # before the name of a header whose value had to be encoded: the value itself
 
 
 def sha1_base32(data: bytes) -> str:
@@ -65,8 +70,23 @@ def sha1_base32(data: bytes) -> str:
 
 # -- records -------------------------------------------------------------------------------------
 
+def header_value(value: str) -> str:
+    """The value as a header can hold it: control characters, and white space at its ends, are
+    percent-encoded."""
+    inner = len(value.lstrip()), len(value.rstrip())
+    lo, hi = len(value) - inner[0], inner[1]
+    return "".join(quote(c, safe="") if i < lo or i >= hi or unicodedata.category(c) in ("Cc", "Zl", "Zp") else c for i, c in enumerate(value))
+
+
 def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
-    lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None)
+    """A record; a value that had to be encoded stands in a header of its own as well, as it was."""
+    lines = ""
+    for k, v in headers.items():
+        if v is not None:
+            plain = header_value(v)
+            lines += f"{k}: {plain}\r\n"
+            if plain != v:
+                lines += f"{EXACT}{k}: {base64.b64encode(v.encode()).decode()}\r\n"
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
@@ -177,8 +197,14 @@ def scan(data: memoryview, wanted: dict[str, set], payload: bool, offsets: list[
         if head is None:
             return
         h = parse_headers(head)
+        if not h.get("content-length", "").isdigit():
+            raise ValueError(f"the record at byte {at} has no length")
         size = int(h["content-length"])
         row = {c: h.get(name.lower()) for c, name in HEADERS.items()}
+        for c, name in HEADERS.items():
+            exact = h.get((EXACT + name).lower())
+            if exact is not None:
+                row[c] = base64.b64decode(exact).decode()
         body = len(head) + 4
         if all(row[c] in values for c, values in wanted.items()):
             lead = r.http_header(body, size) if h.get("content-type", "").startswith("application/http") else 0
@@ -229,6 +255,12 @@ class WarcReader(DataSourceReader):
             out += [Stretch(uri, at, min(at + step, size), indexed) for at in range(0, size, step)]
         return out or [Stretch("", 0, 0, False)]
 
+    def _scanned(self, data, path, start, payload, offsets):
+        try:
+            yield from scan(data, self.wanted, payload, offsets)
+        except ValueError as e:
+            raise ValueError(f"{path}, from byte {start}: {e}") from e
+
     def read(self, partition: Stretch):
         if not partition.path:
             return
@@ -248,7 +280,7 @@ class WarcReader(DataSourceReader):
             data = memoryview(f.read_at((f.size() if end is None else end) - start, start))
         payload = str(self.options.get("payload", "true")).lower() == "true"
         rows, held = [], 0
-        for row in scan(data, self.wanted, payload, offsets):
+        for row in self._scanned(data, partition.path, start, payload, offsets):
             rows.append(row)
             held += len(row[-1] or b"")
             if len(rows) == 2000 or held > 16 << 20:

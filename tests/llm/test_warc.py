@@ -75,3 +75,30 @@ def test_headers_decide_before_payloads():
 
 def test_empty(spark, tmp_path):
     assert W.page_records(_pages(spark, []), str(tmp_path / "e")).count() == 0
+
+
+ODD = ["http://a/\r\n\r\nzz", "http://a/\r\nWARC-Type: revisit", "http://a/\nContent-Length: 1", "http://a/\r", " http://a/ ", "\thttp://a", "http://a/\u00a0",
+       "http://a/\x00b", "http://a/\x85\u2028x", "", " ", "\r\n", "http://a/%0D%0A", "WARC/1.1\r\n\r\n", "http://\u00e9.example/:a: b"]
+
+
+def test_any_url_comes_back(spark, tmp_path):
+    rows = [(i, u, f"<p>{i // 2}</p>") for i, u in enumerate(ODD)]
+    got = W.page_records(_pages(spark, rows), str(tmp_path / "w")).collect()
+    assert sorted(((str(r["page_id"]), *r[1:]) for r in got), key=str) == _want(rows)
+    r = W.WarcReader({"path": str(tmp_path / "w")}, None)
+    from pyspark.sql.datasource import EqualTo
+    assert list(r.pushFilters([EqualTo(("target_uri",), ODD[1])])) == []
+    assert [x["target_uri"] for p in r.partitions() for b in r.read(p) for x in b.to_pylist()] == [ODD[1]]
+
+
+def test_header_values_are_one_line():
+    for u in ODD:
+        v = W.header_value(u)
+        assert v == v.strip() and not any(c in v for c in "\r\n\0") and (v == u or "%" in v)
+
+
+def test_a_record_without_length_names_its_place(tmp_path):
+    (tmp_path / "x.warc").write_bytes(W.record_bytes({"WARC-Type": "request"}, b"q") + b"WARC/1.1\r\nWARC-Type: request\r\n\r\nq\r\n\r\n")
+    r = W.WarcReader({"path": str(tmp_path)}, None)
+    with pytest.raises(ValueError, match="x.warc, from byte 0: the record at byte .* has no length"):
+        [list(r.read(p)) for p in r.partitions()]
