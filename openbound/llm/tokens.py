@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a bounded word memo per worker.
 
 A batch of texts is split into words and dictionary-encoded by Arrow, so a word is looked up once
-a batch, and the ids of all words are gathered by numpy.  The memo keeps its words in an Arrow
-array and their ids in one buffer, about 40 bytes a word.
+a batch, and the ids of all words are gathered by numpy.  The memo maps a word to its place in one
+buffer of ids.
 
 The byte-level pre-tokeniser never joins a space that stands before a non-space with what is
 before it, so a text may be cut there and equal words need one library call.  Texts with a
@@ -15,6 +15,7 @@ import os
 import re
 import sys
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 MEMO_WORDS = 1_000_000        # words of a worker's memo; beyond it only those of the last batch stay
-STRETCH = 1 << 22             # characters split into words at a time
+STRETCH = 1 << 23             # characters split into words at a time
 UNSAFE = re.compile(r" (?:\s|$)")
+#: A line end with white space, or nothing, beside it; any other is a pre-token of its own.
+MIXED_LINE_END = re.compile(r"\s\n|\n(?:\s|$)|^\n")
 _ENCODERS: dict = {}
 
 
@@ -62,28 +65,26 @@ class Memo:
         self._clear()
 
     def _clear(self):
-        self.words = pa.array([], pa.large_string())
-        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[str, int] = {}
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Place in ``ids`` and number of ids of every one of the (different) words."""
-        if len(self.words) + len(words) > MEMO_WORDS:
+        if len(self.place) + len(words) > MEMO_WORDS:
             self._clear()
-        at = pc.index_in(words, value_set=self.words)
-        new = words.filter(at.is_null())
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(at < 0)
         if len(new):
-            made = [self.make(w) for w in new.to_pylist()]
-            count = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            first = len(self.words)
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+            first = len(self.place)
+            at[new] = first + np.arange(len(new))
+            made = [self.make(words[i]) for i in new.tolist()]
+            self.place.update(zip([words[i] for i in new.tolist()], range(first, first + len(new))))
+            count = np.fromiter(map(len, made), np.int32, len(made)) // 4
+            ends = np.cumsum(count, dtype=np.int64)
+            self.start = np.concatenate([self.start, len(self.ids) + ends - count])
             self.count = np.concatenate([self.count, count])
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4").astype(np.uint32)])
-            self.words = pa.concat_arrays([self.words, new])
-            places = np.array(at.fill_null(-1))
-            places[places < 0] = first + np.arange(len(new))
-        else:
-            places = np.array(at)
-        return self.start[places], self.count[places]
+        return self.start[at], self.count[at]
 
 
 def _pack(ids) -> bytes:
@@ -148,19 +149,22 @@ class Encoder:
             out[i] = ids
         if not plain:
             return out
-        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        lines = [t if "\n" not in t or MIXED_LINE_END.search(t) else t.replace("\n", " \n ") for t in (texts[i] for i in plain)]
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
         ends = split.offsets.to_numpy().astype(np.int64)
         ends = ends - ends[0]
         words = split.flatten()
-        # the first word of a text has no space before it
-        first = np.zeros(len(words), bool)
+        # the first word of a text and of a line has no space before it, nor has a line end
+        first = pc.equal(words, "\n").to_numpy(zero_copy_only=False).copy()
+        first[ends[:-1]] = False             # a line end that starts a text is followed by a space of the text's own
+        first[1:] |= first[:-1].copy()
         first[ends[:-1]] = True
         start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         base = 0
         ids = []
         for memo, here in ((self.memo, ~first), (self.firsts, first)):
             coded = words.filter(pa.array(here)).dictionary_encode()
-            s, n = memo.look(coded.dictionary)
+            s, n = memo.look(coded.dictionary.to_pylist())
             code = coded.indices.to_numpy()
             start[here], count[here] = base + s[code], n[code]
             ids.append(memo.ids)

@@ -223,8 +223,8 @@ def _write(shipped, folder: str, end_id: int, shard_tokens: int):
             start, shard, docs, raws, n = start + n, shard + 1, [], [], 0
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(ids), 1024):
-                for doc_id, raw in zip(ids[lo:lo + 1024], enc.encode(texts[lo:lo + 1024])):
+            for lo in range(0, len(ids), 2048):
+                for doc_id, raw in zip(ids[lo:lo + 2048], enc.encode(texts[lo:lo + 2048])):
                     docs.append(doc_id)
                     raws.append(raw + tail)
                     n += len(raw) // 4 + 1

@@ -41,6 +41,22 @@ def test_memo_equals_library(library):
     assert enc.by_word and enc.encode(texts) == want and enc.encode(texts) == want
 
 
+def test_any_white_space_equals_library(library):
+    enc = T.Encoder(open(T.default_tokenizer(), encoding="utf-8").read())
+    rng = np.random.default_rng(0)
+    marks = [" ", " ", " ", "\n", "\n", "\t", "\r", "a", "B", "\u00e9", ".", ",", "1", "$$", "\u2028", "\u00a0", "it's", "\u4e2d", "<|endoftext|>"]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 26))) for _ in range(20_000)]
+    assert enc.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_full_memo_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(T, "MEMO_WORDS", 50)
+    enc = T.Encoder(open(T.default_tokenizer(), encoding="utf-8").read())
+    texts = [f"line {i} of\nwords w{i} x{i % 7}." for i in range(40)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x for lo in range(0, 40, 8) for x in enc.encode(texts[lo:lo + 8])] == want and len(enc.memo.place) <= 50
+
+
 def test_cut():
     for n in (0, 1, 7, 8, 9, 16, 17, 80):
         c = P.cut(n, 8)
