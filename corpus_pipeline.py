@@ -38,12 +38,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [("quality", keep_quality), ("line_dedup", drop_copied_lines), ("near_dedup", drop_near_copies), ("packing", pack_sequences)]
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 1000           # whole texts that a Python worker holds at a time: it stays in memory beside the next stages
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        for name, stage in STAGES:
+            out = shared_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(out)
+            docs = spark.read.parquet(out)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return docs
 
 
