@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-MEMO_WORDS = 1_000_000        # words of a worker's memo; beyond it only those of the last batch stay
+MEMO_WORDS = 600_000          # words of a worker's memo; beyond it only those of the last batch stay
 STRETCH = 1 << 22             # characters split into words at a time
 UNSAFE = re.compile(r" (?:\s|$)")
 #: A line end with white space, or nothing, beside it; any other is a pre-token of its own.
