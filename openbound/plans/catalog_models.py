@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import embed as EM
 from ..operators import encode as EN
 from ..operators import knn_pruned as KP
+from ..operators import layout as LY
 from ..operators import neighbors as NB
 from ..operators import project as PR
 from . import views
@@ -71,6 +72,20 @@ def q_r4_pca(spark, sf):
     return out.select("row_id", F.col("y").alias("target"), "pc0", "pc1")
 
 
+def q_r4_neighbours(spark, sf):
+    """The neighbour graph of the layout: the ten other rows nearest to every row."""
+    os_, _ = emb_setup(spark, sf)
+    near = LY.euclidean_neighbours(os_.data.select("row_id", "x"), 10)
+    return near.select("row_id", "rank", F.col("nbr").alias("neighbour"), _r(F.col("dist2"), "dist2"))
+
+
+def q_r4_layout(spark, sf):
+    """Neighbour-preserving 2-D layout of the rows of all splits."""
+    os_, _ = emb_setup(spark, sf)
+    at = LY.neighbour_layout(os_.data.select("row_id", "x"))
+    return os_.data.select("row_id", F.col("y").alias("target")).join(at, "row_id")
+
+
 def _memory_based(spark, sf, predict, **how):
     """T5 and T6 over the rows of all splits, the training rows as index."""
     os_, protos = emb_setup(spark, sf)

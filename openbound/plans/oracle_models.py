@@ -174,6 +174,11 @@ ORACLES["j6_topk_pruned"] = emb(IX) + f"""
 SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(kind AS INTEGER) AS kind, CAST(iid AS BIGINT) AS iid, CAST(label AS INTEGER) AS label,
        round(dot, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dot DESC, kind, iid) AS r FROM qd) WHERE r <= {K}"""
+ORACLES["r4_neighbours"] = emb() + """
+SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(nbr AS BIGINT) AS neighbour, round(d2, 6) AS dist2
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, nbr) AS r
+      FROM (SELECT a.row_id, b.row_id AS nbr, power(list_distance(a.x, b.x), 2) AS d2 FROM d a, d b WHERE a.row_id <> b.row_id))
+WHERE r <= 10"""
 ORACLES["t6_class_average_blocked"] = ORACLES["t6_class_average"]
 # one gradient step: weights w of the four kinds, times the similarity they act on, times the unit vector
 PARTIALS = """,

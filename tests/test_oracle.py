@@ -8,8 +8,8 @@ from tests.conftest import SF01
 from tools.oracle_check import compare, duck
 
 ORACLES = all_oracles()
-# queries without a SQL form -> their exact number of rows at sf0.01 (values: test_fit, test_bruteforce)
-ROWS_ONLY = {"r3_fit": 316, "r3_train_run": 40, "r4_pca": 316}
+# queries without a SQL form -> their exact number of rows at sf0.01 (values: test_fit, test_bruteforce, test_layout)
+ROWS_ONLY = {"r3_fit": 316, "r3_train_run": 40, "r4_pca": 316, "r4_layout": 316}
 
 
 @pytest.fixture(scope="module")
