@@ -124,3 +124,19 @@ def random_prototypes(n_classes: int, dim: int, seed: int = 0) -> Prototypes:
     """R5 ``random``: Kaiming-normal with fan-out = n_classes, std = sqrt(2/n_classes)."""
     rng = np.random.default_rng(seed)
     return Prototypes(rng.normal(0.0, np.sqrt(2.0 / n_classes), size=(n_classes, dim)))
+
+
+def random_vectors(classes: DataFrame, dim: int, seed: int = 0, cls_col: str = "cls") -> DataFrame:
+    """R5 ``random`` as expressions: ``(cls, dim, value)``, normal numbers with deviation
+    sqrt(2 / number of classes).  A number is a function of seed, class and dimension alone (two
+    uniform numbers from MD5, then Box-Muller), so it is the same for any partitioning.  ``cls_col``
+    holds unique ids; an empty table gives an empty result."""
+    n = classes.count()
+    at = classes.select(F.col(cls_col).alias("cls"), F.explode(F.sequence(F.lit(0), F.lit(int(dim) - 1))).alias("dim"))
+
+    def uniform(which: int):
+        text = F.concat_ws(":", F.lit(str(int(seed))), F.col("cls").cast("string"), F.col("dim").cast("string"), F.lit(str(which)))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") + 0.5) / float(2 ** 48)
+
+    normal = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * float(np.pi) * uniform(1))
+    return at.select("cls", "dim", (normal * float(np.sqrt(2.0 / max(1, n)))).alias("value"))

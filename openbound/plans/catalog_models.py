@@ -131,6 +131,14 @@ def q_r5_centroid(spark, sf):
         "cls", F.col("dim").cast("int").alias("dim"), _r(F.col("v"), "value"))
 
 
+def q_r5_random(spark, sf):
+    """Seeded normal numbers for every class of the label space, as long as the vectors."""
+    from ..operators import prototypes as PT
+    _, protos = emb_setup(spark, sf)
+    v = PT.random_vectors(protos.to_frame(spark).select("cls"), protos.proxy.shape[1], seed=7)
+    return v.select("cls", "dim", _r(F.col("value"), "value"))
+
+
 def q_r3_fit(spark, sf):
     """Fit proxies and margin vectors (variant ``new``, alpha 4, 6 steps) on
     the training split, then score valid and test with the fitted set."""

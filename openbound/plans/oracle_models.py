@@ -174,6 +174,12 @@ ORACLES["j6_topk_pruned"] = emb(IX) + f"""
 SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(kind AS INTEGER) AS kind, CAST(iid AS BIGINT) AS iid, CAST(label AS INTEGER) AS label,
        round(dot, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dot DESC, kind, iid) AS r FROM qd) WHERE r <= {K}"""
+ORACLES["r5_random"] = emb() + """
+SELECT cls, CAST(j AS INTEGER) AS dim, round(sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) * sqrt(2.0 / n), 6) AS value
+FROM (SELECT cls, j, (SELECT count(*) FROM protos) AS n,
+             (CAST('0x' || substr(md5('7:' || cls || ':' || j || ':0'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u0,
+             (CAST('0x' || substr(md5('7:' || cls || ':' || j || ':1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u1
+      FROM (SELECT cls, unnest(range(0, len(p))) AS j FROM protos))"""
 ORACLES["r4_neighbours"] = emb() + """
 SELECT row_id, CAST(r AS INTEGER) AS rank, CAST(nbr AS BIGINT) AS neighbour, round(d2, 6) AS dist2
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, nbr) AS r

@@ -173,3 +173,13 @@ def test_label_text_ids_never_move(spark):
     assert np.allclose(p.proxy[1], EM.label_text_prototypes(spark.createDataFrame([(0, "one")], "cls int, text string"), 1, 8).proxy[0])
     with pytest.raises(ValueError, match="outside"):
         EM.label_text_prototypes(full, 3, 8)
+
+
+def test_random_vectors_are_normal_and_free_of_partitions(spark):
+    from openbound.operators.prototypes import random_vectors
+    one, many = ([tuple(r) for r in random_vectors(spark.range(200).withColumnRenamed("id", "cls").repartition(n), 50, 3).orderBy("cls", "dim").collect()]
+                 for n in (1, 9))
+    v = np.array([r[2] for r in one]) / np.sqrt(2.0 / 200)
+    assert one == many and len(v) == 10000
+    assert abs(v.mean()) < 0.04 and abs(v.std() - 1) < 0.03 and abs((np.abs(v) < 1).mean() - 0.6827) < 0.02
+    assert random_vectors(spark.range(0).withColumnRenamed("id", "cls"), 4).collect() == []
