@@ -21,6 +21,10 @@ T5 -- k-NN vote
     counts are chosen from the row counts so that every group holds at most
     ``block_rows`` queries and ``block_rows`` index rows.
 
+    Products are made in tiles of ``QUERY_ROWS`` x ``TILE_ROWS``, whatever the
+    size of the index or of a block: candidates (T5) and sums (T6) are carried
+    from tile to tile.
+
     When the index fits under ``broadcast_limit`` bytes (checked from its row
     count and width before anything is collected), it is broadcast once and
     the queries stream through ``mapInPandas`` -- no replication, no shuffle.
@@ -39,7 +43,8 @@ from ..functions.vectors import is_usable, l2_normalize, safe_norm
 from .prototypes import Prototypes
 
 BLOCK_ROWS = 20_000
-QUERY_ROWS = 1_000        # queries multiplied with the broadcast index at a time
+QUERY_ROWS = 256          # queries multiplied with index rows at a time
+TILE_ROWS = 8_192         # index rows multiplied at a time
 INDEX_BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
@@ -75,12 +80,31 @@ def _topk(dots: np.ndarray, k: int) -> np.ndarray:
     part = np.argpartition(-dots, k - 1, axis=1)[:, :k]
     cut = np.take_along_axis(dots, part, axis=1).min(axis=1)
     for r in np.flatnonzero((dots >= cut[:, None]).sum(axis=1) > k):       # ties across the cut
-        part[r] = np.argsort(-dots[r], kind="stable")[:k]
+        above = np.flatnonzero(dots[r] > cut[r])
+        part[r] = np.concatenate([above, np.flatnonzero(dots[r] == cut[r])[:k - len(above)]])
     part.sort(axis=1)
     order = np.argsort(-np.take_along_axis(dots, part, axis=1), axis=1, kind="stable")
     return np.take_along_axis(part, order, axis=1)
 
 
+def _tiles(x: np.ndarray, im: np.ndarray):
+    """``(first index row, products)`` of the queries with a tile of index rows after another."""
+    for lo in range(0, len(im), TILE_ROWS):
+        yield lo, x @ im[lo:lo + TILE_ROWS].T
+
+
+def _tiled_topk(x: np.ndarray, im: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and products of the ``k`` largest products of every row, as ``_topk`` of all."""
+    at, score = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
+    for lo, dots in _tiles(x, im):
+        near = _topk(dots, k)
+        # rows of earlier tiles stand first, so they come first among equal products
+        at, score = np.hstack([at, near + lo]), np.hstack([score, np.take_along_axis(dots, near, axis=1)])
+        best = _topk(score, k)
+        at, score = np.take_along_axis(at, best, axis=1), np.take_along_axis(score, best, axis=1)
+    return at, score
+
+
 def _vote(labels: np.ndarray, n_classes: int) -> np.ndarray:
     """Most frequent label of every row; smallest class on ties."""
     rows = np.repeat(np.arange(len(labels)), labels.shape[1])
@@ -88,11 +112,16 @@ def _vote(labels: np.ndarray, n_classes: int) -> np.ndarray:
     return counts.reshape(len(labels), n_classes).argmax(axis=1).astype("int32")
 
 
-def _class_sums(dots: np.ndarray, labels: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _class_sums(x: np.ndarray, im: np.ndarray, labels: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the dots and number of non-zero dots per (row, class)."""
-    hot = np.zeros((len(labels), n_classes))
-    hot[np.arange(len(labels)), labels] = 1.0
-    return dots @ hot, (dots != 0) @ hot
+    total, count = np.zeros((len(x), n_classes)), np.zeros((len(x), n_classes))
+    for lo, dots in _tiles(x, im):
+        mine = labels[lo:lo + dots.shape[1]]
+        hot = np.zeros((len(mine), n_classes))
+        hot[np.arange(len(mine)), mine] = 1.0
+        total += dots @ hot
+        count += (dots != 0) @ hot
+    return total, count
 
 
 def _average_argmax(total: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -109,7 +138,7 @@ def _index_arrays(rows) -> tuple:
 
 
 def _broadcast_predict(bc, decide, last: int):
-    """Whole index on every executor: one product per batch, map-only."""
+    """Whole index on every executor, map-only: ``decide(queries, index matrix, labels)``."""
     def fn(batches):
         _, _, labels, im = bc.value
         for pdf in batches:
@@ -118,7 +147,7 @@ def _broadcast_predict(bc, decide, last: int):
                     part = pdf.iloc[lo:lo + QUERY_ROWS]
                     x = _matrix(part["x"].to_numpy(), im.shape[1])
                     usable = np.isfinite(x).all(axis=1)
-                    pred = decide(np.where(usable[:, None], x, 0.0) @ im.T, labels)
+                    pred = decide(np.where(usable[:, None], x, 0.0), im, labels)
                     yield pd.DataFrame({"qid": part["qid"].to_numpy().astype("int64"),
                                         "pred": np.where(usable, pred, last).astype("int32")})
     return fn
@@ -128,16 +157,17 @@ _CAND = "qid long, score double, kind int, iid long, label int"
 _SUMS = "qid long, label int, total double, n long"
 
 
-def _pair(make, columns):
-    """One (query block, index block) group: ``make(qid, dots, kind, iid, label)`` -> column arrays."""
+def _pair(make, columns, dim: int):
+    """One (query block, index block) group: ``make(qid, x, matrix, kind, iid, label)`` -> column
+    arrays, for some of the queries at a time."""
     def fn(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
         if q.empty or ix.empty:
             return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in columns.items()})
         ix = ix.sort_values(["kind", "iid"])
-        im = np.stack(ix["v"].to_numpy())
-        dots = _matrix(q["x"].to_numpy(), im.shape[1]) @ im.T
-        got = make(q["qid"].to_numpy(), dots, ix["kind"].to_numpy(), ix["iid"].to_numpy(), ix["label"].to_numpy())
-        return pd.DataFrame(dict(zip(columns, got))).astype(columns)
+        im, kind, iid, label = _matrix(ix["v"].to_numpy(), dim), ix["kind"].to_numpy(), ix["iid"].to_numpy(), ix["label"].to_numpy()
+        qid, x = q["qid"].to_numpy(), _matrix(q["x"].to_numpy(), dim)
+        got = [make(qid[lo:lo + QUERY_ROWS], x[lo:lo + QUERY_ROWS], im, kind, iid, label) for lo in range(0, len(x), QUERY_ROWS)]
+        return pd.DataFrame({c: np.concatenate(part) for c, part in zip(columns, zip(*got))}).astype(columns)
     return fn
 
 
@@ -182,14 +212,14 @@ def knn_vote(queries: DataFrame, train: DataFrame, protos: Prototypes, k: int =
     q, index, n, bc = _setup(queries, train, protos, x_col, y_col, id_col, broadcast_limit)
     n_classes = protos.n_classes
     if bc is not None:
-        votes = q.mapInPandas(_broadcast_predict(bc, lambda dots, labels: _vote(labels[_topk(dots, k)], n_classes), n_classes - 1), "qid long, pred int")
+        votes = q.mapInPandas(_broadcast_predict(bc, lambda x, im, labels: _vote(labels[_tiled_topk(x, im, k)[0]], n_classes), n_classes - 1), "qid long, pred int")
         return votes.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
 
-    def top(qid, dots, kind, iid, label):
-        at = _topk(dots, k)
-        return np.repeat(qid, at.shape[1]), np.take_along_axis(dots, at, axis=1).ravel(), kind[at].ravel(), iid[at].ravel(), label[at].ravel()
+    def top(qid, x, im, kind, iid, label):
+        at, score = _tiled_topk(x, im, k)
+        return np.repeat(qid, at.shape[1]), score.ravel(), kind[at].ravel(), iid[at].ravel(), label[at].ravel()
     cand = _blocks(_usable(q), index, n, block_rows).applyInPandas(
-        _pair(top, {"qid": "int64", "score": "float64", "kind": "int32", "iid": "int64", "label": "int32"}), _CAND)
+        _pair(top, {"qid": "int64", "score": "float64", "kind": "int32", "iid": "int64", "label": "int32"}, protos.dim), _CAND)
     # merge: K per query per index block -> global top K -> majority, smallest class on ties
     best = cand.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("ns"), "kind", "iid", "label"))), 1, k).alias("top"))
@@ -208,14 +238,14 @@ def class_average_predict(queries: DataFrame, train: DataFrame, protos: Prototyp
     n_classes = protos.n_classes
     if bc is not None:
         out = q.mapInPandas(_broadcast_predict(
-            bc, lambda dots, labels: _average_argmax(*_class_sums(dots, labels, n_classes)), n_classes - 1), "qid long, pred int")
+            bc, lambda x, im, labels: _average_argmax(*_class_sums(x, im, labels, n_classes)), n_classes - 1), "qid long, pred int")
         return out.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
 
-    def sums(qid, dots, kind, iid, label):
-        total, count = _class_sums(dots, label, n_classes)
+    def sums(qid, x, im, kind, iid, label):
+        total, count = _class_sums(x, im, label, n_classes)
         return np.repeat(qid, n_classes), np.tile(np.arange(n_classes), len(qid)), total.ravel(), count.ravel()
     part = _blocks(_usable(q), index, n, block_rows).applyInPandas(
-        _pair(sums, {"qid": "int64", "label": "int32", "total": "float64", "n": "int64"}), _SUMS)
+        _pair(sums, {"qid": "int64", "label": "int32", "total": "float64", "n": "int64"}, protos.dim), _SUMS)
     avg = part.groupBy("qid", "label").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).filter("n > 0")
     best = avg.groupBy("qid").agg(F.max(F.struct((F.col("t") / F.col("n")).alias("a"), (-F.col("label")).alias("nc"))).alias("b"))
     return _all_queries(q, best.select("qid", (-F.col("b.nc")).cast("int").alias("pred")), F.lit(0), n_classes - 1, id_col, out_col)
