@@ -139,25 +139,32 @@ def build_cells(index: DataFrame, pivots: int | None = None, seed: int = 0) -> t
     return placed.withColumn("shard", F.pmod(F.xxhash64("kind", "iid"), shards).cast("int")).drop("angle", "norm"), cells
 
 
-VISIT = "array<struct<cell:int,shard:int,shards:int,rows:long>>"
-
-
-def _visits(bc, take: int):
-    """Cells at the next ``take`` places of a query's order that may hold one of its best."""
-    @F.pandas_udf(VISIT)
-    def visits(x: pd.Series, seen: pd.Series, kth: pd.Series) -> pd.Series:
+def _visits(bc, seen: int, take: int):
+    """Cells at the next ``take`` places of a query's order that may hold one of its best, as packed
+    numbers: a batch of queries may visit all cells."""
+    @F.pandas_udf("array<int>")
+    def visits(x: pd.Series, kth: pd.Series) -> pd.Series:
         cells, out = bc.value, []
         for lo in range(0, len(x), 1024):
             b = cells.bounds(np.stack(x.iloc[lo:lo + 1024].to_numpy()))
-            order = np.argsort(-b, axis=1, kind="stable")
-            for i, (s, k) in enumerate(zip(seen.iloc[lo:lo + 1024], kth.iloc[lo:lo + 1024])):
-                todo = [int(c) for c in order[i, s:s + take] if cells.rows[c] and b[i, c] >= k]
-                out.append([{"cell": c, "shard": j, "shards": int(cells.shards[c]), "rows": int(cells.rows[c])}
-                            for c in todo for j in range(int(cells.shards[c]))])
-        return pd.Series(out)
+            order = np.argsort(-b, axis=1, kind="stable")[:, seen:seen + take]
+            wanted = (np.take_along_axis(b, order, axis=1) >= kth.iloc[lo:lo + 1024].to_numpy()[:, None]) & (cells.rows[order] > 0)
+            out += [o[w].astype("int32") for o, w in zip(order, wanted)]
+        return pd.Series(out, dtype=object)
     return visits
 
 
+def _asked(active: DataFrame, bc, seen: int, take: int) -> DataFrame:
+    """A row per query and shard of a cell that it visits next."""
+    cells = bc.value
+    sizes = active.sparkSession.createDataFrame([(c, int(s), int(n)) for c, (s, n) in enumerate(zip(cells.shards, cells.rows))],
+                                                "cell int, shards int, rows long")
+    to = active.withColumn("cell", F.explode(_visits(bc, seen, take)("x", "kth")))
+    # as many sizes as cells: MAX_PIVOTS at most
+    return (to.join(F.broadcast(sizes), "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+            .select("cell", "shard", "shards", "rows", "qid", "x", "kth"))
+
+
 FOUND = "qid long, score double, kind int, iid long, label int"
 
 
@@ -225,8 +232,7 @@ def similarity_topk(queries: DataFrame, index: DataFrame, k: int = 5, pivots: in
     active = q.filter(~zero).select("qid", "x", F.lit(float("-inf")).alias("kth"))
     seen, take = 0, 1
     while seen < len(cells.rows):
-        asked = cut_lineage(active.withColumn("to", F.explode(_visits(bc, take)("x", F.lit(seen), "kth")))
-                            .select("to.*", "qid", "x", "kth"))
+        asked = cut_lineage(_asked(active, bc, seen, take))
         per = asked.filter("shard = 0").agg(F.count("*").alias("visits"), F.sum("rows").alias("pairs")).first()
         report.rounds.append(per["visits"])
         report.visits += per["visits"]
