@@ -214,16 +214,6 @@ def unit_training_table(train: DataFrame, x_col: str = "x", y_col: str = "y",
     return cut_lineage(t) if checkpoint else t
 
 
-def epoch_batches(unit: DataFrame, batch_size: int, epoch: int, path: str) -> DataFrame:
-    """B2 for one epoch, written once partitioned by batch (shared checkpoint
-    folder): a step then reads only its own batch (partition pruning), so an
-    epoch costs one pass over the table however many batches it has.  Batches
-    are runs of positions, so a task writes few of them."""
-    from .sampling import shuffled_batches
-    shuffled_batches(unit, batch_size, seed=epoch).write.mode("overwrite").partitionBy("batch").parquet(path)
-    return unit.sparkSession.read.parquet(path)
-
-
 class Optimiser:
     """The reference's optimiser state: AdamW groups, joint clipping, schedule."""
 

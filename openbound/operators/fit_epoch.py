@@ -1,4 +1,4 @@
-"""One epoch of mini-batch steps as one Spark job.
+"""One epoch of mini-batch steps as one Spark job, or as a job per run of small batches.
 
 The training rows are dealt to tasks by a hash of their id and sorted by batch inside a task.  The
 tasks run together as a barrier stage.  For every batch each task computes the class sums of its
@@ -16,6 +16,12 @@ second however small it is (measured: 450 steps of one row in some 500 s); a job
 (``fit.aggregate_sums``) takes less where the scheduler is quick and the table small, and more
 where a job of many tasks is slow to start.  A step exchanges four vectors per class and task
 (``classes * dim * 32`` bytes) through the driver's coordinator.
+
+``fit_runs``, for batches far smaller than a task's work: every step needs the prototypes of the step
+before, so a job per step waits for Spark far longer than it counts.  The epoch's rows are dealt in
+runs of whole batches, ``RUN_ROWS`` rows at most; a job reads the next run from the shared folder,
+takes its steps in one task and returns the prototypes and the optimiser state.  A batch beyond
+``RUN_ROWS`` rows is a run of its own, whose step is a job over all tasks (``fit.aggregate_sums``).
 """
 
 from __future__ import annotations
@@ -28,11 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .fit import _KINDS, Optimiser, loss_and_grad, partial_sums
+from .fit import _KINDS, Optimiser, aggregate_sums, loss_and_grad, partial_sums
 from .prototypes import Prototypes
 from .sampling import shuffled_batches
 
+RUN_ROWS = 32_768      # rows whose steps one task takes
 OUT = "task int, state binary"
 
 
@@ -125,3 +133,43 @@ def fit_epoch(unit: DataFrame, protos: Prototypes, opt: Optimiser, variant: str,
     # stage that ends in the result itself is not
     got = made.repartition(1).select("state").collect()
     return pickle.loads(bytes(got[0][0]))
+
+
+def _run_steps(shipped, first: int, end: int, variant: str, alpha: float):
+    def run(batches):
+        protos, opt = pickle.loads(shipped.value)
+        rows, losses = _Rows(iter(batches)), []
+        for number in range(first, end):
+            x, y = rows.take(number)
+            loss, d_p, d_m = loss_and_grad(partial_sums(x, y, protos, variant, alpha), protos, variant, alpha)
+            protos = opt.apply(protos, d_p, d_m)
+            losses.append(float(loss))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([cloudpickle.dumps((protos, opt, losses))], pa.binary())], names=["task", "state"])
+    return run
+
+
+def fit_runs(unit: DataFrame, protos: Prototypes, opt: Optimiser, variant: str, alpha: float, batch_size: int, path: str,
+             epoch: int = 0) -> tuple[Prototypes, Optimiser, list[float]]:
+    """As ``fit_epoch``, by a job per run of batches; ``path`` is a fresh shared folder."""
+    spark, losses = unit.sparkSession, []
+    protos, opt, n = protos.copy(), copy.deepcopy(opt), unit.count()
+    n_batches, per = -(-n // int(batch_size)), max(1, RUN_ROWS // int(batch_size))
+    dealt = shuffled_batches(unit, batch_size, seed=epoch).select("batch", "row_id", "y", "xh")
+    # positions follow the tasks, so a task writes few runs
+    dealt.withColumn("run", F.floor(F.col("batch") / per).cast("long")).write.mode("overwrite").partitionBy("run").parquet(path)
+    schema = dealt.schema.add("run", "long")
+    runs = spark.read.schema(schema).parquet(path)
+    for first in range(0, n_batches, per):
+        rows = runs.filter(F.col("run") == first // per)
+        if batch_size > RUN_ROWS:
+            loss, d_p, d_m = loss_and_grad(aggregate_sums(rows, protos, variant, alpha), protos, variant, alpha)
+            protos = opt.apply(protos, d_p, d_m)
+            losses.append(float(loss))
+            continue
+        state = spark.sparkContext.broadcast(cloudpickle.dumps((protos, opt)))
+        one = rows.coalesce(1).sortWithinPartitions("batch", "row_id").select("batch", "y", "xh")
+        got = one.mapInArrow(_run_steps(state, first, min(first + per, n_batches), variant, alpha), OUT).select("state").collect()
+        protos, opt, done = pickle.loads(bytes(got[0][0]))
+        losses += done
+        state.unpersist()
+    return protos, opt, losses

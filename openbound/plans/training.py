@@ -1,7 +1,8 @@
 """The reference's training run as a composition of operators.
 
 Per epoch: mini-batch prototype steps (R3; by default B2 batches are written
-once per epoch, partitioned by batch, and a step is a Spark job; with
+once per epoch, partitioned by runs of batches, and a Spark job takes the steps
+of a run; with
 ``barrier=True`` all steps run in one barrier stage; the batch size is the
 caller's whatever the table's size), the epoch's training loss (mean of
 the step losses, L9), evaluation of train, valid and test with the variant's
@@ -97,12 +98,7 @@ def train_and_evaluate(data: OpenSet, protos: Prototypes, variant: str = "new",
         if barrier:
             p, opt, losses = FE.fit_epoch(unit, p, opt, variant, alpha, batch_size, epoch)
         else:
-            batches, losses = FT.epoch_batches(unit, batch_size, epoch, f"{base}/epoch={epoch}"), []
-            for b in range(n_batches):
-                sums = FT.aggregate_sums(batches.filter(F.col("batch") == b), p, variant, alpha)
-                loss, d_p, d_m = FT.loss_and_grad(sums, p, variant, alpha)
-                p = opt.apply(p, d_p, d_m)
-                losses.append(float(loss))
+            p, opt, losses = FE.fit_runs(unit, p, opt, variant, alpha, batch_size, f"{base}/epoch={epoch}", epoch)
         steps += [(epoch, b, loss) for b, loss in enumerate(losses)]
         if losses:
             log.append((run_id, epoch, "train", "loss", float(np.mean(losses))))
