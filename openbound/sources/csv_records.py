@@ -27,10 +27,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..session import cut_lineage
 from .lines import _file_order, _with_file_pos
@@ -77,24 +80,35 @@ def cut_records(text: str) -> list[list[str]]:
     return out
 
 
-#: A line's function: 0 keeps the state, 1 changes it, 2 leads between records, 3 inside quotes;
-#: and its records, if it starts and ends between records.
-_LINE = StructType([StructField("fn", IntegerType()), StructField("r", ArrayType(ArrayType(StringType())))])
+TEXT_BYTES = 1 << 20       # text that a Python worker cuts at a time, beside one long line
+_RECORDS = pa.list_(pa.list_(pa.string()))
 
 
-@F.pandas_udf(_LINE)
-def _line_udf(line: pd.Series) -> pd.DataFrame:
-    fns, cut = [], []
-    for x in line:
-        if x is None:
-            fns.append(None)
-            cut.append(None)
-            continue
-        quotes = '"' in x
-        out, inside = quotes and ends_inside(x, False), not quotes or ends_inside(x, True)
-        fns.append((3 if inside else 1) if out else (0 if inside else 2))
-        cut.append(None if out else cut_records(x))
-    return pd.DataFrame({"fn": pd.Series(fns, dtype="Int32"), "r": pd.Series(cut, dtype=object)})
+def _runs(length: np.ndarray):
+    """``(first, end)`` of runs of texts that hold about ``TEXT_BYTES`` together."""
+    run = np.cumsum(length + 64) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(length)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:]) if lo < hi]
+
+
+def _line_function(x: str | None) -> tuple[int | None, list | None]:
+    """A line's function: 0 keeps the state, 1 changes it, 2 leads between records, 3 inside quotes;
+    and its records, if it starts and ends between records."""
+    if x is None:
+        return None, None
+    quotes = '"' in x
+    out, inside = quotes and ends_inside(x, False), not quotes or ends_inside(x, True)
+    return (3 if inside else 1) if out else (0 if inside else 2), None if out else cut_records(x)
+
+
+def _cut_lines(batches):
+    """Lines ``(value, _lf, _lb, _lm, _hard)`` with the function and the records of the hard ones.
+    A batch goes on in pieces, so that records of few lines are objects at a time."""
+    for batch in batches:
+        for lo, hi in _runs(pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False)):
+            got = [_line_function(x) for x in batch.column(4).slice(lo, hi - lo).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:4], pa.array([f for f, _ in got], pa.int32()), pa.array([r for _, r in got], _RECORDS)],
+                                             names=["value", "_lf", "_lb", "_lm", "_u", "_r"])
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
@@ -145,21 +159,22 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """``(row_id, fields)``: every record with its fields, numbered in file order; and their number."""
     raw = _with_file_pos(spark.read.option("lineSep", "\n").text(path))
     simple = ~F.col("value").contains('"') & ~F.col("value").contains(",") & ~F.col("value").contains("\r")
-    lines = cut_lineage(raw.withColumn("_u", _line_udf(F.when(~simple, F.col("value"))))
-                        .select("*", F.coalesce("_u.fn", F.lit(0)).alias("_fn"), F.col("_u.r").alias("_r")).drop("_u"))
+    cut = raw.select("value", "_lf", "_lb", "_lm", F.when(~simple, F.col("value")).alias("_hard")).mapInArrow(
+        _cut_lines, "value string, _lf string, _lb long, _lm long, _u int, _r array<array<string>>")
+    lines = cut_lineage(cut.select("value", "_lf", "_lb", "_lm", F.coalesce("_u", F.lit(0)).alias("_fn"), "_r"))
     one = F.when(F.trim(F.translate("value", "\t", " ")) == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.array("value")))
     lines = lines.withColumn("_r", F.when(simple, one).otherwise(F.col("_r")))
     if lines.filter(F.col("_fn").isin(1, 3)).isEmpty():
         cut = lines.select("_lf", "_lb", "_lm", "_r")
     else:
         starts = cut_lineage(_split_starts(lines))
-        known = _states(lines.join(starts.select("_lf", "_lb", "_start"), ["_lf", "_lb"]), F.col("_start"), ["_lf", "_lb"], ["_lm"])
+        known = _states(lines.join(F.broadcast(starts.select("_lf", "_lb", "_start")), ["_lf", "_lb"]), F.col("_start"), ["_lf", "_lb"], ["_lm"])
         known = cut_lineage(known.select("_lf", "_lb", "_lm", "value", "_r", "_in", "_out"))
         # records begun in a split, numbered on from those of the splits before
         off = _count_before(known, (F.col("_in") == 0).cast("long"))
         upto = Window.partitionBy("_lf", "_lb").orderBy("_lm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         known = (known.withColumn("_g", F.sum((F.col("_in") == 0).cast("long")).over(upto))
-                 .join(off, ["_lf", "_lb"]).withColumn("_g", F.col("_g") + F.col("_off")))
+                 .join(F.broadcast(off), ["_lf", "_lb"]).withColumn("_g", F.col("_g") + F.col("_off")))
         torn = starts.groupBy("_lf").agg(F.max_by("_end", "_lb").alias("_end")).filter(F.col("_end") == 1).select("_lf")
         torn = known.join(torn, "_lf").groupBy("_lf").agg(F.max("_g").alias("g")).first()
         if torn is not None:
@@ -175,7 +190,7 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     cut = cut.filter(F.size("_r") > 0)
     off = _count_before(cut, F.size("_r"))
     before = Window.partitionBy("_lf", "_lb").orderBy("_lm").rowsBetween(Window.unboundedPreceding, -1)
-    out = (cut.withColumn("_n", F.coalesce(F.sum(F.size("_r")).over(before), F.lit(0))).join(off, ["_lf", "_lb"])
+    out = (cut.withColumn("_n", F.coalesce(F.sum(F.size("_r")).over(before), F.lit(0))).join(F.broadcast(off), ["_lf", "_lb"])
            .select((F.col("_n") + F.col("_off")).alias("_n"), F.posexplode("_r").alias("_i", "fields"))
            .select((F.col("_n") + F.col("_i")).cast("long").alias("row_id"), "fields"))
     # the first record sets the number of fields
