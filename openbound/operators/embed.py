@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from ..functions.ordering import mix_key
 
 
+def sign_bit(token: Column, j: Column, dim: int, seed: int) -> Column:
+    return mix_key(token.cast("long") * F.lit(int(dim)) + j, seed) % 2
+
+
 def sign_component(token: Column, j: Column, dim: int, seed: int) -> Column:
-    return F.lit(1.0) - F.lit(2.0) * (mix_key(token.cast("long") * F.lit(int(dim)) + j, seed) % 2).cast("double")
+    return F.lit(1.0) - F.lit(2.0) * sign_bit(token, j, dim, seed).cast("double")
 
 
 # bits of the token hash that one block of dimensions uses (15 hexadecimal digits)
@@ -76,8 +80,11 @@ def mean_pool_tokens(df: DataFrame, keys: list[str], ids_col: str = "input_ids",
     ``(keys, x ARRAY<DOUBLE>[dim])``.  One explode and one partial aggregation: nested lambdas would
     evaluate every token vector once per dimension."""
     pos = df.select(*keys, F.explode(ids_col).alias("_t"))
-    g = pos.groupBy(*keys).agg(*[F.avg(sign_component(F.col("_t"), F.lit(j), dim, seed)).alias(f"_a{j}") for j in range(int(dim))])
-    return g.select(*keys, F.array(*[F.col(f"_a{j}") for j in range(int(dim))]).alias(out_col))
+    # the minus signs are counted: one number per dimension and a common count, exact in any order
+    minus = [F.sum(sign_bit(F.col("_t"), F.lit(j), dim, seed)).alias(f"_m{j}") for j in range(int(dim))]
+    g = pos.groupBy(*keys).agg(F.count("_t").alias("_n"), *minus)
+    mean = [F.when(F.col("_n") > 0, (F.col("_n") - 2 * F.col(f"_m{j}")) / F.col("_n")) for j in range(int(dim))]
+    return g.select(*keys, F.array(*mean).alias(out_col))
 
 
 def embed_with(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]],

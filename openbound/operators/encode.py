@@ -77,8 +77,10 @@ def encode_windows(tokens: DataFrame, vocab: DataFrame, vocab_size: int, key_col
     """Whole texts in fixed-length windows: ``(key, win, input_ids[max_len], attention_mask[max_len])``.
     Window w holds tokens ``w * max_len`` and on; a text without tokens has one empty window."""
     n = F.greatest(F.lit(1), F.ceil(F.size(tokens_col) / F.lit(int(max_len))).cast("int"))
-    wins = tokens.select(key_col, tokens_col, F.explode(F.sequence(F.lit(0), n - 1)).alias("win"))
-    part = wins.select(F.struct(key_col, "win").alias("_kw"), F.slice(tokens_col, F.col("win") * int(max_len) + 1, int(max_len)).alias("_part"))
+    # cut before they are dealt out: a window row carries its own tokens, not the whole text
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda w: F.slice(tokens_col, w * int(max_len) + 1, int(max_len)))
+    wins = tokens.select(key_col, F.posexplode(parts).alias("win", "_part"))
+    part = wins.select(F.struct(key_col, "win").alias("_kw"), "_part")
     enc = encode(part, vocab, vocab_size, "_kw", "_part", max_len)
     return enc.select(f"_kw.{key_col}", "_kw.win", "input_ids", "attention_mask")
 

@@ -59,7 +59,9 @@ def q_r2_embed(spark, sf):
 def q_v9_mean_pool(spark, sf):
     """V9 over whole texts: every 50-token window encoded to fixed length and pooled over all its
     positions, padding included."""
-    tk = _doc_tokens(spark, sf)
+    from ..session import written_table
+    # read by the vocabulary and by the windows: tokenised once
+    tk = written_table(_doc_tokens(spark, sf))
     enc = EN.encode_windows(tk, EN.build_vocab(tk, VOCAB), VOCAB, max_len=MAX_LEN)
     pooled = EM.mean_pool_tokens(enc, ["row_id", "win"], "input_ids", DIM)
     return pooled.select("row_id", "win", F.posexplode("x").alias("dim", "v")).select(
