@@ -272,9 +272,11 @@ def q_e2e_text_openset(spark, sf):
     from ..operators import metrics as M
     from ..operators import score as S
     from .catalog import RATIO
+    from ..session import written_table
     from .openset import prepare_with_prototypes
     emb = EM.embed_text(_doc_tokens(spark, sf), "row_id", dim=DIM)
-    docs = views.document_splits(spark, sf).select("row_id", "split", "label").join(emb, "row_id")
+    # read by the prototypes and by the scores: embedded once
+    docs = written_table(views.document_splits(spark, sf).select("row_id", "split", "label").join(emb, "row_id"))
     os_, protos = prepare_with_prototypes(docs, RATIO)
     return M.confusion_counts(S.reject_scalar(os_.data, protos), by="split")
 
