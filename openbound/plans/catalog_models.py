@@ -323,9 +323,11 @@ def q_s13_split_tsv_round_trip(spark, sf):
     """Write each document split as a ``text<TAB>label`` file (text normalised
     to one line) and load it back with the per-split TSV reader (S13)."""
     from ..functions.text import normalize_rows
+    from ..session import written_table
     from ..sources import exports as EX
     from ..sources import lines as SL
-    docs = normalize_rows(views.document_splits(spark, sf), "text")
+    # each split is sampled and sorted: normalised once for all
+    docs = written_table(normalize_rows(views.document_splits(spark, sf), "text"))
     base = _scratch(spark, "tsv13")
     out = None
     for sp in ("train", "valid", "test"):

@@ -58,7 +58,8 @@ def line_index(df_with_meta: DataFrame, out_col: str = "row_id") -> tuple[DataFr
     offsets = cut_lineage(blocks.select("_lf", "_lb", "_n", "_m0",
                                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     total = offsets.agg(F.sum("_n")).first()[0] or 0
-    out = rows.join(offsets.drop("_n"), ["_lf", "_lb"])
+    # one row per split of a file
+    out = rows.join(F.broadcast(offsets.drop("_n")), ["_lf", "_lb"])
     out = out.withColumn(out_col, F.col("_off") + F.col("_lm") - F.col("_m0"))
     return out.drop("_lf", "_lb", "_lm", "_m0", "_off"), int(total)
 
