@@ -94,9 +94,9 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             ones = (a & a.dtype.type(1 << level)) != 0
             planes.append(Plane.build(ones))
-            low = a[~ones]
+            low = a.compress(~ones)
             zeros.append(len(low))
-            a = np.concatenate([low, a[ones]])
+            a = np.concatenate([low, a.compress(ones)])
         return cls(planes, zeros, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -106,8 +106,8 @@ class WaveletMatrix:
         for i in range(levels - 1, -1, -1):
             ones = self.planes[i].bits()
             up = np.empty_like(a)
-            up[~ones] = a[:self.zeros[i]]
-            up[ones] = a[self.zeros[i]:] | a.dtype.type(1 << (levels - 1 - i))
+            up[np.flatnonzero(~ones)] = a[:self.zeros[i]]
+            up[np.flatnonzero(ones)] = a[self.zeros[i]:] | a.dtype.type(1 << (levels - 1 - i))
             a = up
         return a.astype(np.uint32)
 

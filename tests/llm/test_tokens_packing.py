@@ -57,6 +57,39 @@ def test_full_memo_starts_anew(library, monkeypatch):
     assert [x for lo in range(0, 40, 8) for x in enc.encode(texts[lo:lo + 8])] == want and len(enc.memo.place) <= 50
 
 
+def test_full_memo_keeps_words_in_use(library, monkeypatch):
+    monkeypatch.setattr(T, "MEMO_WORDS", 60)
+    enc = T.Encoder(open(T.default_tokenizer(), encoding="utf-8").read())
+    made, make = [], enc.memo.make
+
+    def counted(words):
+        made.extend([words] if isinstance(words, str) else words)
+        return make(words)
+    monkeypatch.setattr(enc.memo, "make", counted)
+    for k in range(30):
+        text = " ".join(["x", *(f"often{i}" for i in range(20)), *(f"rare{k}-{i}" for i in range(10))])
+        assert enc.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sum(w.startswith("often") for w in made) == 20 and sum(w.startswith("rare") for w in made) == 300
+    assert len(enc.memo.place) <= 60
+
+
+def test_new_plain_words_share_model_calls(library, monkeypatch):
+    enc = T.Encoder(open(T.default_tokenizer(), encoding="utf-8").read())
+    asked = []
+
+    class Model:
+        tokenize = staticmethod(lambda part, real=enc.model.tokenize: asked.append(part) or real(part))
+    monkeypatch.setattr(enc, "model", Model)
+    text = "\u00e0 " + " ".join(f"{a}thron{b}{c}" for a in ("", "\u00e9", "X") for b in ("esh", "\u00ff\u00e0", "\u00c0") for c in ("", ",", ".", "it"))
+    assert enc.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(text.split()) == 37 and len(asked) <= 9
+    monkeypatch.setattr(enc, "together", False)      # a vocabulary with tokens across words
+    text = text.replace("thron", "thren")
+    assert enc.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    for token, over in (("a" + T.SPACE + "b", True), ("a,", True), ("." + T.SPACE, True), (T.SPACE * 2, False), (T.SPACE + "a", False), (T.SPACE + ",", False), ("1,", False)):
+        assert bool(T.ACROSS.match(token)) == over
+
+
 def test_cut():
     for n in (0, 1, 7, 8, 9, 16, 17, 80):
         c = P.cut(n, 8)
