@@ -66,7 +66,7 @@ def written_table(df: DataFrame) -> DataFrame:
     join a table with its own last round: a checkpoint keeps the plan's size estimate, which such
     joins square every round, while a file has its own size."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

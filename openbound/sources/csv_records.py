@@ -12,8 +12,9 @@ only records of several lines are grouped.  They are cut into fields, blank line
 records are numbered by a running count per split plus the counts of the splits before.  Where no
 line of the file ends inside quotes every line is its own record and the scans are left out.
 
-The lines are checkpointed with their split and place first, so a later change of the split size
-has no effect.
+The lines are written with their split, their place and the records before them in the split
+first, so a later change of the split size has no effect.  They are kept once: a line that was cut is
+kept as its records only.  Where a line ends inside quotes, lines are read again with their raw text.
 
 Rules (of the reader that the reference uses): fields are separated by commas; a field that starts
 with a quote ends at the next single quote, doubled quotes are one, and what follows up to the
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written_table
 from .lines import _file_order, _with_file_pos
 
 # a field up to its separator; possessive, so a long text is one pass
@@ -101,14 +102,42 @@ def _line_function(x: str | None) -> tuple[int | None, list | None]:
     return (3 if inside else 1) if out else (0 if inside else 2), None if out else cut_records(x)
 
 
-def _cut_lines(batches):
-    """Lines ``(value, _lf, _lb, _lm, _hard)`` with the function and the records of the hard ones.
-    A batch goes on in pieces, so that records of few lines are objects at a time."""
-    for batch in batches:
-        for lo, hi in _runs(pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False)):
-            got = [_line_function(x) for x in batch.column(4).slice(lo, hi - lo).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:4], pa.array([f for f, _ in got], pa.int32()), pa.array([r for _, r in got], _RECORDS)],
-                                             names=["value", "_lf", "_lb", "_lm", "_u", "_r"])
+def _cut_lines(raw: bool):
+    """Lines ``(value, _lf, _lb, _lm, _simple, _blank)``, in order within their split, with the function
+    and the records of the hard ones, their number of records and that of the split's lines before.
+    The text of a line that has records is kept if ``raw``.  A batch goes on in pieces, so that
+    records of few lines are objects at a time."""
+    def run(batches):
+        at, before = None, 0
+        for batch in batches:
+            for lo, hi in _runs(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)):
+                part = batch.slice(lo, hi - lo)
+                simple, blank = part.column(4).to_numpy(zero_copy_only=False), part.column(5).to_numpy(zero_copy_only=False)
+                texts = part.column(0).to_pylist()
+                got = [(0, None) if s else _line_function(x) for s, x in zip(simple, texts)]
+                count = [len(r) if r is not None else int(s and not b) for (_, r), s, b in zip(got, simple, blank)]
+                places = []
+                for split, k in zip(zip(part.column(1).to_pylist(), part.column(2).to_pylist()), count):
+                    at, before = split, before if split == at else 0
+                    places.append(before)
+                    before += k
+                value = part.column(0) if raw else pa.array([x if r is None else None for x, (_, r) in zip(texts, got)], pa.string())
+                yield pa.RecordBatch.from_arrays([value, *part.columns[1:4], pa.array(simple), pa.array([f for f, _ in got], pa.int32()), pa.array([r for _, r in got], _RECORDS),
+                                                  pa.array(count, pa.int64()), pa.array(places, pa.int64())],
+                                                 names=["value", "_lf", "_lb", "_lm", "_simple", "_fn", "_r", "_k", "_n"])
+    return run
+
+
+def _cut_table(spark: SparkSession, path: str, raw: bool) -> DataFrame:
+    """The lines of a file, cut by ``_cut_lines`` and written; ``_r``: the records of a line that does
+    not end inside quotes when it starts between records."""
+    lines = _with_file_pos(spark.read.option("lineSep", "\n").text(path))
+    simple = ~F.col("value").contains('"') & ~F.col("value").contains(",") & ~F.col("value").contains("\r")
+    blank = F.trim(F.translate("value", "\t", " ")) == ""
+    cut = written_table(lines.select("value", "_lf", "_lb", "_lm", simple.alias("_simple"), blank.alias("_blank")).mapInArrow(
+        _cut_lines(raw), "value string, _lf string, _lb long, _lm long, _simple boolean, _fn int, _r array<array<string>>, _k long, _n long"))
+    one = F.when(F.col("_k") == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array("value")))
+    return cut.withColumn("_r", F.when(F.col("_simple"), one).otherwise(F.col("_r"))).drop("_simple")
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
@@ -157,19 +186,14 @@ def _count_before(rows: DataFrame, count: Column) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """``(row_id, fields)``: every record with its fields, numbered in file order; and their number."""
-    raw = _with_file_pos(spark.read.option("lineSep", "\n").text(path))
-    simple = ~F.col("value").contains('"') & ~F.col("value").contains(",") & ~F.col("value").contains("\r")
-    cut = raw.select("value", "_lf", "_lb", "_lm", F.when(~simple, F.col("value")).alias("_hard")).mapInArrow(
-        _cut_lines, "value string, _lf string, _lb long, _lm long, _u int, _r array<array<string>>")
-    lines = cut_lineage(cut.select("value", "_lf", "_lb", "_lm", F.coalesce("_u", F.lit(0)).alias("_fn"), "_r"))
-    one = F.when(F.trim(F.translate("value", "\t", " ")) == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.array("value")))
-    lines = lines.withColumn("_r", F.when(simple, one).otherwise(F.col("_r")))
+    lines = _cut_table(spark, path, raw=False)
     if lines.filter(F.col("_fn").isin(1, 3)).isEmpty():
-        cut = lines.select("_lf", "_lb", "_lm", "_r")
+        cut = lines.select("_lf", "_lb", "_lm", "_r", "_k", "_n")
     else:
+        lines = _cut_table(spark, path, raw=True).drop("_k", "_n")
         starts = cut_lineage(_split_starts(lines))
         known = _states(lines.join(F.broadcast(starts.select("_lf", "_lb", "_start")), ["_lf", "_lb"]), F.col("_start"), ["_lf", "_lb"], ["_lm"])
-        known = cut_lineage(known.select("_lf", "_lb", "_lm", "value", "_r", "_in", "_out"))
+        known = written_table(known.select("_lf", "_lb", "_lm", "value", "_r", "_in", "_out"))
         # records begun in a split, numbered on from those of the splits before
         off = _count_before(known, (F.col("_in") == 0).cast("long"))
         upto = Window.partitionBy("_lf", "_lb").orderBy("_lm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -186,16 +210,17 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
                    .select("_lf", F.col("l")[0]["_lb"].alias("_lb"), F.col("l")[0]["_lm"].alias("_lm"),
                            F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value")))
         several = several.withColumn("_r", _records_udf("value"))
-        cut = cut_lineage(known.filter(alone).select("_lf", "_lb", "_lm", "_r").unionByName(several.select("_lf", "_lb", "_lm", "_r")))
-    cut = cut.filter(F.size("_r") > 0)
-    off = _count_before(cut, F.size("_r"))
-    before = Window.partitionBy("_lf", "_lb").orderBy("_lm").rowsBetween(Window.unboundedPreceding, -1)
-    out = (cut.withColumn("_n", F.coalesce(F.sum(F.size("_r")).over(before), F.lit(0))).join(F.broadcast(off), ["_lf", "_lb"])
+        cut = written_table(known.filter(alone).select("_lf", "_lb", "_lm", "_r").unionByName(several.select("_lf", "_lb", "_lm", "_r")))
+        before = Window.partitionBy("_lf", "_lb").orderBy("_lm").rowsBetween(Window.unboundedPreceding, -1)
+        cut = cut.withColumn("_k", F.size("_r").cast("long")).withColumn("_n", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    cut = cut.filter(F.col("_k") > 0)
+    off = _count_before(cut, F.col("_k"))
+    out = (cut.join(F.broadcast(off), ["_lf", "_lb"])
            .select((F.col("_n") + F.col("_off")).alias("_n"), F.posexplode("_r").alias("_i", "fields"))
            .select((F.col("_n") + F.col("_i")).cast("long").alias("row_id"), "fields"))
     # the first record sets the number of fields
     place = F.struct(*_file_order(), "_lb", "_lm")
-    seen = cut.agg(F.sum(F.size("_r")).alias("n"), F.min_by(F.size(F.col("_r")[0]), place).alias("first"),
+    seen = cut.agg(F.sum("_k").alias("n"), F.min_by(F.size(F.col("_r")[0]), place).alias("first"),
                    F.max(F.array_max(F.transform("_r", F.size))).alias("most")).first()
     if seen["n"] and seen["most"] > seen["first"]:
         bad = out.filter(F.size("fields") > seen["first"]).agg(F.min("row_id")).first()[0]

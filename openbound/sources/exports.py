@@ -76,14 +76,14 @@ def write_line_files(df: DataFrame, base: str, splits=("train", "valid", "test")
                      vocab: DataFrame | None = None) -> None:
     """The reference's dataset layout: ``{base}/{split}/label`` and
     ``{split}/seq.in`` paired by line, plus ``intent_label.txt`` (vocab order);
-    fields are quoted where CSV asks for it.  All splits are prepared once:
-    one range sort by (split, order), one checkpoint."""
-    rows = cut_lineage(df.filter(F.col("split").isin(*splits)).select("split", order_col, label_col, text_col)
-                       .orderBy("split", order_col))
+    fields are quoted where CSV asks for it.  Labels and texts are sorted each for itself, by
+    (order, label): rows equal in both have the same label line, so that the files pair up
+    whatever the order of such rows.  ``df`` gives the same rows whenever it is read."""
     for sp in splits:
-        part = rows.filter(F.col("split") == sp)
-        part.select(csv_field(label_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/label")
-        part.select(csv_field(text_col).alias("value")).write.mode("overwrite").text(f"{base}/{sp}/seq.in")
+        rows = df.filter(F.col("split") == sp).select(order_col, F.col(label_col).alias("_label"), F.col(text_col).alias("_text"))
+        ordered = rows.orderBy(order_col, "_label")
+        ordered.select(csv_field("_label").alias("value")).write.mode("overwrite").text(f"{base}/{sp}/label")
+        ordered.select(csv_field("_text").alias("value")).write.mode("overwrite").text(f"{base}/{sp}/seq.in")
     if vocab is not None:
         v = cut_lineage(vocab.select("pos", "label").orderBy("pos"))
         v.select(csv_field("label").alias("value")).write.mode("overwrite").text(f"{base}/intent_label.txt")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_line
 from ..operators.indexing import dense_index
+from ..operators.labels import _maybe_broadcast
 from ..session import cut_lineage
 
 
@@ -124,8 +125,8 @@ def load_splits(spark: SparkSession, data_dir: str, splits: Sequence[str] = ("tr
 
 def read_vocabulary(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """``intent_label.txt`` as ``(pos, label)`` in file order."""
-    df, _ = read_text_column(spark, path, fmt)
-    return df.select(F.col("row_id").cast("int").alias("pos"), F.col("value").alias("label"))
+    df, n = read_text_column(spark, path, fmt)
+    return _maybe_broadcast(df.select(F.col("row_id").cast("int").alias("pos"), F.col("value").alias("label")), n)
 
 
 def read_split_labels(spark: SparkSession, data_dir: str,

@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from openbound.sources import csv_records as CR
 from openbound.sources import lines as SL
@@ -123,3 +124,34 @@ def test_columns_and_split_loading(spark, tmp_path):
     assert [(r["label"], r["text"]) for r in rows] == [("a", "first\nsecond"), ("b\nb", 'say "hi", you'), ("c", "last")]
     second, n = CR.read_column(spark, str(tmp_path / "train" / "label"), 1)
     assert n == 3 and [r["value"] for r in second.orderBy("row_id").collect()] == ["0", "1", None]
+
+
+def _scratch_bytes(spark):
+    import os
+
+    from openbound.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+
+
+def test_a_text_is_kept_once_on_the_way_through(spark, tmp_path):
+    from openbound.sources import exports as EX
+    from openbound.sources import lines as SL
+    text = F.concat_ws(",", *[F.sha2(F.concat(F.col("id"), F.lit(str(i))), 512) for i in range(16)])
+    docs = spark.range(1000).select(F.col("id").alias("row_id"), F.lit("test").alias("split"), (F.col("id") % 7).cast("string").alias("label"), text.alias("text"))
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    before = _scratch_bytes(spark)
+    EX.write_line_files(docs, str(tmp_path), splits=("test",))
+    back = SL.load_split(spark, str(tmp_path), "test")
+    kept = _scratch_bytes(spark) - before
+    assert back.join(docs, ["row_id", "label", "text"]).count() == back.count() == 1000
+    assert kept < 1.2 * size
+
+
+def test_rows_with_equal_ids_keep_their_labels(spark, tmp_path):
+    from openbound.sources import exports as EX
+    from openbound.sources import lines as SL
+    docs = spark.range(400).select((F.col("id") % 5).alias("row_id"), F.lit("test").alias("split"), (F.col("id") % 3).cast("string").alias("label"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    EX.write_line_files(docs.repartition(7), str(tmp_path), splits=("test",))
+    back = SL.load_split(spark, str(tmp_path), "test")
+    assert {(r["label"], r["text"]) for r in back.collect()} == {(r["label"], r["text"]) for r in docs.collect()}
