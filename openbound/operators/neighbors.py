@@ -13,13 +13,13 @@ T6 -- class-average similarity
 T5 -- k-NN vote
     the labels of the K largest dots (ties: training rows before proxies,
     lower id first), majority vote, ties -> smallest class.  Exact search
-    needs every query-index dot product; it is computed block by block and
-    never materialised as rows: queries and index rows are hashed into
-    blocks, each (query block, index block) pair meets in one cogroup where
-    numpy multiplies the two blocks and keeps K candidates per query; the
-    candidates (K per query per index block) are merged per query.  Block
-    counts are chosen from the row counts so that every group holds at most
-    ``block_rows`` queries and ``block_rows`` index rows.
+    needs every query-index dot product; it is computed pack by pack and
+    never materialised as rows: queries and index rows are hashed into packs
+    (``pairs``), every pair of packs meets in one task, numpy multiplies the
+    two and keeps K candidates per query, carried from index pack to index
+    pack.  A pack holds as many blocks of ``block_rows`` rows as fit into
+    ``PACK_ROWS`` rows, one at least.  Packs are written once; no row is
+    copied per pair.
 
     Products are made in tiles of ``QUERY_ROWS`` x ``TILE_ROWS``, whatever the
     size of the index or of a block: candidates (T5) and sums (T6) are carried
@@ -36,10 +36,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_usable, l2_normalize, safe_norm
+from . import pairs as PA
+from .pairs import matrix as _matrix
 from .prototypes import Prototypes
 
 BLOCK_ROWS = 20_000
@@ -62,15 +65,6 @@ def index_frame(train: DataFrame, protos: Prototypes, x_col: str = "x", y_col: s
     return rows.unionByName(prox)
 
 
-def _matrix(rows, dim: int) -> np.ndarray:
-    """Row vectors as a matrix; NULL vectors and components become NaN."""
-    out = np.full((len(rows), dim), np.nan)
-    for i, v in enumerate(rows):
-        if v is not None:
-            out[i] = np.asarray(v, dtype=float)
-    return out
-
-
 def _topk(dots: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` largest dots of every row; index rows are in tie order, so of equal
     dots the earlier position comes first."""
@@ -171,15 +165,42 @@ def _pair(make, columns, dim: int):
     return fn
 
 
-def _blocks(q: DataFrame, index: DataFrame, n_index: int, block_rows: int):
-    """Each query goes to every index block, each index row to every query block."""
-    qb = max(1, math.ceil(q.count() / block_rows))
-    ib = max(1, math.ceil(n_index / block_rows))
-    qrep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
-            .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
-    irep = (index.withColumn("ib", F.pmod(F.xxhash64("kind", "iid"), F.lit(ib)))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    return qrep.groupBy("qb", "ib").cogroup(irep.groupBy("qb", "ib"))
+_Q = {"qid": "int64"}
+_IX = {"kind": "int32", "iid": "int64", "label": "int32"}
+
+
+def _dealt(rows: DataFrame, keys: list, n: int, block_rows: int) -> tuple[DataFrame, int]:
+    """Rows with the pack they are hashed to, and the number of packs."""
+    packs = max(1, math.ceil(n / (block_rows * max(1, PA.PACK_ROWS // block_rows))))
+    return rows.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs)).cast("int")), packs
+
+
+def _met(q: DataFrame, index: DataFrame, n_index: int, block_rows: int, dim: int, start, make, end, schema: str) -> DataFrame:
+    """All queries with all index rows: ``start(n queries)`` is carried through ``make(state, places
+    of queries, x, matrix, kind, iid, label)`` for every pair of packs, ``end(state, qid)`` answers."""
+    q, qp = _dealt(q, ["qid"], q.count(), block_rows)
+    index, ip = _dealt(index, ["kind", "iid"], n_index, block_rows)
+
+    def fold():
+        def first(row):
+            got = PA.unpacked(row, _Q, dim)
+            return got["qid"].copy(), list(got["x"].copy()), start(len(got["x"]))
+
+        def step(held, row):
+            qid, x, state = held
+            ix = PA.unpacked(row, _IX, dim, "i_")
+            place = pd.DataFrame({"qid": np.arange(len(qid)), "x": x})
+
+            def made(at, *arrays):
+                make(state, at, *arrays)
+                return (at[:0],)
+            _pair(made, {"qid": "int64"}, dim)(place, pd.DataFrame({**{c: ix[c] for c in _IX}, "v": list(ix["x"])}))
+
+        def last(held):
+            for columns in end(held[2], held[0]):
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        return first, step, last
+    return PA.meet(PA.packed(q, _Q, "x", dim, qp), PA.packed(index, _IX, "v", dim, ip, PA.PARTITION_PACKS), fold, schema)
 
 
 def _usable(q: DataFrame) -> DataFrame:
@@ -215,12 +236,11 @@ def knn_vote(queries: DataFrame, train: DataFrame, protos: Prototypes, k: int =
         votes = q.mapInPandas(_broadcast_predict(bc, lambda x, im, labels: _vote(labels[_tiled_topk(x, im, k)[0]], n_classes), n_classes - 1), "qid long, pred int")
         return votes.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
 
-    def top(qid, x, im, kind, iid, label):
-        at, score = _tiled_topk(x, im, k)
-        return np.repeat(qid, at.shape[1]), score.ravel(), kind[at].ravel(), iid[at].ravel(), label[at].ravel()
-    cand = _blocks(_usable(q), index, n, block_rows).applyInPandas(
-        _pair(top, {"qid": "int64", "score": "float64", "kind": "int32", "iid": "int64", "label": "int32"}, protos.dim), _CAND)
-    # merge: K per query per index block -> global top K -> majority, smallest class on ties
+    def top(best, at, x, im, kind, iid, label):
+        for lo, dots in _tiles(x, im):
+            best.offer(at, dots, *(c[lo:lo + dots.shape[1]] for c in (kind, iid, label)))
+    cand = _met(_usable(q), index, n, block_rows, protos.dim, lambda m: PA.Best(m, k), top, lambda best, qid: best.batches(qid), _CAND)
+    # merge: K per query, more if its pairs were dealt to several tasks -> global top K -> majority, smallest class on ties
     best = cand.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("ns"), "kind", "iid", "label"))), 1, k).alias("top"))
     labels = F.transform("top", lambda s: s["label"])
@@ -241,11 +261,16 @@ def class_average_predict(queries: DataFrame, train: DataFrame, protos: Prototyp
             bc, lambda x, im, labels: _average_argmax(*_class_sums(x, im, labels, n_classes)), n_classes - 1), "qid long, pred int")
         return out.select(F.col("qid").alias(id_col), F.col("pred").alias(out_col))
 
-    def sums(qid, x, im, kind, iid, label):
-        total, count = _class_sums(x, im, label, n_classes)
-        return np.repeat(qid, n_classes), np.tile(np.arange(n_classes), len(qid)), total.ravel(), count.ravel()
-    part = _blocks(_usable(q), index, n, block_rows).applyInPandas(
-        _pair(sums, {"qid": "int64", "label": "int32", "total": "float64", "n": "int64"}, protos.dim), _SUMS)
+    def sums(held, at, x, im, kind, iid, label):
+        for have, more in zip(held, _class_sums(x, im, label, n_classes)):
+            have[at] += more
+
+    def answer(held, qid):
+        for lo in range(0, len(qid), QUERY_ROWS):
+            total, count = (h[lo:lo + QUERY_ROWS] for h in held)
+            yield [pa.array(np.repeat(qid[lo:lo + QUERY_ROWS], n_classes)), pa.array(np.tile(np.arange(n_classes, dtype="int32"), len(total))),
+                   pa.array(total.ravel()), pa.array(count.ravel().astype("int64"))]
+    part = _met(_usable(q), index, n, block_rows, protos.dim, lambda m: (np.zeros((m, n_classes)), np.zeros((m, n_classes))), sums, answer, _SUMS)
     avg = part.groupBy("qid", "label").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).filter("n > 0")
     best = avg.groupBy("qid").agg(F.max(F.struct((F.col("t") / F.col("n")).alias("a"), (-F.col("label")).alias("nc"))).alias("b"))
     return _all_queries(q, best.select("qid", (-F.col("b.nc")).cast("int").alias("pred")), F.lit(0), n_classes - 1, id_col, out_col)
