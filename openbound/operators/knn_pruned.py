@@ -8,11 +8,14 @@ of angles gives for every member v
     x . v  <=  |x| |v| cos(max(0, t - a_r)),
 
 with the greatest norm where the cosine is positive and the least where it is not.  Every query
-visits cells in falling order of this bound, 1, then 4, 16, ... of them a round, until its k-th
-best product so far exceeds the bound of every cell left.  (query, cell) rows are made for visits
-only, so a block pair that the bound excludes never exists.  Cells are dealt into shards of about
-``SHARD_ROWS`` rows by hash and the queries of a shard into blocks of ``QUERY_ROWS``, so no hot
-cell, index vector or query is one group; each block answers with k rows per query at most.
+first visits its home, the cell of the greatest bound, and then all cells whose bound its k-th best
+product does not exceed; that product rises while the visits go on, and cells are skipped as it does.
+
+Nothing is copied per visit.  Index rows are packed by cell and queries by home (``pairs``): cells
+next to each other share a pack, cells over ``SHARD_ROWS`` rows and homes of over ``QUERY_ROWS``
+queries are cut by hash, so no hot cell, index vector or query is one group.  A pack of queries is
+paired with the packs that hold a cell which one of its queries may need, reads them from the
+checkpoint and keeps k rows per query.  Disk and memory grow with the rows, not with the visits.
 
 Results are those of brute force, ties included (products that are equal: training rows before
 proxies, then the smaller id): products are summed in one fixed order for every pair, whatever
@@ -29,19 +32,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_usable, safe_norm, sq_norm
-from ..session import cut_lineage
+from ..session import cut_lineage, written_table
+from . import pairs as PA
 from .neighbors import index_frame
 from .prototypes import Prototypes
 
 MAX_PIVOTS = 512       # cells, at most: their pivots and bounds are sent to every task
 SPARE = 8              # sampled rows per pivot, of which those far from each other become pivots
 SHARD_ROWS = 8192      # index rows of a shard, on average
-QUERY_ROWS = 2048      # queries that meet a shard at a time
-GROWTH = 4             # cells of a round, times those of the round before
+QUERY_ROWS = 2048      # queries of a pack, on average
+TILE_ROWS = 256        # queries multiplied with a cell at a time
 ANGLE_SLACK = 1e-7     # arccos near 1 is this inexact
 SLACK = 1e-12          # relative error of a product and of a bound
 
@@ -74,7 +79,7 @@ class PruneReport:
     cells: int = 0
     pairs: int = 0
     visits: int = 0
-    rounds: list = field(default_factory=list)          # visits of every round
+    rounds: list = field(default_factory=list)          # visits of homes, and of other cells
 
     @property
     def skipped(self) -> float:
@@ -118,7 +123,7 @@ def _spread(p: np.ndarray, want: int) -> np.ndarray:
 
 
 def build_cells(index: DataFrame, pivots: int | None = None, seed: int = 0) -> tuple[DataFrame, Cells]:
-    """Index rows ``(kind, iid, label, v, cell, shard)``, checkpointed, and their cells."""
+    """Index rows ``(kind, iid, label, v, cell)``, checkpointed, and their cells."""
     spark = index.sparkSession
     n = index.count()
     want = min(MAX_PIVOTS, max(1, pivots or int(np.ceil(np.sqrt(n)))))
@@ -135,8 +140,7 @@ def build_cells(index: DataFrame, pivots: int | None = None, seed: int = 0) -> t
     for r in placed.groupBy("cell").agg(F.max("angle").alias("a"), F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.count("*").alias("n")).collect():
         reach[r["cell"]], low[r["cell"]], high[r["cell"]], rows[r["cell"]] = r["a"], r["lo"], r["hi"], r["n"]
     cells = Cells(p, reach, low, high, rows, np.maximum(1, -(-rows // SHARD_ROWS)))
-    shards = F.element_at(F.array(*[F.lit(int(s)) for s in cells.shards]), F.col("cell") + 1)
-    return placed.withColumn("shard", F.pmod(F.xxhash64("kind", "iid"), shards).cast("int")).drop("angle", "norm"), cells
+    return placed.drop("angle", "norm"), cells
 
 
 def _visits(bc, seen: int, take: int):
@@ -154,55 +158,106 @@ def _visits(bc, seen: int, take: int):
     return visits
 
 
-def _asked(active: DataFrame, bc, seen: int, take: int) -> DataFrame:
-    """A row per query and shard of a cell that it visits next."""
-    cells = bc.value
-    sizes = active.sparkSession.createDataFrame([(c, int(s), int(n)) for c, (s, n) in enumerate(zip(cells.shards, cells.rows))],
-                                                "cell int, shards int, rows long")
-    to = active.withColumn("cell", F.explode(_visits(bc, seen, take)("x", "kth")))
-    # as many sizes as cells: MAX_PIVOTS at most
-    return (to.join(F.broadcast(sizes), "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-            .select("cell", "shard", "shards", "rows", "qid", "x", "kth"))
-
-
-FOUND = "qid long, score double, kind int, iid long, label int"
-
-
-def _best_of_block(k: int):
-    def run(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
-        cols: list[list] = [[], [], [], [], []]
-        if len(q) and len(ix):
-            ix = ix.sort_values(["i_kind", "i_iid"])
-            v = np.stack(ix["i_v"].to_numpy())
-            kind, iid, label = (ix[f"i_{c}"].to_numpy() for c in ("kind", "iid", "label"))
-            x = np.stack(q["x"].to_numpy())
-            far = float(np.sqrt((v * v).sum(axis=1)).max())
-            for lo in range(0, len(x), 256):
-                rough = x[lo:lo + 256] @ v.T
-                at_least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
-                for i, row in enumerate(rough):
-                    mine = x[lo + i]
-                    slack = SLACK * len(mine) * far * float(np.sqrt(mine @ mine))
-                    near = np.flatnonzero(row >= max(at_least[i], float(q["kth"].iat[lo + i])) - slack)
-                    exact = pair_products(mine, v[near])
-                    order = np.argsort(-exact, kind="stable")[:k]           # rows are in tie order
-                    for j in order:
-                        for c, val in zip(cols, (int(q["qid"].iat[lo + i]), exact[j], kind[near[j]], iid[near[j]], label[near[j]])):
-                            c.append(val)
-        types = ("int64", "float64", "int32", "int64", "int32")
-        return pd.DataFrame({n.split()[0]: pd.Series(c, dtype=t) for n, c, t in zip(FOUND.split(", "), cols, types)})
-    return run
-
-
-def _meet(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Queries and the shards they visit: k rows at most per (query, shard)."""
-    blocks = asked.groupBy("cell", "shard").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
-    q = asked.join(blocks, ["cell", "shard"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
-    ix = (index.join(blocks, ["cell", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    keys = ["cell", "shard", "block"]
-    ix = ix.select(*[F.col(c).alias(f"i_{c}") for c in (*keys, "kind", "iid", "label", "v")])
-    return (q.select(*keys, "qid", "x", "kth").groupBy(*keys)
-            .cogroup(ix.groupBy(*[f"i_{c}" for c in keys])).applyInPandas(_best_of_block(k), FOUND))
+COUNTED = "qid long, score double, kind int, iid long, label int, visits long, pairs long"
+
+
+_ASKING = {"qid": "int64", "home": "int32", "kth": "float64"}
+_PLACED = {"cell": "int32", "kind": "int32", "iid": "int64", "label": "int32"}
+
+
+def _tour(pivots: np.ndarray) -> list[int]:
+    """The cells, each after the one nearest by angle of those left."""
+    out, left = [0], np.arange(len(pivots)) > 0
+    while left.any():
+        cos = np.where(left, pivots @ pivots[out[-1]], -np.inf)
+        out.append(int(cos.argmax()))
+        left[out[-1]] = False
+    return out
+
+
+def _into_packs(rows: DataFrame, keys: list, counts: np.ndarray, parts: np.ndarray, tour: list, fill: int, cell: str) -> tuple[DataFrame, int]:
+    """Rows with their pack and part of the cell, and the number of packs: a cell of several parts
+    has a pack for each, others share packs of ``fill`` rows."""
+    first, packs, room = np.zeros(len(counts), int), 0, 0
+    for c in tour:
+        if parts[c] > 1 or counts[c] > room:
+            first[c], room = packs, 0 if parts[c] > 1 else fill - int(counts[c])
+            packs += int(parts[c])
+        else:
+            first[c], room = packs - 1, room - int(counts[c])
+    at = F.col(cell) + 1
+    part = F.pmod(F.xxhash64(*keys), F.element_at(F.array(*[F.lit(int(n)) for n in parts]), at)).cast("int")
+    return rows.withColumn("part", part).withColumn("pack", (F.element_at(F.array(*[F.lit(int(n)) for n in first]), at) + F.col("part")).cast("int")), packs
+
+
+def _wanting(cells: Cells, x: np.ndarray, home: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """Whether a query (row) may find one of its best in a cell other than its home."""
+    wanted = cells.bounds(x) >= kth[:, None]
+    wanted &= cells.rows[None, :] > 0
+    wanted[np.arange(len(x)), home] = False
+    return wanted
+
+
+def _search(bc, k: int, dim: int, homes: bool):
+    """Packs of queries through packs of cells: the homes of the queries, or the other cells that
+    the bounds leave.  A last row without a query counts visits and pairs."""
+    def fold():
+        cells = bc.value
+
+        def start(row):
+            q = {c: v.copy() for c, v in PA.unpacked(row, _ASKING, dim).items()}
+            q["norm"] = np.sqrt((q["x"] * q["x"]).sum(axis=1))
+            q["bounds"] = None if homes else np.where(_wanting(cells, q["x"], q["home"], q["kth"]), cells.bounds(q["x"]), -np.inf)
+            return q | {"best": PA.Best(len(q["x"]), k, q["kth"]), "visits": 0, "pairs": 0}
+
+        def step(q, row):
+            ix = PA.unpacked(row, _PLACED, dim, "i_")
+            cuts = [0, *(np.flatnonzero(np.diff(ix["cell"])) + 1).tolist(), len(ix["cell"])]
+            for lo, hi in zip(cuts, cuts[1:]):
+                cell, v = ix["cell"][lo], ix["x"][lo:hi]
+                rows = [ix[c][lo:hi] for c in ("kind", "iid", "label")]
+                if homes:
+                    wanting = np.flatnonzero(q["home"] == cell)
+                else:
+                    bound = q["bounds"][:, cell]
+                    wanting = np.flatnonzero((bound >= q["best"].floor) & (bound > -np.inf))
+                far = float(np.sqrt((v * v).sum(axis=1)).max())
+                for a in range(0, len(wanting), TILE_ROWS):
+                    at = wanting[a:a + TILE_ROWS]
+                    x = q["x"][at]
+                    q["best"].offer(at, x @ v.T, *rows, SLACK * dim * far * q["norm"][at], lambda r, c: pair_products(x[r], v[c]))
+                q["pairs"] += len(wanting) * (hi - lo)
+                q["visits"] += len(wanting) if int(np.frombuffer(row["i_part"].as_buffer(), "int32")[0]) == 0 else 0
+
+        def end(q):
+            names = [c.split()[0] for c in COUNTED.split(", ")]
+            for columns in q["best"].batches(q["qid"]):
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(columns[0]), pa.int64())] * 2], names=names)
+            types = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in types], pa.array([q["visits"]], pa.int64()), pa.array([q["pairs"]], pa.int64())], names=names)
+        return start, step, end
+    return fold
+
+
+def _visited(asking: DataFrame, index: DataFrame, cells: Cells, bc, k: int, homes: bool, report: PruneReport) -> DataFrame:
+    """k rows at most per query and task, and what was compared."""
+    dim, tour = cells.pivots.shape[1], _tour(cells.pivots)
+    counts = np.zeros(len(cells.rows), np.int64)
+    for r in asking.groupBy("home").agg(F.count("*").alias("n")).collect():
+        counts[r["home"]] = r["n"]                    # a row per cell
+    q, packs = _into_packs(asking, ["qid"], counts, np.maximum(1, -(-counts // QUERY_ROWS)), tour, QUERY_ROWS, "home")
+
+    def needed(pdf, x):
+        home = pdf["home"].to_numpy()
+        wanted = np.unique(home) if homes else np.flatnonzero(_wanting(bc.value, x, home, pdf["kth"].to_numpy()).any(axis=0))
+        return {"cells": [wanted.astype("int32").tolist()]}
+    q = PA.packed(q, _ASKING, "x", dim, packs, more=needed, schema=", cells array<int>")
+    found = written_table(PA.meet(q, index, _search(bc, k, dim, homes), COUNTED, F.arrays_overlap("cells", "i_cells")))
+    seen = found.filter("qid IS NULL").agg(F.sum("visits").alias("visits"), F.sum("pairs").alias("pairs")).first()
+    report.rounds.append(seen["visits"] or 0)
+    report.visits += seen["visits"] or 0
+    report.pairs += seen["pairs"] or 0
+    return found.filter("qid IS NOT NULL").drop("visits", "pairs")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -228,23 +283,15 @@ def similarity_topk(queries: DataFrame, index: DataFrame, k: int = 5, pivots: in
     placed, cells = build_cells(index, pivots, seed)
     bc = spark.sparkContext.broadcast(cells)
     report.cells = int((cells.rows > 0).sum())
-    best = spark.createDataFrame([], FOUND)
-    active = q.filter(~zero).select("qid", "x", F.lit(float("-inf")).alias("kth"))
-    seen, take = 0, 1
-    while seen < len(cells.rows):
-        asked = cut_lineage(_asked(active, bc, seen, take))
-        per = asked.filter("shard = 0").agg(F.count("*").alias("visits"), F.sum("rows").alias("pairs")).first()
-        report.rounds.append(per["visits"])
-        report.visits += per["visits"]
-        report.pairs += per["pairs"] or 0
-        seen, take = seen + take, take * GROWTH
-        if per["visits"]:
-            best = cut_lineage(_ranked(_meet(asked, placed, k).unionByName(best), k).drop("rank"))
-        elif seen > 1:
-            break                                     # bounds fall along the order: no later cell can be needed
-        kth = best.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select("qid", "least")
-        active = (q.filter(~zero).join(kth, "qid", "left")
-                  .select("qid", "x", F.coalesce("least", F.lit(float("-inf"))).alias("kth")))
+    floor = F.lit(float("-inf"))
+    asking = cut_lineage(q.filter(~zero).select("qid", "x", floor.alias("kth"), F.element_at(_visits(bc, 0, 1)("x", floor), 1).alias("home")))
+    dealt, packs = _into_packs(placed, ["kind", "iid"], cells.rows, cells.shards, _tour(cells.pivots), PA.PACK_ROWS, "cell")
+    held = PA.packed(dealt, _PLACED | {"part": "int32"}, "v", cells.pivots.shape[1], packs, PA.PARTITION_PACKS, order=["cell", "kind", "iid"],
+                     more=lambda pdf, _: {"cells": [sorted(set(pdf["cell"].tolist()))]}, schema=", cells array<int>")
+    near = _visited(asking, held, cells, bc, k, True, report)
+    kth = near.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select("qid", "least")
+    asking = cut_lineage(asking.drop("kth").join(kth, "qid", "left").select("qid", "x", "home", F.coalesce("least", floor).alias("kth")))
+    best = near.unionByName(_visited(asking, held, cells, bc, k, False, report))
     return _ranked(best, k).select("qid", "rank", "score", "kind", "iid", "label").unionByName(ranked), report
 
 
