@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.vectors import is_usable, safe_norm, sq_norm
-from ..session import cut_lineage, written_table
+from ..session import cut_lineage, let_go, written_table
 from .knn_pruned import similarity_topk
 from .project import pca_project
 
@@ -227,4 +227,5 @@ def neighbour_layout(df: DataFrame, k: int = 30, perplexity: float = 10.0, round
         after = _moved(0, rate, momentum) | _moved(1, rate, momentum)
         state = written_table(moved.withColumns(after).select("id", "salts", "y0", "y1", "v0", "v1", "g0", "g1"))
         bc.unpersist()
+        let_go(df.sparkSession)
     return all_ids.join(state, "id", "left").select(F.col("id").alias("row_id"), F.col("y0").alias("dim0"), F.col("y1").alias("dim1"))

@@ -7,6 +7,7 @@ when the setting is missing and the master is local (tests, bench).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,13 @@ def written_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a plan once the driver has collected its objects.  Loops of
+    jobs ask for that: else the files of all rounds stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set = set()
 
 
