@@ -102,30 +102,28 @@ def _line_function(x: str | None) -> tuple[int | None, list | None]:
     return (3 if inside else 1) if out else (0 if inside else 2), None if out else cut_records(x)
 
 
-def _cut_lines(raw: bool):
-    """Lines ``(value, _lf, _lb, _lm, _simple, _blank)``, in order within their split, with the function
-    and the records of the hard ones, their number of records and that of the split's lines before.
-    The text of a line that has records is kept if ``raw``.  A batch goes on in pieces, so that
-    records of few lines are objects at a time."""
-    def run(batches):
-        at, before = None, 0
-        for batch in batches:
-            for lo, hi in _runs(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)):
-                part = batch.slice(lo, hi - lo)
-                simple, blank = part.column(4).to_numpy(zero_copy_only=False), part.column(5).to_numpy(zero_copy_only=False)
-                texts = part.column(0).to_pylist()
-                got = [(0, None) if s else _line_function(x) for s, x in zip(simple, texts)]
-                count = [len(r) if r is not None else int(s and not b) for (_, r), s, b in zip(got, simple, blank)]
-                places = []
-                for split, k in zip(zip(part.column(1).to_pylist(), part.column(2).to_pylist()), count):
-                    at, before = split, before if split == at else 0
-                    places.append(before)
-                    before += k
-                value = part.column(0) if raw else pa.array([x if r is None else None for x, (_, r) in zip(texts, got)], pa.string())
-                yield pa.RecordBatch.from_arrays([value, *part.columns[1:4], pa.array(simple), pa.array([f for f, _ in got], pa.int32()), pa.array([r for _, r in got], _RECORDS),
-                                                  pa.array(count, pa.int64()), pa.array(places, pa.int64())],
-                                                 names=["value", "_lf", "_lb", "_lm", "_simple", "_fn", "_r", "_k", "_n"])
-    return run
+def _cut_lines(batches, raw: bool = False):
+    """Lines ``(value, _lf, _lb, _lm, _hard)``, in order within their split, ``_hard`` the text of a
+    line that is not simple, with the function and the records of the hard ones, their number of
+    records and that of the split's lines before.  The text of a line that has records is kept if
+    ``raw``.  A batch goes on in pieces, so that records of few lines are objects at a time."""
+    at, before = None, 0
+    for batch in batches:
+        length = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False) for i in (0, 4))
+        for lo, hi in _runs(length):
+            part = batch.slice(lo, hi - lo)
+            plain, hard = part.column(0).to_pylist(), part.column(4).to_pylist()
+            got = [_line_function(x) for x in hard]
+            count = [int(p.strip(" \t") != "") if x is None else len(r or ()) for p, x, (_, r) in zip(plain, hard, got)]
+            places = []
+            for split, k in zip(zip(part.column(1).to_pylist(), part.column(2).to_pylist()), count):
+                at, before = split, before if split == at else 0
+                places.append(before)
+                before += k
+            value = pa.array([p if x is None else x if raw or r is None else None for p, x, (_, r) in zip(plain, hard, got)], pa.string())
+            yield pa.RecordBatch.from_arrays([value, *part.columns[1:4], pa.array([f for f, _ in got], pa.int32()), pa.array([r for _, r in got], _RECORDS),
+                                              pa.array(count, pa.int64()), pa.array(places, pa.int64())],
+                                             names=["value", "_lf", "_lb", "_lm", "_u", "_r", "_k", "_n"])
 
 
 def _cut_table(spark: SparkSession, path: str, raw: bool) -> DataFrame:
@@ -133,11 +131,11 @@ def _cut_table(spark: SparkSession, path: str, raw: bool) -> DataFrame:
     not end inside quotes when it starts between records."""
     lines = _with_file_pos(spark.read.option("lineSep", "\n").text(path))
     simple = ~F.col("value").contains('"') & ~F.col("value").contains(",") & ~F.col("value").contains("\r")
-    blank = F.trim(F.translate("value", "\t", " ")) == ""
-    cut = written_table(lines.select("value", "_lf", "_lb", "_lm", simple.alias("_simple"), blank.alias("_blank")).mapInArrow(
-        _cut_lines(raw), "value string, _lf string, _lb long, _lm long, _simple boolean, _fn int, _r array<array<string>>, _k long, _n long"))
+    split = lines.select(F.when(simple, F.col("value")).alias("value"), "_lf", "_lb", "_lm", F.when(~simple, F.col("value")).alias("_hard"))
+    cut = written_table(split.mapInArrow(lambda batches: _cut_lines(batches, raw),
+                                         "value string, _lf string, _lb long, _lm long, _u int, _r array<array<string>>, _k long, _n long"))
     one = F.when(F.col("_k") == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array("value")))
-    return cut.withColumn("_r", F.when(F.col("_simple"), one).otherwise(F.col("_r"))).drop("_simple")
+    return cut.select("value", "_lf", "_lb", "_lm", F.coalesce("_u", F.lit(0)).alias("_fn"), F.when(F.col("_u").isNull(), one).otherwise(F.col("_r")).alias("_r"), "_k", "_n")
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
